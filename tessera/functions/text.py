@@ -6,8 +6,8 @@ runs as an Arrow-batched function and only receives non-ASCII values.
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -40,10 +40,13 @@ def strip_ws(col) -> Column:
     return F.regexp_replace(_c(col), r"^(?U)\s+|(?U)\s+$", "")
 
 
+def _nfkc_one(v):
+    return None if v is None else unicodedata.normalize("NFKC", v)
+
+
 @F.pandas_udf(StringType())
 def _nfkc_batch(s):  # pragma: no cover - runs in the Python worker
-    arr = pa.array(s, type=pa.string())
-    return pc.utf8_normalize(arr, form="NFKC").to_pandas()
+    return s.map(_nfkc_one)
 
 
 def nfkc(col) -> Column:
