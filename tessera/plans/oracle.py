@@ -79,17 +79,18 @@ def encode_cte(name: str, source: str, key: str, col: str, vocab: str) -> str:
   FROM {source} s LEFT JOIN {name}_grp g ON g.k = s.{key})"""
 
 
-CONV_ENC = ",\n".join(
+def enc_cte(pairs_cte: str, pairs: str) -> str:
+    return ",\n".join(
     [
-        CONV_PAIRS,
-        vocab_cte("vs", "conv_pairs", "src_text", WORD_VOCAB),
-        vocab_cte("vt", "conv_pairs", "tgt_text", WORD_VOCAB),
-        encode_cte("es", "conv_pairs", "pair_id", "src_text", "vs"),
-        encode_cte("et", "conv_pairs", "pair_id", "tgt_text", "vt"),
-        """enc AS (
+        pairs_cte,
+        vocab_cte("vs", pairs, "src_text", WORD_VOCAB),
+        vocab_cte("vt", pairs, "tgt_text", WORD_VOCAB),
+        encode_cte("es", pairs, "pair_id", "src_text", "vs"),
+        encode_cte("et", pairs, "pair_id", "tgt_text", "vt"),
+        f"""enc AS (
   SELECT p.pair_id, p.src_text, p.tgt_text, es.ids AS src_ids, et.ids AS tgt_ids,
          CAST(len(es.ids) AS INTEGER) AS src_len, CAST(len(et.ids) AS INTEGER) AS tgt_len
-  FROM conv_pairs p JOIN es ON es.k = p.pair_id JOIN et ON et.k = p.pair_id)""",
+  FROM {pairs} p JOIN es ON es.k = p.pair_id JOIN et ON et.k = p.pair_id)""",
         """ex AS (
   SELECT *,
     list_concat([5], src_ids, [6], list_transform(range(128 - src_len - 2), lambda x: 3)) AS encoder_input,
@@ -101,6 +102,9 @@ CONV_ENC = ",\n".join(
 )
 
 
+CONV_ENC = enc_cte(CONV_PAIRS, "conv_pairs")
+
+
 def tagged(source: str, seq_len: int = 128) -> str:
     return f"""CASE WHEN src_len IS NULL OR tgt_len IS NULL THEN 'null_text'
        WHEN src_len > {seq_len - 2} AND tgt_len > {seq_len - 1} THEN 'both'
@@ -400,4 +404,15 @@ SELECT vec_id, CAST(unnest(range(len(e))) AS INTEGER) AS k, round(unnest(list_tr
 SELECT pair_id, CASE WHEN len({W('src_text')}) = 0 THEN NULL ELSE array_to_string(list_reverse({W('src_text')}), ' ') END AS prediction,
   CASE WHEN len({W('src_text')}) = 0 THEN 'error' ELSE 'ok' END AS status,
   CASE WHEN len({W('src_text')}) = 0 THEN 'ValueError: empty input' END AS error FROM conv_pairs"""
+    q["st1_stream_scalars"] = """WITH b AS (
+  SELECT CAST(time_bucket(INTERVAL 1 hour, ts) AS TIMESTAMP) AS window_start, event_type AS tag, value FROM events)
+SELECT window_start, window_start + INTERVAL 1 hour AS window_end, tag,
+  count(*) AS n, round(avg(value), 6) AS mean, max(value) AS max_value
+FROM b GROUP BY window_start, tag
+HAVING window_start + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 10 minutes"""
+    q["st2_stream_examples"] = f"""WITH {enc_cte(LINE_PAIRS, 'line_pairs')}
+SELECT pair_id, src_len, tgt_len, {ints('encoder_input')} AS encoder_input, {ints('decoder_input')} AS decoder_input,
+  {ints('label')} AS label, {ints('list_transform(encoder_input, lambda x: CAST(x <> 3 AS INTEGER))')} AS encoder_mask,
+  decoder_valid_len FROM ex"""
+    q["st3_stream_predict"] = q["i1_batch_predict"]
     return q
