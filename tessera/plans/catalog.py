@@ -78,6 +78,36 @@ def q_s8_latest_artifact(spark, d):
     return artifacts.latest_artifact(paths)
 
 
+def q_s4_training_text(spark, d):
+    path = scratch_path(spark, "train-text")
+    artifacts.write_training_text(fx.read_table(spark, d, "documents"), "text", path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def q_s5_vocab_roundtrip(spark, d):
+    path = scratch_path(spark, "tokenizer_de")
+    cp = fx.conv_pairs(spark, d)
+    vocab, _ = artifacts.get_or_build_vocab(spark, path, lambda: (tokenizer.fit_word_vocab(cp, "src_text", SMALL_VOCAB), None))
+    return vocab
+
+
+def q_s6_write_examples(spark, d):
+    path = scratch_path(spark, "examples")
+    p = _conv_prepared(spark, d).where(F.col("kept"))
+    artifacts.write_examples(p.select("split", "epoch", "batch_id", "order", "pair_id", "encoder_input"), path,
+                             order_cols=("split", "epoch", "order"))
+    back = spark.read.parquet(path)
+    return back.select("split", "batch_id", "order", "pair_id", A.join_ints("encoder_input").alias("encoder_input"))
+
+
+def q_s7_append_scalars(spark, d):
+    path = scratch_path(spark, "scalars")
+    log = fx.scalar_log(spark, d)
+    artifacts.append_scalars(log.where(F.col("tag") != "click"), path)
+    artifacts.append_scalars(log.where(F.col("tag") == "click"), path)
+    return spark.read.parquet(path).select("tag", "step", "value")
+
+
 # ---------------------------------------------------------------- projections, filters, checks
 
 def q_f1_flatten_struct(spark, d):
@@ -268,6 +298,26 @@ def q_d4_steps(spark, d):
     return _conv_steps(spark, d).select("epoch", "batch_id", "step").distinct()
 
 
+def q_d5_resume(spark, d):
+    """Checkpoints exist for the first half of the epochs (one per epoch, named
+    as the trainer names them); resume after the latest and count what is left."""
+    steps = _conv_steps(spark, d)
+    done = steps.where(F.col("epoch") < F.lit(len(EPOCHS) // 2)).groupBy("epoch").agg((F.max("step") + 1).alias("global_step"))
+    arts = done.select(
+        F.format_string("weights/%s%02d.pt", F.lit(CFG.model_basename), F.col("epoch")).alias("path"), "epoch", "global_step"
+    )
+    latest = artifacts.latest_artifact(arts.select("path"), base=CFG.model_basename)
+    state = arts.join(latest.select("path"), "path")
+    rp = ordering.resume_point(state).collect()[0]
+    rest = ordering.skip_finished(steps, rp.initial_epoch)
+    return rest.agg(
+        F.lit(rp.initial_epoch).alias("initial_epoch"),
+        F.lit(rp.initial_step).cast("bigint").alias("initial_step"),
+        F.count_distinct("epoch", "batch_id").cast("bigint").alias("remaining_batches"),
+        F.min("step").cast("bigint").alias("first_step"),
+    )
+
+
 def q_d6_validation_sample(spark, d):
     p = _conv_prepared(spark, d).where(F.col("split") == "validation")
     steps = [0, 500]

@@ -114,8 +114,8 @@ def tagged(source: str, seq_len: int = 128) -> str:
 
 def prepared_cte(pairs_cte: str, pairs: str) -> str:
     """Split (rank over all rows), epoch-0 order in the split, batches; word lengths."""
-    return f"""{pairs_cte},
-pl AS (
+    head = f"{pairs_cte},\n" if pairs_cte else ""
+    return f"""{head}pl AS (
   SELECT pair_id, CAST(len({W('src_text')}) AS INTEGER) AS src_len, CAST(len({W('tgt_text')}) AS INTEGER) AS tgt_len
   FROM {pairs}),
 pt AS (SELECT *, {tagged('pl')} AS drop_reason FROM pl),
@@ -240,6 +240,13 @@ SELECT CAST(row_number() OVER (ORDER BY pair_id) - 1 AS BIGINT) AS line_no, src_
     q["s8_latest_artifact"] = """SELECT source || '_' AS base, arg_max('/runs/' || source || '_' || CAST(doc_id AS VARCHAR) || '.pt', doc_id) AS path,
   CAST(max(doc_id) AS BIGINT) AS number FROM documents GROUP BY source"""
     q["f1_flatten_struct"] = q["s2_read_translations"]
+    q["s4_training_text"] = "SELECT replace(text, chr(10), ' ') AS line FROM documents"
+    q["s5_vocab_roundtrip"] = f"WITH {CONV_PAIRS},\n{vocab_cte('v', 'conv_pairs', 'src_text', SMALL_VOCAB)}\nSELECT piece, id, freq, kind FROM v"
+    q["s6_write_examples"] = f"""WITH {CONV_ENC},
+{prepared_cte('', 'conv_pairs')}
+SELECT p.split, p.batch_id, CAST(p."order" AS BIGINT) AS "order", p.pair_id, {ints('ex.encoder_input')} AS encoder_input
+FROM prepared p JOIN ex ON ex.pair_id = p.pair_id WHERE p.kept"""
+    q["s7_append_scalars"] = "SELECT event_type AS tag, event_id AS step, value FROM events"
     q["f2_length_filter"] = f"""WITH {CONV_PAIRS},
 pl AS (SELECT pair_id, CAST(len({W('src_text')}) AS INTEGER) AS src_len, CAST(len({W('tgt_text')}) AS INTEGER) AS tgt_len FROM conv_pairs),
 pt AS (SELECT *, {tagged('pl')} AS drop_reason FROM pl)
@@ -320,6 +327,11 @@ eo AS (
 sb AS (SELECT DISTINCT epoch, CAST(floor(o / 8) AS BIGINT) AS batch_id FROM eo WHERE kept),
 steps AS (SELECT CAST(epoch AS INTEGER) AS epoch, batch_id, CAST(row_number() OVER (ORDER BY epoch, batch_id) - 1 AS BIGINT) AS step FROM sb)"""
     q["d4_steps"] = f"WITH {steps_cte}\nSELECT epoch, batch_id, step FROM steps"
+    q["d5_resume"] = f"""WITH {steps_cte},
+done AS (SELECT epoch, max(step) + 1 AS global_step FROM steps WHERE epoch < 10 GROUP BY epoch),
+st AS (SELECT arg_max(epoch, epoch) AS e, arg_max(global_step, epoch) AS g FROM done)
+SELECT CAST((SELECT coalesce(e, -1) + 1 FROM st) AS INTEGER) AS initial_epoch, CAST((SELECT coalesce(g, 0) FROM st) AS BIGINT) AS initial_step,
+  count(*) AS remaining_batches, min(step) AS first_step FROM steps WHERE epoch >= (SELECT coalesce(e, -1) + 1 FROM st)"""
     q["d6_validation_sample"] = f"""WITH {prepared_cte(CONV_PAIRS, 'conv_pairs')},
 st AS (SELECT unnest([0, 500]) AS step),
 c AS (
