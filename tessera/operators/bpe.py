@@ -110,17 +110,22 @@ def train_bpe(df: DataFrame, col: str, vocab_size: int, coverage: float = 1.0, m
     wc = tok.word_counts(df, col, marked=True, apply_nfkc=apply_nfkc)
     words = wc.select("word", "freq", F.array_join(symbols_of("word"), " ").alias("syms")).checkpoint()
     alphabet = tok.char_inventory(words.select("word", "freq"), coverage)
-    alpha_vocab = tok.top_pieces(alphabet, 1 << 30, piece_col="ch", first_id=len(specials), kind="char",
+    # the alphabet is bounded by the number of distinct characters
+    alpha_vocab = tok.top_pieces(alphabet, None, piece_col="ch", first_id=len(specials), kind="char",
                                  exclude=specials).checkpoint()
     n_alpha = alpha_vocab.count()
     n_merges = max(vocab_size - len(specials) - n_alpha, 0)
     merges: list = []
     rounds = 0
-    current = words.persist()
+    current, stale = words, None
     while len(merges) < n_merges:
         pc = pair_counts(current.select(F.split("syms", " ").alias("syms"), "freq"))
+        # the round's only job: it also fills the cache of ``current``
         top = [(r["left"], r["right"], int(r["n"])) for r in
                pc.orderBy(F.desc("n"), F.asc("left"), F.asc("right")).limit(max_candidates).collect()]
+        if stale is not None:
+            stale.unpersist()
+            stale = None
         rounds += 1
         acc = select_merges(top, n_merges - len(merges), complete=len(top) < max_candidates, exact=exact)
         if not acc:
@@ -130,11 +135,16 @@ def train_bpe(df: DataFrame, col: str, vocab_size: int, coverage: float = 1.0, m
         for left, right, _n in acc:
             syms = _merge_expr(syms, left, right)
         nxt = current.select("word", "freq", syms.alias("syms"))
-        nxt = nxt.checkpoint() if rounds % checkpoint_every == 0 else nxt.persist()
-        nxt.count()
-        current.unpersist()
+        if rounds % checkpoint_every == 0:
+            nxt = nxt.checkpoint()  # reliable: cuts lineage, survives executor loss
+            if current is not words:
+                current.unpersist()
+        else:
+            nxt = nxt.persist()
+            stale = current if current is not words else None
         current = nxt
-    current.unpersist()
+    if current is not words:
+        current.unpersist()
     merge_rows = [(i, left, right) for i, (left, right, _n) in enumerate(merges)]
     merges_df = spark.createDataFrame(merge_rows, MERGES_SCHEMA)
     first = len(specials) + n_alpha
@@ -144,8 +154,10 @@ def train_bpe(df: DataFrame, col: str, vocab_size: int, coverage: float = 1.0, m
         F.lit(None).cast("bigint").alias("freq"),
         F.lit("merge").alias("kind"),
     )
-    # the same string can come out of two different merges: keep its first id
+    # the same string can come out of two different merges: keep its first
+    # occurrence, then number densely (the table is bounded by vocab_size)
     merged = merged.withColumn("_r", F.row_number().over(Window.partitionBy("piece").orderBy("id"))).where("_r = 1").drop("_r")
+    merged = merged.withColumn("id", (F.row_number().over(Window.orderBy("id")) - 1 + F.lit(first)).cast("int"))
     vocab = tok.with_specials(alpha_vocab.unionByName(merged), specials)
     return vocab, merges_df, rounds
 

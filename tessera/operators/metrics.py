@@ -41,15 +41,21 @@ def words_to_codepoints(words: Column, vocab: Column) -> Column:
     return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-16BE")
 
 
-def word_edits(hyp, ref, tokenize=split_words) -> Column:
-    h = F.coalesce(tokenize(_c(hyp)), F.array().cast("array<string>"))
-    r = F.coalesce(tokenize(_c(ref)), F.array().cast("array<string>"))
-    vocab = F.array_distinct(F.concat(r, h))
-    dist = F.levenshtein(words_to_codepoints(h, vocab), words_to_codepoints(r, vocab))
-    return F.when(
-        F.size(vocab) > F.lit(WORD_CP_LIMIT),
+def _word_edit_cols(df: DataFrame, g: list, hyp, ref, tokenize=split_words) -> DataFrame:
+    """Per row: word edits and reference words.  The word arrays and the
+    pair's word list are materialised in their own projection first, so the
+    lookup lambda reads a column instead of re-splitting the texts per word."""
+    words = df.select(
+        *g,
+        F.coalesce(tokenize(_c(hyp)), F.array().cast("array<string>")).alias("_hw"),
+        F.coalesce(tokenize(_c(ref)), F.array().cast("array<string>")).alias("_rw"),
+    ).withColumn("_v", F.array_distinct(F.concat("_rw", "_hw")))
+    dist = F.levenshtein(words_to_codepoints(F.col("_hw"), F.col("_v")), words_to_codepoints(F.col("_rw"), F.col("_v")))
+    edits = F.when(
+        F.size("_v") > F.lit(WORD_CP_LIMIT),
         F.raise_error(F.lit(f"more than {WORD_CP_LIMIT} distinct words in one pair")).cast("int"),
     ).otherwise(dist)
+    return words.select(*g, edits.alias("_e"), F.size("_rw").alias("_n"))
 
 
 def _group(by) -> list[str]:
@@ -71,22 +77,21 @@ def cer(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by=None) -> DataFrame
 def wer(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by=None, tokenize=split_words) -> DataFrame:
     """M2: WER = sum(word edits) / sum(reference words)."""
     g = _group(by)
-    r_words = F.coalesce(F.size(tokenize(_c(ref))), F.lit(0))
     return (
-        df.select(*g, word_edits(hyp, ref, tokenize).alias("_e"), r_words.alias("_n"))
+        _word_edit_cols(df, g, hyp, ref, tokenize)
         .groupBy(*g)
         .agg(F.sum("_e").cast("bigint").alias("word_edits"), F.sum("_n").cast("bigint").alias("ref_words"))
         .withColumn("wer", F.try_divide(F.col("word_edits").cast("double"), F.col("ref_words").cast("double")))
     )
 
 
-def _grams(words: Column, n: int) -> Column:
-    idx = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(idx, lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-
-
-def _tag(n: int, side: int):
-    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(side).alias("side"))
+def _grams(joined: Column, words: Column, n: int) -> Column:
+    """n-grams of a space-joined word string: one JVM regex, no lambda.  The
+    lookahead captures the n words starting at every word start."""
+    if n == 1:
+        return words
+    pat = "(?<![^ ])(?=([^ ]+" + "(?: [^ ]+)" * (n - 1) + "))"
+    return F.regexp_extract_all(joined, F.lit(pat), F.lit(1))
 
 
 def ngram_stats(df: DataFrame, hyp: str, refs: list[str], n_max: int = 4, by=None, id_col: str | None = None,
@@ -104,12 +109,14 @@ def ngram_stats(df: DataFrame, hyp: str, refs: list[str], n_max: int = 4, by=Non
         F.coalesce(tokenize(_c(hyp)), F.array().cast("array<string>")).alias("_h"),
         *[F.coalesce(tokenize(_c(r)), F.array().cast("array<string>")).alias(f"_r{j}") for j, r in enumerate(refs)],
     )
-    parts = []
-    for n in range(1, n_max + 1):
-        parts.append(F.transform(_grams(F.col("_h"), n), _tag(n, 0)))
-        for j in range(len(refs)):
-            parts.append(F.transform(_grams(F.col(f"_r{j}"), n), _tag(n, j + 1)))
-    grams = base.select(*g, "_row", F.inline(F.concat(*parts)))
+    # one array per (side, n) in a fixed order; slot k is side k // n_max, order k % n_max + 1
+    sides = ["_h"] + [f"_r{j}" for j in range(len(refs))]
+    arrays = [_grams(F.array_join(F.col(c), " "), F.col(c), n) for c in sides for n in range(1, n_max + 1)]
+    grams = (
+        base.select(*g, "_row", F.posexplode(F.array(*arrays)).alias("_slot", "_arr"))
+        .select(*g, "_row", "_slot", F.explode("_arr").alias("gram"))
+        .select(*g, "_row", (F.col("_slot") % n_max + 1).alias("n"), (F.col("_slot") / n_max).cast("int").alias("side"), "gram")
+    )
     rcols = [F.sum((F.col("side") == j + 1).cast("int")) for j in range(len(refs))]
     per_gram = grams.groupBy(*g, "_row", "n", "gram").agg(
         F.sum((F.col("side") == 0).cast("int")).alias("_hc"),

@@ -56,7 +56,8 @@ def exact_rank(df: DataFrame, order_cols: list, bucket_cols: list, rank_col: str
     bnames = [n for n, _ in bks]
     part = [*(F.col(g) for g in gnames), *(F.col(b) for b in bnames)]
     local = d.withColumn("_loc", F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1)
-    counts = d.groupBy(*gnames, *bnames).agg(F.count(F.lit(1)).alias("_n"))
+    # counted from the windowed rows, so both branches share one shuffle
+    counts = local.groupBy(*gnames, *bnames).agg(F.count(F.lit(1)).alias("_n"))
     gw = Window.partitionBy(*(F.col(g) for g in gnames)) if gnames else Window.partitionBy(F.lit(0))
     before = gw.orderBy(*bnames).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

@@ -70,20 +70,19 @@ def char_inventory(wc: DataFrame, coverage: float = 1.0, word_col: str = "word",
     )
 
 
-def top_pieces(counts: DataFrame, k: int, piece_col: str = "word", freq_col: str = "freq",
+def top_pieces(counts: DataFrame, k: int | None, piece_col: str = "word", freq_col: str = "freq",
                first_id: int = len(SPECIAL_PIECES), kind: str = "word",
                exclude=SPECIAL_PIECES) -> DataFrame:
     """The ``k`` most frequent pieces, ids from ``first_id`` in (freq desc, piece) order.
 
     ``orderBy().limit(k)`` runs as a per-partition top-k plus a merge of at
     most ``k`` rows per partition; the id window then sees only ``k`` rows.
+    ``k=None`` ranks every row: only for tables bounded by construction (an
+    alphabet).
     """
-    k = max(int(k), 0)
-    top = (
-        counts.where(~F.col(piece_col).isin(list(exclude)))
-        .orderBy(F.desc(freq_col), F.asc(piece_col))
-        .limit(k)
-    )
+    top = counts.where(~F.col(piece_col).isin(list(exclude)))
+    if k is not None:
+        top = top.orderBy(F.desc(freq_col), F.asc(piece_col)).limit(max(int(k), 0))
     w = Window.orderBy(F.desc(freq_col), F.asc(piece_col))
     return top.select(
         F.col(piece_col).alias("piece"),

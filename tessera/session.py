@@ -36,6 +36,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def balance(df, min_partitions: int | None = None):
+    """Spread a skinny input over the cluster.
+
+    A table stored as one row group is read by one task, and every row-local
+    step before the first shuffle would run there.  When the scan yields fewer
+    partitions than the default parallelism, round-robin it (one shuffle of the
+    raw rows); a large input already has enough splits and is returned as is.
+    The partition count comes from planning only; no job runs.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 

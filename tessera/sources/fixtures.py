@@ -10,14 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import balance
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
 
+# Tables whose rows carry long texts: row-local work on them is heavy, so a
+# scan with too few splits is spread first (see ``session.balance``).
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balance(df) if name in TEXT_TABLES else df
 
 
 def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
