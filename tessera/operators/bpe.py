@@ -52,6 +52,18 @@ def pair_counts(words: DataFrame, sym_col: str = "syms", freq_col: str = "freq")
     )
 
 
+def pair_counts_joined(words: DataFrame, sym_col: str = "syms", freq_col: str = "freq") -> DataFrame:
+    """T4 on space-joined symbol strings (the training loop's layout): one JVM
+    regex yields every adjacent pair; no lambda per pair."""
+    pairs = F.regexp_extract_all(F.col(sym_col), F.lit(r"(?<![^ ])(?=([^ ]+ [^ ]+))"), F.lit(1))
+    return (
+        words.select(F.explode(pairs).alias("_p"), F.col(freq_col).alias("_w"))
+        .groupBy("_p")
+        .agg(F.sum("_w").cast("bigint").alias("n"))
+        .select(F.substring_index("_p", " ", 1).alias("left"), F.substring_index("_p", " ", -1).alias("right"), "n")
+    )
+
+
 def select_merges(top: list, remaining: int, complete: bool, exact: bool = True) -> list:
     """Accept a prefix of the ranked candidates ``(left, right, n)``.
 
@@ -119,7 +131,7 @@ def train_bpe(df: DataFrame, col: str, vocab_size: int, coverage: float = 1.0, m
     rounds = 0
     current, stale = words, None
     while len(merges) < n_merges:
-        pc = pair_counts(current.select(F.split("syms", " ").alias("syms"), "freq"))
+        pc = pair_counts_joined(current)
         # the round's only job: it also fills the cache of ``current``
         top = [(r["left"], r["right"], int(r["n"])) for r in
                pc.orderBy(F.desc("n"), F.asc("left"), F.asc("right")).limit(max_candidates).collect()]

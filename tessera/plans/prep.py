@@ -31,23 +31,38 @@ def encode_pairs(pairs: DataFrame, vs: DataFrame, vt: DataFrame, key: str = "pai
     return tokenizer.encode_words(pairs, key, [("src_text", "src_ids", vs), ("tgt_text", "tgt_ids", vt)])
 
 
+def rank_keys(keys: DataFrame, cfg: PrepConfig, key: str = "pair_id", epoch: int = 0,
+              num_partitions: int | None = None) -> DataFrame:
+    """D1 + D2 + D3 on the slim key table: ``(key, split, split_rank, order, batch_id)``.
+
+    Ranks depend only on the key, so they never move the texts or arrays."""
+    sp = ordering.split_pairs(keys, key=key, seed=cfg.seed, ratio=cfg.train_ratio, num_partitions=num_partitions)
+    od = ordering.shuffle(sp, key=key, seed=cfg.seed, epoch=epoch, by=["split"], num_partitions=num_partitions)
+    return ordering.assign_batches(od, "order", "split", cfg.batch_size, cfg.val_batch_size)
+
+
 def prepare(pairs: DataFrame, cfg: PrepConfig = PrepConfig(), vocabs=None, key: str = "pair_id",
             epoch: int = 0, num_partitions: int | None = None) -> DataFrame:
-    """All rows with split, epoch order, batch and (for kept rows) the example arrays."""
+    """All rows with split, epoch order, batch and (for kept rows) the example arrays.
+
+    The encoded rows come out of the regroup partitioned by ``key``; the slim
+    rank table joins them on ``key``, so only the rank table is shuffled for
+    that join.  Batches are cut before the length filter (B2) unless
+    ``cfg.filter_first``; then only kept rows are ranked.
+    """
     vs, vt = vocabs if vocabs is not None else fit_vocabs(pairs, cfg)
     enc = encode_pairs(pairs, vs, vt, key)
     ex = build_examples(enc, cfg.seq_len, keep_dropped=True)
-    sp = ordering.split_pairs(ex, key=key, seed=cfg.seed, ratio=cfg.train_ratio, num_partitions=num_partitions)
     if cfg.filter_first:
-        kept = sp.where(F.col("kept"))
-        ordered = ordering.shuffle(kept, key=key, seed=cfg.seed, epoch=epoch, by=["split"], num_partitions=num_partitions)
-        ordered = ordered.unionByName(
-            sp.where(~F.col("kept")).withColumn("order", F.lit(None).cast("bigint")), allowMissingColumns=True
-        )
+        sp = ordering.split_pairs(pairs.select(key), key=key, seed=cfg.seed, ratio=cfg.train_ratio,
+                                  num_partitions=num_partitions)
+        kept = ex.select(key, "kept").join(sp, key).where(F.col("kept")).drop("kept")
+        od = ordering.shuffle(kept, key=key, seed=cfg.seed, epoch=epoch, by=["split"], num_partitions=num_partitions)
+        ranks = ordering.assign_batches(od, "order", "split", cfg.batch_size, cfg.val_batch_size)
+        ranks = sp.join(ranks.drop("split", "split_rank"), key, "left")
     else:
-        ordered = ordering.shuffle(sp, key=key, seed=cfg.seed, epoch=epoch, by=["split"], num_partitions=num_partitions)
-    out = ordering.assign_batches(ordered, "order", "split", cfg.batch_size, cfg.val_batch_size)
-    return out.withColumn("epoch", F.lit(int(epoch)))
+        ranks = rank_keys(pairs.select(key), cfg, key, epoch, num_partitions)
+    return ex.join(ranks, key).withColumn("epoch", F.lit(int(epoch)))
 
 
 def prep_report(pairs: DataFrame, cfg: PrepConfig = PrepConfig(), vocabs=None, key: str = "pair_id",
