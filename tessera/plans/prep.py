@@ -4,8 +4,11 @@
           -> D1 split (rank over all rows) -> D2 epoch order inside the split
           -> D3 batches (cut before the filter, B2) -> E1-E4 arrays -> A4
 
-Shuffles: word counts (map-side combined), the encode regroup (one array per
-row after the map-side combine), and two range shuffles for the exact ranks.
+Ranks are computed on the slim key table and joined onto the encoded rows,
+so the texts and arrays are shuffled once (the encode regroup), not once per
+rank.  The report needs only token counts: with the word tokenizer every
+word is exactly one id, so it counts words and skips the vocabulary fit and
+the encode; a subword encoder is run in full.
 """
 
 from __future__ import annotations
@@ -31,6 +34,17 @@ def encode_pairs(pairs: DataFrame, vs: DataFrame, vt: DataFrame, key: str = "pai
     return tokenizer.encode_words(pairs, key, [("src_text", "src_ids", vs), ("tgt_text", "tgt_ids", vt)])
 
 
+def bpe_encoder(src_model, tgt_model, key: str = "pair_id"):
+    """An encoder for :func:`prepare` from two BPE models ``(vocab, merges)``."""
+    from tessera.operators import bpe
+
+    def enc(pairs: DataFrame) -> DataFrame:
+        e = bpe.encode(pairs, key, "src_text", *src_model, out_col="src_ids")
+        return bpe.encode(e, key, "tgt_text", *tgt_model, out_col="tgt_ids")
+
+    return enc
+
+
 def rank_keys(keys: DataFrame, cfg: PrepConfig, key: str = "pair_id", epoch: int = 0,
               num_partitions: int | None = None) -> DataFrame:
     """D1 + D2 + D3 on the slim key table: ``(key, split, split_rank, order, batch_id)``.
@@ -42,7 +56,7 @@ def rank_keys(keys: DataFrame, cfg: PrepConfig, key: str = "pair_id", epoch: int
 
 
 def prepare(pairs: DataFrame, cfg: PrepConfig = PrepConfig(), vocabs=None, key: str = "pair_id",
-            epoch: int = 0, num_partitions: int | None = None) -> DataFrame:
+            epoch: int = 0, num_partitions: int | None = None, encoder=None) -> DataFrame:
     """All rows with split, epoch order, batch and (for kept rows) the example arrays.
 
     The encoded rows come out of the regroup partitioned by ``key``; the slim
@@ -50,8 +64,11 @@ def prepare(pairs: DataFrame, cfg: PrepConfig = PrepConfig(), vocabs=None, key:
     that join.  Batches are cut before the length filter (B2) unless
     ``cfg.filter_first``; then only kept rows are ranked.
     """
-    vs, vt = vocabs if vocabs is not None else fit_vocabs(pairs, cfg)
-    enc = encode_pairs(pairs, vs, vt, key)
+    if encoder is not None:
+        enc = encoder(pairs)
+    else:
+        vs, vt = vocabs if vocabs is not None else fit_vocabs(pairs, cfg)
+        enc = encode_pairs(pairs, vs, vt, key)
     ex = build_examples(enc, cfg.seq_len, keep_dropped=True)
     if cfg.filter_first:
         sp = ordering.split_pairs(pairs.select(key), key=key, seed=cfg.seed, ratio=cfg.train_ratio,
@@ -65,9 +82,24 @@ def prepare(pairs: DataFrame, cfg: PrepConfig = PrepConfig(), vocabs=None, key:
     return ex.join(ranks, key).withColumn("epoch", F.lit(int(epoch)))
 
 
+def word_lengths(pairs: DataFrame, cfg: PrepConfig, key: str = "pair_id") -> DataFrame:
+    """Token counts of the word tokenizer without encoding: one id per word."""
+    from tessera.functions.text import n_words
+    from tessera.operators.checks import drop_reason
+
+    d = pairs.select(key, n_words("src_text").cast("int").alias("src_len"), n_words("tgt_text").cast("int").alias("tgt_len"))
+    return d.withColumn("drop_reason", drop_reason("src_len", "tgt_len", cfg.seq_len)).withColumn(
+        "kept", F.col("drop_reason").isNull()
+    )
+
+
 def prep_report(pairs: DataFrame, cfg: PrepConfig = PrepConfig(), vocabs=None, key: str = "pair_id",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, encoder=None) -> DataFrame:
     """A4 over a pair table: one row per split."""
-    prepared = prepare(pairs, cfg, vocabs, key, num_partitions=num_partitions)
+    if encoder is None and not cfg.filter_first:
+        lens = word_lengths(pairs, cfg, key)
+        prepared = lens.join(rank_keys(pairs.select(key), cfg, key, 0, num_partitions), key)
+    else:
+        prepared = prepare(pairs, cfg, vocabs, key, num_partitions=num_partitions, encoder=encoder)
     slim = prepared.select("split", "kept", "drop_reason", "src_len", "tgt_len", "batch_id")
     return aggregates.prep_report(slim)

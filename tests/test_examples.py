@@ -123,3 +123,25 @@ def test_collate_orders_batch(spark):
     df = spark.createDataFrame(rows, "split string, batch_id bigint, order bigint, pair_id bigint, encoder_input array<int>")
     out = {r.batch_id: r.pair_id for r in examples.collate(df, ("split", "batch_id"), "order", ("pair_id",)).collect()}
     assert out == {0: [10, 20], 1: [30]}
+
+
+def test_prepare_with_bpe_encoder(spark):
+    from tessera.config import PrepConfig
+    from tessera.operators import bpe
+    from tessera.plans import prep
+
+    rows = [(i, f"the lower tower {i % 7}", f"newest wider {i % 5} road") for i in range(30)]
+    df = spark.createDataFrame(rows, "pair_id bigint, src_text string, tgt_text string")
+    ms = bpe.train_bpe(df, "src_text", 40)[:2]
+    mt = bpe.train_bpe(df, "tgt_text", 40)[:2]
+    cfg = PrepConfig(seq_len=32, batch_size=4)
+    out = prep.prepare(df, cfg, encoder=prep.bpe_encoder(ms, mt)).collect()
+    assert len(out) == 30
+    assert {r.split for r in out} == {"train", "validation"}
+    assert sum(r.split == "train" for r in out) == 27
+    for r in out:
+        if r.kept:
+            assert len(r.encoder_input) == 32 and r.encoder_input[0] == SOS_ID
+            assert r.label[: r.tgt_len] == r.decoder_input[1 : r.tgt_len + 1]
+    rep = {r.split: r for r in prep.prep_report(df, cfg, encoder=prep.bpe_encoder(ms, mt)).collect()}
+    assert rep["train"].n_rows == 27 and rep["train"].n_batches == 7
