@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tessera.config import SPECIAL_PIECES, UNK_ID
 from tessera.functions.text import chars, marked_words
@@ -213,7 +213,7 @@ def _word_coder(b_ranks, b_ids, unk_id):
                     if len(cache) < 200_000:
                         cache[w] = v
                 out.append(v)
-            pdf = pdf[["word"]].copy()
+            pdf = pdf.copy()
             pdf["wids"] = out
             yield pdf
 
@@ -229,20 +229,35 @@ def broadcast_model(spark: SparkSession, vocab: DataFrame, merges: DataFrame):
     return sc.broadcast(mr), sc.broadcast(ids)
 
 
+HOT_WORDS = 100_000  # words joined by broadcast; every other word is rarer than the last of them
+
+
 def encode(df: DataFrame, key: str, col: str, vocab: DataFrame, merges: DataFrame, out_col: str = "ids",
-           apply_nfkc: bool = True, unk_id: int = UNK_ID, model=None) -> DataFrame:
-    """Text to subword ids.  Each distinct word is encoded once; a hot
-    word is one row of the distinct table, and the join back is a
-    shuffle join that AQE splits when one word key is skewed."""
+           apply_nfkc: bool = True, unk_id: int = UNK_ID, model=None, hot_words: int = HOT_WORDS) -> DataFrame:
+    """Text to subword ids.
+
+    Words are counted (partial aggregation, so a hot word is combined map
+    side) and each *distinct* word is encoded once.  The pieces go back to the
+    tokens in two joins: the ``hot_words`` most frequent words (a bounded
+    table) by broadcast, the rest by a shuffle join in which no key is more
+    frequent than the last hot word.  Tokens then regroup per row.
+    """
     spark = df.sparkSession
     b_ranks, b_ids = model or broadcast_model(spark, vocab, merges)
     toks = df.select(F.col(key).alias("_k"), F.posexplode(marked_words(col, apply_nfkc)).alias("pos", "word"))
-    distinct = toks.select("word").distinct()
-    coded = distinct.mapInPandas(
-        _word_coder(b_ranks, b_ids, unk_id),
-        StructType([StructField("word", StringType()), StructField("wids", ArrayType(IntegerType()))]),
-    )
-    joined = toks.join(coded, "word")
+    counted = toks.groupBy("word").agg(F.count(F.lit(1)).alias("_f"))
+    schema = StructType([StructField("word", StringType()), StructField("_f", LongType()),
+                         StructField("wids", ArrayType(IntegerType()))])
+    coder = _word_coder(b_ranks, b_ids, unk_id)
+    # hot and cold words are disjoint, so every distinct word is encoded once
+    hot_words_df = counted.orderBy(F.desc("_f"), F.asc("word")).limit(hot_words)
+    hot = hot_words_df.mapInPandas(coder, schema).select("word", F.col("wids").alias("_hw"))
+    cold = counted.join(F.broadcast(hot_words_df.select("word")), "word", "left_anti").mapInPandas(coder, schema)
+    via_hot = toks.join(F.broadcast(hot), "word", "left")
+    hit = via_hot.where(F.col("_hw").isNotNull()).select("_k", "pos", F.col("_hw").alias("wids"))
+    miss = via_hot.where(F.col("_hw").isNull()).select("_k", "pos", "word").join(cold.select("word", "wids"), "word")
+    miss = miss.select("_k", "pos", "wids")
+    joined = hit.unionByName(miss)
     grouped = joined.groupBy("_k").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "wids"))), lambda x: x["wids"])).alias("_ids")
     )

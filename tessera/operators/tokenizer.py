@@ -116,9 +116,16 @@ def vocab_size(vocab: DataFrame) -> DataFrame:
 
 
 def _bounded_broadcast(vocab: DataFrame, max_rows: int | None = MAX_BROADCAST_VOCAB):
-    """Broadcast a vocabulary; its size is bounded by construction (``vocab_size``).
-    The caller passes ``max_rows=None`` to use a shuffle join instead."""
-    return F.broadcast(vocab) if max_rows else vocab
+    """Broadcast a vocabulary after checking its size.
+
+    Vocabularies are bounded by ``vocab_size``, but a caller can pass any
+    table: it is counted once (and kept, so the join does not recompute it)
+    and only broadcast when it has at most ``max_rows`` rows.  Larger tables
+    take a shuffle join, where AQE splits a skewed piece key."""
+    if not max_rows:
+        return vocab
+    kept = vocab.persist()
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
 def piece_to_id(df: DataFrame, vocab: DataFrame, piece_col: str = "piece", id_col: str = "id",
