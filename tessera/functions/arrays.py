@@ -127,12 +127,19 @@ def vector_mean(arr) -> Column:
 
 def standardize(arr, alpha: float = 1.0, bias: float = 0.0, eps: float = 1e-6) -> Column:
     """``alpha * (x - mean) / (std + eps) + bias`` with the sample std
-    (n - 1); eps is added to the std, not the variance."""
+    (n - 1); eps is added to the std, not the variance.
+
+    The row's statistics enter the element lambda as a ``zip_with`` argument,
+    which is evaluated once per row (an outer expression inside the lambda
+    body would be re-evaluated for every element)."""
     a = _c(arr)
     m = vector_mean(a)
-    ss = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.pow(x.cast("double") - m, 2))
+    moments = F.array_repeat(F.struct(m.alias("m")), F.size(a))
+    centred = F.zip_with(a, moments, lambda x, st: x.cast("double") - st["m"])
+    ss = F.aggregate(centred, F.lit(0.0), lambda acc, d: acc + d * d)
     std = F.sqrt(F.try_divide(ss, (F.size(a) - 1).cast("double")))
-    return F.transform(a, lambda x: F.lit(alpha) * (x.cast("double") - m) / (std + F.lit(eps)) + F.lit(bias))
+    scale = F.array_repeat(F.struct(std.alias("s")), F.size(a))
+    return F.zip_with(centred, scale, lambda d, st: F.lit(alpha) * d / (st["s"] + F.lit(eps)) + F.lit(bias))
 
 
 def round_array(arr, digits: int = 6) -> Column:
