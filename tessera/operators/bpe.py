@@ -229,7 +229,7 @@ def broadcast_model(spark: SparkSession, vocab: DataFrame, merges: DataFrame):
     return sc.broadcast(mr), sc.broadcast(ids)
 
 
-HOT_WORDS = 100_000  # words joined by broadcast; every other word is rarer than the last of them
+HOT_WORDS = 10_000  # words joined by broadcast; every other word is rarer than the last of them
 
 
 def encode(df: DataFrame, key: str, col: str, vocab: DataFrame, merges: DataFrame, out_col: str = "ids",
@@ -251,7 +251,9 @@ def encode(df: DataFrame, key: str, col: str, vocab: DataFrame, merges: DataFram
     coder = _word_coder(b_ranks, b_ids, unk_id)
     # hot and cold words are disjoint, so every distinct word is encoded once
     hot_words_df = counted.orderBy(F.desc("_f"), F.asc("word")).limit(hot_words)
-    hot = hot_words_df.mapInPandas(coder, schema).select("word", F.col("wids").alias("_hw"))
+    # the limit leaves one partition: spread the (bounded) hot list before coding
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    hot = hot_words_df.repartition(parts).mapInPandas(coder, schema).select("word", F.col("wids").alias("_hw"))
     cold = counted.join(F.broadcast(hot_words_df.select("word")), "word", "left_anti").mapInPandas(coder, schema)
     via_hot = toks.join(F.broadcast(hot), "word", "left")
     hit = via_hot.where(F.col("_hw").isNotNull()).select("_k", "pos", F.col("_hw").alias("wids"))
