@@ -33,9 +33,12 @@ def _parts(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def hex_digits_for(df: DataFrame, num_partitions: int | None = None) -> int:
-    """Hash-prefix length giving at least 4 buckets per shuffle partition."""
+    """Hash-prefix length giving at least 4 buckets per shuffle partition,
+    between 2 and 4 hex digits: the offset table (one row per bucket and
+    group, broadcast) stays at most 65,536 rows per group, and at 10^11 rows a
+    bucket holds about 1.5 M rows -- one sort-based window task."""
     n = max(_parts(df, num_partitions) * 4, 16)
-    return max(2, math.ceil(math.log(n, 16)))
+    return min(4, max(2, math.ceil(math.log(n, 16))))
 
 
 def exact_rank(df: DataFrame, order_cols: list, bucket_cols: list, rank_col: str = "rank",
@@ -126,7 +129,7 @@ def assign_batches(df: DataFrame, order_col: str = "order", split_col: str = "sp
 
 
 def assign_steps(df: DataFrame, epoch_col: str = "epoch", batch_col: str = "batch_id", keep_col: str | None = None,
-                 initial_step: int = 0, step_col: str = "step", batches_per_bucket: int = 1 << 16) -> DataFrame:
+                 initial_step: int = 0, step_col: str = "step", batches_per_bucket: int = 1 << 20) -> DataFrame:
     """Dense global steps over the *surviving* batches ordered by
     (epoch, batch_id) (B3).  Rows of dropped batches get no step.  Buckets are
     ranges of ``batches_per_bucket`` batch ids inside an epoch."""
