@@ -67,14 +67,19 @@ def pair_counts_joined(words: DataFrame, sym_col: str = "syms", freq_col: str =
 def select_merges(top: list, remaining: int, complete: bool, exact: bool = True) -> list:
     """Accept a prefix of the ranked candidates ``(left, right, n)``.
 
-    Exact rule: stop at the first candidate that shares a symbol (or the
-    merged symbol) with an accepted one, or whose count is not above
+    Merging ``(a, b)`` with ``a != b`` removes occurrences only from pairs
+    with ``b`` on the left or ``a`` on the right; pairs ``(a, y)`` and
+    ``(x, b)`` keep their counts, and every pair it creates holds ``a+b``.
+    So the scan stops at the first candidate that an accepted merge can have
+    changed -- ``b`` or ``a+b`` on its left, ``a`` or ``a+b`` on its right,
+    either symbol of an ``(a, a)`` merge -- or whose count is not above
     ``bound``.  Each accepted ``(a, b)`` raises ``bound`` to
-    ``min(n(a,b), max(maxLeft(b), maxRight(a)))`` -- an upper bound on every
-    pair the merge can create -- so the accepted merges are exactly the next
-    ones a one-at-a-time learner would pick.  ``maxLeft/maxRight`` come from
-    the candidate list; when absent they are bounded by the last candidate's
-    count (or 0 when the list holds every pair).
+    ``min(n(a,b), max(maxLeft(b), maxRight(a)))``, an upper bound on every
+    pair it creates.  Unchanged candidates above every created pair are taken
+    in the same order a one-at-a-time learner would take them.
+    ``maxLeft/maxRight`` come from the candidate list; when absent they are
+    bounded by the last candidate's count (or 0 when the list holds every pair).
+    ``exact=False`` ignores ``bound`` (fewer rounds; order may differ near ties).
     """
     if not top:
         return []
@@ -83,18 +88,21 @@ def select_merges(top: list, remaining: int, complete: bool, exact: bool = True)
     for left, right, n in top:
         max_left.setdefault(left, n)
         max_right.setdefault(right, n)
-    accepted, used, bound = [], set(), -1
+    accepted, no_left, no_right, bound = [], set(), set(), -1
     for left, right, n in top:
-        if len(accepted) >= remaining:
+        if len(accepted) >= remaining or n <= 0:
             break
-        if accepted and (left in used or right in used or (left + right) in used):
+        if left in no_left or right in no_right:
             break
         if exact and n <= bound:
             break
-        if n <= 0:
-            break
         accepted.append((left, right, n))
-        used.update((left, right, left + right))
+        merged = left + right
+        no_left.update((right, merged))
+        no_right.update((left, merged))
+        if left == right:
+            no_left.add(left)
+            no_right.add(left)
         created = max(max_left.get(right, floor_n), max_right.get(left, floor_n))
         bound = max(bound, min(n, created))
     return accepted
