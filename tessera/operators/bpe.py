@@ -230,7 +230,9 @@ def _word_coder(b_ranks, b_ids, unk_id):
 
 def broadcast_model(spark: SparkSession, vocab: DataFrame, merges: DataFrame):
     """Merges and piece ids as driver dicts, broadcast to the workers.  Both
-    are bounded by the vocabulary size."""
+    are bounded by the vocabulary size; both are counted first."""
+    tok.checked_rows(merges, what="merge table")
+    tok.checked_rows(vocab, what="vocabulary")
     mr = {(r["left"], r["right"]): int(r["rank"]) for r in merges.collect()}
     ids = {r["piece"]: int(r["id"]) for r in vocab.collect()}
     sc = spark.sparkContext

@@ -128,6 +128,15 @@ def _bounded_broadcast(vocab: DataFrame, max_rows: int | None = MAX_BROADCAST_VO
     return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
+def checked_rows(table: DataFrame, max_rows: int = MAX_BROADCAST_VOCAB, what: str = "table") -> int:
+    """Count a table that is about to be shipped whole (driver dict or
+    broadcast) and refuse it above ``max_rows``."""
+    n = table.count()
+    if n > max_rows:
+        raise ValueError(f"{what} has {n} rows; at most {max_rows} may be broadcast")
+    return n
+
+
 def piece_to_id(df: DataFrame, vocab: DataFrame, piece_col: str = "piece", id_col: str = "id",
                 unk_id: int = UNK_ID) -> DataFrame:
     """Left join to the vocabulary; an unknown piece maps to ``<unk>`` (0)."""

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tessera.config import PAD_ID
 from tessera.functions.arrays import scale_vector
 
+# An embedding matrix is broadcast only up to this many rows.
+MAX_BROADCAST_VECTORS = 1_000_000
+
 
 def log_softmax(df: DataFrame, by: list[str], score: str = "score", out: str = "log_prob") -> DataFrame:
     """``score - (max + log(sum(exp(score - max))))`` within each group.
@@ -59,13 +62,17 @@ def embed(ids: DataFrame, vectors: DataFrame, key: str, ids_col: str = "ids", id
     """Look every id up in a vector table and scale by ``sqrt(d)``.
 
     Output: one row per (row, position).  The vector table is an embedding
-    matrix whose size is the vocabulary size (bounded), so it is broadcast;
-    ``broadcast_table=False`` shuffles instead.  Ids absent from the table
+    matrix with one row per vocabulary id; it is counted and broadcast when it
+    has at most ``MAX_BROADCAST_VECTORS`` rows, otherwise (or with
+    ``broadcast_table=False``) joined by shuffle.  Ids absent from the table
     yield no row.
     """
     toks = ids.select(F.col(key), F.posexplode(ids_col).alias("pos", "_tok"))
     v = vectors.select(F.col(id_col).alias("_tok"), F.col(vec_col).alias("_vec"))
-    v = F.broadcast(v) if broadcast_table else v
+    if broadcast_table:
+        v = v.persist()
+        if v.count() <= MAX_BROADCAST_VECTORS:
+            v = F.broadcast(v)
     j = toks.join(v, "_tok")
     factor = F.lit(math.sqrt(dim)) if dim else F.sqrt(F.size("_vec").cast("double"))
     return j.select(key, "pos", F.col("_tok").alias("token_id"), scale_vector("_vec", factor).alias("vector"))

@@ -9,6 +9,7 @@ regroup would be a stateful aggregate on a stream.
 
 from __future__ import annotations
 
+import re
 from typing import Callable
 
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from tessera.config import UNK_ID
 from tessera.operators.examples import build_examples
 from tessera.operators.scoring import batch_predict
+from tessera.operators.tokenizer import checked_rows
 from tessera.session import scratch_path
 
 
@@ -46,17 +48,31 @@ def stream_scalars(sdf: DataFrame, window: str = "1 hour", delay: str = "10 minu
 
 
 def frozen_vocab(spark: SparkSession, vocab: DataFrame):
-    """Broadcast a vocabulary as a piece -> id dict (bounded by its size)."""
-    return spark.sparkContext.broadcast({r["piece"]: int(r["id"]) for r in vocab.select("piece", "id").collect()})
+    """Broadcast a vocabulary as a piece -> id dict; its size is checked first
+    (a vocabulary is bounded by ``vocab_size``)."""
+    v = vocab.select("piece", "id")
+    checked_rows(v, what="vocabulary")
+    return spark.sparkContext.broadcast({r["piece"]: int(r["id"]) for r in v.collect()})
+
+
+# The Unicode White_Space characters, which is what the batch
+# path's Java pattern (?U)\s matches (Python's str.split() also splits on
+# U+001C-U+001F, so it is not used).
+_WHITE_SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def _words(t: str) -> list:
+    return [w for w in _WHITE_SPACE.split(t) if w]
 
 
 def rowwise_encoder(b_vocab, unk_id: int = UNK_ID):
-    """A row-local word encoder (Arrow batches) over a broadcast vocabulary."""
+    """A row-local word encoder (Arrow batches) over a broadcast vocabulary;
+    splits words exactly as the batch encoder does."""
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def enc(s: pd.Series) -> pd.Series:
         v = b_vocab.value
-        return s.map(lambda t: None if t is None else [v.get(w, unk_id) for w in t.split()])
+        return s.map(lambda t: None if t is None else [v.get(w, unk_id) for w in _words(t)])
 
     return enc
 
