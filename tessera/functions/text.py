@@ -6,6 +6,7 @@ runs as an Arrow-batched function and only receives non-ASCII values.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -40,6 +41,17 @@ def strip_ws(col) -> Column:
     return F.regexp_replace(_c(col), r"^(?U)\s+|(?U)\s+$", "")
 
 
+# The Unicode White_Space characters -- what the Java pattern
+# (?U)\s matches.  Python's str.split() also splits on U+001C-U+001F, so
+# Python-side splitting uses this set instead.
+WHITE_SPACE_RE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def split_white_space(t: str) -> list:
+    """Python-side word split that agrees with :func:`split_words`."""
+    return [w for w in WHITE_SPACE_RE.split(t) if w]
+
+
 def _nfkc_one(v):
     return None if v is None else unicodedata.normalize("NFKC", v)
 

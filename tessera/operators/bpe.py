@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from tessera.config import SPECIAL_PIECES, UNK_ID
-from tessera.functions.text import chars, marked_words
+import unicodedata
+
+from tessera.config import SPECIAL_PIECES, UNK_ID, WORD_MARK
+from tessera.functions.text import chars, marked_words, split_white_space
 from tessera.operators import tokenizer as tok
 from tessera.session import checkpoint_root
 
@@ -208,7 +210,19 @@ def encode_word(word: str, ranks: dict, piece_ids: dict, unk_id: int = UNK_ID) -
     return [piece_ids.get(s, unk_id) for s in syms]
 
 
-def _word_coder(b_ranks, b_ids, unk_id):
+def encode_raw_word(marked: str, ranks: dict, piece_ids: dict, unk_id: int = UNK_ID, apply_nfkc: bool = True) -> list:
+    """Ids of one marked raw word: NFKC first (it can turn one word into
+    several, e.g. when a compatibility character expands to a space), then
+    each resulting word is encoded with its own word-start mark."""
+    if not apply_nfkc or marked.isascii():
+        return encode_word(marked, ranks, piece_ids, unk_id)
+    out: list = []
+    for w in split_white_space(unicodedata.normalize("NFKC", marked[len(WORD_MARK):])):
+        out.extend(encode_word(WORD_MARK + w, ranks, piece_ids, unk_id))
+    return out
+
+
+def _word_coder(b_ranks, b_ids, unk_id, apply_nfkc: bool = True):
     def run(batches):
         ranks, ids = b_ranks.value, b_ids.value
         cache: dict = {}
@@ -217,7 +231,7 @@ def _word_coder(b_ranks, b_ids, unk_id):
             for w in pdf["word"]:
                 v = cache.get(w)
                 if v is None:
-                    v = encode_word(w, ranks, ids, unk_id)
+                    v = encode_raw_word(w, ranks, ids, unk_id, apply_nfkc)
                     if len(cache) < 200_000:
                         cache[w] = v
                 out.append(v)
@@ -254,11 +268,12 @@ def encode(df: DataFrame, key: str, col: str, vocab: DataFrame, merges: DataFram
     """
     spark = df.sparkSession
     b_ranks, b_ids = model or broadcast_model(spark, vocab, merges)
-    toks = df.select(F.col(key).alias("_k"), F.posexplode(marked_words(col, apply_nfkc)).alias("pos", "word"))
+    # raw words only (JVM); NFKC runs inside the coder, once per distinct word
+    toks = df.select(F.col(key).alias("_k"), F.posexplode(marked_words(col, False)).alias("pos", "word"))
     counted = toks.groupBy("word").agg(F.count(F.lit(1)).alias("_f"))
     schema = StructType([StructField("word", StringType()), StructField("_f", LongType()),
                          StructField("wids", ArrayType(IntegerType()))])
-    coder = _word_coder(b_ranks, b_ids, unk_id)
+    coder = _word_coder(b_ranks, b_ids, unk_id, apply_nfkc)
     # hot and cold words are disjoint, so every distinct word is encoded once
     hot_words_df = counted.orderBy(F.desc("_f"), F.asc("word")).limit(hot_words)
     # the limit leaves one partition: spread the (bounded) hot list before coding

@@ -43,9 +43,18 @@ def word_counts(df: DataFrame, col: str, marked: bool = False, apply_nfkc: bool
     """``(word, freq)`` over whitespace words; partial + final aggregate.
 
     ``marked`` prefixes each word with the word-start mark (subword training).
+    ``apply_nfkc`` normalises after counting: each distinct raw word is
+    normalised once (Python, non-ASCII words only), split again (NFKC can
+    produce spaces) and the counts are re-aggregated -- the same result as
+    normalising every text first, without sending the corpus through Python.
     """
-    words = marked_words(col, apply_nfkc) if marked else split_words(nfkc(col) if apply_nfkc else F.col(col))
-    return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    raw = df.select(F.explode(split_words(col)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    if apply_nfkc:
+        parts = F.when(F.col("word").rlike(r"^[\x00-\x7F]*$"), F.array("word")).otherwise(split_words(nfkc("word")))
+        raw = raw.select(F.explode(parts).alias("word"), "freq").groupBy("word").agg(F.sum("freq").alias("freq"))
+    if marked:
+        raw = raw.select(F.concat(F.lit(WORD_MARK), F.col("word")).alias("word"), "freq")
+    return raw
 
 
 def char_inventory(wc: DataFrame, coverage: float = 1.0, word_col: str = "word", freq_col: str = "freq") -> DataFrame:

@@ -9,7 +9,6 @@ regroup would be a stateful aggregate on a stream.
 
 from __future__ import annotations
 
-import re
 from typing import Callable
 
 import pandas as pd
@@ -20,6 +19,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from tessera.config import UNK_ID
 from tessera.operators.examples import build_examples
 from tessera.operators.scoring import batch_predict
+from tessera.functions.text import split_white_space
 from tessera.operators.tokenizer import checked_rows
 from tessera.session import scratch_path
 
@@ -55,14 +55,8 @@ def frozen_vocab(spark: SparkSession, vocab: DataFrame):
     return spark.sparkContext.broadcast({r["piece"]: int(r["id"]) for r in v.collect()})
 
 
-# The Unicode White_Space characters, which is what the batch
-# path's Java pattern (?U)\s matches (Python's str.split() also splits on
-# U+001C-U+001F, so it is not used).
-_WHITE_SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-
-
 def _words(t: str) -> list:
-    return [w for w in _WHITE_SPACE.split(t) if w]
+    return split_white_space(t)
 
 
 def rowwise_encoder(b_vocab, unk_id: int = UNK_ID):

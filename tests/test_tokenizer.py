@@ -104,3 +104,19 @@ def test_vocab_size_and_check(spark):
     r = checks.check_vocab(enc, v, "ids").collect()[0]
     assert r.ids_in_range and r.specials_present
     assert F is not None
+
+
+def test_nfkc_after_counting_equals_nfkc_first(spark):
+    from tessera.functions.text import nfkc, split_words
+
+    rows = [("ｔｈａｔ thing",), ("a¨b ｔｈａｔ",), ("plain words here",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "text string")
+    got = {r.word: r.freq for r in tokenizer.word_counts(df, "text", apply_nfkc=True).collect()}
+    first = df.select(F.explode(split_words(nfkc("text"))).alias("word")).groupBy("word").count()
+    assert got == {r.word: r["count"] for r in first.collect()}
+    assert got["that"] == 2 and "a" in got  # U+00A8 expands to a space plus a combining mark
+
+
+def test_encode_raw_word_splits_after_nfkc():
+    ranks, ids = {}, {"▁": 7, "a": 8}
+    assert bpe.encode_raw_word("▁a¨", ranks, ids) == [7, 8, 7, 0]
