@@ -168,18 +168,28 @@ def _tagger(side: int):
     return tag
 
 
-def encode_words(df: DataFrame, key: str, specs: list, unk_id: int = UNK_ID, marked: bool = False) -> DataFrame:
+def char_units(col):
+    """Characters of the text's words (whitespace is not a unit)."""
+    return F.flatten(F.transform(split_words(col), lambda w: F.split(w, "")))
+
+
+def encode_words(df: DataFrame, key: str, specs: list, unk_id: int = UNK_ID, marked: bool = False,
+                 unit: str = "word") -> DataFrame:
     """T11 encode for one or more text columns in one pass.
 
     ``specs`` is a list of ``(text_col, out_col, vocab)``.  Each text is split
-    into whitespace words (``marked`` adds the word-start mark), looked up in
-    its vocabulary (unknown -> ``<unk>``) and regrouped in word order.  NULL
-    text gives NULL ids, empty text ``[]``.
+    into units -- whitespace words (``marked`` adds the word-start mark) or,
+    with ``unit="char"``, the characters of those words -- looked up in its
+    vocabulary (unknown -> ``<unk>``) and regrouped in order.  NULL text gives
+    NULL ids, empty text ``[]``.
     """
     parts = []
     vocabs = None
     for side, (text_col, _out, vocab) in enumerate(specs):
-        words = marked_words(text_col, apply_nfkc=False) if marked else split_words(text_col)
+        if unit == "char":
+            words = char_units(text_col)
+        else:
+            words = marked_words(text_col, apply_nfkc=False) if marked else split_words(text_col)
         parts.append(
             F.coalesce(
                 F.transform(words, _tagger(side)),

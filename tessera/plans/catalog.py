@@ -220,6 +220,13 @@ def q_t11_char_vocab(spark, d):
     return tokenizer.fit_char_vocab(fx.read_table(spark, d, "documents"), "text", 60)
 
 
+def q_t11_char_encode(spark, d):
+    docs = fx.read_table(spark, d, "documents")
+    v = tokenizer.fit_char_vocab(docs, "text", 60)
+    enc = tokenizer.encode_words(docs, "doc_id", [("text", "ids", v)], unit="char")
+    return enc.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(A.join_ints("ids")).alias("ids_md5"))
+
+
 # ---------------------------------------------------------------- examples
 
 def q_e7_examples(spark, d):

@@ -289,6 +289,18 @@ SELECT piece, CAST(id AS INTEGER) AS id, CAST(NULL AS BIGINT) AS freq, 'special'
 UNION ALL
 SELECT ch, CAST(row_number() OVER (ORDER BY freq DESC, ch) + 6 AS INTEGER), freq, 'char'
 FROM (SELECT * FROM inv WHERE ch NOT IN {SPECIALS_LIST} ORDER BY freq DESC, ch LIMIT 53)"""
+    q["t11_char_encode"] = f"""WITH wc AS (SELECT w AS word, count(*) AS freq FROM (SELECT unnest({W('text')}) AS w FROM documents) GROUP BY w),
+inv AS (SELECT ch, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT unnest(string_split(word, '')) AS ch, freq FROM wc) GROUP BY ch),
+v AS (
+  SELECT piece, id FROM {SPECIALS_VALUES}
+  UNION ALL
+  SELECT ch, CAST(row_number() OVER (ORDER BY freq DESC, ch) + 6 AS INTEGER)
+  FROM (SELECT * FROM inv WHERE ch NOT IN {SPECIALS_LIST} ORDER BY freq DESC, ch LIMIT 53)),
+c AS (SELECT doc_id, flatten(list_transform({W('text')}, lambda w: string_split(w, ''))) AS cs FROM documents),
+t AS (SELECT doc_id, unnest(cs) AS ch, unnest(range(len(cs))) AS pos FROM c),
+g AS (SELECT t.doc_id, list(coalesce(v.id, 0) ORDER BY t.pos) AS ids FROM t LEFT JOIN v ON v.piece = t.ch GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(len(coalesce(g.ids, [])) AS BIGINT) AS n_ids, md5(array_to_string(coalesce(g.ids, []), ',')) AS ids_md5
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id"""
     q["e7_examples"] = f"""WITH {CONV_ENC}
 SELECT pair_id, src_len, tgt_len, {ints('encoder_input')} AS encoder_input, {ints('decoder_input')} AS decoder_input,
   {ints('label')} AS label, {ints('list_transform(encoder_input, lambda x: CAST(x <> 3 AS INTEGER))')} AS encoder_mask,
