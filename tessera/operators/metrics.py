@@ -125,19 +125,33 @@ def ngram_stats(df: DataFrame, hyp: str, refs: list[str], n_max: int = 4, by=Non
     counts = per_gram.groupBy(*g).agg(
         *[F.sum(F.when(F.col("n") == n, F.least("_hc", "_rc"))).cast("bigint").alias(f"c{n}") for n in range(1, n_max + 1)],
         *[F.sum(F.when(F.col("n") == n, F.col("_hc"))).cast("bigint").alias(f"t{n}") for n in range(1, n_max + 1)],
+        # with one reference the corpus lengths are the unigram totals of each side
+        *([F.sum(F.when(F.col("n") == 1, F.col("_rc"))).cast("bigint").alias("_rl1")] if len(refs) == 1 else []),
     )
-    hl = F.size("_h")
     if len(refs) == 1:
-        rl = F.size("_r0")
+        out = counts.withColumn("hyp_len", F.coalesce(F.col("t1"), F.lit(0)).cast("bigint")).withColumn(
+            "ref_len", F.coalesce(F.col("_rl1"), F.lit(0)).cast("bigint")
+        )
+        # a group (or an empty corpus) without any n-gram still yields its row;
+        # the key branch reads only the group columns
+        if g:
+            keys = df.select(*g).distinct()
+            out = keys.join(out, g, "left")
+        else:
+            one = df.sparkSession.range(1).select(F.lit(1).alias("_one"))
+            out = one.join(out.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+        out = out.withColumn("hyp_len", F.coalesce("hyp_len", F.lit(0)).cast("bigint")).withColumn(
+            "ref_len", F.coalesce("ref_len", F.lit(0)).cast("bigint"))
     else:
+        hl = F.size("_h")
         # closest reference length, shorter on ties
         cands = F.array(*[F.struct(F.abs(F.size(f"_r{j}") - hl).alias("d"), F.size(f"_r{j}").alias("l")) for j in range(len(refs))])
         rl = F.array_min(cands)["l"]
-    lens = base.groupBy(*g).agg(F.sum(hl).cast("bigint").alias("hyp_len"), F.sum(rl).cast("bigint").alias("ref_len"))
-    if g:
-        out = lens.join(counts, g, "left")
-    else:
-        out = lens.withColumn("_one", F.lit(1)).join(counts.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+        lens = base.groupBy(*g).agg(F.sum(hl).cast("bigint").alias("hyp_len"), F.sum(rl).cast("bigint").alias("ref_len"))
+        if g:
+            out = lens.join(counts, g, "left")
+        else:
+            out = lens.withColumn("_one", F.lit(1)).join(counts.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
     return out.select(
         *g,
         *[F.coalesce(F.col(f"c{n}"), F.lit(0)).cast("bigint").alias(f"c{n}") for n in range(1, n_max + 1)],

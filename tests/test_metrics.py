@@ -75,3 +75,10 @@ def test_validation_scalars_last_mode(spark):
     assert last["validation/wer"] == 1.0
     corpus = {r.tag: r.value for r in metrics.validation_scalars(df, "step", id_col="id").collect()}
     assert corpus["validation/wer"] == 4 / 8
+
+
+def test_bleu_keeps_groups_without_ngrams(spark):
+    rows = [(1, "a", "a b c d", "a b c d"), (2, "b", "", "")]
+    df = spark.createDataFrame(rows, "id bigint, g string, hyp string, ref string")
+    out = {r.g: (r.bleu, r.hyp_len) for r in metrics.bleu(df, by=["g"], id_col="id").collect()}
+    assert out == {"a": (1.0, 4), "b": (0.0, 0)}
