@@ -42,13 +42,17 @@ def hex_digits_for(df: DataFrame, num_partitions: int | None = None) -> int:
 
 
 def exact_rank(df: DataFrame, order_cols: list, bucket_cols: list, rank_col: str = "rank",
-               group_cols: list | None = None, total_col: str | None = None) -> DataFrame:
+               group_cols: list | None = None, total_col: str | None = None,
+               broadcast_offsets: bool = True) -> DataFrame:
     """Exact 0-based rank in the order of ``order_cols`` (unique, total),
     inside each ``group_cols`` group when given.
 
     ``bucket_cols`` must be deterministic and non-decreasing in the order
     (e.g. a prefix of the order key).  ``total_col`` adds the row count of the
-    row's group, read from the same offset table.
+    row's group, read from the same offset table.  ``broadcast_offsets`` is
+    for bucket counts bounded by a parameter (hash prefixes); buckets that
+    grow with the data (file blocks, batch ranges) leave the join to Spark,
+    which broadcasts the offsets only when their measured size is small.
     """
     gnames = list(group_cols or [])
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
@@ -69,7 +73,8 @@ def exact_rank(df: DataFrame, order_cols: list, bucket_cols: list, rank_col: str
         F.sum("_n").over(gw).alias("_tot"),
     )
     # one row per (group, bucket): bounded by the bucket parameter
-    out = local.join(F.broadcast(offsets), [*gnames, *bnames]).withColumn(rank_col, F.col("_off") + F.col("_loc"))
+    offsets = F.broadcast(offsets) if broadcast_offsets else offsets
+    out = local.join(offsets, [*gnames, *bnames]).withColumn(rank_col, F.col("_off") + F.col("_loc"))
     if total_col:
         out = out.withColumn(total_col, F.col("_tot"))
     return out.drop("_loc", "_off", "_tot", *bnames)
@@ -136,7 +141,8 @@ def assign_steps(df: DataFrame, epoch_col: str = "epoch", batch_col: str = "batc
     rows = df if keep_col is None else df.where(F.col(keep_col))
     batches = rows.select(epoch_col, batch_col).distinct()
     ranked = exact_rank(batches, [epoch_col, batch_col],
-                        [epoch_col, F.floor(F.col(batch_col) / F.lit(batches_per_bucket))], rank_col="_b")
+                        [epoch_col, F.floor(F.col(batch_col) / F.lit(batches_per_bucket))], rank_col="_b",
+                        broadcast_offsets=False)
     steps = ranked.select(epoch_col, batch_col, (F.col("_b") + F.lit(int(initial_step))).alias(step_col))
     return rows.join(steps, [epoch_col, batch_col])
 

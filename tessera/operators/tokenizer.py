@@ -79,19 +79,42 @@ def char_inventory(wc: DataFrame, coverage: float = 1.0, word_col: str = "word",
     )
 
 
+def frequency_floor(counts: DataFrame, k: int, freq_col: str = "freq"):
+    """The smallest frequency a top-``k`` piece can have.
+
+    Reads a histogram ``freq -> number of pieces`` from the top until it
+    covers ``k`` pieces; at most ``k`` histogram rows reach the driver.
+    Returns None when the table has fewer than ``k`` pieces."""
+    hist = (
+        counts.groupBy(freq_col).agg(F.count(F.lit(1)).alias("_pieces"))
+        .orderBy(F.desc(freq_col)).limit(int(k)).collect()
+    )
+    covered = 0
+    for row in hist:
+        covered += row["_pieces"]
+        if covered >= k:
+            return row[freq_col]
+    return None
+
+
 def top_pieces(counts: DataFrame, k: int | None, piece_col: str = "word", freq_col: str = "freq",
                first_id: int = len(SPECIAL_PIECES), kind: str = "word",
                exclude=SPECIAL_PIECES) -> DataFrame:
     """The ``k`` most frequent pieces, ids from ``first_id`` in (freq desc, piece) order.
 
-    ``orderBy().limit(k)`` runs as a per-partition top-k plus a merge of at
-    most ``k`` rows per partition; the id window then sees only ``k`` rows.
-    ``k=None`` ranks every row: only for tables bounded by construction (an
-    alphabet).
+    A frequency floor (see :func:`frequency_floor`) first drops every piece
+    that cannot be in the top ``k``, so the final ``orderBy().limit(k)`` --
+    whose last step runs in one task -- sees about ``k`` rows plus ties
+    instead of ``k`` rows from every partition.  ``k=None`` ranks every row:
+    only for tables bounded by construction (an alphabet).
     """
     top = counts.where(~F.col(piece_col).isin(list(exclude)))
     if k is not None:
-        top = top.orderBy(F.desc(freq_col), F.asc(piece_col)).limit(max(int(k), 0))
+        k = max(int(k), 0)
+        floor = frequency_floor(top, k, freq_col) if k > 0 else None
+        if floor is not None:
+            top = top.where(F.col(freq_col) >= F.lit(floor))
+        top = top.orderBy(F.desc(freq_col), F.asc(piece_col)).limit(k)
     w = Window.orderBy(F.desc(freq_col), F.asc(piece_col))
     return top.select(
         F.col(piece_col).alias("piece"),

@@ -28,7 +28,8 @@ def read_numbered_lines(spark: SparkSession, path: str, text_col: str = "text")
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    return exact_rank(raw, ["_file", "_block", "_seq"], ["_file", "_block"], rank_col="line_no").drop(
+    return exact_rank(raw, ["_file", "_block", "_seq"], ["_file", "_block"], rank_col="line_no",
+                      broadcast_offsets=False).drop(
         "_file", "_block", "_seq"
     )
 
