@@ -30,7 +30,10 @@ EXAMPLE_COLS = (
 def build_examples(df: DataFrame, seq_len: int, src_ids: str = "src_ids", tgt_ids: str = "tgt_ids",
                    sos: int = SOS_ID, eos: int = EOS_ID, pad: int = PAD_ID, keep_dropped: bool = False,
                    expand_decoder_mask: bool = False) -> DataFrame:
-    """Lengths, F2 tag, E1-E4 arrays and the compact E6 mask for each kept row."""
+    """Lengths, F2 tag, E1-E4 arrays and the compact E6 mask for each kept row.
+
+    ``decoder_valid_len`` is exact when padding is a suffix; rows whose target
+    holds the pad id itself also carry ``decoder_pad_mask`` (NULL otherwise)."""
     d = df.withColumn("src_len", F.size(src_ids)).withColumn("tgt_len", F.size(tgt_ids))
     # size(NULL) is -1 in legacy mode; treat a missing text as NULL length
     d = d.withColumn("src_len", F.when(F.col(src_ids).isNull(), None).otherwise(F.col("src_len")).cast("int"))
@@ -45,6 +48,12 @@ def build_examples(df: DataFrame, seq_len: int, src_ids: str = "src_ids", tgt_id
         .withColumn("label", F.when(k, A.label(tgt_ids, seq_len, eos, pad)))
         .withColumn("encoder_mask", F.when(k, A.pad_mask("encoder_input", pad)))
         .withColumn("decoder_valid_len", F.when(k, F.col("tgt_len") + 1))
+        # A literal [PAD] word puts the pad id inside the target; for such
+        # rows the length form is not exact, so the explicit E4 mask is kept
+        .withColumn(
+            "decoder_pad_mask",
+            F.when(k & F.array_contains(F.col(tgt_ids), F.lit(pad)), A.pad_mask("decoder_input", pad)),
+        )
     )
     if expand_decoder_mask:
         d = d.withColumn("decoder_mask", F.when(k, A.decoder_mask("decoder_input", pad)))

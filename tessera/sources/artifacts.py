@@ -21,10 +21,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def write_training_text(df: DataFrame, col: str, path: str) -> bool:
+def write_training_text(df: DataFrame, col: str, path: str, model_path: str | None = None) -> bool:
     """One sentence per line, newline turned into space; skipped when the
-    path already exists.  Returns True when written."""
-    if _exists(df.sparkSession, path):
+    text or the tokenizer model built from it (``model_path``) already exists.
+    Returns True when written."""
+    if _exists(df.sparkSession, path) or (model_path is not None and _exists(df.sparkSession, model_path)):
         return False
     df.select(normalize_newlines(F.coalesce(F.col(col), F.lit(""))).alias("value")).write.mode("ignore").text(path)
     return True

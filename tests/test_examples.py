@@ -145,3 +145,12 @@ def test_prepare_with_bpe_encoder(spark):
             assert r.label[: r.tgt_len] == r.decoder_input[1 : r.tgt_len + 1]
     rep = {r.split: r for r in prep.prep_report(df, cfg, encoder=prep.bpe_encoder(ms, mt)).collect()}
     assert rep["train"].n_rows == 27 and rep["train"].n_batches == 7
+
+
+def test_literal_pad_keeps_explicit_mask(spark):
+    df = spark.createDataFrame([(1, "a", "x [PAD] y"), (2, "a", "x y")], "pair_id bigint, src_text string, tgt_text string")
+    v = tokenizer.fit_word_vocab(df, "tgt_text", 20)
+    enc = tokenizer.encode_words(df, "pair_id", [("src_text", "src_ids", v), ("tgt_text", "tgt_ids", v)])
+    out = {r.pair_id: r for r in examples.build_examples(enc, 8).collect()}
+    assert out[1].decoder_pad_mask == [1, 1, 0, 1, 0, 0, 0, 0]
+    assert out[2].decoder_pad_mask is None and out[2].decoder_valid_len == 3
