@@ -438,5 +438,6 @@ HAVING window_start + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL
 SELECT pair_id, src_len, tgt_len, {ints('encoder_input')} AS encoder_input, {ints('decoder_input')} AS decoder_input,
   {ints('label')} AS label, {ints('list_transform(encoder_input, lambda x: CAST(x <> 3 AS INTEGER))')} AS encoder_mask,
   decoder_valid_len FROM ex"""
+    q["st2_stream_examples_rowwise"] = q["st2_stream_examples"]
     q["st3_stream_predict"] = q["i1_batch_predict"]
     return q

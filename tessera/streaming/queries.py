@@ -32,21 +32,42 @@ def q_st1_stream_scalars(spark, d):
 
 
 def q_st2_stream_examples(spark, d):
+    lp = fx.line_pairs(spark, d)
+    vs = tokenizer.fit_word_vocab(lp, "src_text", WORD_VOCAB).persist()
+    vt = tokenizer.fit_word_vocab(lp, "tgt_text", WORD_VOCAB).persist()
+    path = _as_files(lp, "st2-in")
+    sdf = spark.readStream.schema(lp.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    cols = [
+        "pair_id", "src_len", "tgt_len",
+        A.join_ints("encoder_input").alias("encoder_input"),
+        A.join_ints("decoder_input").alias("decoder_input"),
+        A.join_ints("label").alias("label"),
+        A.join_ints("encoder_mask").alias("encoder_mask"),
+        "decoder_valid_len",
+    ]
+    out = scratch_path(spark, "st2")
+    q = S.examples_per_batch(sdf, vs, vt, f"{out}/data", 128, select=cols, checkpoint=f"{out}/_checkpoint")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(f"{out}/data").drop("batch")
+
+
+def q_st2_stream_examples_rowwise(spark, d):
     lp = fx.line_pairs(spark, d)
     vs = S.frozen_vocab(spark, tokenizer.fit_word_vocab(lp, "src_text", WORD_VOCAB))
     vt = S.frozen_vocab(spark, tokenizer.fit_word_vocab(lp, "tgt_text", WORD_VOCAB))
-    path = _as_files(lp, "st2-in")
+    path = _as_files(lp, "st2r-in")
     sdf = spark.readStream.schema(lp.schema).option("maxFilesPerTrigger", 1).parquet(path)
     ex = S.stream_examples(sdf, vs, vt, 128)
-    out = S.run_to_table(ex.select(
+    return S.run_to_table(ex.select(
         "pair_id", "src_len", "tgt_len",
         A.join_ints("encoder_input").alias("encoder_input"),
         A.join_ints("decoder_input").alias("decoder_input"),
         A.join_ints("label").alias("label"),
         A.join_ints("encoder_mask").alias("encoder_mask"),
         "decoder_valid_len",
-    ), "st2")
-    return out
+    ), "st2r")
 
 
 def q_st3_stream_predict(spark, d):

@@ -78,6 +78,26 @@ def stream_examples(sdf: DataFrame, src_vocab, tgt_vocab, seq_len: int = 128, ke
     return build_examples(enc, seq_len, keep_dropped=keep_dropped)
 
 
+def examples_per_batch(sdf: DataFrame, src_vocab: DataFrame, tgt_vocab: DataFrame, path: str, seq_len: int = 128,
+                       key: str = "pair_id", select=None, checkpoint: str | None = None):
+    """ST2 with the batch encoder: every micro-batch runs the JVM encode
+    (explode, broadcast vocabulary join, regroup per row) and E7 as an
+    ordinary batch job through ``foreachBatch``.  Each batch overwrites its
+    own folder ``batch=<id>``, so a replayed batch after a failure replaces
+    its output instead of duplicating it.  Returns the started query."""
+    from tessera.operators.tokenizer import encode_words
+
+    def write(batch_df: DataFrame, batch_id: int) -> None:
+        enc = encode_words(batch_df, key, [("src_text", "src_ids", src_vocab), ("tgt_text", "tgt_ids", tgt_vocab)])
+        ex = build_examples(enc, seq_len)
+        if select is not None:
+            ex = ex.select(*select)
+        ex.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    ck = checkpoint or f"{path}/_checkpoint"
+    return sdf.writeStream.foreachBatch(write).option("checkpointLocation", ck).trigger(availableNow=True).start()
+
+
 def stream_predict(sdf: DataFrame, predictor_factory: Callable, text_col: str = "text") -> DataFrame:
     """ST3: I1's ``mapInPandas`` on a stream: requests in, predictions out."""
     return batch_predict(sdf, predictor_factory, text_col)
