@@ -85,6 +85,35 @@ def wer(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by=None, tokenize=spl
     )
 
 
+def error_rates(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by=None, tokenize=split_words) -> DataFrame:
+    """M1 + M2 in one pass: character and word edits per row, one aggregate."""
+    g = _group(by)
+    words = df.select(
+        *g,
+        char_edits(hyp, ref).alias("_ce"),
+        F.length(_text(ref)).alias("_cn"),
+        F.coalesce(tokenize(_c(hyp)), F.array().cast("array<string>")).alias("_hw"),
+        F.coalesce(tokenize(_c(ref)), F.array().cast("array<string>")).alias("_rw"),
+    ).withColumn("_v", F.array_distinct(F.concat("_rw", "_hw")))
+    dist = F.levenshtein(words_to_codepoints(F.col("_hw"), F.col("_v")), words_to_codepoints(F.col("_rw"), F.col("_v")))
+    we = F.when(
+        F.size("_v") > F.lit(WORD_CP_LIMIT),
+        F.raise_error(F.lit(f"more than {WORD_CP_LIMIT} distinct words in one pair")).cast("int"),
+    ).otherwise(dist)
+    return (
+        words.select(*g, "_ce", "_cn", we.alias("_we"), F.size("_rw").alias("_wn"))
+        .groupBy(*g)
+        .agg(
+            F.sum("_ce").cast("bigint").alias("char_edits"),
+            F.sum("_cn").cast("bigint").alias("ref_chars"),
+            F.sum("_we").cast("bigint").alias("word_edits"),
+            F.sum("_wn").cast("bigint").alias("ref_words"),
+        )
+        .withColumn("cer", F.try_divide(F.col("char_edits").cast("double"), F.col("ref_chars").cast("double")))
+        .withColumn("wer", F.try_divide(F.col("word_edits").cast("double"), F.col("ref_words").cast("double")))
+    )
+
+
 def _grams(joined: Column, words: Column, n: int) -> Column:
     """n-grams of a space-joined word string: one JVM regex, no lambda.  The
     lookahead captures the n words starting at every word start."""
@@ -252,10 +281,9 @@ def validation_scalars(df: DataFrame, step_col: str = "step", hyp: str = "hyp",
         picked = df.groupBy(step_col).agg(F.max_by(F.struct(F.col(hyp).alias("_hyp"), F.col(ref).alias("_ref"), F.col(o).alias("_o")), F.col(o)).alias("_x"))
         d = picked.select(step_col, F.col("_x._hyp").alias(hyp), F.col("_x._ref").alias(ref), F.col("_x._o").alias("_o"))
         id_col = "_o"
-    c = cer(d, hyp, ref, by=[step_col]).select(step_col, "cer")
-    w = wer(d, hyp, ref, by=[step_col]).select(step_col, "wer")
+    e = error_rates(d, hyp, ref, by=[step_col]).select(step_col, "cer", "wer")
     b = bleu(d, hyp, [ref], by=[step_col], id_col=id_col).select(step_col, "bleu")
-    j = c.join(w, step_col).join(b, step_col)
+    j = e.join(b, step_col)
     return j.select(
         F.expr("stack(3, 'validation/cer', cer, 'validation/wer', wer, 'validation/bleu', bleu) as (tag, value)"),
         F.col(step_col).cast("bigint").alias("step"),

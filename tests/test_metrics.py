@@ -82,3 +82,10 @@ def test_bleu_keeps_groups_without_ngrams(spark):
     df = spark.createDataFrame(rows, "id bigint, g string, hyp string, ref string")
     out = {r.g: (r.bleu, r.hyp_len) for r in metrics.bleu(df, by=["g"], id_col="id").collect()}
     assert out == {"a": (1.0, 4), "b": (0.0, 0)}
+
+
+def test_error_rates_one_pass_matches_separate(spark):
+    df = _df(spark, [(1, "a x c d", "a b c"), (2, "héllo wörld", "hallo world")])
+    both = metrics.error_rates(df).collect()[0]
+    assert both.char_edits == metrics.cer(df).collect()[0].char_edits
+    assert both.word_edits == metrics.wer(df).collect()[0].word_edits
