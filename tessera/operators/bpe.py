@@ -139,7 +139,7 @@ def train_bpe(df: DataFrame, col: str, vocab_size: int, coverage: float = 1.0, m
     alphabet = tok.char_inventory(words.select("word", "freq"), coverage)
     # the alphabet is bounded by the number of distinct characters
     alpha_vocab = tok.top_pieces(alphabet, None, piece_col="ch", first_id=len(specials), kind="char",
-                                 exclude=specials).checkpoint()
+                                 exclude=specials).persist()  # small; lineage ends at the checkpointed words
     n_alpha = alpha_vocab.count()
     n_merges = max(vocab_size - len(specials) - n_alpha, 0)
     merges: list = []
