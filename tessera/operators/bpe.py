@@ -22,6 +22,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 import unicodedata
 
+import pandas as pd
+
 from tessera.config import SPECIAL_PIECES, UNK_ID, WORD_MARK
 from tessera.functions.text import chars, marked_words, split_white_space
 from tessera.operators import tokenizer as tok
@@ -261,16 +263,56 @@ def broadcast_model(spark: SparkSession, vocab: DataFrame, merges: DataFrame):
 HOT_WORDS = 10_000  # words joined by broadcast; every other word is rarer than the last of them
 
 
+def _row_coder(b_ranks, b_ids, unk_id, apply_nfkc):
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def code(texts):
+        ranks, ids = b_ranks.value, b_ids.value
+        cache: dict = {}
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            row: list = []
+            for w in split_white_space(t):
+                v = cache.get(w)
+                if v is None:
+                    v = encode_raw_word(WORD_MARK + w, ranks, ids, unk_id, apply_nfkc)
+                    if len(cache) < 200_000:
+                        cache[w] = v
+                row.extend(v)
+            out.append(row)
+        return pd.Series(out)
+
+    return code
+
+
+def encode_rowwise(df: DataFrame, col: str, vocab: DataFrame, merges: DataFrame, out_col: str = "ids",
+                   apply_nfkc: bool = True, unk_id: int = UNK_ID, model=None) -> DataFrame:
+    """T9, row-local: an Arrow batch function encodes each row's words with
+    a per-batch cache of encoded words.  No shuffle at all (nothing can be
+    hot); Python sees every token once instead of every distinct word once."""
+    b_ranks, b_ids = model or broadcast_model(df.sparkSession, vocab, merges)
+    return df.withColumn(out_col, _row_coder(b_ranks, b_ids, unk_id, apply_nfkc)(F.col(col)))
+
+
 def encode(df: DataFrame, key: str, col: str, vocab: DataFrame, merges: DataFrame, out_col: str = "ids",
-           apply_nfkc: bool = True, unk_id: int = UNK_ID, model=None, hot_words: int = HOT_WORDS) -> DataFrame:
+           apply_nfkc: bool = True, unk_id: int = UNK_ID, model=None, hot_words: int = HOT_WORDS,
+           strategy: str = "join") -> DataFrame:
     """Text to subword ids.
 
+    ``strategy="rowwise"`` runs :func:`encode_rowwise` instead (no shuffle;
+    measured 9.5 s against 15-20 s for the join on 85,513 lines locally, but
+    Python then handles every token rather than every distinct word).
+
     Words are counted (partial aggregation, so a hot word is combined map
     side) and each *distinct* word is encoded once.  The pieces go back to the
     tokens in two joins: the ``hot_words`` most frequent words (a bounded
     table) by broadcast, the rest by a shuffle join in which no key is more
     frequent than the last hot word.  Tokens then regroup per row.
     """
+    if strategy == "rowwise":
+        return encode_rowwise(df, col, vocab, merges, out_col, apply_nfkc, unk_id, model)
     spark = df.sparkSession
     b_ranks, b_ids = model or broadcast_model(spark, vocab, merges)
     # raw words only (JVM); NFKC runs inside the coder, once per distinct word

@@ -120,3 +120,11 @@ def test_nfkc_after_counting_equals_nfkc_first(spark):
 def test_encode_raw_word_splits_after_nfkc():
     ranks, ids = {}, {"▁": 7, "a": 8}
     assert bpe.encode_raw_word("▁a¨", ranks, ids) == [7, 8, 7, 0]
+
+
+def test_rowwise_encode_equals_join_encode(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXT + ["", None, "ｔｈａｔ a¨b"])], "k bigint, text string")
+    vocab, merges, _ = bpe.train_bpe(df, "text", 60)
+    a = {r.k: r.ids for r in bpe.encode(df, "k", "text", vocab, merges).collect()}
+    b = {r.k: r.ids for r in bpe.encode(df, "k", "text", vocab, merges, strategy="rowwise").collect()}
+    assert a == b and a[len(TEXT)] == [] and a[len(TEXT) + 1] is None
