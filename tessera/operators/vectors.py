@@ -19,11 +19,24 @@ from tessera.functions.arrays import scale_vector
 MAX_BROADCAST_VECTORS = 1_000_000
 
 
-def log_softmax(df: DataFrame, by: list[str], score: str = "score", out: str = "log_prob") -> DataFrame:
+def log_softmax(df: DataFrame, by: list[str], score: str = "score", out: str = "log_prob",
+                small_groups: bool = False) -> DataFrame:
     """``score - (max + log(sum(exp(score - max))))`` within each group.
 
-    Two aggregates (max, then the shifted exp-sum) joined back on ``by``.
+    Default: two aggregates (max, then the shifted exp-sum) joined back on
+    ``by`` -- partial aggregation and AQE's skew handling keep a huge group
+    from landing in one task.  ``small_groups=True`` uses one window
+    partitioned by ``by`` (one shuffle) for groups known to be small, such as
+    one position's scores over a vocabulary.
     """
+    if small_groups:
+        from pyspark.sql import Window
+
+        w = Window.partitionBy(*by)
+        m = F.max(score).over(w)
+        shifted = df.withColumn("_s", F.col(score) - m)
+        lse = F.log(F.sum(F.exp("_s")).over(w))
+        return shifted.withColumn(out, F.col("_s") - lse).drop("_s")
     mx = df.groupBy(*by).agg(F.max(score).alias("_m"))
     shifted = df.join(mx, by)
     lse = shifted.groupBy(*by).agg((F.max("_m") + F.log(F.sum(F.exp(F.col(score) - F.col("_m"))))).alias("_lse"))

@@ -47,3 +47,11 @@ def test_position_features_values(spark):
     expect = [math.sin(3), math.cos(3), math.sin(3 * 10000 ** (-2 / 4)), math.cos(3 * 10000 ** (-2 / 4))]
     assert all(abs(a - b) < 1e-12 for a, b in zip(f, expect))
     assert F is not None
+
+
+def test_log_softmax_window_path_agrees(spark):
+    rows = [(g, t, float((g * 7 + t * 3) % 11) - 5.0) for g in range(4) for t in range(9)]
+    df = spark.createDataFrame(rows, "seq_id bigint, token_id int, score double")
+    a = {(r.seq_id, r.token_id): r.log_prob for r in vectors.log_softmax(df, ["seq_id"]).collect()}
+    b = {(r.seq_id, r.token_id): r.log_prob for r in vectors.log_softmax(df, ["seq_id"], small_groups=True).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
