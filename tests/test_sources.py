@@ -91,3 +91,18 @@ def test_examples_and_scalars_written(spark, tmp_dir):
     artifacts.append_scalars(sc, f"{tmp_dir}/log")
     artifacts.append_scalars(sc, f"{tmp_dir}/log")
     assert spark.read.parquet(f"{tmp_dir}/log").count() == 2
+
+
+def test_read_translations_json(spark, tmp_dir):
+    import json
+
+    from tessera.sources.translations import read_translations, sentences
+
+    recs = [{"pair_id": 1, "translation": {"en": "hello", "zh": "你好"}}, {"pair_id": 2, "translation": {"en": "bye"}}]
+    with open(f"{tmp_dir}/train.jsonl", "w", encoding="utf-8") as f:
+        f.write("\n".join(json.dumps(r, ensure_ascii=False) for r in recs) + "\n")
+    df = read_translations(spark, f"{tmp_dir}/train.jsonl", "en", "zh", fmt="json")
+    got = {r.pair_id: (r.src_text, r.tgt_text) for r in df.collect()}
+    assert got == {1: ("hello", "你好"), 2: ("bye", None)}
+    raw = spark.read.json(f"{tmp_dir}/train.jsonl")
+    assert sorted((r.pair_id, r.text) for r in sentences(raw, "en").collect()) == [(1, "hello"), (2, "bye")]
