@@ -154,3 +154,12 @@ def test_literal_pad_keeps_explicit_mask(spark):
     out = {r.pair_id: r for r in examples.build_examples(enc, 8).collect()}
     assert out[1].decoder_pad_mask == [1, 1, 0, 1, 0, 0, 0, 0]
     assert out[2].decoder_pad_mask is None and out[2].decoder_valid_len == 3
+
+
+def test_check_shapes_strict_raises(spark):
+    import pytest
+
+    df = spark.createDataFrame([([1, 2], [1, 2], [1, 2]), ([1], [1, 2], [1, 2])], "encoder_input array<int>, decoder_input array<int>, label array<int>")
+    assert checks.check_shapes(df, 2).collect()[0].n_bad == 1
+    with pytest.raises(Exception, match="seq_len"):
+        checks.check_shapes(df, 2, strict=True).collect()
