@@ -71,3 +71,14 @@ def test_validation_sample_matches_hash_order(spark):
         best = sorted(pool, key=lambda k: (hashlib.md5(f"{k}:42:val:{step}".encode()).hexdigest(), k))[:2]
         mine = [r.pair_id for r in sorted((r for r in got if r.step == step), key=lambda r: r.sample_idx)]
         assert mine == best
+
+
+def test_balance_spreads_only_skinny_inputs(spark):
+    from tessera.session import balance
+
+    one = spark.range(100).coalesce(1)
+    want = spark.sparkContext.defaultParallelism
+    assert balance(one).rdd.getNumPartitions() == want
+    many = spark.range(0, 100, 1, want * 2)
+    assert balance(many).rdd.getNumPartitions() == want * 2
+    assert sorted(r.id for r in balance(one).collect()) == list(range(100))
