@@ -55,3 +55,17 @@ def test_log_softmax_window_path_agrees(spark):
     a = {(r.seq_id, r.token_id): r.log_prob for r in vectors.log_softmax(df, ["seq_id"]).collect()}
     b = {(r.seq_id, r.token_id): r.log_prob for r in vectors.log_softmax(df, ["seq_id"], small_groups=True).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_small_aggregates(spark):
+    from tessera.operators import aggregates
+
+    log = spark.createDataFrame([("loss", 1, 2.0), ("loss", 3, 1.0), ("loss", 2, 5.0), ("bleu", 0, 0.1)], "tag string, step bigint, value double")
+    got = {r.tag: (r.last_step, r.last_value) for r in aggregates.latest_scalar(log).collect()}
+    assert got == {"loss": (3, 1.0), "bleu": (0, 0.1)}
+    rows = spark.createDataFrame([("train", 0, True, 3, 4), ("train", 0, False, 300, 4), ("train", 1, False, 1, 400)],
+                                 "split string, batch_id bigint, kept boolean, src_len int, tgt_len int")
+    bc = aggregates.batch_count(rows, F.lit(8), by=["split"]).collect()[0]
+    assert (bc.n_batches, bc.n_batches_kept) == (1, 1)
+    ml = aggregates.max_lengths(rows).collect()[0]
+    assert (ml.max_src_len, ml.max_tgt_len) == (300, 400)
