@@ -53,3 +53,34 @@ def test_stream_examples_match_batch(spark, tmp_dir):
     a = {r.pair_id: (r.encoder_input, r.label) for r in out.collect()}
     b = {r.pair_id: (r.encoder_input, r.label) for r in batch.collect()}
     assert a == b
+
+
+def _batcher_factory():
+    # defined inside the factory so the worker receives it by value
+    class Batcher:
+        """Batch predictor that fails whole batches containing 'boom'."""
+
+        def predict_batch(self, texts):
+            if any(t == "boom" for t in texts):
+                raise RuntimeError("batch failed")
+            return [t.upper() for t in texts]
+
+        def predict(self, t):
+            if t == "boom":
+                raise RuntimeError("bad row")
+            return t.upper()
+
+    return Batcher()
+
+
+def test_batch_predictor_falls_back_to_rows(spark):
+    import sys
+
+    from pyspark import cloudpickle
+
+    # the worker cannot import this test module: ship its functions by value
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    df = spark.createDataFrame([(1, "ab"), (2, "boom"), (3, "cd")], "k bigint, text string").coalesce(1)
+    out = {r.k: (r.prediction, r.status, r.error) for r in scoring.batch_predict(df, _batcher_factory).collect()}
+    assert out[1] == ("AB", "ok", None) and out[3] == ("CD", "ok", None)
+    assert out[2][0] is None and out[2][1] == "error" and "bad row" in out[2][2]
