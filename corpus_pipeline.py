@@ -1,30 +1,100 @@
-"""Stages that turn ``documents`` into encoded training rows."""
+"""Stages that turn ``documents`` into encoded training rows.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns they were given, extra ones and their names included.
+A document is a ``doc_id``: rows that repeat an id are one document, the least
+row by text and then the other columns.  Rows with a null id cannot be told
+apart; they are identified by language like all others, otherwise pass once and
+unchanged.  An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe_codec, language_id
+from tessera.llm import bpe_codec, jaccard_join, language_id, mixing, repeated_passages
 from tessera.llm.shared import stored
 
+#: Name of the column that a decision is joined under; no column of documents has it.
+DECISION = "__corpus_pipeline_decision"
+
+
+def _one_row_per_id(docs: DataFrame) -> DataFrame:
+    """Rows with an id, each id once."""
+    docs = docs.where("doc_id IS NOT NULL")
+    n, distinct = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n == distinct:
+        return docs
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = F.min(F.struct(F.col("text").alias("t"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]))
+    rows = docs.groupBy("doc_id").agg(least.alias(DECISION))
+    back = {"doc_id": F.col("doc_id"), "text": F.col(f"{DECISION}.t"),
+            **{c: F.col(f"{DECISION}.c{i}") for i, c in enumerate(others)}}
+    return rows.select(*[back[c].alias(c) for c in docs.columns])
+
+
+def _with_null_ids(out: DataFrame, docs: DataFrame) -> DataFrame:
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*columns).union(docs.where("doc_id IS NULL").select(*columns))
+
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; rejected ones go."""
-    accepted = language_id.identify(docs).where("accepted").select("doc_id").distinct()
-    return docs.join(accepted, "doc_id", "left_semi")
+    """Documents whose language is identified; texts without a letter and those below the threshold go.
+
+    Every row is judged by its own text, so repeated rows and null ids need no care.
+    """
+    return language_id.accepted(docs, language_id.train(docs))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near-duplicates."""
+    unique = _one_row_per_id(docs)
+    kept = jaccard_join.jaccard_components(unique).where("doc_id = component_id").select("doc_id")
+    return _with_null_ids(unique.join(kept, "doc_id", "left_semi"), docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the repeated passages that are not their first occurrence; ``n_chars`` follows the text."""
+    unique = _one_row_per_id(docs)
+    cut = repeated_passages.deduplicated_texts(unique).select("doc_id", F.col("kept_text").alias(DECISION))
+    out = unique.join(stored(cut, "cut"), "doc_id", "left")
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        out = out.withColumn("n_chars", F.when(F.col(DECISION).isNotNull(), F.length(DECISION)).otherwise(F.col("n_chars")).cast(kind))
+    out = out.withColumn("text", F.coalesce(F.col(DECISION), F.col("text")))
+    return _with_null_ids(out, docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: no row, or up to three."""
+    unique = _one_row_per_id(docs)
+    copies = mixing.mix(unique).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias(DECISION))
+    out = unique.join(stored(copies, "copies"), "doc_id")
+    out = out.withColumn(DECISION, F.explode(F.array_repeat(F.lit(1), F.col(DECISION))))
+    return _with_null_ids(out, docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the digests of ids and decoded text."""
-    return bpe_codec.round_trip_digests(docs)
+    """Token ids of every row, with the digests of the ids and of the text decoded from them."""
+    return bpe_codec.round_trip_digests(docs, with_ids=True)
+
 
+STAGES = [
+    ("language id", identified),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("suffix-array dedup", without_repeats),
+    ("mixing sources", mixed),
+    ("BPE encoding", encoded),
+]
 
-STAGES = [("language id", identified), ("bpe encoding", encoded)]
+#: SQL has no subword models, metric joins or byte-pair merges; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each stage's rows written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    for number, (_, stage) in enumerate(STAGES[:-1], 1):
+        docs = stored(stage(spark, docs, sf_dir), f"stage{number}")
     return STAGES[-1][1](spark, docs, sf_dir)

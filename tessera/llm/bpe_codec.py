@@ -356,11 +356,12 @@ def decode(df: DataFrame, ids_col: str = "ids", id_col: str = "doc_id", path: st
 
 
 def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       path: str | None = None) -> DataFrame:
+                       path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Encode, decode again, and return a digest of each: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 
     The ids are digested as little-endian unsigned 32-bit integers, the decoded
-    text as UTF-8, both in lowercase hex.  A null text counts as empty.
+    text as UTF-8, both in lowercase hex.  A null text counts as empty.  With
+    ``with_ids`` the ids themselves follow as ``ids array<int>``.
     """
     path = path or default_path()
 
@@ -372,9 +373,11 @@ def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             data, ends = model.decode_bytes(ids, offsets)
             text = memoryview(np.ascontiguousarray(data))
             text_sha = [hashlib.sha256(text[s:max(s, e - 1)]).hexdigest() for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(offsets[1:] - offsets[:-1], pa.int64()), pa.array(id_sha, pa.string()),
-                 pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _named(df, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            columns = {"doc_id": rows.column("doc_id"), "n_tokens": pa.array(offsets[1:] - offsets[:-1], pa.int64()),
+                       "ids_sha256": pa.array(id_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+            if with_ids:
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return _named(df, id_col, text_col).mapInArrow(run, schema)

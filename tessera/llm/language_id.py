@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,28 +193,44 @@ def predict(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",
     shipped = df.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers, whatever the input
 
     def run(batches):
-        m = shipped.value
-        names = np.array([*(m.languages if m else []), UNDETERMINED], object)
         for batch in row_slices(batches, "text"):
-            codes, starts, words = split_words(batch.column("text"))
-            grams, offsets = subwords(words.to_pylist())
-            size = (offsets[1:] - offsets[:-1]).astype(np.float64)
-            n = _sums(size[codes], starts)
-            best, score = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)
-            if m:
-                per_word = np.stack([_sums(m.table[grams, j], offsets) for j in range(len(m.languages))], axis=1)
-                total = np.stack([_sums(per_word[codes, j], starts) for j in range(per_word.shape[1])], axis=1)
-                p = m.scores(total, n)
-                some = n > 0
-                best[some], score[some] = p.argmax(axis=1)[some], p.max(axis=1)[some]
-            accepted = (n > 0) & (score >= (m.threshold if m else 2.0))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(accepted)],
-                ["doc_id", "lang_pred", "score", "accepted"])
+            names, score, accepted = _predicted(batch.column("text"), shipped.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), names, score, accepted], ["doc_id", "lang_pred", "score", "accepted"])
 
     return named.mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
 
 
+def accepted(df: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+    """The rows, whole, whose text is accepted (see :func:`predict`)."""
+    shipped = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def accepts(text: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], ["text"])
+        parts = [np.asarray(_predicted(b.column("text"), shipped.value)[2]) for b in row_slices(iter([batch]), "text")]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0, bool))
+
+    return df.where(accepts(F.col(f"`{text_col}`").cast("string")))
+
+
+def _predicted(column: pa.Array, m: LanguageModel | None) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Language, score and acceptance of each text."""
+    names = np.array([*(m.languages if m else []), UNDETERMINED], object)
+    codes, starts, words = split_words(column)
+    grams, offsets = subwords(words.to_pylist())
+    size = (offsets[1:] - offsets[:-1]).astype(np.float64)
+    n = _sums(size[codes], starts)
+    best, score = np.full(len(column), len(names) - 1), np.zeros(len(column))
+    if m:
+        per_word = np.stack([_sums(m.table[grams, j], offsets) for j in range(len(m.languages))], axis=1)
+        total = np.stack([_sums(per_word[codes, j], starts) for j in range(per_word.shape[1])], axis=1)
+        p = m.scores(total, n)
+        some = n > 0
+        best[some], score[some] = p.argmax(axis=1)[some], p.max(axis=1)[some]
+    fine = (n > 0) & (score >= (m.threshold if m else 2.0))
+    return pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(fine)
+
+
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of each row of a ragged array, each row by itself (no running total over rows)."""
     out = np.zeros(len(offsets) - 1)
