@@ -143,7 +143,9 @@ def train_bpe(df: DataFrame, col: str, vocab_size: int, coverage: float = 1.0, m
     alpha_vocab = tok.top_pieces(alphabet, None, piece_col="ch", first_id=len(specials), kind="char",
                                  exclude=specials).persist()  # small; lineage ends at the checkpointed words
     n_alpha = alpha_vocab.count()
-    n_merges = max(vocab_size - len(specials) - n_alpha, 0)
+    n_merges = vocab_size - len(specials) - n_alpha
+    if n_merges < 0:
+        raise ValueError(f"vocab_size {vocab_size} cannot hold {len(specials)} specials and an alphabet of {n_alpha}")
     merges: list = []
     rounds = 0
     current, stale = words, None

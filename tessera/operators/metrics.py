@@ -1,24 +1,28 @@
 """M1-M7: character and word error rates, BLEU, evaluation rows and scalars.
 
 Edit distances are row-local (Spark's native ``levenshtein`` over code
-points) followed by one partial aggregate.  WER maps the words of a row to
-code points so the same native routine runs over words.  BLEU explodes
-n-grams of hypothesis and references into one stream and counts them in a
-single aggregate keyed by (row, n, gram): every key belongs to one row, so a
-hot group (one language holding most rows) never becomes a hot key, and the
-n-grams of a row are combined map side before the shuffle.
+points, first within a narrow band) followed by one partial aggregate.  WER maps
+the words of a row to code points so the same native routine runs over words.
+BLEU's clipped counts are row-local as well: one Arrow function counts the
+n-grams of hypothesis and references of a row, so no n-gram is shuffled and
+rows that repeat an id cannot mix; only one row of sums a group and task is.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import split_words, tokenize_13a
 
-# Words of one row are mapped to code points from U+4E00 up to U+D7FF.
-WORD_CP_BASE = 0x4E00
-WORD_CP_LIMIT = 0xD800 - 0x4E00
+# Words of one row are mapped to the code points beyond the basic plane.
+WORD_CP_BASE = 0x10000
+WORD_CP_LIMIT = 0x110000 - WORD_CP_BASE
+# Bands in which an edit distance is tried before the full table is filled.
+BANDS = (16, 256)
 
 
 def _c(col) -> Column:
@@ -29,33 +33,22 @@ def _text(col) -> Column:
     return F.coalesce(_c(col), F.lit(""))
 
 
+def _distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance; exact whatever the band, as a band that is too narrow gives -1."""
+    tries = [F.nullif(F.levenshtein(a, b, band), F.lit(-1)) for band in BANDS]
+    return F.coalesce(*tries, F.levenshtein(a, b))
+
+
 def char_edits(hyp, ref) -> Column:
-    return F.levenshtein(_text(hyp), _text(ref))
+    return _distance(_text(hyp), _text(ref))
 
 
 def words_to_codepoints(words: Column, vocab: Column) -> Column:
-    """Each word becomes one character: ``U+4E00 + index in vocab``."""
+    """Each word becomes one character: ``U+10000 + index in vocab``."""
     hexes = F.transform(
-        words, lambda w: F.lpad(F.hex(F.array_position(vocab, w) - 1 + F.lit(WORD_CP_BASE)), 4, "0")
+        words, lambda w: F.lpad(F.hex(F.array_position(vocab, w) - 1 + F.lit(WORD_CP_BASE)), 8, "0")
     )
-    return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-16BE")
-
-
-def _word_edit_cols(df: DataFrame, g: list, hyp, ref, tokenize=split_words) -> DataFrame:
-    """Per row: word edits and reference words.  The word arrays and the
-    pair's word list are materialised in their own projection first, so the
-    lookup lambda reads a column instead of re-splitting the texts per word."""
-    words = df.select(
-        *g,
-        F.coalesce(tokenize(_c(hyp)), F.array().cast("array<string>")).alias("_hw"),
-        F.coalesce(tokenize(_c(ref)), F.array().cast("array<string>")).alias("_rw"),
-    ).withColumn("_v", F.array_distinct(F.concat("_rw", "_hw")))
-    dist = F.levenshtein(words_to_codepoints(F.col("_hw"), F.col("_v")), words_to_codepoints(F.col("_rw"), F.col("_v")))
-    edits = F.when(
-        F.size("_v") > F.lit(WORD_CP_LIMIT),
-        F.raise_error(F.lit(f"more than {WORD_CP_LIMIT} distinct words in one pair")).cast("int"),
-    ).otherwise(dist)
-    return words.select(*g, edits.alias("_e"), F.size("_rw").alias("_n"))
+    return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-32")
 
 
 def _group(by) -> list[str]:
@@ -65,28 +58,19 @@ def _group(by) -> list[str]:
 def cer(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by=None) -> DataFrame:
     """M1: CER = sum(character edits) / sum(reference characters), arguments
     (prediction, target).  An empty corpus gives NULL."""
-    g = _group(by)
-    return (
-        df.select(*g, char_edits(hyp, ref).alias("_e"), F.length(_text(ref)).alias("_n"))
-        .groupBy(*g)
-        .agg(F.sum("_e").cast("bigint").alias("char_edits"), F.sum("_n").cast("bigint").alias("ref_chars"))
-        .withColumn("cer", F.try_divide(F.col("char_edits").cast("double"), F.col("ref_chars").cast("double")))
-    )
+    return error_rates(df, hyp, ref, by).select(*_group(by), "char_edits", "ref_chars", "cer")
 
 
 def wer(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by=None, tokenize=split_words) -> DataFrame:
     """M2: WER = sum(word edits) / sum(reference words)."""
-    g = _group(by)
-    return (
-        _word_edit_cols(df, g, hyp, ref, tokenize)
-        .groupBy(*g)
-        .agg(F.sum("_e").cast("bigint").alias("word_edits"), F.sum("_n").cast("bigint").alias("ref_words"))
-        .withColumn("wer", F.try_divide(F.col("word_edits").cast("double"), F.col("ref_words").cast("double")))
-    )
+    return error_rates(df, hyp, ref, by, tokenize).select(*_group(by), "word_edits", "ref_words", "wer")
 
 
 def error_rates(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by=None, tokenize=split_words) -> DataFrame:
-    """M1 + M2 in one pass: character and word edits per row, one aggregate."""
+    """M1 + M2 in one pass: character and word edits per row, one aggregate.
+    The word arrays and the pair's word list are materialised in their own
+    projection first, so the lookup lambda reads a column instead of
+    re-splitting the texts per word."""
     g = _group(by)
     words = df.select(
         *g,
@@ -95,13 +79,15 @@ def error_rates(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by=None, toke
         F.coalesce(tokenize(_c(hyp)), F.array().cast("array<string>")).alias("_hw"),
         F.coalesce(tokenize(_c(ref)), F.array().cast("array<string>")).alias("_rw"),
     ).withColumn("_v", F.array_distinct(F.concat("_rw", "_hw")))
-    dist = F.levenshtein(words_to_codepoints(F.col("_hw"), F.col("_v")), words_to_codepoints(F.col("_rw"), F.col("_v")))
+    coded = words.withColumn("_hs", words_to_codepoints(F.col("_hw"), F.col("_v"))).withColumn(
+        "_rs", words_to_codepoints(F.col("_rw"), F.col("_v")))
+    dist = _distance(F.col("_hs"), F.col("_rs"))
     we = F.when(
         F.size("_v") > F.lit(WORD_CP_LIMIT),
         F.raise_error(F.lit(f"more than {WORD_CP_LIMIT} distinct words in one pair")).cast("int"),
     ).otherwise(dist)
     return (
-        words.select(*g, "_ce", "_cn", we.alias("_we"), F.size("_rw").alias("_wn"))
+        coded.select(*g, "_ce", "_cn", we.alias("_we"), F.size("_rw").alias("_wn"))
         .groupBy(*g)
         .agg(
             F.sum("_ce").cast("bigint").alias("char_edits"),
@@ -114,13 +100,27 @@ def error_rates(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by=None, toke
     )
 
 
-def _grams(joined: Column, words: Column, n: int) -> Column:
-    """n-grams of a space-joined word string: one JVM regex, no lambda.  The
-    lookahead captures the n words starting at every word start."""
-    if n == 1:
-        return words
-    pat = "(?<![^ ])(?=([^ ]+" + "(?: [^ ]+)" * (n - 1) + "))"
-    return F.regexp_extract_all(joined, F.lit(pat), F.lit(1))
+def _clipped(n_max: int, n_refs: int):
+    """Per row: clipped and total n-gram counts for each n, hypothesis length, closest reference length."""
+
+    @F.pandas_udf("array<bigint>")
+    def stats(hyp: pd.Series, *refs: pd.Series) -> pd.Series:
+        out = []
+        for words in zip(hyp, *refs):
+            h, rs = list(words[0]), [list(r) for r in words[1:]]
+            clipped, total = [], []
+            for n in range(1, n_max + 1):
+                have = Counter(zip(*(h[k:] for k in range(n))))
+                most: Counter = Counter()
+                for r in rs:
+                    most |= Counter(zip(*(r[k:] for k in range(n))))
+                clipped.append((have & most).total())
+                total.append(have.total())
+            closest = min((abs(len(r) - len(h)), len(r)) for r in rs)[1]  # the shorter one on ties
+            out.append([*clipped, *total, len(h), closest])
+        return pd.Series(out)
+
+    return stats
 
 
 def ngram_stats(df: DataFrame, hyp: str, refs: list[str], n_max: int = 4, by=None, id_col: str | None = None,
@@ -128,66 +128,15 @@ def ngram_stats(df: DataFrame, hyp: str, refs: list[str], n_max: int = 4, by=Non
     """Clipped and total n-gram counts per (group, n) plus corpus lengths.
 
     Output: ``by..., c1..cN, t1..tN, hyp_len, ref_len`` (``ref_len`` is the
-    closest reference length per row, the shorter one on ties).
+    closest reference length per row, the shorter one on ties).  NULL groups
+    are groups; ``id_col`` is not needed, as rows are counted one by one.
     """
     g = _group(by)
-    key = F.col(id_col) if id_col else F.monotonically_increasing_id()
-    base = df.select(
-        *g,
-        key.alias("_row"),
-        F.coalesce(tokenize(_c(hyp)), F.array().cast("array<string>")).alias("_h"),
-        *[F.coalesce(tokenize(_c(r)), F.array().cast("array<string>")).alias(f"_r{j}") for j, r in enumerate(refs)],
-    )
-    # one array per (side, n) in a fixed order; slot k is side k // n_max, order k % n_max + 1
-    sides = ["_h"] + [f"_r{j}" for j in range(len(refs))]
-    arrays = [_grams(F.array_join(F.col(c), " "), F.col(c), n) for c in sides for n in range(1, n_max + 1)]
-    grams = (
-        base.select(*g, "_row", F.posexplode(F.array(*arrays)).alias("_slot", "_arr"))
-        .select(*g, "_row", "_slot", F.explode("_arr").alias("gram"))
-        .select(*g, "_row", (F.col("_slot") % n_max + 1).alias("n"), (F.col("_slot") / n_max).cast("int").alias("side"), "gram")
-    )
-    rcols = [F.sum((F.col("side") == j + 1).cast("int")) for j in range(len(refs))]
-    per_gram = grams.groupBy(*g, "_row", "n", "gram").agg(
-        F.sum((F.col("side") == 0).cast("int")).alias("_hc"),
-        (F.greatest(*rcols) if len(rcols) > 1 else rcols[0]).alias("_rc"),
-    )
-    counts = per_gram.groupBy(*g).agg(
-        *[F.sum(F.when(F.col("n") == n, F.least("_hc", "_rc"))).cast("bigint").alias(f"c{n}") for n in range(1, n_max + 1)],
-        *[F.sum(F.when(F.col("n") == n, F.col("_hc"))).cast("bigint").alias(f"t{n}") for n in range(1, n_max + 1)],
-        # with one reference the corpus lengths are the unigram totals of each side
-        *([F.sum(F.when(F.col("n") == 1, F.col("_rc"))).cast("bigint").alias("_rl1")] if len(refs) == 1 else []),
-    )
-    if len(refs) == 1:
-        out = counts.withColumn("hyp_len", F.coalesce(F.col("t1"), F.lit(0)).cast("bigint")).withColumn(
-            "ref_len", F.coalesce(F.col("_rl1"), F.lit(0)).cast("bigint")
-        )
-        # a group (or an empty corpus) without any n-gram still yields its row;
-        # the key branch reads only the group columns
-        if g:
-            keys = df.select(*g).distinct()
-            out = keys.join(out, g, "left")
-        else:
-            one = df.sparkSession.range(1).select(F.lit(1).alias("_one"))
-            out = one.join(out.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-        out = out.withColumn("hyp_len", F.coalesce("hyp_len", F.lit(0)).cast("bigint")).withColumn(
-            "ref_len", F.coalesce("ref_len", F.lit(0)).cast("bigint"))
-    else:
-        hl = F.size("_h")
-        # closest reference length, shorter on ties
-        cands = F.array(*[F.struct(F.abs(F.size(f"_r{j}") - hl).alias("d"), F.size(f"_r{j}").alias("l")) for j in range(len(refs))])
-        rl = F.array_min(cands)["l"]
-        lens = base.groupBy(*g).agg(F.sum(hl).cast("bigint").alias("hyp_len"), F.sum(rl).cast("bigint").alias("ref_len"))
-        if g:
-            out = lens.join(counts, g, "left")
-        else:
-            out = lens.withColumn("_one", F.lit(1)).join(counts.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-    return out.select(
-        *g,
-        *[F.coalesce(F.col(f"c{n}"), F.lit(0)).cast("bigint").alias(f"c{n}") for n in range(1, n_max + 1)],
-        *[F.coalesce(F.col(f"t{n}"), F.lit(0)).cast("bigint").alias(f"t{n}") for n in range(1, n_max + 1)],
-        "hyp_len",
-        "ref_len",
-    )
+    empty = F.array().cast("array<string>")
+    tokens = [F.coalesce(tokenize(_c(c)), empty) for c in [hyp, *refs]]
+    rows = df.select(*g, _clipped(n_max, len(refs))(*tokens).alias("_s"))
+    names = [*(f"c{n}" for n in range(1, n_max + 1)), *(f"t{n}" for n in range(1, n_max + 1)), "hyp_len", "ref_len"]
+    return rows.groupBy(*g).agg(*[F.coalesce(F.sum(F.get("_s", F.lit(i))), F.lit(0)).cast("bigint").alias(c) for i, c in enumerate(names)])
 
 
 def bleu_from_stats(n_max: int = 4) -> Column:
@@ -283,7 +232,7 @@ def validation_scalars(df: DataFrame, step_col: str = "step", hyp: str = "hyp",
         id_col = "_o"
     e = error_rates(d, hyp, ref, by=[step_col]).select(step_col, "cer", "wer")
     b = bleu(d, hyp, [ref], by=[step_col], id_col=id_col).select(step_col, "bleu")
-    j = e.join(b, step_col)
+    j = e.withColumnRenamed(step_col, "_e_step").join(b, F.col("_e_step").eqNullSafe(F.col(step_col))).drop("_e_step")
     return j.select(
         F.expr("stack(3, 'validation/cer', cer, 'validation/wer', wer, 'validation/bleu', bleu) as (tag, value)"),
         F.col(step_col).cast("bigint").alias("step"),

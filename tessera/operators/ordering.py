@@ -4,7 +4,7 @@ The base is :func:`exact_rank`.  Rows are cut into *buckets* by an
 order-preserving, deterministic coarsening of the order (a prefix of the
 md5 order key, or a range of batch ids), ranked with ``row_number`` inside
 their bucket, and shifted by a table of bucket offsets.  The offset table has
-one row per bucket (its size is a parameter, so broadcasting it is safe).
+one row per bucket; how it is joined is left to Spark.
 
 Nothing depends on sampling, partition ids or arrival order: a retried task
 or a re-evaluated branch gets the same ranks.  No window ever runs over the
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 def hash_key(key, seed: str) -> Column:
     """Seeded order key: ``md5(key || ':' || seed)`` (hex text, compared as bytes)."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(k.cast("string"), F.lit(":"), F.lit(str(seed))))
+    return F.md5(F.concat(F.coalesce(k.cast("string"), F.lit("")), F.lit(":"), F.lit(str(seed))))
 
 
 def _parts(df: DataFrame, num_partitions: int | None) -> int:
@@ -33,26 +33,25 @@ def _parts(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def hex_digits_for(df: DataFrame, num_partitions: int | None = None) -> int:
-    """Hash-prefix length giving at least 4 buckets per shuffle partition,
-    between 2 and 4 hex digits: the offset table (one row per bucket and
-    group, broadcast) stays at most 65,536 rows per group, and at 10^11 rows a
-    bucket holds about 1.5 M rows -- one sort-based window task."""
+    """Hash-prefix length giving at least 4 buckets per shuffle partition (2
+    hex digits at least).  There is no upper limit: partitions grow with the
+    data, and so do the buckets; ranks do not depend on their number."""
     n = max(_parts(df, num_partitions) * 4, 16)
-    return min(4, max(2, math.ceil(math.log(n, 16))))
+    return max(2, math.ceil(math.log(n, 16)))
 
 
 def exact_rank(df: DataFrame, order_cols: list, bucket_cols: list, rank_col: str = "rank",
                group_cols: list | None = None, total_col: str | None = None,
-               broadcast_offsets: bool = True) -> DataFrame:
+               broadcast_offsets: bool = False) -> DataFrame:
     """Exact 0-based rank in the order of ``order_cols`` (unique, total),
     inside each ``group_cols`` group when given.
 
     ``bucket_cols`` must be deterministic and non-decreasing in the order
     (e.g. a prefix of the order key).  ``total_col`` adds the row count of the
-    row's group, read from the same offset table.  ``broadcast_offsets`` is
-    for bucket counts bounded by a parameter (hash prefixes); buckets that
-    grow with the data (file blocks, batch ranges) leave the join to Spark,
-    which broadcasts the offsets only when their measured size is small.
+    row's group, read from the same offset table.  The join with the offsets
+    is left to Spark, which broadcasts them only when their measured size is
+    small; ``broadcast_offsets`` asks for it where a caller knows the bound.
+    NULL keys, groups and buckets are values like any other.
     """
     gnames = list(group_cols or [])
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
@@ -72,9 +71,13 @@ def exact_rank(df: DataFrame, order_cols: list, bucket_cols: list, rank_col: str
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         F.sum("_n").over(gw).alias("_tot"),
     )
-    # one row per (group, bucket): bounded by the bucket parameter
+    offsets = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in [*gnames, *bnames]], "_off", "_tot")
     offsets = F.broadcast(offsets) if broadcast_offsets else offsets
-    out = local.join(offsets, [*gnames, *bnames]).withColumn(rank_col, F.col("_off") + F.col("_loc"))
+    same = F.lit(True)
+    for c in [*gnames, *bnames]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    out = local.join(offsets, same).drop(*[f"_o_{c}" for c in [*gnames, *bnames]])
+    out = out.withColumn(rank_col, F.col("_off") + F.col("_loc"))
     if total_col:
         out = out.withColumn(total_col, F.col("_tot"))
     return out.drop("_loc", "_off", "_tot", *bnames)
@@ -120,7 +123,7 @@ def epoch_orders(df: DataFrame, epochs: list[int], key: str = "pair_id", seed: s
     by = list(by or [])
     d = df.withColumn("epoch", F.explode(F.array(*[F.lit(int(e)) for e in epochs])))
     digits = hex_digits_for(df, num_partitions)
-    d = d.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}:"), F.col("epoch").cast("string"))))
+    d = d.withColumn("_h", F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}:"), F.col("epoch").cast("string"))))
     return exact_rank(d, ["_h", key], [F.substring("_h", 1, digits)], rank_col=rank_col,
                       group_cols=["epoch", *by]).drop("_h")
 
@@ -141,16 +144,17 @@ def assign_steps(df: DataFrame, epoch_col: str = "epoch", batch_col: str = "batc
     rows = df if keep_col is None else df.where(F.col(keep_col))
     batches = rows.select(epoch_col, batch_col).distinct()
     ranked = exact_rank(batches, [epoch_col, batch_col],
-                        [epoch_col, F.floor(F.col(batch_col) / F.lit(batches_per_bucket))], rank_col="_b",
-                        broadcast_offsets=False)
+                        [epoch_col, F.floor(F.col(batch_col) / F.lit(batches_per_bucket))], rank_col="_b")
     steps = ranked.select(epoch_col, batch_col, (F.col("_b") + F.lit(int(initial_step))).alias(step_col))
     return rows.join(steps, [epoch_col, batch_col])
 
 
 def resume_point(latest: DataFrame) -> DataFrame:
     """``(initial_epoch, initial_step)`` from the latest artifact's
-    ``(epoch, global_step)``; absent values count as -1 and 0 (B17)."""
-    agg = latest.agg(F.max("epoch").alias("_e"), F.max("global_step").alias("_g"))
+    ``(epoch, global_step)``; absent values count as -1 and 0 (B17).  Both come
+    from one artifact: the one with the largest step."""
+    best = F.max_by(F.struct("epoch", "global_step"), F.struct(F.coalesce("global_step", F.lit(-1)), "epoch"))
+    agg = latest.agg(best.alias("_b")).select(F.col("_b.epoch").alias("_e"), F.col("_b.global_step").alias("_g"))
     return agg.select(
         (F.coalesce(F.col("_e"), F.lit(-1)) + 1).cast("int").alias("initial_epoch"),
         F.coalesce(F.col("_g"), F.lit(0)).cast("bigint").alias("initial_step"),
@@ -167,22 +171,18 @@ def validation_sample(df: DataFrame, steps: list[int], n: int = 2, key: str = "p
     """At each trigger step the validation loader is reshuffled; take the
     first ``n`` surviving rows of that order.
 
-    ``steps`` is a driver list (bounded: the trigger steps of one run).  Each
-    of the ``n`` rounds is a ``min_by`` aggregate per step, which combines
-    map side, so no task ever holds more than one candidate per step.
+    ``steps`` is a driver list (bounded: the trigger steps of one run).  The
+    rank filter lets Spark keep ``n`` rows of each step per task before the
+    shuffle (window group limit), and a step's rows are first ranked inside
+    hash parts, so no task gets all rows of a step.
     """
     rows = df if keep_col is None else df.where(F.col(keep_col))
     cand = rows.withColumn("step", F.explode(F.array(*[F.lit(int(s)) for s in steps]))).withColumn(
         "_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}:val:"), F.col("step").cast("string")))
     )
-    picked = None
-    for i in range(n):
-        pool = cand
-        if picked is not None:
-            # only rows after the last pick of their step remain candidates
-            last = picked.groupBy("step").agg(F.max(F.struct("_h", key)).alias("_last"))
-            pool = cand.join(last, "step").where(F.struct("_h", key) > F.col("_last")).drop("_last")
-        best = pool.groupBy("step").agg(F.min_by(F.struct("_h", key), F.struct("_h", key)).alias("_b"))
-        best = best.select("step", F.col("_b._h").alias("_h"), F.col(f"_b.{key}").alias(key), F.lit(i).alias("sample_idx"))
-        picked = best if picked is None else picked.unionByName(best)
+    slim = cand.select("step", key, "_h", F.substring("_h", 32, 1).alias("_part"))
+    for by in (["step", "_part"], ["step"]):
+        w = Window.partitionBy(*by).orderBy("_h", key)
+        slim = slim.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    picked = slim.select("step", key, (F.col("_rn") - 1).cast("int").alias("sample_idx"))
     return picked.join(cand.drop("_h"), ["step", key]).drop("_h")

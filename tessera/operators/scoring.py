@@ -15,7 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
 
-def _score_batches(factory: Callable, text_col: str, out_col: str):
+def _typed(value, kind):
+    """The value, if the output column can hold it; a wrong type is that row's error."""
+    if kind is not None and value is not None and not isinstance(value, kind):
+        raise TypeError(f"prediction is {type(value).__name__}")
+    return value
+
+
+#: Python values that an output column of a simple type takes.
+PYTHON_TYPES = {"string": str, "int": int, "bigint": int, "double": (float, int), "float": (float, int), "boolean": bool,
+                "array": (list, tuple)}
+
+
+def _score_batches(factory: Callable, text_col: str, out_col: str, kind=None):
     def run(batches):
         predictor = factory()
         batch_fn = getattr(predictor, "predict_batch", None)
@@ -25,6 +37,9 @@ def _score_batches(factory: Callable, text_col: str, out_col: str):
             if batch_fn is not None:
                 try:
                     outs = list(batch_fn(texts))
+                    if len(outs) != len(texts):
+                        raise ValueError(f"{len(outs)} predictions for {len(texts)} texts")
+                    outs = [_typed(o, kind) for o in outs]
                     status = ["ok"] * len(texts)
                     errs = [None] * len(texts)
                 except Exception:  # fall back to rows; the failing row is reported
@@ -34,7 +49,7 @@ def _score_batches(factory: Callable, text_col: str, out_col: str):
                 call = predictor if callable(predictor) else predictor.predict
                 for t in texts:
                     try:
-                        outs.append(call(t))
+                        outs.append(_typed(call(t), kind))
                         status.append("ok")
                         errs.append(None)
                     except Exception as e:  # noqa: BLE001 - reported per row
@@ -61,7 +76,8 @@ def batch_predict(df: DataFrame, predictor_factory: Callable, text_col: str = "t
             StructField("error", StringType(), True),
         ]
     )
-    return df.mapInPandas(_score_batches(predictor_factory, text_col, out_col), schema)
+    return df.mapInPandas(
+        _score_batches(predictor_factory, text_col, out_col, PYTHON_TYPES.get(out_type.simpleString().split("<")[0])), schema)
 
 
 class ReverseWords:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from tessera.config import SPECIAL_PIECES, UNK_ID, WORD_MARK
+from tessera.operators.ordering import exact_rank
 from tessera.functions.text import chars, marked_words, nfkc, split_words
 
 VOCAB_SCHEMA = StructType(
@@ -130,9 +131,24 @@ def with_specials(body: DataFrame, specials=SPECIAL_PIECES) -> DataFrame:
     return sp.unionByName(body.select(*VOCAB_SCHEMA.fieldNames()))
 
 
-def fit_word_vocab(df: DataFrame, col: str, vocab_size: int, apply_nfkc: bool = False) -> DataFrame:
-    """T11 word tokenizer: specials + the ``vocab_size - 7`` most frequent words."""
+def all_pieces(counts: DataFrame, piece_col: str = "word", freq_col: str = "freq",
+               first_id: int = len(SPECIAL_PIECES), kind: str = "word", exclude=SPECIAL_PIECES) -> DataFrame:
+    """Every piece, ids from ``first_id`` in (freq desc, piece) order, for vocabularies that grow with the data.
+
+    The rank is put together from buckets of one frequency and the first
+    characters of the piece, so the many rare words are not in one task."""
+    d = counts.where(~F.col(piece_col).isin(list(exclude))).withColumn("_neg", -F.col(freq_col))
+    ranked = exact_rank(d, ["_neg", piece_col], ["_neg", F.substring(piece_col, 1, 2)], rank_col="_rank", broadcast_offsets=False)
+    return ranked.select(
+        F.col(piece_col).alias("piece"), (F.col("_rank") + F.lit(first_id)).cast("int").alias("id"),
+        F.col(freq_col).cast("bigint").alias("freq"), F.lit(kind).alias("kind"))
+
+
+def fit_word_vocab(df: DataFrame, col: str, vocab_size: int | None, apply_nfkc: bool = False) -> DataFrame:
+    """T11 word tokenizer: specials + the ``vocab_size - 7`` most frequent words (all words for None)."""
     wc = word_counts(df, col, apply_nfkc=apply_nfkc)
+    if vocab_size is None:
+        return with_specials(all_pieces(wc))
     return with_specials(top_pieces(wc, vocab_size - len(SPECIAL_PIECES)))
 
 

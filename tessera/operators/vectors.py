@@ -1,8 +1,8 @@
 """Operators over score tables and vector tables.
 
 Score tables are long: ``(group..., token_id, score)``.  Group statistics are
-partial aggregates joined back on the group key; a hot group only makes one
-join key large, which AQE's skew-join handling splits.
+partial aggregates joined back on the group key; the aggregate that follows a
+join first folds salted parts of a group, so a hot group is spread over tasks.
 """
 
 from __future__ import annotations
@@ -15,17 +15,18 @@ from pyspark.sql import functions as F
 from tessera.config import PAD_ID
 from tessera.functions.arrays import scale_vector
 
-# An embedding matrix is broadcast only up to this many rows.
-MAX_BROADCAST_VECTORS = 1_000_000
+# Parts that a group is cut into before its scores are summed.
+SALTS = 16
 
 
 def log_softmax(df: DataFrame, by: list[str], score: str = "score", out: str = "log_prob",
                 small_groups: bool = False) -> DataFrame:
     """``score - (max + log(sum(exp(score - max))))`` within each group.
 
-    Default: two aggregates (max, then the shifted exp-sum) joined back on
-    ``by`` -- partial aggregation and AQE's skew handling keep a huge group
-    from landing in one task.  ``small_groups=True`` uses one window
+    Default: each task folds its rows of a salted part of a group to (max,
+    exp-sum), the parts are folded to one row a group, and that is joined back
+    on ``by``; both sides of the join are plain shuffles, so AQE can split a
+    huge group there as well.  ``small_groups=True`` uses one window
     partitioned by ``by`` (one shuffle) for groups known to be small, such as
     one position's scores over a vocabulary.
     """
@@ -37,10 +38,13 @@ def log_softmax(df: DataFrame, by: list[str], score: str = "score", out: str = "
         shifted = df.withColumn("_s", F.col(score) - m)
         lse = F.log(F.sum(F.exp("_s")).over(w))
         return shifted.withColumn(out, F.col("_s") - lse).drop("_s")
-    mx = df.groupBy(*by).agg(F.max(score).alias("_m"))
-    shifted = df.join(mx, by)
-    lse = shifted.groupBy(*by).agg((F.max("_m") + F.log(F.sum(F.exp(F.col(score) - F.col("_m"))))).alias("_lse"))
-    return shifted.join(lse, by).withColumn(out, F.col(score) - F.col("_lse")).drop("_m", "_lse")
+    salted = df.select(*by, score, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).alias("_salt"))
+    most = salted.groupBy(*by, "_salt").agg(F.max(score).alias("_m"))
+    parts = salted.join(most, [*by, "_salt"]).groupBy(*by, "_salt", "_m").agg(F.sum(F.exp(F.col(score) - F.col("_m"))).alias("_s"))
+    top = parts.groupBy(*by).agg(F.max("_m").alias("_mm"), F.collect_list(F.struct("_m", "_s")).alias("_parts"))  # SALTS entries
+    total = F.aggregate("_parts", F.lit(0.0), lambda acc, p: acc + p["_s"] * F.exp(p["_m"] - F.col("_mm")))
+    lse = top.select(*by, (F.col("_mm") + F.log(total)).alias("_lse"))
+    return df.join(lse, by).withColumn(out, F.col(score) - F.col("_lse")).drop("_lse")
 
 
 def argmax(df: DataFrame, by: list[str], score: str = "score", token: str = "token_id") -> DataFrame:
@@ -71,21 +75,18 @@ def smoothed_nll(log_probs: DataFrame, labels: DataFrame, by: list[str], label:
 
 
 def embed(ids: DataFrame, vectors: DataFrame, key: str, ids_col: str = "ids", id_col: str = "vec_id",
-          vec_col: str = "embedding", dim: int | None = None, broadcast_table: bool = True) -> DataFrame:
+          vec_col: str = "embedding", dim: int | None = None, missing: str = "error") -> DataFrame:
     """Look every id up in a vector table and scale by ``sqrt(d)``.
 
-    Output: one row per (row, position).  The vector table is an embedding
-    matrix with one row per vocabulary id; it is counted and broadcast when it
-    has at most ``MAX_BROADCAST_VECTORS`` rows, otherwise (or with
-    ``broadcast_table=False``) joined by shuffle.  Ids absent from the table
-    yield no row.
+    Output: one row per (row, position).  Spark picks the join from the
+    measured size of the vector table.  An id that the table lacks fails the
+    job; ``missing="null"`` keeps its row with a NULL vector instead.
     """
     toks = ids.select(F.col(key), F.posexplode(ids_col).alias("pos", "_tok"))
     v = vectors.select(F.col(id_col).alias("_tok"), F.col(vec_col).alias("_vec"))
-    if broadcast_table:
-        v = v.persist()
-        if v.count() <= MAX_BROADCAST_VECTORS:
-            v = F.broadcast(v)
-    j = toks.join(v, "_tok")
+    j = toks.join(v.withColumn("_known", F.lit(True)), "_tok", "left")
+    if missing == "error":
+        absent = F.raise_error(F.concat(F.lit("no vector for id "), F.coalesce(F.col("_tok").cast("string"), F.lit("NULL"))))
+        j = j.withColumn("_tok", F.when(F.col("_known"), F.col("_tok")).otherwise(absent.cast("bigint")))
     factor = F.lit(math.sqrt(dim)) if dim else F.sqrt(F.size("_vec").cast("double"))
     return j.select(key, "pos", F.col("_tok").alias("token_id"), scale_vector("_vec", factor).alias("vector"))

@@ -206,7 +206,7 @@ def q_t9_bpe_roundtrip(spark, d):
 
 def q_t10_decode(spark, d):
     cp = fx.conv_pairs(spark, d)
-    v = tokenizer.fit_word_vocab(cp, "src_text", 1 << 20)
+    v = tokenizer.fit_word_vocab(cp, "src_text", None)
     enc = tokenizer.encode_words(cp, "pair_id", [("src_text", "ids", v)])
     return tokenizer.decode_ids(enc, "pair_id", "ids", v, "text").select("pair_id", "text")
 
@@ -389,12 +389,12 @@ def q_m6_eval_steps(spark, d):
 
 
 def q_m7_validation_scalars(spark, d):
-    hr = fx.hyp_ref(spark, d).withColumn("step", F.floor(F.col("id") / 100000).cast("bigint"))
+    hr = fx.hyp_ref(spark, d).withColumn("step", F.shiftright(F.col("id"), 32))
     return metrics.validation_scalars(hr, "step", id_col="id").withColumn("value", _r("value"))
 
 
 def q_m7_validation_scalars_last(spark, d):
-    hr = fx.hyp_ref(spark, d).withColumn("step", F.floor(F.col("id") / 100000).cast("bigint"))
+    hr = fx.hyp_ref(spark, d).withColumn("step", F.shiftright(F.col("id"), 32))
     return metrics.validation_scalars(hr, "step", mode="last", order_col="id").withColumn("value", _r("value"))
 
 

@@ -22,14 +22,13 @@ from tessera.operators.ordering import exact_rank
 
 def read_numbered_lines(spark: SparkSession, path: str, text_col: str = "text") -> DataFrame:
     """Lines of a file or a folder of part files with their exact 0-based number."""
-    raw = spark.read.text(path).select(
+    raw = spark.read.text(path, lineSep="\n").select(
         F.col("value").alias(text_col),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    return exact_rank(raw, ["_file", "_block", "_seq"], ["_file", "_block"], rank_col="line_no",
-                      broadcast_offsets=False).drop(
+    return exact_rank(raw, ["_file", "_block", "_seq"], ["_file", "_block"], rank_col="line_no").drop(
         "_file", "_block", "_seq"
     )
 
@@ -53,15 +52,19 @@ def read_aligned_lines(spark: SparkSession, src_path: str, tgt_path: str, split:
 
 def read_split_files(spark: SparkSession, folder: str, src: str, tgt: str,
                      splits=("train", "valid", "test")) -> DataFrame:
-    """S1 for a folder holding ``<split>.<lang>`` files; missing splits are skipped."""
+    """S1 for a folder holding ``<split>.<lang>`` files; missing splits are skipped.
+
+    ``line_no`` restarts in each file; ``pair_id`` (number of the split * 2^48 +
+    ``line_no``) is unique over all of them."""
     from tessera.sources.artifacts import _exists
 
     out = None
-    for sp in splits:
+    for number, sp in enumerate(splits):
         sp_src, sp_tgt = f"{folder}/{sp}.{src}", f"{folder}/{sp}.{tgt}"
         if not (_exists(spark, sp_src) and _exists(spark, sp_tgt)):
             continue
         d = read_aligned_lines(spark, sp_src, sp_tgt, split=sp)
+        d = d.withColumn("pair_id", F.lit(number << 48).cast("bigint") + F.col("line_no"))
         out = d if out is None else out.unionByName(d)
     if out is None:
         raise FileNotFoundError(f"no aligned split files under {folder}")
@@ -70,10 +73,10 @@ def read_split_files(spark: SparkSession, folder: str, src: str, tgt: str,
 
 def write_hypotheses(df: DataFrame, path: str, order_col: str = "line_no", text_col: str = "hyp",
                      num_partitions: int | None = None, mode: str = "overwrite") -> None:
-    """One line per row in ``order_col`` order, newlines turned into spaces."""
+    """One line per row in ``order_col`` order, line feeds and carriage returns turned into spaces."""
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     out = (
-        df.select(F.col(order_col), normalize_newlines(F.coalesce(F.col(text_col), F.lit(""))).alias("value"))
+        df.select(F.col(order_col), F.translate(normalize_newlines(F.coalesce(F.col(text_col), F.lit(""))), "\r", " ").alias("value"))
         .repartitionByRange(n, order_col)
         .sortWithinPartitions(order_col)
         .select("value")

@@ -32,15 +32,17 @@ def write_training_text(df: DataFrame, col: str, path: str, model_path: str | No
 
 
 def save_vocab(vocab: DataFrame, path: str, merges: DataFrame | None = None, mode: str = "ignore") -> None:
-    """Vocabulary (and BPE merges) as Parquet under ``path``."""
-    vocab.write.mode(mode).parquet(f"{path}/vocab")
+    """Vocabulary (and BPE merges) as Parquet under ``path``.  The merges
+    come first: a committed vocabulary means that all is there."""
     if merges is not None:
-        merges.write.mode(mode).parquet(f"{path}/merges")
+        # left over from a run that ended before its vocabulary was written
+        merges.write.mode(mode if _exists(vocab.sparkSession, f"{path}/vocab/_SUCCESS") else "overwrite").parquet(f"{path}/merges")
+    vocab.write.mode(mode if _exists(vocab.sparkSession, f"{path}/vocab/_SUCCESS") else "overwrite").parquet(f"{path}/vocab")
 
 
 def load_vocab(spark: SparkSession, path: str):
-    """``(vocab, merges or None)``; a missing vocabulary raises."""
-    if not _exists(spark, f"{path}/vocab"):
+    """``(vocab, merges or None)``; a missing or half-written vocabulary raises."""
+    if not _exists(spark, f"{path}/vocab/_SUCCESS"):
         raise FileNotFoundError(f"no vocabulary at {path}")
     vocab = spark.read.parquet(f"{path}/vocab")
     merges = spark.read.parquet(f"{path}/merges") if _exists(spark, f"{path}/merges") else None
@@ -50,7 +52,7 @@ def load_vocab(spark: SparkSession, path: str):
 def get_or_build_vocab(spark: SparkSession, path: str, build):
     """Load the vocabulary at ``path``; build (``build() -> (vocab, merges)``)
     and save it first when absent."""
-    if not _exists(spark, f"{path}/vocab"):
+    if not _exists(spark, f"{path}/vocab/_SUCCESS"):
         vocab, merges = build()
         save_vocab(vocab, path, merges)
     return load_vocab(spark, path)
@@ -78,20 +80,25 @@ def append_scalars(df: DataFrame, path: str) -> None:
 _NUMBERED = r"^(.*?)(\d+)\.pt$"
 
 
+def _rx_quote(text: str) -> str:
+    return "".join(ch if ch.isalnum() or ch == "_" else "\\" + ch for ch in text)
+
+
 def latest_artifact(paths: DataFrame, path_col: str = "path", base: str | None = None) -> DataFrame:
     """Per base name, the artifact with the largest *number* (not string
     order).  Names must match ``<base><digits>.pt`` exactly; temp files and
-    other suffixes are ignored.  ``base`` restricts to one base name."""
+    other suffixes are ignored.  ``base`` restricts to one base name, which may
+    end in a digit itself; the number is what follows it.  Digit runs of any
+    length are compared as numbers; one beyond a bigint has a NULL ``number``."""
+    pattern = _NUMBERED if base is None else f"^({_rx_quote(base)})(\\d+)\\.pt$"
     name = F.regexp_extract(F.col(path_col), r"([^/]+)$", 1)
     d = paths.select(
         F.col(path_col).alias("path"),
-        F.regexp_extract(name, _NUMBERED, 1).alias("base"),
-        F.regexp_extract(name, _NUMBERED, 2).alias("_digits"),
+        F.regexp_extract(name, pattern, 1).alias("base"),
+        F.regexp_extract(name, pattern, 2).alias("_digits"),
     ).where(F.col("_digits") != "")
-    d = d.withColumn("number", F.col("_digits").cast("decimal(38,0)"))
-    if base is not None:
-        d = d.where(F.col("base") == F.lit(base))
-    return d.groupBy("base").agg(
-        F.max_by("path", F.struct("number", "path")).alias("path"),
-        F.max("number").cast("bigint").alias("number"),
-    )
+    # numbers in order: by length without leading zeros, then as text
+    bare = F.regexp_replace("_digits", "^0+(?=.)", "")
+    d = d.withColumn("_order", F.struct(F.length(bare).alias("l"), bare.alias("d")))
+    best = d.groupBy("base").agg(F.max_by(F.struct("path", "_order"), F.struct("_order", "path")).alias("_b"))
+    return best.select("base", F.col("_b.path").alias("path"), F.expr("try_cast(_b._order.d AS bigint)").alias("number"))

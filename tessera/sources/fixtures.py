@@ -18,6 +18,9 @@ TABLES = (
 ).split()
 
 
+# Positions inside a conversation or document take the low 32 bits of a key.
+KEY_STEP = 1 << 32
+
 # Tables whose rows carry long texts: row-local work on them is heavy, so a
 # scan with too few splits is spread first (see ``session.balance``).
 TEXT_TABLES = {"documents", "pages", "conversations"}
@@ -28,9 +31,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return balance(df) if name in TEXT_TABLES else df
 
 
+def row_key(major: str, minor: str) -> "F.Column":
+    """One number for (id, position): unique for ids below 2^31 and any number of positions an array can hold."""
+    return F.col(major).cast("bigint") * KEY_STEP + F.col(minor).cast("bigint")
+
+
 def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn paired with the next turn of its conversation when that
-    turn is an assistant turn; ``pair_id = conv_id*1000 + turn``.
+    turn is an assistant turn; ``pair_id = conv_id * 2^32 + turn``.
 
     An equi join on ``(conv_id, turn)`` rather than a window over
     ``conv_id``: a very long conversation cannot pile up in one task.
@@ -41,7 +49,7 @@ def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tgt_text")
     )
     return user.join(nxt, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "src_text", "tgt_text"
+        row_key("conv_id", "turn").alias("pair_id"), "src_text", "tgt_text"
     )
 
 
@@ -51,7 +59,7 @@ def _doc_lines(spark: SparkSession, sf_dir: str, extra=("lang",)) -> DataFrame:
 
 
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line i of a document with line i+1; ``pair_id = doc_id*100000 + i``.
+    """Line i of a document with line i+1; ``pair_id = doc_id * 2^32 + i``.
 
     Neighbouring lines are paired inside the row (no self join, no window).
     """
@@ -65,7 +73,7 @@ def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     return d.select("doc_id", F.inline(pairs)).select(
-        (F.col("doc_id") * 100000 + F.col("i")).alias("pair_id"), "src_text", "tgt_text"
+        row_key("doc_id", "i").alias("pair_id"), "src_text", "tgt_text"
     )
 
 
@@ -78,13 +86,12 @@ def damage(col) -> "F.Column":
 
 
 def hyp_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document lines of 10-300 characters as references, damaged copies as
-    hypotheses; ``id`` numbered as in ``line_pairs``."""
+    """All document lines as references, damaged copies as hypotheses; ``id``
+    numbered as in ``line_pairs``."""
     d = _doc_lines(spark, sf_dir)
     return (
         d.select("doc_id", "lang", F.posexplode("lines").alias("i", "ref"))
-        .where(F.length("ref").between(10, 300))
-        .select((F.col("doc_id") * 100000 + F.col("i")).alias("id"), "lang", "ref", damage("ref").alias("hyp"))
+        .select(row_key("doc_id", "i").alias("id"), "lang", "ref", damage("ref").alias("hyp"))
     )
 
 

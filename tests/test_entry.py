@@ -18,7 +18,8 @@ def test_every_oracle_has_a_query_and_names_are_plain():
         for name in [*E.llm_queries.queries(), "pipeline"]:
             del qs[name]
             sql.pop(name, None)
-    assert set(qs) - set(sql) == {"t5_train_bpe"}  # iterative: rows-only check
+    # iterative, or a word distance that SQL has no function for: tested against plain versions
+    assert set(qs) - set(sql) == {"t5_train_bpe", "m2_wer", "m7_validation_scalars", "m7_validation_scalars_last"}
     for name in qs:
         assert name == name.lower() and not name.startswith("op")
 
