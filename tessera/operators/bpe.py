@@ -9,9 +9,9 @@ them one at a time (see :func:`select_merges`).  The word table is rewritten
 by a chain of ``regexp_replace`` calls (JVM), persisted, and checkpointed to
 the shared checkpoint folder every few rounds to cut lineage.
 
-Encoding (T9) explodes words, encodes each *distinct* word once in an Arrow
-batch function (merges broadcast: bounded by the vocabulary size), joins the
-pieces back and regroups per row.
+Encoding (T9) works on each row where it is, in an Arrow function with the
+merges broadcast (bounded by the vocabulary size) and a cache of words in each
+task; a variant encodes distinct words, joins the pieces back and regroups.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+import re
 import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 
@@ -43,6 +46,11 @@ def symbols_of(word_col: str = "word"):
     return chars(word_col)
 
 
+#: The specials that a text can hold as words; the others are control pieces.
+SPECIAL_SET = frozenset(p for p in SPECIAL_PIECES if p.startswith("["))
+LITERAL_SPECIALS = re.compile("(" + "|".join(re.escape(p) for p in sorted(SPECIAL_SET)) + ")")
+
+
 def pair_counts(words: DataFrame, sym_col: str = "syms", freq_col: str = "freq") -> DataFrame:
     """T4: ``(left, right, n)``: adjacent symbol pairs weighted by word
     frequency, every adjacent occurrence counted."""
@@ -137,6 +145,9 @@ def train_bpe(df: DataFrame, col: str, vocab_size: int, coverage: float = 1.0, m
     spark = df.sparkSession
     checkpoint_root(spark)
     wc = tok.word_counts(df, col, marked=True, apply_nfkc=apply_nfkc)
+    # no pair is counted inside or across a literal special, which is one piece
+    parts = F.when(F.col("word").contains("["), F.split("word", LITERAL_SPECIALS.pattern.replace("(", "(?:", 1))).otherwise(F.array("word"))
+    wc = wc.select(F.explode(parts).alias("word"), "freq").where("word <> ''").groupBy("word").agg(F.sum("freq").alias("freq"))
     words = wc.select("word", "freq", F.array_join(symbols_of("word"), " ").alias("syms")).checkpoint()
     alphabet = tok.char_inventory(words.select("word", "freq"), coverage)
     # the alphabet is bounded by the number of distinct characters
@@ -224,28 +235,26 @@ def encode_raw_word(marked: str, ranks: dict, piece_ids: dict, unk_id: int = UNK
     several, e.g. when a compatibility character expands to a space), then
     each resulting word is encoded with its own word-start mark."""
     if not apply_nfkc or marked.isascii():
-        return encode_word(marked, ranks, piece_ids, unk_id)
+        words = [marked]
+    else:
+        words = [WORD_MARK + w for w in split_white_space(unicodedata.normalize("NFKC", marked[len(WORD_MARK):]))]
     out: list = []
-    for w in split_white_space(unicodedata.normalize("NFKC", marked[len(WORD_MARK):])):
-        out.extend(encode_word(WORD_MARK + w, ranks, piece_ids, unk_id))
+    for w in words:
+        # a literal special is one piece wherever it stands
+        for part in LITERAL_SPECIALS.split(w) if "[" in w else [w]:
+            if part in SPECIAL_SET:
+                out.append(piece_ids.get(part, unk_id))
+            elif part:
+                out.extend(encode_word(part, ranks, piece_ids, unk_id))
     return out
 
 
 def _word_coder(b_ranks, b_ids, unk_id, apply_nfkc: bool = True):
     def run(batches):
         ranks, ids = b_ranks.value, b_ids.value
-        cache: dict = {}
         for pdf in batches:
-            out = []
-            for w in pdf["word"]:
-                v = cache.get(w)
-                if v is None:
-                    v = encode_raw_word(w, ranks, ids, unk_id, apply_nfkc)
-                    if len(cache) < 200_000:
-                        cache[w] = v
-                out.append(v)
             pdf = pdf.copy()
-            pdf["wids"] = out
+            pdf["wids"] = [encode_raw_word(w, ranks, ids, unk_id, apply_nfkc) for w in pdf["word"]]
             yield pdf
 
     return run
@@ -262,29 +271,21 @@ def broadcast_model(spark: SparkSession, vocab: DataFrame, merges: DataFrame):
     return sc.broadcast(mr), sc.broadcast(ids)
 
 
+CACHED_WORDS = 1 << 18
 HOT_WORDS = 10_000  # words joined by broadcast; every other word is rarer than the last of them
 
 
 def _row_coder(b_ranks, b_ids, unk_id, apply_nfkc):
     @F.pandas_udf(ArrayType(IntegerType()))
-    def code(texts):
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ranks, ids = b_ranks.value, b_ids.value
-        cache: dict = {}
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            row: list = []
-            for w in split_white_space(t):
-                v = cache.get(w)
-                if v is None:
-                    v = encode_raw_word(WORD_MARK + w, ranks, ids, unk_id, apply_nfkc)
-                    if len(cache) < 200_000:
-                        cache[w] = v
-                row.extend(v)
-            out.append(row)
-        return pd.Series(out)
+
+        @lru_cache(maxsize=CACHED_WORDS)  # one cache a task; results do not depend on it
+        def word_ids(w: str) -> tuple:
+            return tuple(encode_raw_word(WORD_MARK + w, ranks, ids, unk_id, apply_nfkc))
+
+        for texts in batches:
+            yield pd.Series([None if t is None else [i for w in split_white_space(t) for i in word_ids(w)] for t in texts], dtype=object)
 
     return code
 
@@ -292,7 +293,7 @@ def _row_coder(b_ranks, b_ids, unk_id, apply_nfkc):
 def encode_rowwise(df: DataFrame, col: str, vocab: DataFrame, merges: DataFrame, out_col: str = "ids",
                    apply_nfkc: bool = True, unk_id: int = UNK_ID, model=None) -> DataFrame:
     """T9, row-local: an Arrow batch function encodes each row's words with
-    a per-batch cache of encoded words.  No shuffle at all (nothing can be
+    a cache of encoded words in each task.  No shuffle at all (nothing can be
     hot); Python sees every token once instead of every distinct word once."""
     b_ranks, b_ids = model or broadcast_model(df.sparkSession, vocab, merges)
     return df.withColumn(out_col, _row_coder(b_ranks, b_ids, unk_id, apply_nfkc)(F.col(col)))
@@ -300,14 +301,13 @@ def encode_rowwise(df: DataFrame, col: str, vocab: DataFrame, merges: DataFrame,
 
 def encode(df: DataFrame, key: str, col: str, vocab: DataFrame, merges: DataFrame, out_col: str = "ids",
            apply_nfkc: bool = True, unk_id: int = UNK_ID, model=None, hot_words: int = HOT_WORDS,
-           strategy: str = "join") -> DataFrame:
+           strategy: str = "rowwise") -> DataFrame:
     """Text to subword ids.
 
-    ``strategy="rowwise"`` runs :func:`encode_rowwise` instead (no shuffle;
-    measured 9.5 s against 15-20 s for the join on 85,513 lines locally, but
-    Python then handles every token rather than every distinct word).
-
-    Words are counted (partial aggregation, so a hot word is combined map
+    By default each row is encoded where it is (:func:`encode_rowwise`: one
+    scan, no shuffle; 9.5 s against 15-20 s for the join on 85,513 lines
+    locally).  ``strategy="join"`` encodes distinct words instead, for models
+    too large for each worker's memory.  There, words are counted (partial aggregation, so a hot word is combined map
     side) and each *distinct* word is encoded once.  The pieces go back to the
     tokens in two joins: the ``hot_words`` most frequent words (a bounded
     table) by broadcast, the rest by a shuffle join in which no key is more

@@ -47,8 +47,16 @@ def _conv_prepared(spark, d, cfg=CFG):
 
 
 def _conv_examples(spark, d):
-    enc, _, _ = _conv_encoded(spark, d)
-    return examples.build_examples(enc, CFG.seq_len)
+    cp = fx.conv_pairs(spark, d)
+    vs, vt = prep.fit_vocabs(cp, CFG.with_(vocab_size=WORD_VOCAB))
+    return prep.encode_kept(cp, vs, vt, CFG).where(F.col("kept"))
+
+
+def _conv_bpe_prepared(spark, d):
+    """The pairs prepared with a BPE model for each side, as the trainer encodes them."""
+    cp = fx.conv_pairs(spark, d)
+    models = [bpe.train_bpe(cp, c, BPE_VOCAB)[:2] for c in ("src_text", "tgt_text")]
+    return prep.prepare(cp, CFG, encoder=prep.bpe_encoder(*models))
 
 
 # ---------------------------------------------------------------- sources
@@ -243,6 +251,16 @@ def q_e7_examples(spark, d):
     )
 
 
+def q_e7_bpe_examples(spark, d):
+    ex = _conv_bpe_prepared(spark, d).where(F.col("kept"))
+    return ex.select("pair_id", "src_len", "tgt_len", A.join_ints("encoder_input").alias("encoder_input"),
+                     A.join_ints("decoder_input").alias("decoder_input"), A.join_ints("label").alias("label"), "decoder_valid_len")
+
+
+def q_a4_bpe_report(spark, d):
+    return aggregates.prep_report(_conv_bpe_prepared(spark, d).select("split", "kept", "drop_reason", "src_len", "tgt_len", "batch_id"))
+
+
 def q_e5_causal_mask(spark, d):
     ex = _conv_examples(spark, d)
     m = A.causal_mask(F.col("decoder_valid_len"))

@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import PrepConfig
+from tessera.functions.text import n_words
 from tessera.operators import aggregates, ordering, tokenizer
+from tessera.operators.checks import drop_reason
 from tessera.operators.examples import build_examples
 
 
@@ -34,6 +36,30 @@ def encode_pairs(pairs: DataFrame, vs: DataFrame, vt: DataFrame, key: str = "pai
     return tokenizer.encode_words(pairs, key, [("src_text", "src_ids", vs), ("tgt_text", "tgt_ids", vt)])
 
 
+def _train_rows(pairs: DataFrame, cfg: PrepConfig, key: str, num_partitions: int | None = None):
+    """The rows of the train split, where vocabularies are to be fitted on them alone."""
+    if cfg.fit_on != "train":
+        return None
+    sp = ordering.split_pairs(pairs.select(key), key=key, seed=cfg.seed, ratio=cfg.train_ratio, num_partitions=num_partitions)
+    return pairs.join(sp.where("split = 'train'").select(key), key, "left_semi")
+
+
+def encode_kept(pairs: DataFrame, vs: DataFrame, vt: DataFrame, cfg: PrepConfig, key: str = "pair_id") -> DataFrame:
+    """Example rows of all pairs; only those that the length filter keeps are encoded.
+
+    A word is one id, so the lengths, and with them the drop reasons of all
+    rows (B6), are known before the encode.
+    """
+    lens = {"_sl": n_words("src_text").cast("int"), "_tl": n_words("tgt_text").cast("int")}
+    d = pairs.withColumns(lens).withColumn("_why", drop_reason("_sl", "_tl", cfg.seq_len))
+    d = d.withColumns({"_src": F.col("src_text"), "_tgt": F.col("tgt_text")})
+    d = d.withColumns({c: F.when(F.col("_why").isNull(), F.col(c)) for c in ("src_text", "tgt_text")})
+    ex = build_examples(encode_pairs(d, vs, vt, key), cfg.seq_len, keep_dropped=True)
+    ex = ex.withColumns({"src_text": F.col("_src"), "tgt_text": F.col("_tgt"), "src_len": F.col("_sl"), "tgt_len": F.col("_tl"),
+                         "drop_reason": F.col("_why"), "kept": F.col("_why").isNull()})
+    return ex.drop("_src", "_tgt", "_sl", "_tl", "_why")
+
+
 def bpe_encoder(src_model, tgt_model, key: str = "pair_id"):
     """An encoder for :func:`prepare` from two BPE models ``(vocab, merges)``."""
     from tessera.operators import bpe
@@ -67,9 +93,9 @@ def prepare(pairs: DataFrame, cfg: PrepConfig = PrepConfig(), vocabs=None, key:
     if encoder is not None:
         enc = encoder(pairs)
     else:
-        vs, vt = vocabs if vocabs is not None else fit_vocabs(pairs, cfg)
-        enc = encode_pairs(pairs, vs, vt, key)
-    ex = build_examples(enc, cfg.seq_len, keep_dropped=True)
+        vs, vt = vocabs if vocabs is not None else fit_vocabs(pairs, cfg, _train_rows(pairs, cfg, key, num_partitions))
+        enc = encode_kept(pairs, vs, vt, cfg, key)
+    ex = enc if encoder is None else build_examples(enc, cfg.seq_len, keep_dropped=True)
     if cfg.filter_first:
         sp = ordering.split_pairs(pairs.select(key), key=key, seed=cfg.seed, ratio=cfg.train_ratio,
                                   num_partitions=num_partitions)
@@ -84,9 +110,6 @@ def prepare(pairs: DataFrame, cfg: PrepConfig = PrepConfig(), vocabs=None, key:
 
 def word_lengths(pairs: DataFrame, cfg: PrepConfig, key: str = "pair_id") -> DataFrame:
     """Token counts of the word tokenizer without encoding: one id per word."""
-    from tessera.functions.text import n_words
-    from tessera.operators.checks import drop_reason
-
     d = pairs.select(key, n_words("src_text").cast("int").alias("src_len"), n_words("tgt_text").cast("int").alias("tgt_len"))
     return d.withColumn("drop_reason", drop_reason("src_len", "tgt_len", cfg.seq_len)).withColumn(
         "kept", F.col("drop_reason").isNull()

@@ -176,3 +176,46 @@ def test_row_keys_do_not_collide(spark):
     df = spark.createDataFrame([(1, 1000), (2, 0), (1, 100000)], "a long, b int")
     assert df.select(fx.row_key("a", "b")).distinct().count() == 3
     assert split_words is not None
+
+
+def test_literal_specials_in_subword_text(spark):
+    df = spark.createDataFrame([(1, "low [EOS] lower x[PAD]y lowest"), (2, "newest [EOS]")], "k long, text string")
+    vocab, merges, _ = bpe.train_bpe(df, "text", 24)
+    ids = {r.piece: r.id for r in vocab.collect()}
+    assert not any("[" in p or "E" in p for p in ids if ids[p] > 6)
+    for strategy in ("rowwise", "join"):
+        enc = bpe.encode(df, "k", "text", vocab, merges, strategy=strategy)
+        got = {r.k: r.ids for r in enc.collect()}
+        assert got[1].count(6) == 1 and got[1].count(3) == 1 and got[2][-1] == 6
+        dec = {r.k: r.text2 for r in tokenizer.decode_ids(enc, "k", "ids", vocab, "text2", mode="subword").collect()}
+        assert dec == {r.k: r.text for r in df.collect()}
+
+
+def test_bpe_examples_equal_a_plain_encoder(spark):
+    cp = fx.conv_pairs(spark, SF)
+    models = []
+    for c in ("src_text", "tgt_text"):
+        vocab, merges, _ = bpe.train_bpe(cp, c, catalog.BPE_VOCAB)
+        models.append(({(r.left, r.right): r["rank"] for r in merges.collect()}, {r.piece: r.id for r in vocab.collect()}))
+    want = {}
+    for r in cp.collect():
+        s, t = ([i for w in x.split() for i in bpe.encode_raw_word("\u2581" + w, *m)] for x, m in zip((r.src_text, r.tgt_text), models))
+        if len(s) <= 126 and len(t) <= 127:
+            want[r.pair_id] = (len(s), len(t), ",".join(map(str, [5, *s, 6] + [3] * (126 - len(s)))))
+    got = {r.pair_id: (r.src_len, r.tgt_len, r.encoder_input) for r in catalog.q_e7_bpe_examples(spark, SF).collect()}
+    assert got == want
+    report = catalog.q_a4_bpe_report(spark, SF).collect()
+    assert {r.split for r in report} == {"train", "validation"}
+
+
+def test_vocabulary_of_the_train_rows(spark):
+    from tessera.config import PrepConfig
+    from tessera.operators import ordering as o
+    from tessera.plans import prep
+
+    pairs = spark.createDataFrame([(i, f"word{i}", f"wort{i}") for i in range(40)], "pair_id long, src_text string, tgt_text string")
+    cfg = PrepConfig(fit_on="train")
+    out = prep.prepare(pairs, cfg)
+    train = {r.pair_id for r in o.split_pairs(pairs.select("pair_id"), seed=cfg.seed, ratio=cfg.train_ratio).where("split = 'train'").collect()}
+    for r in out.collect():
+        assert (r.encoder_input[1] != 0) == (r.pair_id in train)
