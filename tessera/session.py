@@ -19,8 +19,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     skewed join partitions are split at large scale.  The UI is off.  A master
     given here, in ``TESSERA_MASTER`` or to spark-submit holds; without any it
     is ``local[8]``.  Shuffle partitions and driver memory are only set for a
-    local master (or on request), and on a cluster the package is sent to the
-    workers.
+    local master (or on request), and the package is sent to the workers, wherever they run.
     """
     master = master or os.environ.get("TESSERA_MASTER")
     given = SparkConf().get("spark.master")  # spark-submit or spark-defaults
@@ -43,8 +42,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if local:
         b = b.config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
-    if not local:
-        ship_package(spark)
+    ship_package(spark)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
