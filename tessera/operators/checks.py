@@ -68,10 +68,12 @@ def check_shapes(df: DataFrame, seq_len: int, cols=("encoder_input", "decoder_in
     return out
 
 
-def check_vocab(ids_df: DataFrame, vocab: DataFrame, ids_col: str = "ids", specials=SPECIAL_PIECES) -> DataFrame:
+def check_vocab(ids_df: DataFrame, vocab: DataFrame, ids_col: str = "ids", specials=SPECIAL_PIECES,
+                strict: bool = False) -> DataFrame:
     """Q1: ids inside ``[0, vocab_size)`` and every special present.
 
-    Both sides reduce to one row before they meet, so the join is 1 x 1.
+    ``strict`` fails the job instead where a special is missing or an id is
+    outside (B10).  Both sides reduce to one row before they meet, so the join is 1 x 1.
     """
     ids = ids_df.agg(
         F.min(F.array_min(ids_col)).alias("min_id"),
@@ -85,7 +87,7 @@ def check_vocab(ids_df: DataFrame, vocab: DataFrame, ids_col: str = "ids", speci
         F.lit(1).alias("_j"),
     )
     j = ids.join(vs, "_j")
-    return j.select(
+    out = j.select(
         "n_rows",
         "vocab_size",
         "min_id",
@@ -95,6 +97,10 @@ def check_vocab(ids_df: DataFrame, vocab: DataFrame, ids_col: str = "ids", speci
         ),
         (F.col("n_specials") == F.lit(len(specials))).alias("specials_present"),
     )
+    if strict:
+        fail = F.raise_error(F.lit("the vocabulary lacks a special piece or an id is outside it")).cast("boolean")
+        out = out.withColumn("specials_present", F.when(F.col("specials_present") & F.col("ids_in_range"), F.lit(True)).otherwise(fail))
+    return out
 
 
 def check_literal_specials(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -219,3 +219,14 @@ def test_vocabulary_of_the_train_rows(spark):
     train = {r.pair_id for r in o.split_pairs(pairs.select("pair_id"), seed=cfg.seed, ratio=cfg.train_ratio).where("split = 'train'").collect()}
     for r in out.collect():
         assert (r.encoder_input[1] != 0) == (r.pair_id in train)
+
+
+def test_strict_vocabulary_check(spark):
+    from tessera.operators import checks
+
+    df = spark.createDataFrame([(1, "a b")], "k long, text string")
+    v = tokenizer.fit_word_vocab(df, "text", None)
+    ids = spark.createDataFrame([(1, [7, 8])], "k long, ids array<int>")
+    assert checks.check_vocab(ids, v, strict=True).collect()[0].specials_present
+    with pytest.raises(Exception, match="lacks a special piece"):
+        checks.check_vocab(ids, v.where("piece <> '[EOS]'"), strict=True).collect()
