@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm.ragged import mix64, offsets_of, row_slices, split_words
 
 UNDETERMINED = "und"
+#: Text bytes whose subwords a task lists at a time; a new word has about 35 of them.
+SUBWORD_BYTES = 4 << 20
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 GRAMS = (1, 2, 3, 4)
@@ -96,7 +98,7 @@ class LanguageModel:
 
 
 def _document_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in row_slices(batches, "text", 4 << 20):
+    for batch in row_slices(batches, "text", SUBWORD_BYTES):
         codes, starts, words = split_words(batch.column("text"))
         grams, offsets = subwords(words.to_pylist())
         rows = []
@@ -106,10 +108,10 @@ def _document_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             flat = np.concatenate([grams[offsets[u]:offsets[u + 1]] for u in use]) if len(use) else np.zeros(0, np.int32)
             weight = np.bincount(flat, weights=np.repeat(times, lengths), minlength=1)
             at = np.flatnonzero(weight)
-            rows.append((at, (weight[at] / max(weight.sum(), 1)).astype(np.float32)))
+            rows.append((at.astype("<u2").tobytes(), (weight[at] / max(weight.sum(), 1)).astype("<f4").tobytes()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("lang"), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
-             pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["doc_id", "lang", "at", "weight"])
+            [batch.column("doc_id"), batch.column("lang"), pa.array([r[0] for r in rows], pa.binary()),
+             pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "lang", "at", "weight"])
 
 
 def sample_features(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> list:
@@ -126,7 +128,7 @@ def sample_features(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> list:
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.where(draw < share[F.col("lang")])
-    return picked.mapInArrow(_document_features, "doc_id long, lang string, at array<int>, weight array<float>").collect()
+    return picked.mapInArrow(_document_features, "doc_id long, lang string, at binary, weight binary").collect()
 
 
 def fit(sample: list, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, seed: int = 7) -> LanguageModel | None:
@@ -136,7 +138,7 @@ def fit(sample: list, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, seed:
     if not languages:
         return None
     y = np.array([languages.index(r["lang"]) for r in sample])
-    xs = [(np.array(r["at"], np.int64), np.array(r["weight"], np.float64)) for r in sample]
+    xs = [(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["weight"], "<f4")) for r in sample]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(xs))
     kept_out = order[::KEEP_OUT] if len(xs) >= 20 * KEEP_OUT else order[:0]
@@ -193,7 +195,7 @@ def predict(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",
     shipped = df.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers, whatever the input
 
     def run(batches):
-        for batch in row_slices(batches, "text"):
+        for batch in row_slices(batches, "text", SUBWORD_BYTES):
             names, score, accepted = _predicted(batch.column("text"), shipped.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), names, score, accepted], ["doc_id", "lang_pred", "score", "accepted"])
 
@@ -207,7 +209,7 @@ def accepted(df: DataFrame, model: LanguageModel | None, text_col: str = "text")
     @F.pandas_udf("boolean")
     def accepts(text: pd.Series) -> pd.Series:
         batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], ["text"])
-        parts = [np.asarray(_predicted(b.column("text"), shipped.value)[2]) for b in row_slices(iter([batch]), "text")]
+        parts = [np.asarray(_predicted(b.column("text"), shipped.value)[2]) for b in row_slices(iter([batch]), "text", SUBWORD_BYTES)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0, bool))
 
     return df.where(accepts(F.col(f"`{text_col}`").cast("string")))
