@@ -11,9 +11,12 @@ others.  Pivots are therefore taken from the documents that share a shingle:
     members measure their exact distance to it.  Those within 0.2 are linked
     with the pivot, hence in one component with each other: a group of copies
     costs a star, not its pairs.  The pivot of a frequent shingle is known from
-    the count, so its members are never gathered.
+    the count, so its members are never gathered.  Where a frequent region stays
+    apart, a second star has its most central member as pivot.
 3.  Members that are still in different components form cells, each with a
-    pivot of its own.  A member is measured against the pivots of the other
+    pivot of its own.  (In the region of a frequent shingle only sets whose
+    frequent shingles alone can make a link are compared: two that share a
+    rarer shingle meet there.)  A member is measured against the pivots of the other
     cells of its region unless the triangle inequality on the distances already
     known keeps it more than 0.2 away.
 4.  What is left of a cell's boundary, by the same inequality against the
@@ -28,19 +31,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.ragged import mix64, row_slices
+from tessera.llm.ragged import mix64, offsets_of, row_slices
 from tessera.llm.shared import stored
 from tessera.llm.wordhash import HASH_BYTES, LOWER, binary_lengths, hash_words, longs, shingle_sets
 
 WORDS = 5
+#: The sample of a set: its shingles in the least quarter of all hashes.
+SAMPLED = np.uint64(1 << 62)
 #: Two sets link when PER_CENT * union <= 100 * intersection.
 PER_CENT = 80
 #: A shingle that more classes have among their first is put last in the order.
-FREQUENT = 64
+FREQUENT = 16
 #: Frequent shingles sent to all tasks at most (12 bytes each in Python); beyond, only more frequent ones are.
 MOST_FREQUENT = 1 << 21
 
@@ -61,13 +67,18 @@ def _prefix(size: int, per_cent: int) -> int:
 
 
 def _slim(words: int):
+    """Of each text: size and marks of its set, and the sample of it (32 bits of each shingle in the least quarter)."""
     def run(batches):
         for batch in row_slices(batches, "text", HASH_BYTES):
-            _, offsets, mark, check = _sets(batch, words)
+            sets, offsets, mark, check = _sets(batch, words)
             n = offsets[1:] - offsets[:-1]
+            low = sets < SAMPLED
+            ends = offsets_of(low)[offsets]
+            raw = memoryview((sets[low] >> np.uint64(30)).astype("<u4")).cast("B")
+            sample = pa.array([raw[4 * s:4 * e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(mark.view(np.int64), pa.int64(), mask=n == 0), longs(check)],
-                ["doc_id", "n_shingles", "mark", "check"])
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(mark.view(np.int64), pa.int64(), mask=n == 0), longs(check), sample],
+                ["doc_id", "n_shingles", "mark", "check", "sample"])
 
     return run
 
@@ -92,7 +103,10 @@ def _first_shingles(words: int, per_cent: int):
 
 
 def _members(words: int, per_cent: int, shipped):
-    """(key, mark, pivot) of the first shingles in the final order; pivot only for frequent ones."""
+    """(key, mark, pivot, h) of the first shingles in the final order.
+
+    Pivot, and the number ``h`` of frequent shingles in the set, are given for frequent ones only.
+    """
     def run(batches):
         frequent, pivots = shipped.value
         for batch in row_slices(batches, "text", HASH_BYTES):
@@ -100,7 +114,7 @@ def _members(words: int, per_cent: int, shipped):
             at = np.minimum(np.searchsorted(frequent, sets), max(len(frequent) - 1, 0))
             often = frequent[at] == sets if len(frequent) else np.zeros(len(sets), bool)
             _, each = np.unique(mark, return_index=True)
-            picked, marks = [], []
+            picked, marks, frequents = [], [], []
             for i in each.tolist():
                 lo, hi = offsets[i], offsets[i + 1]
                 if hi > lo:
@@ -111,11 +125,13 @@ def _members(words: int, per_cent: int, shipped):
                         rare = np.concatenate([rare, np.flatnonzero(own)[:p - len(rare)]])
                     picked.append(lo + rare)
                     marks.append(np.full(p, mark[i]))
+                    frequents.append(np.full(p, own.sum(), np.int32))
             if picked:
                 picked = np.concatenate(picked)
                 pivot = pivots[at[picked]].view(np.int64) if len(frequent) else np.zeros(len(picked), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [longs(sets[picked]), longs(np.concatenate(marks)), pa.array(pivot, pa.int64(), mask=~often[picked])], ["key", "mark", "pivot"])
+                    [longs(sets[picked]), longs(np.concatenate(marks)), pa.array(pivot, pa.int64(), mask=~often[picked]),
+                     pa.array(np.concatenate(frequents), pa.int32(), mask=~often[picked])], ["key", "mark", "pivot", "h"])
 
     return run
 
@@ -124,11 +140,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (key, mark): members of keys with two marks at least, with the key's least mark as pivot.
 
     Runs over the stream with one row kept back; a key's rows are not gathered.
+    Rows that have a pivot come last and pass, each once.
     """
     key = pivot = None
     alone = False  # the pivot's own row is held back until another mark comes
     last = None
+    passed = None
     for batch in batches:
+        given = np.asarray(pc.is_valid(batch.column("pivot")))
+        if given.any():
+            rest = batch.filter(pa.array(given))
+            keys, marks = np.asarray(rest.column("key")), np.asarray(rest.column("mark"))
+            fresh = np.concatenate([[(keys[0], marks[0]) != passed], (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])])
+            passed = (keys[-1], marks[-1])
+            yield rest.filter(pa.array(fresh))
+            batch = batch.filter(pa.array(~given))
         keys, marks = np.asarray(batch.column("key")), np.asarray(batch.column("mark"))
         out = ([], [], [])
 
@@ -154,7 +180,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 put(k, m, pivot)
                 last = m
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["key", "mark", "pivot"])
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x, pa.int64()) for x in out), pa.nulls(len(out[0]), pa.int32())], ["key", "mark", "pivot", "h"])
 
 
 def _set_rows(words: int):
@@ -164,24 +191,48 @@ def _set_rows(words: int):
             raw = memoryview(sets.astype("<u8")).cast("B")
             yield pa.RecordBatch.from_arrays(
                 [longs(mark), pa.array([raw[8 * s:8 * e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())],
-                ["mark", "shingles"])
+                ["mark", "s"])
 
     return run
 
 
+def _common(a: pa.Array, b: pa.Array, kind: str) -> np.ndarray:
+    """Values that the sorted sets of each pair have in common."""
+    out = np.zeros(len(a), np.int64)
+    for i in range(len(a)):
+        both = np.concatenate([np.frombuffer(c[i].as_buffer(), kind) for c in (a, b)])
+        both.sort()
+        out[i] = np.count_nonzero(both[1:] == both[:-1])
+    return out
+
+
+def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A lower bound of the distance, from the shingles of the samples that only one of two sets has.
+
+    Cut to 32 bits, different shingles may count as equal, which lowers the
+    bound at most; equal 32 bits within a set are counted once.
+    """
+    for batch in batches:
+        if batch.num_rows:
+            a, b = batch.column("sa"), batch.column("sb")
+            apart = (binary_lengths(a) + binary_lengths(b)) // 4 - 2 * _common(a, b, "<u4")
+            total = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(2 * apart / (total + apart), pa.float64())], ["a", "b", "lo"])
+
+
+def _size_bound(a: str, b: str) -> Column:
+    """The least distance of two sets of these sizes."""
+    return 1 - F.least(a, b) / F.greatest(a, b)
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        common = np.zeros(batch.num_rows, np.int64)
-        a, b = batch.column("sa"), batch.column("sb")
-        for i in range(batch.num_rows):
-            x, y = (np.frombuffer(c[i].as_buffer(), "<u8") for c in (a, b))
-            both = np.concatenate([x, y])
-            both.sort()
-            common[i] = np.count_nonzero(both[1:] == both[:-1])
-        either = (binary_lengths(a) + binary_lengths(b)) // 8 - common
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common), pa.array(either)], ["a", "b", "common", "either"])
+        if batch.num_rows:
+            a, b = batch.column("sa"), batch.column("sb")
+            common = _common(a, b, "<u8")
+            either = (binary_lengths(a) + binary_lengths(b)) // 8 - common
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common), pa.array(either)], ["a", "b", "common", "either"])
 
 
 class _Join:
@@ -192,7 +243,7 @@ class _Join:
         self.reach = 1 - per_cent / 100
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
-        slim = stored(self.docs.mapInArrow(_slim(self.words), "doc_id long, n_shingles long, mark long, check long"), "slim")
+        slim = stored(self.docs.mapInArrow(_slim(self.words), "doc_id long, n_shingles long, mark long, check long, sample binary"), "slim")
         classes = stored(slim.where("mark IS NOT NULL").groupBy("mark").agg(
             F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("n_shingles").alias("n_least"),
             F.min("check").alias("check"), F.max("check").alias("check_most")), "classes")
@@ -214,33 +265,53 @@ class _Join:
         pivots = np.zeros(0, np.uint64) if table is None else table["pivot"].to_numpy(np.int64).view(np.uint64)
         return self.spark.sparkContext.broadcast((keys[order], pivots[order]))
 
-    def distances(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Exact intersections and unions of pairs of classes (a, b), a < b, whose sizes allow a link or a bound."""
-        pairs = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    def samples(self, slim: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Size and sample of each class in the pairs."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
-        ids = classes.join(wanted, "mark", "left_semi").where("doc_id IS NOT NULL").select("doc_id")
+        rows = slim.where("mark IS NOT NULL").join(wanted, "mark", "left_semi")
+        return stored(rows.groupBy("mark").agg(F.first("n_shingles").alias("n"), F.first("sample").alias("s")), "samples")
+
+    def distances(self, pairs: DataFrame, slim: DataFrame, classes: DataFrame) -> DataFrame:
+        """``a, b, lo, hi, linked`` of pairs of classes: bounds of the distance, equal where it was measured.
+
+        A bound from sizes and samples comes first; whole sets are compared
+        where it allows a link.
+        """
+        pairs = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+        def joined(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+            for side in "ab":
+                pairs = pairs.join(rows.select(F.col("mark").alias(side), *[F.col(c).alias(c + side) for c in columns]), side)
+            return pairs
+
+        samples = self.samples(slim, pairs)
+        sized = stored(joined(pairs, samples, "n").withColumn("lo", _size_bound("na", "nb")), "sized")
+        unsized = sized.where(F.col("lo") > self.reach + 1e-9).select("a", "b", "lo")
+        bounds = joined(sized.where(F.col("lo") <= self.reach + 1e-9).drop("lo"), samples, "s").select("a", "b", "na", "nb", "sa", "sb")
+        bounds = stored(unsized.union(bounds.mapInArrow(_bound, "a long, b long, lo double")), "bounds")
+        near = bounds.where(F.col("lo") <= self.reach + 1e-9).select("a", "b")
+        wanted = stored(near.select(F.explode(F.array("a", "b")).alias("mark")).distinct(), "wanted")
+        ids = stored(classes.join(wanted, "mark", "left_semi").select("doc_id"), "ids")
         # rows that repeat an id and null ids come along; a class is kept once
-        texts = self.docs.join(ids, "doc_id", "left_semi")
-        nulls = classes.join(wanted, "mark", "left_semi").where("doc_id IS NULL")
-        if not nulls.isEmpty():
+        texts = self.docs.join(ids.where("doc_id IS NOT NULL"), "doc_id", "left_semi")
+        if not ids.where("doc_id IS NULL").isEmpty():
             texts = texts.union(self.docs.where("doc_id IS NULL"))
-        sets = texts.mapInArrow(_set_rows(self.words), "mark long, shingles binary")
-        sets = stored(sets.join(wanted, "mark", "left_semi").dropDuplicates(["mark"]), "sets")
-        one = sets.select(F.col("mark").alias("a"), F.col("shingles").alias("sa"))
-        two = sets.select(F.col("mark").alias("b"), F.col("shingles").alias("sb"))
-        found = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
-        found = found.mapInArrow(_measure, "a long, b long, common long, either long")
-        found = found.withColumn("d", 1 - F.col("common") / F.col("either"))
-        return stored(found.withColumn("linked", F.col("common") * 100 >= F.col("either") * self.per_cent), "distances")
+        sets = texts.mapInArrow(_set_rows(self.words), "mark long, s binary")
+        sets = stored(sets.join(wanted, "mark", "left_semi").groupBy("mark").agg(F.first("s").alias("s")), "sets")
+        found = joined(near, sets, "s").select("a", "b", "sa", "sb").mapInArrow(_measure, "a long, b long, common long, either long")
+        found = stored(found.select("a", "b", (1 - F.col("common") / F.col("either")).alias("d"), (
+            F.col("common") * 100 >= F.col("either") * self.per_cent).alias("linked")), "measured")
+        far = bounds.where(F.col("lo") > self.reach + 1e-9).select("a", "b", "lo", F.lit(1.0).alias("hi"), F.lit(False).alias("linked"))
+        return stored(far.union(found.select("a", "b", F.col("d").alias("lo"), F.col("d").alias("hi"), "linked")), "distances")
 
     def members(self) -> DataFrame:
-        """(key, mark, pivot) of all regions with two classes at least."""
+        """(key, mark, pivot, h) of all regions with two classes at least."""
         shipped = self.frequent_shingles()
-        rows = self.docs.mapInArrow(_members(self.words, self.per_cent, shipped), "key long, mark long, pivot long")
-        rows = stored(rows, "first_shingles")
-        rare = rows.where("pivot IS NULL").select("key", "mark").repartition("key").sortWithinPartitions("key", "mark")
-        rare = rare.mapInArrow(_shared, "key long, mark long, pivot long")
-        return stored(rare.union(rows.where("pivot IS NOT NULL").distinct()), "members")
+        rows = self.docs.mapInArrow(_members(self.words, self.per_cent, shipped), "key long, mark long, pivot long, h int")
+        # a frequent shingle has its pivot already, so its rows need not come together
+        place = F.when(F.col("pivot").isNull(), F.col("key")).otherwise(F.xxhash64("key", "mark"))
+        rows = rows.repartition(place).sortWithinPartitions(F.col("pivot").isNotNull(), "key", "mark")
+        return stored(rows.mapInArrow(_shared, "key long, mark long, pivot long, h int"), "members")
 
     def labelled(self, members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Components of the links, and the members of regions that hold several of them."""
@@ -252,8 +323,16 @@ class _Join:
         return joined, stored(rows.join(stored(open_, "open"), "key"), "open_members")
 
 
-def _both_ways(found: DataFrame) -> DataFrame:
-    return found.select("a", "b", "d").union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+def _both_ways(found: DataFrame, a: str, b: str) -> DataFrame:
+    return found.select(F.col("a").alias(a), F.col("b").alias(b), "lo", "hi").union(
+        found.select(F.col("b").alias(a), F.col("a").alias(b), "lo", "hi"))
+
+
+def _with_bounds(rows: DataFrame, a: str, b: str, found: DataFrame) -> DataFrame:
+    """Bounds of the distance between the columns ``a`` and ``b``; 0 where they are the same."""
+    same = F.col(a) == F.col(b)
+    return rows.join(_both_ways(found, a, b), [a, b], "left").withColumns({
+        "lo": F.when(same, 0.0).otherwise(F.coalesce("lo", F.lit(0.0))), "hi": F.when(same, 0.0).otherwise(F.coalesce("hi", F.lit(1.0)))})
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -273,37 +352,63 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     slim, classes = j.classes()
     members = j.members()
     # the star of each region
-    star = j.distances(members.select(F.col("mark").alias("a"), F.col("pivot").alias("b")), classes)
+    star = j.distances(members.select(F.col("mark").alias("a"), F.col("pivot").alias("b")), slim, classes)
     edges = star.where("linked").select("a", "b")
     joined, rest = j.labelled(members, edges)
+    reach = j.reach + 1e-9
+
+    def may_be_near(lo_a, hi_a, lo_b, hi_b):
+        """The triangle inequality does not keep the two apart."""
+        return (F.col(lo_a) - F.col(hi_b) <= reach) & (F.col(lo_b) - F.col(hi_a) <= reach)
+
     if not rest.isEmpty():
-        # a cell's pivot: its least mark; the distance to the region's pivot is known
-        known = _both_ways(star).withColumnRenamed("a", "mark").withColumnRenamed("b", "pivot")
-        rest = rest.join(known, ["mark", "pivot"], "left").withColumn(
-            "d", F.when(F.col("mark") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
-        rest = stored(rest.dropDuplicates(["key", "mark"]), "measured")
-        cells = stored(rest.groupBy("key", "cell").agg(F.min(F.struct("mark", "d")).alias("q"), F.count("*").alias("n")).select(
-            "key", F.col("cell").alias("cell_q"), F.col("q.mark").alias("q"), F.col("q.d").alias("dq"), "n"), "cells")
-        near = rest.join(cells, "key").where(
-            (F.col("cell") == F.col("cell_q")) | (F.abs(F.col("d") - F.col("dq")) <= j.reach + 1e-9))
-        near = stored(near.select("key", "mark", "cell", "cell_q", "q", "n"), "near")
-        second = j.distances(near.select(F.col("mark").alias("a"), F.col("q").alias("b")), classes)
+        # again in the regions of frequent shingles, with the most central member as pivot: the one with the
+        # largest part of frequent shingles, as what a copy has changed is rare
+        rest = stored(rest.join(classes.select("mark", F.col("n").alias("size")), "mark").dropDuplicates(["key", "mark"]), "sized")
+        central = rest.where("h IS NOT NULL").groupBy("key").agg(F.max(F.struct(F.col("h") / F.col("size"), "mark")).alias("c"))
+        central = stored(central.select("key", F.col("c.mark").alias("central")), "central")
+        again = j.distances(rest.join(central, "key").select(F.col("mark").alias("a"), F.col("central").alias("b")), slim, classes)
+        edges = edges.union(again.where("linked").select("a", "b"))
+        star = star.union(again).dropDuplicates(["a", "b"])
+        rest = rest.join(central, "key", "left").withColumn("pivot", F.coalesce("central", "pivot")).drop("cell", "central")
+        joined, rest = j.labelled(rest, edges)
+        # a cell's pivot: its least mark; bounds of the distance to the region's pivot are known
+        rest = stored(_with_bounds(rest, "mark", "pivot", star), "bounded")
+        cells = stored(rest.groupBy("key", "cell").agg(F.min(F.struct("mark", "lo", "hi", "size")).alias("q"), F.count("*").alias("n"),
+                                                 F.max("h").alias("h_most"), F.min("size").alias("size_least")).select(
+            "key", F.col("cell").alias("cell_q"), F.col("q.mark").alias("q"), F.col("q.lo").alias("lo_q"), F.col("q.hi").alias("hi_q"),
+            F.col("q.size").alias("size_q"), "n", "h_most", "size_least"), "cells")
+        # two sets that share a rare shingle meet in its region; in that of a frequent one only sets
+        # need to be compared whose frequent shingles alone can make a link
+        alone = F.col("h").isNull() | (
+            F.least("h", "h_most") * (100 + per_cent) >= (F.col("size") + F.col("size_least")) * per_cent)
+
+        def facing(cells: DataFrame) -> DataFrame:
+            """Members with the cells of their region: their own, and those that may be near."""
+            return rest.join(cells, "key").where(
+                (F.col("cell") == F.col("cell_q")) | (alone & may_be_near("lo", "hi", "lo_q", "hi_q")))
+
+        # the pivot of a cell of one is a member, and is measured from the other side as well
+        pairs = facing(cells).where((F.col("n") > 1) & (F.col("cell") == F.col("cell_q")) | (_size_bound("size", "size_q") <= reach))
+        second = j.distances(pairs.select(F.col("mark").alias("a"), F.col("q").alias("b")), slim, classes)
         edges = edges.union(second.where("linked").select("a", "b"))
         # boundaries of cells of several members: against each member that the inequality leaves
-        dist = _both_ways(second).withColumnRenamed("a", "mark").withColumnRenamed("b", "q")
-        near = near.join(dist, ["mark", "q"], "left").withColumn("d", F.when(F.col("mark") == F.col("q"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
-        near = stored(near.where("n > 1"), "boundary")
-        inside = near.where("cell = cell_q").select("key", "cell_q", F.col("mark").alias("b"), F.col("d").alias("db"))
-        outside = near.where("cell <> cell_q").select("key", "cell_q", F.col("mark").alias("a"), F.col("d").alias("da"), "cell")
-        outside = outside.where(F.col("da") > j.reach)  # a link with the pivot has joined the cells already
+        near = facing(cells.where("n > 1")).select("key", "mark", "size", "cell", "cell_q", "q", "size_q")
+        near = stored(_with_bounds(near, "mark", "q", second).withColumn("lo", F.greatest("lo", _size_bound("size", "size_q"))), "boundary")
+        inside = near.where("cell = cell_q").select(
+            "key", "cell_q", F.col("mark").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.col("size").alias("size_b"))
+        outside = near.where("cell <> cell_q").select(
+            "key", "cell_q", F.col("mark").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.col("size").alias("size_a"))
+        outside = outside.where(F.col("hi_a") > reach)  # a link with the pivot has joined the cells already
         singles = cells.where("n = 1").select("key", F.col("q").alias("a"))
         outside = outside.join(singles, ["key", "a"], "left_anti")  # the cell has been measured against them
-        third = outside.join(inside, ["key", "cell_q"]).where(F.abs(F.col("da") - F.col("db")) <= j.reach + 1e-9)
-        third = third.select("a", "b").distinct()
+        third = outside.join(inside, ["key", "cell_q"]).where(
+            may_be_near("lo_a", "hi_a", "lo_b", "hi_b") & (_size_bound("size_a", "size_b") <= reach))
+        third = third.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         tried = second.select("a", "b").union(star.select("a", "b"))
-        third = stored(third.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti"), "third")
+        third = stored(third.join(tried, ["a", "b"], "left_anti"), "third")
         if not third.isEmpty():
-            edges = edges.union(j.distances(third, classes).where("linked").select("a", "b"))
+            edges = edges.union(j.distances(third, slim, classes).where("linked").select("a", "b"))
         joined = components(edges)
     named = classes.select("mark", "doc_id").join(joined.withColumnRenamed("id", "mark"), "mark", "left").withColumn(
         "cell", F.coalesce("component_id", "mark")).select("mark", "doc_id", "cell")

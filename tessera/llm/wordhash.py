@@ -16,6 +16,7 @@ from tessera.llm.ragged import mix64, offsets_of, plain_text, string_bytes
 HASH_BYTES = 4 << 20
 _RNG = np.random.default_rng(64)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[0] = 0
 _PLACE = _RNG.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -64,13 +65,16 @@ def hash_words(column: pa.Array, table: np.ndarray) -> Words:
     offsets = np.searchsorted(begin, bounds)
     lengths = end - begin
     if len(begin):
-        full = np.flatnonzero(inside[:-1])
-        starts = offsets_of(lengths)
-        place = (np.arange(len(full)) - np.repeat(starts[:-1], lengths)).astype(np.int32)
-        value = _BYTE[kind[full]] * _PLACE[place & 4095]
+        # each byte by its place in the word; what parts words adds nothing
+        starts = (begin - begin[0]).astype(np.int32)
+        size = len(kind) - int(begin[0])
+        place = np.arange(size, dtype=np.int32)
+        place -= np.repeat(starts, np.diff(np.append(starts, size)))
+        value = _BYTE[kind[begin[0]:]]
+        value *= _PLACE[place & 4095]
         if int(lengths.max()) > 4096:
             value *= ((place >> 12).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-        hashes = mix64(np.add.reduceat(value, starts[:-1]) + lengths.astype(np.uint64))
+        hashes = mix64(np.add.reduceat(value, starts) + lengths.astype(np.uint64))
     else:
         hashes = np.zeros(0, np.uint64)
     per_text = np.repeat(bounds[:-1], offsets[1:] - offsets[:-1])
