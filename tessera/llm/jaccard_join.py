@@ -19,8 +19,9 @@ others.  Pivots are therefore taken from the documents that share a shingle:
     rarer shingle meet there.)  A member is measured against the pivots of the other
     cells of its region unless the triangle inequality on the distances already
     known keeps it more than 0.2 away.
-4.  What is left of a cell's boundary, by the same inequality against the
-    cell's own pivot, is compared member by member.
+4.  Members that may be near any member of a cell, by the same inequality on the
+    region's pivot, are its boundary; what the distances to the cell's own pivot
+    leave of it is compared member by member.
 
 All links are found up to those inside a component, so components are exact.
 """
@@ -375,35 +376,43 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         # a cell's pivot: its least mark; bounds of the distance to the region's pivot are known
         rest = stored(_with_bounds(rest, "mark", "pivot", star), "bounded")
         cells = stored(rest.groupBy("key", "cell").agg(F.min(F.struct("mark", "lo", "hi", "size")).alias("q"), F.count("*").alias("n"),
-                                                 F.max("h").alias("h_most"), F.min("size").alias("size_least")).select(
+                                                 F.max("h").alias("h_most"), F.min("size").alias("size_least"),
+                                                 F.min("lo").alias("lo_least"), F.max("hi").alias("hi_most")).select(
             "key", F.col("cell").alias("cell_q"), F.col("q.mark").alias("q"), F.col("q.lo").alias("lo_q"), F.col("q.hi").alias("hi_q"),
-            F.col("q.size").alias("size_q"), "n", "h_most", "size_least"), "cells")
+            F.col("q.size").alias("size_q"), "n", "h_most", "size_least", "lo_least", "hi_most"), "cells")
         # two sets that share a rare shingle meet in its region; in that of a frequent one only sets
         # need to be compared whose frequent shingles alone can make a link
         alone = F.col("h").isNull() | (
             F.least("h", "h_most") * (100 + per_cent) >= (F.col("size") + F.col("size_least")) * per_cent)
 
-        def facing(cells: DataFrame) -> DataFrame:
-            """Members with the cells of their region: their own, and those that may be near."""
+        def facing(cells: DataFrame, lo: str, hi: str) -> DataFrame:
+            """Members with the cells of their region: their own, and those that may be near what has these bounds."""
             return rest.join(cells, "key").where(
-                (F.col("cell") == F.col("cell_q")) | (alone & may_be_near("lo", "hi", "lo_q", "hi_q")))
+                (F.col("cell") == F.col("cell_q")) | (alone & may_be_near("lo", "hi", lo, hi)))
 
         # the pivot of a cell of one is a member, and is measured from the other side as well
-        pairs = facing(cells).where((F.col("n") > 1) & (F.col("cell") == F.col("cell_q")) | (_size_bound("size", "size_q") <= reach))
+        pairs = facing(cells, "lo_q", "hi_q").where((F.col("n") > 1) & (F.col("cell") == F.col("cell_q")) | (_size_bound("size", "size_q") <= reach))
         second = j.distances(pairs.select(F.col("mark").alias("a"), F.col("q").alias("b")), slim, classes)
         edges = edges.union(second.where("linked").select("a", "b"))
         # boundaries of cells of several members: against each member that the inequality leaves
-        near = facing(cells.where("n > 1")).select("key", "mark", "size", "cell", "cell_q", "q", "size_q")
-        near = stored(_with_bounds(near, "mark", "q", second).withColumn("lo", F.greatest("lo", _size_bound("size", "size_q"))), "boundary")
-        inside = near.where("cell = cell_q").select(
-            "key", "cell_q", F.col("mark").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.col("size").alias("size_b"))
-        outside = near.where("cell <> cell_q").select(
-            "key", "cell_q", F.col("mark").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.col("size").alias("size_a"))
+        # (all members count here: one may be nearer than the cell's pivot)
+        near = facing(cells.where("n > 1"), "lo_least", "hi_most").select(
+            "key", "mark", "size", "cell", "cell_q", "q", "size_q", "lo_q", "hi_q", F.col("lo").alias("lo_p"), F.col("hi").alias("hi_p"))
+        near = _with_bounds(near, "mark", "q", second).withColumns({
+            "lo": F.greatest("lo", _size_bound("size", "size_q"), F.col("lo_p") - F.col("hi_q"), F.col("lo_q") - F.col("hi_p")),
+            "hi": F.least("hi", F.col("hi_p") + F.col("hi_q"))})
+        near = stored(near, "boundary")
+
+        def side(rows: DataFrame, x: str) -> DataFrame:
+            return rows.select("key", "cell_q", F.col("mark").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("lo", "hi", "lo_p", "hi_p", "size")])
+
+        inside, outside = side(near.where("cell = cell_q"), "b"), side(near.where("cell <> cell_q"), "a")
         outside = outside.where(F.col("hi_a") > reach)  # a link with the pivot has joined the cells already
         singles = cells.where("n = 1").select("key", F.col("q").alias("a"))
         outside = outside.join(singles, ["key", "a"], "left_anti")  # the cell has been measured against them
         third = outside.join(inside, ["key", "cell_q"]).where(
-            may_be_near("lo_a", "hi_a", "lo_b", "hi_b") & (_size_bound("size_a", "size_b") <= reach))
+            may_be_near("lo_a", "hi_a", "lo_b", "hi_b") & may_be_near("lo_p_a", "hi_p_a", "lo_p_b", "hi_p_b")
+            & (_size_bound("size_a", "size_b") <= reach))
         third = third.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         tried = second.select("a", "b").union(star.select("a", "b"))
         third = stored(third.join(tried, ["a", "b"], "left_anti"), "third")

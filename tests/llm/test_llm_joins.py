@@ -96,6 +96,33 @@ def test_jaccard_chains_need_the_later_rounds(spark):
         assert collected(jaccard_join.jaccard_components(df, frequent=frequent), "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
+def bridged_families(seed):
+    """Two families of 5 to 10 variants; one link alone, of the second's first and the first's second, joins them."""
+    rng = np.random.default_rng(seed)
+    length = int(rng.integers(140, 150))
+    places = rng.permutation(np.arange(0, length, 6))
+    shared, bridge, free = places[:1], places[1:4], places[4:]
+    near = [[], [*shared]] + [[free[i]] for i in range(rng.integers(3, 9))]
+    link = [*shared, *bridge]
+    far = [link] + [[*link, *rng.choice(free, rng.integers(1, 4), replace=False)] for _ in range(rng.integers(4, 10))]
+    texts = []
+    for changed in near + far:
+        words = [f"s{seed}w{i}" for i in range(length)]
+        for p in changed:
+            words[p] = f"s{seed}x{p}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_jaccard_boundaries_of_two_cells(spark):
+    """The link joins members that are both further than a link from the other cell's pivot."""
+    rows = list(enumerate(t for seed in range(60) for t in bridged_families(seed)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    for frequent in (16, 3):
+        assert collected(jaccard_join.jaccard_components(df, frequent=frequent), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_jaccard_repeats_nulls_and_empty(spark):
     t = "the same five words here again"
     rows = [(5, t), (5, t), (None, t), (7, "other words in this one document"), (None, "words that nobody else has here")]
