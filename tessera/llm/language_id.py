@@ -117,7 +117,7 @@ def _document_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def sample_features(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> list:
     """Subword averages of about ``fit_rows`` labelled rows, the same number of each language.
 
-    Rows are picked by a hash of their id; a language with fewer rows gives all
+    Rows are picked by a hash of their id and text; a language with fewer rows gives all
     of them.  Only this bounded sample reaches the driver.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -126,14 +126,14 @@ def sample_features(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> list:
         return []
     each = max(fit_rows // len(counts), 1)
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.where(draw < share[F.col("lang")])
     return picked.mapInArrow(_document_features, "doc_id long, lang string, at binary, weight binary").collect()
 
 
 def fit(sample: list, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, seed: int = 7) -> LanguageModel | None:
     """Train on collected features; None if there is nothing to learn from."""
-    sample = sorted((r for r in sample if len(r["at"])), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], len(r["at"])))
+    sample = sorted((r for r in sample if len(r["at"])), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], len(r["at"]), r["at"], r["weight"]))
     languages = sorted({r["lang"] for r in sample})
     if not languages:
         return None

@@ -241,6 +241,13 @@ def test_subword_grams():
     assert np.diff(offsets).tolist() == [8, 0, 8, 0, 8] and grams[:8].tolist() == grams[-8:].tolist()
 
 
+def test_language_sample_without_ids(spark):
+    rows = [(None, f"the word{i} of and", "en") for i in range(1500)] + [(7, f"der wort{i} und das", "de") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.sample_features(df, 400)
+    assert all(150 <= sum(r.lang == lang for r in sample) <= 250 for lang in ("en", "de"))
+
+
 # -- licence scan -----------------------------------------------------------------------
 
 def brute_licenses(text, templates):
