@@ -288,6 +288,28 @@ def test_license_scan(spark):
     assert found == {(r.doc_id, n) for r in docs.collect() for n in brute_licenses(r.text, t)}
 
 
+def test_license_scan_of_other_licences(spark):
+    notices = {
+        "LGPL-2.1 notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                           "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "AGPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+                           "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GPL-2.0-only notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+                               "License version 2 as published by the Free Software Foundation.",
+        "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+                          "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "ISC grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+                     "provided that the above copyright notice and this permission notice appear in all copies.",
+        "CC-BY-SA-4.0 line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "CC0-1.0 waiver": "To the extent possible under law, A. Writer has waived all copyright and related or neighboring rights to this text.",
+        "Unlicense": "This is free and unencumbered software released into the public domain."}
+    df = spark.createDataFrame([(i, f"before it {x} and after it") for i, x in enumerate(notices.values())], "doc_id long, text string")
+    best = {}
+    for r in license_scan.license_scan(df).collect():
+        best[r.doc_id] = max(best.get(r.doc_id, (0, "")), (r.containment, r.license))
+    assert {i: name for i, (_, name) in best.items()} == dict(enumerate(notices))
+
+
 def test_bands_guarantee():
     for c in license_scan.length_classes(license_scan.TEMPLATES):
         for s in c.shingles:
