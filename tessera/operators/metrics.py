@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,48 @@ def char_edits(hyp, ref) -> Column:
     return _distance(_text(hyp), _text(ref))
 
 
+def _sequence_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Edit distance of two integer sequences: how far each diagonal reaches with 0, 1, 2, ... edits.
+
+    Memory grows with the distance, not with the product of the lengths.
+    """
+    n, m = len(a), len(b)
+    never = -(1 << 40)
+    at = np.zeros(1, np.int64)  # places in ``a``, of the diagonals (place in b less place in a) -edits .. edits
+    edits = 0
+    while True:
+        k = np.arange(-edits, edits + 1)
+        if edits:
+            last = np.concatenate([[never] * 2, at, [never] * 2])
+            at = np.maximum(np.maximum(last[1:-1] + 1, last[2:] + 1), last[:-2])
+        at = np.minimum(np.minimum(at, n), m - k)
+        at[(at < 0) | (at + k < 0)] = never
+        on = np.flatnonzero(at >= 0)
+        while len(on := on[(at[on] < n) & (at[on] + k[on] < m)]):
+            on = on[a[at[on]] == b[at[on] + k[on]]]
+            at[on] += 1
+        if abs(m - n) <= edits and at[m - n + edits] == n:
+            return edits
+        edits += 1
+
+
+def _long_word_edits():
+    """Word edits of the pairs given; null where there is none."""
+
+    @F.pandas_udf("int")
+    def edits(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+        out = []
+        for h, r in zip(hyp, ref):
+            if h is None or r is None:
+                out.append(None)
+            else:
+                codes, _ = pd.factorize(np.concatenate([h, r]).astype(object))
+                out.append(_sequence_distance(codes[:len(h)], codes[len(h):]))
+        return pd.Series(out, dtype="Int32")
+
+    return edits
+
+
 def words_to_codepoints(words: Column, vocab: Column) -> Column:
     """Each word becomes one character: ``U+10000 + index in vocab``."""
     hexes = F.transform(
@@ -79,13 +122,10 @@ def error_rates(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by=None, toke
         F.coalesce(tokenize(_c(hyp)), F.array().cast("array<string>")).alias("_hw"),
         F.coalesce(tokenize(_c(ref)), F.array().cast("array<string>")).alias("_rw"),
     ).withColumn("_v", F.array_distinct(F.concat("_rw", "_hw")))
-    coded = words.withColumn("_hs", words_to_codepoints(F.col("_hw"), F.col("_v"))).withColumn(
-        "_rs", words_to_codepoints(F.col("_rw"), F.col("_v")))
-    dist = _distance(F.col("_hs"), F.col("_rs"))
-    we = F.when(
-        F.size("_v") > F.lit(WORD_CP_LIMIT),
-        F.raise_error(F.lit(f"more than {WORD_CP_LIMIT} distinct words in one pair")).cast("int"),
-    ).otherwise(dist)
+    long = F.size("_v") > F.lit(WORD_CP_LIMIT)  # more words than code points: their own distance
+    coded = words.withColumns({"_hs": F.when(~long, words_to_codepoints(F.col("_hw"), F.col("_v"))),
+                               "_rs": F.when(~long, words_to_codepoints(F.col("_rw"), F.col("_v")))})
+    we = F.coalesce(_distance(F.col("_hs"), F.col("_rs")), _long_word_edits()(F.when(long, F.col("_hw")), F.when(long, F.col("_rw"))))
     return (
         coded.select(*g, "_ce", "_cn", we.alias("_we"), F.size("_rw").alias("_wn"))
         .groupBy(*g)

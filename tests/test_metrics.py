@@ -89,3 +89,14 @@ def test_error_rates_one_pass_matches_separate(spark):
     both = metrics.error_rates(df).collect()[0]
     assert both.char_edits == metrics.cer(df).collect()[0].char_edits
     assert both.word_edits == metrics.wer(df).collect()[0].word_edits
+
+
+def test_wer_of_pairs_beyond_the_code_points(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=rng.randrange(12))), " ".join(rng.choices("abcdefgh", k=rng.randrange(12)))) for i in range(80)]
+    rows += [(80, None, "a b c d e f"), (81, " ".join(f"w{i}" for i in range(500)), " ".join(f"w{i}" for i in range(3, 520) if i % 50))]
+    want = {r.id: r.word_edits for r in metrics.wer(_df(spark, rows), by=["id"]).collect()}
+    monkeypatch.setattr(metrics, "WORD_CP_LIMIT", 4)
+    assert {r.id: r.word_edits for r in metrics.wer(_df(spark, rows), by=["id"]).collect()} == want
