@@ -174,15 +174,18 @@ def validation_sample(df: DataFrame, steps: list[int], n: int = 2, key: str = "p
     ``steps`` is a driver list (bounded: the trigger steps of one run).  The
     rank filter lets Spark keep ``n`` rows of each step per task before the
     shuffle (window group limit), and a step's rows are first ranked inside
-    hash parts, so no task gets all rows of a step.
+    hash parts, so no task gets all rows of a step.  A null key is a key like
+    any other, and rows that repeat a key are rows of their own.
     """
     rows = df if keep_col is None else df.where(F.col(keep_col))
     cand = rows.withColumn("step", F.explode(F.array(*[F.lit(int(s)) for s in steps]))).withColumn(
-        "_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}:val:"), F.col("step").cast("string")))
+        "_h", F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}:val:"), F.col("step").cast("string")))
     )
-    slim = cand.select("step", key, "_h", F.substring("_h", 32, 1).alias("_part"))
+    # rows that repeat a key are told apart by their other columns
+    ties = F.xxhash64(*[F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind])
+    picked = cand.withColumns({"_part": F.substring("_h", 32, 1), "_tie": ties})
     for by in (["step", "_part"], ["step"]):
-        w = Window.partitionBy(*by).orderBy("_h", key)
-        slim = slim.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-    picked = slim.select("step", key, (F.col("_rn") - 1).cast("int").alias("sample_idx"))
-    return picked.join(cand.drop("_h"), ["step", key]).drop("_h")
+        w = Window.partitionBy(*by).orderBy("_h", key, "_tie")
+        picked = picked.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in (key, "step")]
+    return picked.select("step", key, (F.col("_rn") - 1).cast("int").alias("sample_idx"), *others)

@@ -73,6 +73,15 @@ def test_validation_sample_matches_hash_order(spark):
         assert mine == best
 
 
+def test_validation_sample_keeps_null_and_repeated_keys(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "b"), (3, "c"), (3, "d")], "pair_id long, text string")
+    for n in (1, 2, 3, 4):
+        got = ordering.validation_sample(df, [0, 7], n=n, keep_col=None).collect()
+        for step in (0, 7):
+            mine = [r for r in got if r.step == step]
+            assert sorted(r.sample_idx for r in mine) == list(range(n)) and len({r.text for r in mine}) == n
+
+
 def test_balance_spreads_only_skinny_inputs(spark):
     from tessera.session import balance
 
