@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (bpe_codec, jaccard_join, language_id, license_scan, mixing, near_vectors, repeated_passages, token_counts,
-                         token_files, top_k)
+from tessera.llm import (bpe_codec, filter_audit, jaccard_join, language_id, license_scan, mixing, near_vectors, periodic_runs,
+                         repeated_passages, token_counts, token_files, top_k, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +55,25 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return periodic_runs.run_report(periodic_runs.periodic_runs(docs, rewrite=periodic_runs.every_tenth_periodic))
+
+
+def op13_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_bpe_codec, op2_jaccard_join, op3_mix_sources, op4_token_files, op5_near_vectors, op6_top_k, op7_token_counts,
-        op8_language_id, op9_license_scan, op10_repeated_passages)}
+        op8_language_id, op9_license_scan, op10_repeated_passages, op11_filter_audit, op12_periodic_runs, op13_warc_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.ORACLE_SQL, "op6_top_k": top_k.ORACLE_SQL}
+    return {"op3_mix_sources": mixing.ORACLE_SQL, "op6_top_k": top_k.ORACLE_SQL, "op11_filter_audit": filter_audit.ORACLE_SQL,
+            "op13_warc_round_trip": warc.ORACLE_SQL}
