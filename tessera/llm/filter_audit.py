@@ -154,7 +154,7 @@ def _judge(shipped: Broadcast):
             cells = [spread[8 * i:8 * i + 8] for i in range(len(ids))]
             for i, cell in zip(rows.tolist(), _cells(data, bounds, batch.column("hashes"), rows, heavy)):
                 cells[i] = cell
-            texts = pc.if_else(pa.array(ask), text, pa.scalar(None, pa.string()))
+            texts = text.take(pa.array(np.arange(len(ids)), mask=~ask))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("part"), pa.array(mask), pa.array(cells, pa.binary()), texts],
                 ["doc_id", "part", "mask", "cell", "text"])
