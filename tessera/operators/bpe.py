@@ -1,13 +1,10 @@
 """Byte-pair-encoding vocabularies learned and applied as Spark jobs.
 
 Training (T5) reads the corpus once (T2 word counts with the word-start
-mark), then runs merge *rounds* over the distinct-word table.  A round is one
-aggregate (adjacent-pair counts weighted by word frequency, partial + final)
-and a top-K fetch of at most K candidate rows to the driver.  Several merges
-are accepted per round when that provably gives the same merges as taking
-them one at a time (see :func:`select_merges`).  The word table is rewritten
-by a chain of ``regexp_replace`` calls (JVM), persisted, and checkpointed to
-the shared checkpoint folder every few rounds to cut lineage.
+mark), then runs merge *rounds* over an index from pairs to the words that hold
+them (:mod:`tessera.operators.bpe_index`).  A round guesses several merges, the words
+that they touch report how all counts change at each step, and the driver, which
+holds the best pairs, keeps the steps that a one-at-a-time learner would have taken.
 
 Encoding (T9) works on each row where it is, in an Arrow function with the
 merges broadcast (bounded by the vocabulary size) and a cache of words in each
@@ -24,19 +21,22 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 
 from tessera.config import SPECIAL_PIECES, UNK_ID, WORD_MARK
 from tessera.functions.text import chars, marked_words, split_white_space
 from tessera.operators import tokenizer as tok
-from tessera.session import checkpoint_root
+from tessera.operators.bpe_index import PairIndex, distinct_pairs, learn
+from tessera.session import checkpoint_root, scratch_path
 
 MERGES_SCHEMA = StructType(
     [
         StructField("rank", IntegerType(), False),
         StructField("left", StringType(), False),
         StructField("right", StringType(), False),
+        StructField("n", LongType(), False),
     ]
 )
 
@@ -53,94 +53,32 @@ LITERAL_SPECIALS = re.compile("(" + "|".join(re.escape(p) for p in sorted(SPECIA
 
 def pair_counts(words: DataFrame, sym_col: str = "syms", freq_col: str = "freq") -> DataFrame:
     """T4: ``(left, right, n)``: adjacent symbol pairs weighted by word
-    frequency, every adjacent occurrence counted."""
-    s = F.col(sym_col)
-    idx = F.when(F.size(s) >= 2, F.sequence(F.lit(0), F.size(s) - 2)).otherwise(F.array().cast("array<int>"))
-    pairs = F.transform(idx, lambda i: F.struct(F.get(s, i).alias("left"), F.get(s, i + 1).alias("right")))
-    return (
-        words.select(F.inline(pairs), F.col(freq_col).alias("_w"))
-        .groupBy("left", "right")
-        .agg(F.sum("_w").cast("bigint").alias("n"))
-    )
+    frequency.  A run of one symbol counts from left to right without overlap,
+    as merging it would (``a a a a`` holds the pair twice)."""
+    return pair_counts_joined(words.select(F.array_join(sym_col, " ").alias("_s"), F.col(freq_col).alias("_w")), "_s", "_w")
 
 
 def pair_counts_joined(words: DataFrame, sym_col: str = "syms", freq_col: str = "freq") -> DataFrame:
-    """T4 on space-joined symbol strings (the training loop's layout): one JVM
-    regex yields every adjacent pair; no lambda per pair."""
-    pairs = F.regexp_extract_all(F.col(sym_col), F.lit(r"(?<![^ ])(?=([^ ]+ [^ ]+))"), F.lit(1))
+    """T4 on space-joined symbol strings: JVM expressions yield the pairs; no lambda per pair."""
     return (
-        words.select(F.explode(pairs).alias("_p"), F.col(freq_col).alias("_w"))
+        words.select(F.explode(distinct_pairs(sym_col)).alias("_p"), F.col(freq_col).alias("_w"))
         .groupBy("_p")
         .agg(F.sum("_w").cast("bigint").alias("n"))
         .select(F.substring_index("_p", " ", 1).alias("left"), F.substring_index("_p", " ", -1).alias("right"), "n")
     )
 
 
-def select_merges(top: list, remaining: int, complete: bool, exact: bool = True) -> list:
-    """Accept a prefix of the ranked candidates ``(left, right, n)``.
-
-    Merging ``(a, b)`` with ``a != b`` removes occurrences only from pairs
-    with ``b`` on the left or ``a`` on the right; pairs ``(a, y)`` and
-    ``(x, b)`` keep their counts, and every pair it creates holds ``a+b``.
-    So the scan stops at the first candidate that an accepted merge can have
-    changed -- ``b`` or ``a+b`` on its left, ``a`` or ``a+b`` on its right,
-    either symbol of an ``(a, a)`` merge -- or whose count is not above
-    ``bound``.  Each accepted ``(a, b)`` raises ``bound`` to
-    ``min(n(a,b), max(maxLeft(b), maxRight(a)))``, an upper bound on every
-    pair it creates.  Unchanged candidates above every created pair are taken
-    in the same order a one-at-a-time learner would take them.
-    ``maxLeft/maxRight`` come from the candidate list; when absent they are
-    bounded by the last candidate's count (or 0 when the list holds every pair).
-    ``exact=False`` ignores ``bound`` (fewer rounds; order may differ near ties).
-    """
-    if not top:
-        return []
-    floor_n = 0 if complete else top[-1][2]
-    max_left, max_right = {}, {}
-    for left, right, n in top:
-        max_left.setdefault(left, n)
-        max_right.setdefault(right, n)
-    accepted, no_left, no_right, bound = [], set(), set(), -1
-    for left, right, n in top:
-        if len(accepted) >= remaining or n <= 0:
-            break
-        if left in no_left or right in no_right:
-            break
-        if exact and n <= bound:
-            break
-        accepted.append((left, right, n))
-        merged = left + right
-        no_left.update((right, merged))
-        no_right.update((left, merged))
-        if left == right:
-            no_left.add(left)
-            no_right.add(left)
-        created = max(max_left.get(right, floor_n), max_right.get(left, floor_n))
-        bound = max(bound, min(n, created))
-    return accepted
-
-
-def _rx(sym: str) -> str:
-    return "".join(ch if (ch.isascii() and ch.isalnum()) else ("\\" + ch if ch.isascii() else ch) for ch in sym)
-
-
-def _merge_expr(col, left: str, right: str):
-    repl = (left + right).replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(col, "(^| )" + _rx(left) + " " + _rx(right) + "(?= |$)", "$1" + repl)
-
-
-def train_bpe(df: DataFrame, col: str, vocab_size: int, coverage: float = 1.0, max_candidates: int = 1024,
-              checkpoint_every: int = 8, exact: bool = True, apply_nfkc: bool = True, specials=SPECIAL_PIECES,
-              cache_rounds: bool = True):
+def train_bpe(df: DataFrame, col: str, vocab_size: int, coverage: float = 1.0, max_candidates: int = 1024, compact_every: int = 32,
+              exact: bool = True, apply_nfkc: bool = True, specials=SPECIAL_PIECES):
     """T5: learn merges until the vocabulary (specials + alphabet + merges)
-    reaches ``vocab_size``.  Returns ``(vocab, merges, rounds)``.
-
-    ``exact=False`` accepts every unaffected candidate of a round regardless
-    of the bound (fewer rounds; merge order may differ near ties).
-    ``cache_rounds`` keeps each round's word table in memory until the next
-    round has read it (measured: about 1.0 s/round against 1.8 s/round when
-    recomputing from the last checkpoint); lost cache blocks are recomputed
-    from lineage, which a checkpoint every ``checkpoint_every`` rounds bounds.
+    reaches ``vocab_size``.  Returns ``(vocab, merges, rounds)``; ``merges`` has the
+    pair's count ``n`` when it was merged.
+
+    The corpus is read once (word counts); rounds read and rewrite only the words that
+    hold one of their pairs (:mod:`tessera.operators.bpe_index`).  The order is that of merging
+    the best pair by (count descending, left, right) one at a time.
+    ``exact=False`` takes all pairs of a round's guess without checking that
+    each was the best (fewer rounds; merge order may differ near ties).
     """
     spark = df.sparkSession
     checkpoint_root(spark)
@@ -153,41 +91,13 @@ def train_bpe(df: DataFrame, col: str, vocab_size: int, coverage: float = 1.0, m
     # the alphabet is bounded by the number of distinct characters
     alpha_vocab = tok.top_pieces(alphabet, None, piece_col="ch", first_id=len(specials), kind="char",
                                  exclude=specials).persist()  # small; lineage ends at the checkpointed words
-    n_alpha = alpha_vocab.count()
+    letters = {r["piece"] for r in alpha_vocab.select("piece").collect()}
+    n_alpha = len(letters)
     n_merges = vocab_size - len(specials) - n_alpha
     if n_merges < 0:
         raise ValueError(f"vocab_size {vocab_size} cannot hold {len(specials)} specials and an alphabet of {n_alpha}")
-    merges: list = []
-    rounds = 0
-    current, stale = words, None
-    while len(merges) < n_merges:
-        pc = pair_counts_joined(current)
-        # the round's only job: it also fills the cache of ``current``
-        top = [(r["left"], r["right"], int(r["n"])) for r in
-               pc.orderBy(F.desc("n"), F.asc("left"), F.asc("right")).limit(max_candidates).collect()]
-        if stale is not None:
-            stale.unpersist()
-            stale = None
-        rounds += 1
-        acc = select_merges(top, n_merges - len(merges), complete=len(top) < max_candidates, exact=exact)
-        if not acc:
-            break
-        merges.extend(acc)
-        syms = F.col("syms")
-        for left, right, _n in acc:
-            syms = _merge_expr(syms, left, right)
-        nxt = current.select("word", "freq", syms.alias("syms"))
-        if rounds % checkpoint_every == 0:
-            nxt = nxt.checkpoint()  # reliable: cuts lineage, survives executor loss
-            if cache_rounds and current is not words:
-                current.unpersist()
-        elif cache_rounds:
-            nxt = nxt.persist()
-            stale = current if current is not words else None
-        current = nxt
-    if cache_rounds and current is not words:
-        current.unpersist()
-    merge_rows = [(i, left, right) for i, (left, right, _n) in enumerate(merges)]
+    merges, rounds = learn(PairIndex(words, compact_every), n_merges, letters, max_candidates, exact=exact) if n_merges else ([], 0)
+    merge_rows = [(i, left, right, n) for i, (left, right, n) in enumerate(merges)]
     merges_df = spark.createDataFrame(merge_rows, MERGES_SCHEMA)
     first = len(specials) + n_alpha
     merged = merges_df.select(
@@ -206,46 +116,44 @@ def train_bpe(df: DataFrame, col: str, vocab_size: int, coverage: float = 1.0, m
 
 def encode_word(word: str, ranks: dict, piece_ids: dict, unk_id: int = UNK_ID) -> list:
     """Pieces of one word by replaying merges in rank order (each merge joins
-    every left-to-right occurrence), then piece ids (unknown -> ``<unk>``)."""
+    every left-to-right occurrence), then piece ids (unknown -> ``<unk>``).
+
+    The symbols are a linked list and the pairs that can merge wait in a heap by (rank,
+    place), so a word of n characters takes n log n steps.  A merge makes only
+    pairs that wait behind it: one whose rank has passed is not replayed.
+    """
     syms = list(word)
-    last = -1
-    while len(syms) > 1:
-        best = None
-        for i in range(len(syms) - 1):
-            r = ranks.get((syms[i], syms[i + 1]))
-            if r is not None and r > last and (best is None or r < best):
-                best = r
-        if best is None:
-            break
-        last = best
-        out, i = [], 0
-        while i < len(syms):
-            if i + 1 < len(syms) and ranks.get((syms[i], syms[i + 1])) == best:
-                out.append(syms[i] + syms[i + 1])
-                i += 2
-            else:
-                out.append(syms[i])
-                i += 1
-        syms = out
-    return [piece_ids.get(s, unk_id) for s in syms]
+    n = len(syms)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i in range(n - 1) if (r := ranks.get((syms[i], syms[i + 1]))) is not None]
+    heapify(heap)
+    while heap:
+        rank, i = heappop(heap)
+        if syms[i] is None or (j := after[i]) >= n or ranks.get((syms[i], syms[j])) != rank:
+            continue  # one of the two has merged with another symbol since
+        syms[i] += syms[j]
+        syms[j] = None
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (r := ranks.get((syms[i], syms[k]), -1)) > rank:
+                heappush(heap, (r, i))
+        if (h := before[i]) >= 0 and (r := ranks.get((syms[h], syms[i]), -1)) > rank:
+            heappush(heap, (r, h))
+    return [piece_ids.get(s, unk_id) for s in syms if s is not None]
 
 
 def encode_raw_word(marked: str, ranks: dict, piece_ids: dict, unk_id: int = UNK_ID, apply_nfkc: bool = True) -> list:
     """Ids of one marked raw word: NFKC first (it can turn one word into
     several, e.g. when a compatibility character expands to a space), then
-    each resulting word is encoded with its own word-start mark."""
-    if not apply_nfkc or marked.isascii():
-        words = [marked]
-    else:
-        words = [WORD_MARK + w for w in split_white_space(unicodedata.normalize("NFKC", marked[len(WORD_MARK):]))]
+    each resulting word is encoded with its own word-start mark; a literal
+    special is one piece wherever it stands (B24)."""
     out: list = []
-    for w in words:
-        # a literal special is one piece wherever it stands
-        for part in LITERAL_SPECIALS.split(w) if "[" in w else [w]:
-            if part in SPECIAL_SET:
-                out.append(piece_ids.get(part, unk_id))
-            elif part:
-                out.extend(encode_word(part, ranks, piece_ids, unk_id))
+    for part in word_parts(marked, apply_nfkc):
+        if part in SPECIAL_SET:
+            out.append(piece_ids.get(part, unk_id))
+        else:
+            out.extend(encode_word(part, ranks, piece_ids, unk_id))
     return out
 
 
@@ -299,20 +207,95 @@ def encode_rowwise(df: DataFrame, col: str, vocab: DataFrame, merges: DataFrame,
     return df.withColumn(out_col, _row_coder(b_ranks, b_ids, unk_id, apply_nfkc)(F.col(col)))
 
 
+def word_parts(marked: str, apply_nfkc: bool = True) -> list:
+    """The pieces of work in one marked raw word: normalised words, cut at literal specials (B24), which are parts themselves."""
+    words = [marked]
+    if apply_nfkc and not marked.isascii():
+        words = [WORD_MARK + w for w in split_white_space(unicodedata.normalize("NFKC", marked[len(WORD_MARK):]))]
+    return [part for w in words for part in (LITERAL_SPECIALS.split(w) if "[" in w else [w]) if part]
+
+
+def _part_splitter(apply_nfkc: bool):
+    @F.pandas_udf(ArrayType(StringType()))
+    def parts(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: word_parts(w, apply_nfkc))
+
+    return parts
+
+
+def _part_coder(unk_id: int):
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for part, ids, ranks in zip(pdf["part"], pdf["ids"], pdf["ranks"]):
+                known = {x["piece"]: int(x["id"]) for x in ids}
+                if part in SPECIAL_SET:
+                    out.append([known.get(part, unk_id)])
+                else:
+                    out.append(encode_word(part, {(x["left"], x["right"]): int(x["rank"]) for x in ranks}, known, unk_id))
+            yield pd.DataFrame({"part": pdf["part"], "pids": out})
+
+    return run
+
+
+def encode_by_pieces(df: DataFrame, key: str, col: str, vocab: DataFrame, merges: DataFrame, out_col: str = "ids",
+                     apply_nfkc: bool = True, unk_id: int = UNK_ID) -> DataFrame:
+    """T9 for models of any size: each distinct word meets the few merges and pieces that it can use.
+
+    A merge applies to a word only if the piece it makes is a part of the word's text, so
+    the substrings of the distinct words (no longer than the longest piece) are joined with the
+    merges and the vocabulary, and each word is encoded with what it found.  Nothing of the
+    model is broadcast or collected.
+    """
+    toks = df.select(F.col(key).alias("_k"), F.posexplode(marked_words(col, False)).alias("pos", "word"))
+    split = toks.select("word").distinct().select("word", F.posexplode(_part_splitter(apply_nfkc)("word")).alias("at", "part"))
+    path = scratch_path(df.sparkSession, "word-parts")
+    split.write.parquet(path)
+    split = df.sparkSession.read.parquet(path)
+    parts = split.select("part").distinct()
+    longest = vocab.agg(F.max(F.length("piece"))).first()[0] or 1
+    subs = F.expr(f"array_distinct(flatten(transform(sequence(1, length(part)), i -> transform(sequence(1, least({int(longest)}, length(part) - i + 1)), "
+                  "n -> substring(part, i, n)))))")
+    pieces = parts.select("part", F.explode(subs).alias("piece"))
+    made = merges.select(F.concat("left", "right").alias("piece"), "left", "right", "rank")
+    ids = pieces.join(vocab.select("piece", "id"), "piece").groupBy("part").agg(F.collect_list(F.struct("piece", "id")).alias("ids"))
+    ranks = pieces.join(made, "piece").groupBy("part").agg(F.collect_list(F.struct("left", "right", "rank")).alias("ranks"))
+    none = {"ids": F.coalesce("ids", F.expr("CAST(array() AS array<struct<piece: string, id: int>>)")),
+            "ranks": F.coalesce("ranks", F.expr("CAST(array() AS array<struct<left: string, right: string, rank: int>>)"))}
+    known = parts.join(ids, "part", "left").join(ranks, "part", "left").withColumns(none)
+    coded = known.mapInPandas(_part_coder(unk_id), "part string, pids array<int>")
+
+    def in_order(pos: str, what: str):
+        return F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(pos, what))), lambda x: x[what])).alias("wids")
+
+    words = split.join(coded, "part").groupBy("word").agg(in_order("at", "pids"))
+    grouped = toks.join(words, "word").groupBy("_k").agg(in_order("pos", "wids").alias("_ids"))
+    out = df.join(grouped, F.col(key) == F.col("_k"), "left")
+    got = F.when(F.col(col).isNotNull(), F.coalesce(F.col("_ids"), F.array().cast("array<int>")))
+    return out.select(*[F.col(c) for c in df.columns], got.alias(out_col))
+
+
 def encode(df: DataFrame, key: str, col: str, vocab: DataFrame, merges: DataFrame, out_col: str = "ids",
            apply_nfkc: bool = True, unk_id: int = UNK_ID, model=None, hot_words: int = HOT_WORDS,
-           strategy: str = "rowwise") -> DataFrame:
+           strategy: str | None = None) -> DataFrame:
     """Text to subword ids.
 
     By default each row is encoded where it is (:func:`encode_rowwise`: one
     scan, no shuffle; 9.5 s against 15-20 s for the join on 85,513 lines
-    locally).  ``strategy="join"`` encodes distinct words instead, for models
-    too large for each worker's memory.  There, words are counted (partial aggregation, so a hot word is combined map
+    locally), unless the vocabulary or the merges have more than
+    ``tokenizer.MAX_BROADCAST_VOCAB`` rows: such a model is not sent to the workers, but
+    joined (``strategy="shuffle"``, :func:`encode_by_pieces`); the ids are the same.
+    ``strategy="join"`` encodes distinct words with a model sent to the workers.  There, words are counted (partial aggregation, so a hot word is combined map
     side) and each *distinct* word is encoded once.  The pieces go back to the
     tokens in two joins: the ``hot_words`` most frequent words (a bounded
     table) by broadcast, the rest by a shuffle join in which no key is more
     frequent than the last hot word.  Tokens then regroup per row.
     """
+    if strategy is None:
+        large = model is None and any(t.limit(tok.MAX_BROADCAST_VOCAB + 1).count() > tok.MAX_BROADCAST_VOCAB for t in (vocab, merges))
+        strategy = "shuffle" if large else "rowwise"
+    if strategy == "shuffle":
+        return encode_by_pieces(df, key, col, vocab, merges, out_col, apply_nfkc, unk_id)
     if strategy == "rowwise":
         return encode_rowwise(df, col, vocab, merges, out_col, apply_nfkc, unk_id, model)
     spark = df.sparkSession

@@ -1,29 +1,27 @@
 """M1-M7: character and word error rates, BLEU, evaluation rows and scalars.
 
-Edit distances are row-local (Spark's native ``levenshtein`` over code
-points, first within a narrow band) followed by one partial aggregate.  WER maps
-the words of a row to code points so the same native routine runs over words.
-BLEU's clipped counts are row-local as well: one Arrow function counts the
-n-grams of hypothesis and references of a row, so no n-gram is shuffled and
+Edit distances are row-local, followed by one partial aggregate: Spark's own
+``levenshtein`` within a band, beyond it and for words a bit-parallel distance in an
+Arrow function.  BLEU's clipped counts are row-local as well: one Arrow function
+numbers the n-grams of a batch, so no n-gram is shuffled and
 rows that repeat an id cannot mix; only one row of sums a group and task is.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from tessera.functions.text import split_words, tokenize_13a
+from tessera.operators.sequences import coded, distances, edit_distance, ngram_matches
 
-# Words of one row are mapped to the code points beyond the basic plane.
-WORD_CP_BASE = 0x10000
-WORD_CP_LIMIT = 0x110000 - WORD_CP_BASE
-# Bands in which an edit distance is tried before the full table is filled.
+# Bands in which Spark's own edit distance is tried first.
 BANDS = (16, 256)
+# Words of a batch that are worked on at a time.
+BATCH_WORDS = 1 << 20
 
 
 def _c(col) -> Column:
@@ -34,64 +32,44 @@ def _text(col) -> Column:
     return F.coalesce(_c(col), F.lit(""))
 
 
-def _distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance; exact whatever the band, as a band that is too narrow gives -1."""
-    tries = [F.nullif(F.levenshtein(a, b, band), F.lit(-1)) for band in BANDS]
-    return F.coalesce(*tries, F.levenshtein(a, b))
+def _banded(a: Column, b: Column) -> Column:
+    """Levenshtein distance, null where it is beyond the widest band."""
+    return F.coalesce(*[F.nullif(F.levenshtein(a, b, band), F.lit(-1)) for band in BANDS])
 
 
-def char_edits(hyp, ref) -> Column:
-    return _distance(_text(hyp), _text(ref))
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
 
 
-def _sequence_distance(a: np.ndarray, b: np.ndarray) -> int:
-    """Edit distance of two integer sequences: how far each diagonal reaches with 0, 1, 2, ... edits.
+@F.arrow_udf(IntegerType())
+def _char_distance(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    """Edits of the pairs given, bit-parallel over code points; null where there is none."""
+    pairs = zip(hyp.to_pylist(), ref.to_pylist())
+    return pa.array([None if h is None else edit_distance(_code_points(h), _code_points(r)) for h, r in pairs], pa.int32())
 
-    Memory grows with the distance, not with the product of the lengths.
-    """
-    n, m = len(a), len(b)
-    never = -(1 << 40)
-    at = np.zeros(1, np.int64)  # places in ``a``, of the diagonals (place in b less place in a) -edits .. edits
-    edits = 0
-    while True:
-        k = np.arange(-edits, edits + 1)
-        if edits:
-            last = np.concatenate([[never] * 2, at, [never] * 2])
-            at = np.maximum(np.maximum(last[1:-1] + 1, last[2:] + 1), last[:-2])
-        at = np.minimum(np.minimum(at, n), m - k)
-        at[(at < 0) | (at + k < 0)] = never
-        on = np.flatnonzero(at >= 0)
-        while len(on := on[(at[on] < n) & (at[on] + k[on] < m)]):
-            on = on[a[at[on]] == b[at[on] + k[on]]]
-            at[on] += 1
-        if abs(m - n) <= edits and at[m - n + edits] == n:
-            return edits
-        edits += 1
-
-
-def _long_word_edits():
-    """Word edits of the pairs given; null where there is none."""
-
-    @F.pandas_udf("int")
-    def edits(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-        out = []
-        for h, r in zip(hyp, ref):
-            if h is None or r is None:
-                out.append(None)
-            else:
-                codes, _ = pd.factorize(np.concatenate([h, r]).astype(object))
-                out.append(_sequence_distance(codes[:len(h)], codes[len(h):]))
-        return pd.Series(out, dtype="Int32")
-
-    return edits
-
-
-def words_to_codepoints(words: Column, vocab: Column) -> Column:
-    """Each word becomes one character: ``U+10000 + index in vocab``."""
-    hexes = F.transform(
-        words, lambda w: F.lpad(F.hex(F.array_position(vocab, w) - 1 + F.lit(WORD_CP_BASE)), 8, "0")
-    )
-    return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-32")
+
+def _word_groups(*columns: pa.Array):
+    """The columns' rows in groups of about ``BATCH_WORDS`` words."""
+    words = sum(np.diff(np.asarray(c.offsets)) for c in columns)
+    part = np.cumsum(words) // BATCH_WORDS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(words)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi > lo:
+            yield [c.slice(lo, hi - lo) for c in columns]
+
+
+@F.arrow_udf(IntegerType())
+def _word_distance(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    """Word edits of each row; the distinct words of a batch are numbered once."""
+    out = [distances(*coded(h, r)) for h, r in _word_groups(hyp, ref)]
+    return pa.array(np.concatenate(out) if out else [], pa.int32())
+
+
+def char_edits(hyp, ref) -> Column:
+    """Edits from hypothesis to reference over code points; null counts as empty."""
+    h, r = _text(hyp), _text(ref)
+    banded = _banded(h, r)
+    return F.coalesce(banded, _char_distance(F.when(banded.isNull(), h), F.when(banded.isNull(), r)))
 
 
 def _group(by) -> list[str]:
@@ -111,23 +89,21 @@ def wer(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by=None, tokenize=spl
 
 def error_rates(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by=None, tokenize=split_words) -> DataFrame:
     """M1 + M2 in one pass: character and word edits per row, one aggregate.
-    The word arrays and the pair's word list are materialised in their own
-    projection first, so the lookup lambda reads a column instead of
-    re-splitting the texts per word."""
+
+    Characters: Spark's banded distance settles nearly all rows; the others are measured bit by bit
+    in an Arrow function, which gets their texts only.  Words: one Arrow function numbers the
+    words of a batch and measures all rows side by side.
+    """
     g = _group(by)
-    words = df.select(
-        *g,
-        char_edits(hyp, ref).alias("_ce"),
-        F.length(_text(ref)).alias("_cn"),
-        F.coalesce(tokenize(_c(hyp)), F.array().cast("array<string>")).alias("_hw"),
-        F.coalesce(tokenize(_c(ref)), F.array().cast("array<string>")).alias("_rw"),
-    ).withColumn("_v", F.array_distinct(F.concat("_rw", "_hw")))
-    long = F.size("_v") > F.lit(WORD_CP_LIMIT)  # more words than code points: their own distance
-    coded = words.withColumns({"_hs": F.when(~long, words_to_codepoints(F.col("_hw"), F.col("_v"))),
-                               "_rs": F.when(~long, words_to_codepoints(F.col("_rw"), F.col("_v")))})
-    we = F.coalesce(_distance(F.col("_hs"), F.col("_rs")), _long_word_edits()(F.when(long, F.col("_hw")), F.when(long, F.col("_rw"))))
+    empty = F.array().cast("array<string>")
+    rows = df.select(*g, _text(hyp).alias("_h"), _text(ref).alias("_r"),
+                     F.coalesce(tokenize(_c(hyp)), empty).alias("_hw"), F.coalesce(tokenize(_c(ref)), empty).alias("_rw"))
+    rows = rows.withColumn("_ce", _banded(F.col("_h"), F.col("_r")))
+    rest = F.col("_ce").isNull()
+    rows = rows.withColumns({"_lh": F.when(rest, F.col("_h")), "_lr": F.when(rest, F.col("_r"))})
+    ce = F.coalesce("_ce", _char_distance("_lh", "_lr"))
     return (
-        coded.select(*g, "_ce", "_cn", we.alias("_we"), F.size("_rw").alias("_wn"))
+        rows.select(*g, ce.alias("_ce"), F.length("_r").alias("_cn"), _word_distance("_hw", "_rw").alias("_we"), F.size("_rw").alias("_wn"))
         .groupBy(*g)
         .agg(
             F.sum("_ce").cast("bigint").alias("char_edits"),
@@ -140,25 +116,22 @@ def error_rates(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by=None, toke
     )
 
 
-def _clipped(n_max: int, n_refs: int):
+def _clipped(n_max: int):
     """Per row: clipped and total n-gram counts for each n, hypothesis length, closest reference length."""
 
-    @F.pandas_udf("array<bigint>")
-    def stats(hyp: pd.Series, *refs: pd.Series) -> pd.Series:
-        out = []
-        for words in zip(hyp, *refs):
-            h, rs = list(words[0]), [list(r) for r in words[1:]]
-            clipped, total = [], []
-            for n in range(1, n_max + 1):
-                have = Counter(zip(*(h[k:] for k in range(n))))
-                most: Counter = Counter()
-                for r in rs:
-                    most |= Counter(zip(*(r[k:] for k in range(n))))
-                clipped.append((have & most).total())
-                total.append(have.total())
-            closest = min((abs(len(r) - len(h)), len(r)) for r in rs)[1]  # the shorter one on ties
-            out.append([*clipped, *total, len(h), closest])
-        return pd.Series(out)
+    def group(columns: list) -> pa.Array:
+        hyp, *refs = coded(*columns)
+        clipped, total = ngram_matches(hyp, refs, n_max)
+        own = np.diff(hyp[1])
+        lengths = np.sort(np.stack([np.diff(o) for _, o in refs]), axis=0)  # the shorter one on ties
+        closest = np.take_along_axis(lengths, np.abs(lengths - own).argmin(axis=0)[None], axis=0)[0]
+        flat = np.column_stack([clipped, total, own, closest])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel(), pa.int64()))
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def stats(*texts: pa.Array) -> pa.Array:
+        out = [group(columns) for columns in _word_groups(*texts)]
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
 
     return stats
 
@@ -174,7 +147,7 @@ def ngram_stats(df: DataFrame, hyp: str, refs: list[str], n_max: int = 4, by=Non
     g = _group(by)
     empty = F.array().cast("array<string>")
     tokens = [F.coalesce(tokenize(_c(c)), empty) for c in [hyp, *refs]]
-    rows = df.select(*g, _clipped(n_max, len(refs))(*tokens).alias("_s"))
+    rows = df.select(*g, _clipped(n_max)(*tokens).alias("_s"))
     names = [*(f"c{n}" for n in range(1, n_max + 1)), *(f"t{n}" for n in range(1, n_max + 1)), "hyp_len", "ref_len"]
     return rows.groupBy(*g).agg(*[F.coalesce(F.sum(F.get("_s", F.lit(i))), F.lit(0)).cast("bigint").alias(c) for i, c in enumerate(names)])
 

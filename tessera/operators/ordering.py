@@ -14,10 +14,14 @@ bucket is hot even when one group holds a third of all rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 
 def hash_key(key, seed: str) -> Column:
@@ -128,6 +132,75 @@ def epoch_orders(df: DataFrame, epochs: list[int], key: str = "pair_id", seed: s
                       group_cols=["epoch", *by]).drop("_h")
 
 
+#: Rounds of the permutation's network.
+ROUNDS = 6
+#: Modulus of the round function: squares of smaller numbers fit 64 bits.
+MODULUS = (1 << 31) - 1
+
+
+def round_keys(seed: str, epoch: int) -> list[int]:
+    """Keys of the rounds, from ``md5(seed:epoch:round)``."""
+    return [int(hashlib.md5(f"{seed}:{epoch}:{i}".encode()).hexdigest()[:7], 16) for i in range(ROUNDS)]
+
+
+def permute(rank: np.ndarray, n: np.ndarray, keys: list[int]) -> np.ndarray:
+    """The place of each ``rank`` in the keyed permutation of its ``[0, n)``.
+
+    ``[0, side**2)`` with ``side = ceil(sqrt(n))`` is permuted by a Feistel network: a number is
+    (left, right) in base ``side``, and each round gives (right, left + f(right, key) mod ``side``)
+    with ``f`` two squarings modulo ``MODULUS``.  A result outside ``[0, n)`` is permuted again
+    until it is inside (cycle walking), which makes it a permutation of ``[0, n)``; that
+    is rare, as at most about ``2 / sqrt(n)`` of the numbers are outside.
+    """
+    x, side = rank.astype(np.int64), np.ceil(np.sqrt(n)).astype(np.int64)
+    todo = np.arange(len(x))
+    while len(todo):
+        y, s = x[todo], side[todo]
+        for key in keys:
+            left, right = np.divmod(y, s)
+            f = (right + key) % MODULUS
+            f = (f * f % MODULUS + key) % MODULUS
+            y = right * s + (left + f * f % MODULUS) % s
+        x[todo] = y
+        todo = todo[y >= n[todo]]
+    return x
+
+
+def permuted(rank: Column, n: Column, seed: str, epochs: list[int]) -> Column:
+    """Places of ``rank`` in the orders of the epochs, as an array: no sort and no shuffle.
+
+    An Arrow function: the rounds are a few numpy steps a batch, which lambdas over arrays in the JVM
+    are far from (measured: 19 s against 1 s for 166,880 places).
+    """
+    keys = [round_keys(seed, e) for e in epochs]
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def places(rank: pa.Array, n: pa.Array) -> pa.Array:
+        r, size = np.asarray(rank).astype(np.int64), np.asarray(n).astype(np.int64)
+        flat = np.column_stack([permute(r, size, k) for k in keys]) if len(r) else np.zeros((0, len(keys)), np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1) * len(keys), pa.int32()), pa.array(flat.ravel(), pa.int64()))
+
+    return places(rank.cast("bigint"), n.cast("bigint"))
+
+
+def permuted_epochs(df: DataFrame, epochs: list[int], key: str = "pair_id", seed: str = "42", ratio: float = 0.9,
+                    num_partitions: int | None = None) -> DataFrame:
+    """D1 + D2 for any number of epochs: ``split``, ``epoch`` and ``order`` of every row of ``df``, once an epoch.
+
+    One exact rank (D0) splits the rows; each epoch's order inside a split is
+    :func:`permuted` of the rank there, so epochs add rows but no Exchange.
+    """
+    r = rank_by_hash(df, key, seed, "_rank", total_col="_n", num_partitions=num_partitions)
+    r = r.withColumn("_train", F.floor(F.lit(float(ratio)) * F.col("_n").cast("double")))
+    train = F.col("_rank") < F.col("_train")
+    r = r.withColumns({"split": F.when(train, F.lit("train")).otherwise(F.lit("validation")),
+                       "_at": F.when(train, F.col("_rank")).otherwise(F.col("_rank") - F.col("_train")),
+                       "_size": F.when(train, F.col("_train")).otherwise(F.col("_n") - F.col("_train"))})
+    numbers = F.array(*[F.lit(int(e)).alias("epoch") for e in epochs])
+    r = r.withColumn("_places", permuted(F.col("_at"), F.col("_size"), seed, epochs))
+    return r.select(*df.columns, "split", F.inline(F.arrays_zip(numbers.alias("epoch"), F.col("_places").alias("order"))).alias("epoch", "order"))
+
+
 def assign_batches(df: DataFrame, order_col: str = "order", split_col: str = "split", batch_size: int = 8,
                    val_batch_size: int = 1) -> DataFrame:
     """D3: ``batch_id = floor(order / batch_size)``; validation uses its own size.

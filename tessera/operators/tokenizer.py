@@ -13,6 +13,9 @@ map side and the shuffle moves one array per row, not one row per token.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -20,6 +23,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from tessera.config import SPECIAL_PIECES, UNK_ID, WORD_MARK
 from tessera.operators.ordering import exact_rank
 from tessera.functions.text import chars, marked_words, nfkc, split_words
+from tessera.session import scratch_path
 
 VOCAB_SCHEMA = StructType(
     [
@@ -131,14 +135,45 @@ def with_specials(body: DataFrame, specials=SPECIAL_PIECES) -> DataFrame:
     return sp.unionByName(body.select(*VOCAB_SCHEMA.fieldNames()))
 
 
+#: Buckets a shuffle partition, and sampled rows a bucket, of an equi-depth cut.
+BUCKETS, SAMPLED = 4, 64
+
+
+def _assign(splitters: list[bytes]):
+    @F.arrow_udf(IntegerType())
+    def bucket(keys: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(splitters, k) for k in keys.to_pylist()], pa.int32())
+
+    return bucket
+
+
+def depth_buckets(df: DataFrame, key: str, out_col: str = "_bucket") -> DataFrame:
+    """Order-preserving buckets of about equal size on a unique binary key.
+
+    The splitters are quantiles of the rows whose hash is divisible by a step: the same rows whenever
+    it is computed, at most about ``2 * SAMPLED`` a bucket on the driver, however
+    many rows there are and whatever prefix they share.
+    """
+    buckets = BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    step = max(1, df.count() // (SAMPLED * buckets))
+    sample = sorted(bytes(r[0]) for r in df.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0).select(key).collect())
+    splitters = [sample[len(sample) * i // buckets] for i in range(1, buckets)] if sample else []
+    return df.withColumn(out_col, _assign(splitters)(F.col(key)))
+
+
 def all_pieces(counts: DataFrame, piece_col: str = "word", freq_col: str = "freq",
                first_id: int = len(SPECIAL_PIECES), kind: str = "word", exclude=SPECIAL_PIECES) -> DataFrame:
     """Every piece, ids from ``first_id`` in (freq desc, piece) order, for vocabularies that grow with the data.
 
-    The rank is put together from buckets of one frequency and the first
-    characters of the piece, so the many rare words are not in one task."""
-    d = counts.where(~F.col(piece_col).isin(list(exclude))).withColumn("_neg", -F.col(freq_col))
-    ranked = exact_rank(d, ["_neg", piece_col], ["_neg", F.substring(piece_col, 1, 2)], rank_col="_rank", broadcast_offsets=False)
+    The rank is put together from equi-depth buckets of that order (see :func:`depth_buckets`), so
+    it does not matter that most words are rare or begin alike; there are as many
+    offsets as buckets.  The counts are written once, as they are read three times.
+    """
+    path = scratch_path(counts.sparkSession, "piece-counts")
+    key = F.concat(F.unhex(F.lpad(F.hex(F.lit((1 << 63) - 1) - F.col(freq_col)), 16, "0")), F.col(piece_col).cast("binary"))
+    counts.where(~F.col(piece_col).isin(list(exclude))).withColumn("_key", key).write.parquet(path)
+    d = depth_buckets(counts.sparkSession.read.parquet(path), "_key")
+    ranked = exact_rank(d, ["_key"], ["_bucket"], rank_col="_rank", broadcast_offsets=False)
     return ranked.select(
         F.col(piece_col).alias("piece"), (F.col("_rank") + F.lit(first_id)).cast("int").alias("id"),
         F.col(freq_col).cast("bigint").alias("freq"), F.lit(kind).alias("kind"))

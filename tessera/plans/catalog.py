@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.config import EOS_ID, PrepConfig, SOS_ID
 from tessera.functions import arrays as A
 from tessera.functions import text as TX
-from tessera.operators import aggregates, bpe, checks, examples, metrics, ordering, scoring, tokenizer, vectors
+from tessera.operators import aggregates, bpe, checks, examples, lookup, metrics, ordering, scoring, tokenizer, vectors
 from tessera.plans import prep
 from tessera.session import scratch_path
 from tessera.sources import aligned, artifacts, translations
@@ -108,6 +108,27 @@ def q_s6_write_examples(spark, d):
     return back.select("split", "batch_id", "order", "pair_id", A.join_ints("encoder_input").alias("encoder_input"))
 
 
+def q_s6_resume_examples(spark, d):
+    """All epochs' examples in step order; read again from the step after the first half of the epochs."""
+    path = scratch_path(spark, "stepped-examples")
+    steps = _conv_steps(spark, d).select("split", "epoch", "step", "order", "pair_id", "encoder_input")
+    artifacts.write_stepped_examples(steps, path)
+    done = spark.read.parquet(path).where(F.col("epoch") < len(EPOCHS) // 2).agg(F.max("epoch").alias("epoch"), (F.max("step") + 1).alias("global_step"))
+    rp = ordering.resume_point(done).first()
+    rest = artifacts.resume_examples(spark, path, rp.initial_step)
+    return rest.select("epoch", "step", "order", "pair_id", A.join_ints("encoder_input").alias("encoder_input"))
+
+
+def q_s7_append_batches(spark, d):
+    """Batches of a log appended twice each, as a retried job does."""
+    path = scratch_path(spark, "scalar-batches")
+    log = fx.scalar_log(spark, d)
+    for _ in range(2):
+        for batch, clicks in enumerate((F.col("tag") == "click", ~F.col("tag").eqNullSafe("click"))):
+            artifacts.append_scalars(log.where(clicks), path, run="a", batch=batch)
+    return artifacts.read_scalars(spark, path).select("tag", "step", "value")
+
+
 def q_s7_append_scalars(spark, d):
     path = scratch_path(spark, "scalars")
     log = fx.scalar_log(spark, d)
@@ -304,6 +325,11 @@ def q_d2_shuffle(spark, d):
     return ordering.epoch_orders(sp, [0, 1, 2], by=["split"]).select("epoch", "split", "pair_id", "order")
 
 
+def q_d2_permuted_epochs(spark, d):
+    """The order of every epoch of a run, from one rank."""
+    return ordering.permuted_epochs(fx.line_pairs(spark, d), EPOCHS).select("epoch", "split", "pair_id", "order")
+
+
 def q_d3_batches(spark, d):
     p = _conv_prepared(spark, d)
     return p.select("pair_id", "split", "order", "batch_id", "kept")
@@ -458,6 +484,22 @@ def q_x6_embed(spark, d):
     )
 
 
+def _weighted(found):
+    return found.select("query_id", F.posexplode("weighted").alias("k", "value")).withColumn("value", _r("value"))
+
+
+def q_x7_softmax_lookup(spark, d):
+    """Every 50th vector against all; the keys of one label are masked."""
+    v = fx.vectors(spark, d).withColumn("kept", F.col("label") != 3)
+    return _weighted(lookup.softmax_lookup(v.where("vec_id % 50 = 0"), v, mask="kept"))
+
+
+def q_x7_softmax_lookup_blocks(spark, d):
+    """Every vector against those of its label."""
+    v = fx.vectors(spark, d)
+    return _weighted(lookup.softmax_lookup(v, v, block="label"))
+
+
 def q_x8_position_features(spark, d):
     cp = fx.conv_pairs(spark, d)
     pos = cp.select("pair_id", F.posexplode(TX.split_words("src_text")).alias("pos", "_w"))
@@ -479,6 +521,13 @@ def q_i1_batch_predict(spark, d):
     return scoring.batch_predict(cp, scoring.reverse_words_factory).select("pair_id", "prediction", "status", "error")
 
 
+def q_i1_bounded_predict(spark, d):
+    """Requests against a model of ``seq_len`` positions, in batches of at most 4,096 padded tokens."""
+    cp = fx.conv_pairs(spark, d).select("pair_id", F.col("src_text").alias("text"))
+    out = scoring.batch_predict(cp, scoring.reverse_words_factory, length=scoring.word_tokens("text"), max_len=CFG.seq_len, token_budget=4096)
+    return out.select("pair_id", "prediction", "status", "error")
+
+
 def queries() -> dict:
     return {
         name[2:]: fn

@@ -6,18 +6,24 @@ fixture in SQL.  Notes on the two engines:
 * DuckDB's ``levenshtein`` counts bytes, Spark's counts code points: the
   CER statements first map the 21 non-ASCII letters of ``documents`` to
   spare control characters (fixed values below).
-* The WER statements map each distinct word of a pair to one ASCII character
-  (valid below 95 distinct words per pair; the fixture peaks at 57).
+* The WER statements map the words that both texts of a pair have to one ASCII character
+  each, where that is enough, and fill the distance table by recursion for the other pairs.
 * Seeds are part of the md5 text: ``md5(key || ':' || seed)``.
 """
 
 from __future__ import annotations
 
 from tessera.config import PrepConfig
+from tessera.operators.ordering import MODULUS, round_keys
 
 CFG = PrepConfig()
 WORD_VOCAB = 2000
 SMALL_VOCAB = 500
+BPE_VOCAB = 400
+
+#: The pair at place i of a symbol list counts: a run of one symbol is counted from left to right without overlap.
+COUNTED = """CASE WHEN {x}[i] <> {x}[i + 1] THEN true
+  ELSE (i - list_max(list_filter(range(1, i + 1), lambda j: j = 1 OR {x}[j] <> {x}[j - 1]))) % 2 = 0 END"""
 
 # The non-ASCII letters of the documents table and the control
 # characters that stand in for them in the byte-counting edit distance.
@@ -175,6 +181,52 @@ bs AS (
   FROM bl LEFT JOIN bc ON bc.g = bl.g)"""
 
 
+def word_edits(source: str) -> str:
+    """``we(id, e)``: edits over words of every (id, hyp, ref) of ``source``; WITH RECURSIVE is needed.
+
+    What both texts have in common at either end goes first.  Words of both become one byte each, all others
+    one byte a side, where that is enough bytes; other pairs get the distance table, one
+    recursion a row of it (``d[j] = j + min over k <= j of (t[k] - k)`` for the cost of insertions).
+    """
+    def common(x: str, y: str) -> str:
+        return f"coalesce(list_position(list_transform(range(least(len(h), len(r))), lambda i: {x} <> {y}), true) - 1, least(len(h), len(r)))"
+
+    return f"""w0 AS (SELECT id, {W('hyp')} AS h, {W('ref')} AS r FROM {source}),
+w1 AS (SELECT id, h, r, {common('h[i + 1]', 'r[i + 1]')} AS k FROM w0),
+w2 AS (SELECT id, h[k + 1:] AS h, r[k + 1:] AS r FROM w1),
+w3 AS (SELECT id, h, r, {common('h[len(h) - i]', 'r[len(r) - i]')} AS k FROM w2),
+w4 AS (SELECT id, h[:len(h) - k] AS h, r[:len(r) - k] AS r FROM w3),
+w5 AS (SELECT id, h, r, list_distinct(list_intersect(h, r)) AS c FROM w4),
+hx AS (SELECT id, unnest(h) AS hw, unnest(range(1, len(h) + 1)) AS i FROM w5 WHERE len(c) > 93),
+rx AS (SELECT id, unnest(r) AS rw, unnest(range(1, len(r) + 1)) AS j FROM w5 WHERE len(c) > 93),
+dt AS (
+  SELECT id, CAST(0 AS BIGINT) AS i, j, rw, j AS d FROM (SELECT id, j, rw FROM rx UNION ALL SELECT id, 0, NULL FROM w5 WHERE len(c) > 93)
+  UNION ALL
+  SELECT id, i, j, rw, j + min(t - j) OVER (PARTITION BY id ORDER BY j) AS d
+  FROM (
+    SELECT dt.id, dt.i + 1 AS i, dt.j, dt.rw,
+      CASE WHEN dt.j = 0 THEN dt.i + 1 ELSE least(dt.d + 1, lag(dt.d) OVER (PARTITION BY dt.id ORDER BY dt.j) + CAST(hx.hw <> dt.rw AS BIGINT)) END AS t
+    FROM dt JOIN hx ON hx.id = dt.id AND hx.i = dt.i + 1)),
+we AS (
+  SELECT id, levenshtein(array_to_string(list_transform(h, lambda w: coalesce(chr(CAST(32 + list_position(c, w) AS INTEGER)), chr(1))), ''),
+    array_to_string(list_transform(r, lambda w: coalesce(chr(CAST(32 + list_position(c, w) AS INTEGER)), chr(2))), '')) AS e
+  FROM w5 WHERE len(c) <= 93
+  UNION ALL
+  SELECT id, d FROM dt SEMI JOIN (SELECT id, len(h) AS i, len(r) AS j FROM w5 WHERE len(c) > 93) z ON z.id = dt.id AND z.i = dt.i AND z.j = dt.j)"""
+
+
+def metric_scalars(source: str) -> str:
+    """M7 over ``source`` (id, step, hyp, ref)."""
+    return f"""{word_edits(source)},
+{bleu_counts(source, 'hyp', 'ref', 'step')},
+er AS (
+  SELECT step, sum(levenshtein({_map_letters('hyp')}, {_map_letters('ref')}))::DOUBLE / nullif(sum(length(ref)), 0) AS cer,
+    sum(e)::DOUBLE / nullif(sum(len({W('ref')})), 0) AS wer FROM {source} JOIN we USING (id) GROUP BY step),
+al AS (SELECT step, cer, wer, {BLEU_EXPR} AS bleu FROM er JOIN bs ON bs.g = er.step)
+SELECT 'validation/' || tag AS tag, step, round(CASE tag WHEN 'cer' THEN cer WHEN 'wer' THEN wer ELSE bleu END, 6) AS value
+FROM al, (SELECT unnest(['cer', 'wer', 'bleu']) AS tag)"""
+
+
 BLEU_EXPR = """CASE WHEN c1 = 0 OR c2 = 0 OR c3 = 0 OR c4 = 0 THEN 0.0 ELSE
   (CASE WHEN hyp_len > ref_len THEN 1.0 ELSE exp(1.0 - ref_len::DOUBLE / hyp_len) END)
   * exp((ln(c1::DOUBLE / t1) + ln(c2::DOUBLE / t2) + ln(c3::DOUBLE / t3) + ln(c4::DOUBLE / t4)) / 4.0) END"""
@@ -212,6 +264,18 @@ def tok13a(x: str) -> str:
     return W(c)
 
 
+def softmax_sql(asks: str, meets: str, masked: str) -> str:
+    return f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+sc AS (
+  SELECT q.vec_id AS query_id, k.v AS v,
+    CASE WHEN {masked} THEN -1e9 ELSE list_dot_product(q.v, k.v) / sqrt(len(q.v)) END AS score
+  FROM e q JOIN e k ON {meets} WHERE {asks}),
+mx AS (SELECT query_id, max(score) AS m FROM sc GROUP BY query_id),
+wt AS (SELECT sc.query_id, v, exp(score - m) AS w FROM sc JOIN mx USING (query_id)),
+dm AS (SELECT query_id, unnest(v) AS x, unnest(range(len(v))) AS k, w FROM wt)
+SELECT query_id, CAST(k AS INTEGER) AS k, round(sum(w * x) / sum(w), 6) AS value FROM dm GROUP BY query_id, k"""
+
+
 def oracle_sql() -> dict:
     q: dict[str, str] = {}
     q["s1_aligned_roundtrip"] = f"""WITH {LINE_PAIRS}
@@ -228,6 +292,7 @@ SELECT CAST(row_number() OVER (ORDER BY pair_id) - 1 AS BIGINT) AS line_no, src_
 SELECT p.split, p.batch_id, CAST(p."order" AS BIGINT) AS "order", p.pair_id, {ints('ex.encoder_input')} AS encoder_input
 FROM prepared p JOIN ex ON ex.pair_id = p.pair_id WHERE p.kept"""
     q["s7_append_scalars"] = "SELECT event_type AS tag, event_id AS step, value FROM events"
+    q["s7_append_batches"] = q["s7_append_scalars"]
     q["f2_length_filter"] = f"""WITH {CONV_PAIRS},
 pl AS (SELECT pair_id, CAST(len({W('src_text')}) AS INTEGER) AS src_len, CAST(len({W('tgt_text')}) AS INTEGER) AS tgt_len FROM conv_pairs),
 pt AS (SELECT *, {tagged('pl')} AS drop_reason FROM pl)
@@ -253,8 +318,22 @@ FROM documents"""
 SELECT ch, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT unnest(string_split(word, '')) AS ch, freq FROM wc) GROUP BY ch"""
     q["t4_pair_counts"] = f"""WITH wc AS (SELECT w AS word, count(*) AS freq FROM (SELECT unnest({W('text')}) AS w FROM documents) GROUP BY w),
 sy AS (SELECT list_concat(['▁'], string_split(word, '')) AS s, freq FROM wc),
-pr AS (SELECT s[i + 1] AS l, s[i + 2] AS r, freq FROM (SELECT s, freq, unnest(range(len(s) - 1)) AS i FROM sy))
+pr AS (SELECT s[i] AS l, s[i + 1] AS r, freq FROM (SELECT s, freq, unnest(range(1, len(s))) AS i FROM sy) WHERE {COUNTED.format(x='s')})
 SELECT l AS "left", r AS "right", CAST(sum(freq) AS BIGINT) AS n FROM pr GROUP BY l, r"""
+    # one merge at a time over the distinct words; symbols stand between bars, so that a merge is a plain replacement
+    q["t5_train_bpe"] = f"""WITH RECURSIVE {CONV_PAIRS},
+wc AS (SELECT '▁' || w AS word, count(*) AS freq FROM (SELECT unnest({W('src_text')}) AS w FROM conv_pairs) GROUP BY w),
+m AS (SELECT {BPE_VOCAB} - 7 - count(DISTINCT ch) AS merges FROM (SELECT unnest(string_split(word, '')) AS ch FROM wc)),
+t AS (
+  SELECT 0 AS step, '|' || array_to_string(string_split(word, ''), '||') || '|' AS s, freq, '' AS l, '' AS r, CAST(0 AS BIGINT) AS n FROM wc
+  UNION ALL
+  SELECT t.step + 1, replace(t.s, '|' || b.l || '||' || b.r || '|', '|' || b.l || b.r || '|'), t.freq, b.l, b.r, b.n
+  FROM t, m, (
+    SELECT x[i] AS l, x[i + 1] AS r, CAST(sum(freq) AS BIGINT) AS n
+    FROM (SELECT x, freq, unnest(range(1, len(x))) AS i FROM (SELECT string_split(s[2:length(s) - 1], '||') AS x, freq FROM t))
+    WHERE {COUNTED.format(x='x')} GROUP BY ALL ORDER BY n DESC, l, r LIMIT 1) b
+  WHERE t.step < m.merges)
+SELECT DISTINCT CAST(step - 1 AS INTEGER) AS rank, l AS "left", r AS "right", n FROM t WHERE step > 0"""
     q["t6_with_specials"] = f"WITH {CONV_PAIRS},\n{vocab_cte('v', 'conv_pairs', 'src_text', SMALL_VOCAB)}\nSELECT piece, id, freq, kind FROM v"
     q["t7_piece_to_id"] = f"""WITH {CONV_PAIRS},
 {vocab_cte('v', 'conv_pairs', 'src_text', SMALL_VOCAB)},
@@ -310,6 +389,27 @@ ep AS (SELECT unnest([0, 1, 2]) AS epoch)
 SELECT CAST(epoch AS INTEGER) AS epoch, split, pair_id,
   CAST(row_number() OVER (PARTITION BY epoch, split ORDER BY md5(CAST(pair_id AS VARCHAR) || ':42:' || CAST(epoch AS VARCHAR)), pair_id) - 1 AS BIGINT) AS "order"
 FROM sp, ep"""
+    epoch_keys = ", ".join(f"({e}, {round_keys(CFG.seed, e)})" for e in range(CFG.num_epochs))
+    f = f"((a % side + k) % {MODULUS})"
+    f = f"(({f} * {f} % {MODULUS} + k) % {MODULUS})"
+
+    def network(x: str) -> str:
+        return f"list_reduce(list_concat([CAST({x} AS BIGINT)], keys), lambda a, k: (a % side) * side + (a // side + {f} * {f} % {MODULUS}) % side)"
+
+    q["d2_permuted_epochs"] = f"""WITH RECURSIVE {LINE_PAIRS},
+rk AS (
+  SELECT pair_id, row_number() OVER (ORDER BY md5(CAST(pair_id AS VARCHAR) || ':42'), pair_id) - 1 AS r,
+    count(*) OVER () AS n, CAST(floor(0.9::DOUBLE * count(*) OVER ()) AS BIGINT) AS train FROM line_pairs),
+sp AS (
+  SELECT pair_id, CASE WHEN r < train THEN 'train' ELSE 'validation' END AS split, CASE WHEN r < train THEN r ELSE r - train END AS r,
+    CASE WHEN r < train THEN train ELSE n - train END AS n FROM rk),
+ep AS (SELECT epoch, CAST(keys AS BIGINT[]) AS keys FROM (VALUES {epoch_keys}) v(epoch, keys)),
+st AS (SELECT *, CAST(ceil(sqrt(n::DOUBLE)) AS BIGINT) AS side FROM sp, ep),
+wk AS (
+  SELECT epoch, keys, split, pair_id, n, side, {network('r')} AS x FROM st
+  UNION ALL
+  SELECT epoch, keys, split, pair_id, n, side, {network('x')} AS x FROM wk WHERE x >= n)
+SELECT CAST(epoch AS INTEGER) AS epoch, split, pair_id, x AS "order" FROM wk WHERE x < n"""
     q["d3_batches"] = f"""WITH {prepared_cte(CONV_PAIRS, 'conv_pairs')}
 SELECT pair_id, split, CAST("order" AS BIGINT) AS "order", batch_id, kept FROM prepared"""
     steps_cte = f"""{prepared_cte(CONV_PAIRS, 'conv_pairs')},
@@ -325,6 +425,11 @@ done AS (SELECT epoch, max(step) + 1 AS global_step FROM steps WHERE epoch < 10
 st AS (SELECT arg_max(epoch, epoch) AS e, arg_max(global_step, epoch) AS g FROM done)
 SELECT CAST((SELECT coalesce(e, -1) + 1 FROM st) AS INTEGER) AS initial_epoch, CAST((SELECT coalesce(g, 0) FROM st) AS BIGINT) AS initial_step,
   count(*) AS remaining_batches, min(step) AS first_step FROM steps WHERE epoch >= (SELECT coalesce(e, -1) + 1 FROM st)"""
+    q["s6_resume_examples"] = f"""WITH {CONV_ENC},
+{steps_cte.replace(CONV_PAIRS + ',', '', 1).lstrip()}
+SELECT eo.epoch::INTEGER AS epoch, st.step, eo.o::BIGINT AS "order", eo.pair_id, {ints('ex.encoder_input')} AS encoder_input
+FROM eo JOIN steps st ON st.epoch = eo.epoch AND st.batch_id = CAST(floor(eo.o / 8) AS BIGINT) JOIN ex ON ex.pair_id = eo.pair_id
+WHERE eo.kept AND eo.epoch >= 10"""
     q["d6_validation_sample"] = f"""WITH {prepared_cte(CONV_PAIRS, 'conv_pairs')},
 st AS (SELECT unnest([0, 500]) AS step),
 c AS (
@@ -347,6 +452,16 @@ SELECT lang, CAST(sum(levenshtein({_map_letters('hyp')}, {_map_letters('ref')}))
   CAST(sum(length(ref)) AS BIGINT) AS ref_chars,
   round(sum(levenshtein({_map_letters('hyp')}, {_map_letters('ref')}))::DOUBLE / sum(length(ref)), 6) AS cer
 FROM hyp_ref GROUP BY lang"""
+    q["m2_wer"] = f"""WITH RECURSIVE {HYP_REF},
+{word_edits('hyp_ref')}
+SELECT lang, CAST(sum(e) AS BIGINT) AS word_edits, CAST(sum(len({W('ref')})) AS BIGINT) AS ref_words,
+  round(sum(e)::DOUBLE / sum(len({W('ref')})), 6) AS wer FROM hyp_ref JOIN we USING (id) GROUP BY lang"""
+    q["m7_validation_scalars"] = f"""WITH RECURSIVE {HYP_REF},
+vs AS (SELECT *, id // 4294967296 AS step FROM hyp_ref),
+{metric_scalars('vs')}"""
+    q["m7_validation_scalars_last"] = f"""WITH RECURSIVE {HYP_REF},
+vs AS (SELECT id, id // 4294967296 AS step, hyp, ref FROM hyp_ref QUALIFY row_number() OVER (PARTITION BY id // 4294967296 ORDER BY id DESC) = 1),
+{metric_scalars('vs')}"""
     q["m3_bleu"] = f"""WITH {HYP_REF},
 {bleu_counts('hyp_ref', 'hyp', 'ref', 'lang')}
 SELECT g AS lang, c1, c2, c3, c4, t1, t2, t3, t4, hyp_len, ref_len, round({BLEU_EXPR}, 6) AS bleu FROM bs"""
@@ -385,6 +500,8 @@ SELECT ti.pair_id, ti.pos, CAST(ti.token_id AS BIGINT) AS token_id,
   round(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * sqrt(len(e.embedding)))), 6) AS vec_sum,
   round(list_sum(list_transform(e.embedding, lambda x: (CAST(x AS DOUBLE) * sqrt(len(e.embedding))) ** 2)), 4) AS vec_sq
 FROM ti JOIN embeddings e ON e.vec_id = ti.token_id"""
+    q["x7_softmax_lookup"] = softmax_sql("q.vec_id % 50 = 0", "true", "k.label = 3")
+    q["x7_softmax_lookup_blocks"] = softmax_sql("true", "q.label IS NOT DISTINCT FROM k.label", "false")
     q["x8_position_features"] = f"""WITH {CONV_PAIRS},
 t AS (SELECT pair_id, CAST(unnest(range(len({W('src_text')}))) AS INTEGER) AS pos FROM conv_pairs),
 k AS (SELECT CAST(unnest(range(16)) AS INTEGER) AS k)
@@ -398,6 +515,10 @@ SELECT vec_id, CAST(unnest(range(len(e))) AS INTEGER) AS k, round(unnest(list_tr
 SELECT pair_id, CASE WHEN len({W('src_text')}) = 0 THEN NULL ELSE array_to_string(list_reverse({W('src_text')}), ' ') END AS prediction,
   CASE WHEN len({W('src_text')}) = 0 THEN 'error' ELSE 'ok' END AS status,
   CASE WHEN len({W('src_text')}) = 0 THEN 'ValueError: empty input' END AS error FROM conv_pairs"""
+    q["i1_bounded_predict"] = f"""WITH {CONV_PAIRS}, n AS (SELECT *, len({W('src_text')}) AS n FROM conv_pairs)
+SELECT pair_id, CASE WHEN n BETWEEN 1 AND 127 THEN array_to_string(list_reverse({W('src_text')}), ' ') END AS prediction,
+  CASE WHEN n BETWEEN 1 AND 127 THEN 'ok' ELSE 'error' END AS status,
+  CASE WHEN n = 0 THEN 'ValueError: empty input' WHEN n > 127 THEN 'ValueError: ' || (n + 1) || ' tokens, at most 128' END AS error FROM n"""
     q["st1_stream_scalars"] = """WITH b AS (
   SELECT CAST(time_bucket(INTERVAL 1 hour, ts) AS TIMESTAMP) AS window_start, event_type AS tag, value FROM events)
 SELECT window_start, window_start + INTERVAL 1 hour AS window_end, tag,

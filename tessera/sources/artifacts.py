@@ -71,10 +71,55 @@ def write_examples(df: DataFrame, path: str, order_cols=("split", "epoch", "step
     out.write.mode(mode).partitionBy("split").parquet(path)
 
 
-def append_scalars(df: DataFrame, path: str) -> None:
-    """Append ``(tag, step, value, ts)`` rows to the metric log."""
+def write_stepped_examples(df: DataFrame, path: str, step_col: str = "step", order_cols=("split", "step", "order"),
+                           num_partitions: int | None = None) -> None:
+    """S6 with a step index: for each file its split, first and last step and rows, under ``path/_steps``.
+
+    The index is read back from the committed files and written after them; an
+    overwrite removes it with the data, so an index is there only for what it describes.
+    """
+    write_examples(df, path, order_cols, num_partitions)
+    files = df.sparkSession.read.parquet(path).groupBy("split", F.col("_metadata.file_path").alias("file")).agg(
+        F.min(step_col).alias("first_step"), F.max(step_col).alias("last_step"), F.count(F.lit(1)).alias("n_rows"))
+    files.write.mode("overwrite").parquet(f"{path}/_steps")
+
+
+def resume_examples(spark: SparkSession, path: str, first_step: int, split: str = "train", step_col: str = "step") -> DataFrame:
+    """S6 + D5: the rows of a split from ``first_step`` on; files that end before it are not opened.
+
+    The driver gets one name a file that is left.  A folder without a committed index raises.
+    """
+    if not _exists(spark, f"{path}/_steps/_SUCCESS"):
+        raise FileNotFoundError(f"no step index at {path}")
+    index = spark.read.parquet(f"{path}/_steps").where((F.col("split") == split) & (F.col("last_step") >= int(first_step)))
+    files = sorted(r["file"] for r in index.select("file").collect())
+    if not files:
+        return spark.read.parquet(path).where(F.lit(False))
+    return spark.read.option("basePath", path).parquet(*files).where(F.col(step_col) >= int(first_step))
+
+
+def append_scalars(df: DataFrame, path: str, run: str | None = None, batch: int | None = None) -> None:
+    """Append ``(tag, step, value, ts)`` rows to the metric log.
+
+    With ``run`` and ``batch`` the rows are one folder of the log, replaced as a whole: appending
+    the same batch again (a retry, a replayed micro-batch) changes nothing.  Without them
+    rows are added each time.  A log is written in one of the two ways; see :func:`read_scalars`.
+    """
     cols = ["tag", "step", "value"] + (["ts"] if "ts" in df.columns else [])
-    df.select(*cols).write.mode("append").parquet(path)
+    rows = df.select(*cols)
+    if run is None or batch is None:
+        rows.write.mode("append").parquet(path)
+        return
+    keyed = rows.withColumns({"run": F.lit(str(run)), "batch": F.lit(int(batch)).cast("bigint")})
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch").parquet(path)
+
+
+def read_scalars(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """The rows of a metric log, of one run or of all."""
+    log = spark.read.option("basePath", path).parquet(path)
+    if run is not None:
+        log = log.where(F.col("run").cast("string") == str(run))
+    return log.drop("run", "batch")
 
 
 _NUMBERED = r"^(.*?)(\d+)\.pt$"

@@ -22,6 +22,7 @@ from tessera.operators.scoring import batch_predict
 from tessera.functions.text import split_white_space
 from tessera.operators.tokenizer import checked_rows
 from tessera.session import scratch_path
+from tessera.sources.artifacts import append_scalars
 
 
 def stream_scalars(sdf: DataFrame, window: str = "1 hour", delay: str = "10 minutes", ts: str = "ts",
@@ -49,7 +50,8 @@ def stream_scalars(sdf: DataFrame, window: str = "1 hour", delay: str = "10 minu
 
 def frozen_vocab(spark: SparkSession, vocab: DataFrame):
     """Broadcast a vocabulary as a piece -> id dict; its size is checked first
-    (a vocabulary is bounded by ``vocab_size``)."""
+    (a vocabulary is bounded by ``vocab_size``).  A larger one is joined by
+    :func:`examples_per_batch` instead."""
     v = vocab.select("piece", "id")
     checked_rows(v, what="vocabulary")
     return spark.sparkContext.broadcast({r["piece"]: int(r["id"]) for r in v.collect()})
@@ -98,6 +100,16 @@ def examples_per_batch(sdf: DataFrame, src_vocab: DataFrame, tgt_vocab: DataFram
     return sdf.writeStream.foreachBatch(write).option("checkpointLocation", ck).trigger(availableNow=True).start()
 
 
+def scalars_per_batch(path: str, run: str) -> Callable[[DataFrame, int], None]:
+    """S7 from a stream: a function for ``foreachBatch`` that appends each micro-batch under its
+    number, so a batch that is replayed replaces its own rows."""
+
+    def write(batch_df: DataFrame, batch_id: int) -> None:
+        append_scalars(batch_df, path, run=run, batch=batch_id)
+
+    return write
+
+
 def stream_predict(sdf: DataFrame, predictor_factory: Callable, text_col: str = "text") -> DataFrame:
     """ST3: I1's ``mapInPandas`` on a stream: requests in, predictions out."""
     return batch_predict(sdf, predictor_factory, text_col)

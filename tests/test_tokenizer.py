@@ -16,15 +16,19 @@ TEXT = [
 
 
 def sequential_bpe(word_freq: dict, n_merges: int):
-    """Plain one-merge-at-a-time learner: all adjacent pairs counted, the
-    largest count wins, ties by (left, right); merges apply left to right."""
+    """Plain one-merge-at-a-time learner: adjacent pairs counted as they would
+    merge (runs of one symbol without overlap), the largest count wins, ties by
+    (left, right); merges apply left to right."""
     words = {tuple(w): f for w, f in word_freq.items()}
     merges = []
     for _ in range(n_merges):
         pc = Counter()
         for syms, f in words.items():
-            for a, b in zip(syms, syms[1:]):
-                pc[(a, b)] += f
+            taken = -1
+            for i, (a, b) in enumerate(zip(syms, syms[1:])):
+                if a != b or taken < i:
+                    pc[(a, b)] += f
+                    taken = i + 1 if a == b else taken
         if not pc:
             break
         best = min(pc.items(), key=lambda kv: (-kv[1], kv[0]))[0]
@@ -89,9 +93,9 @@ def test_char_inventory_coverage(spark):
 
 
 def test_pair_counts_round0(spark):
-    words = spark.createDataFrame([(["▁", "a", "a", "a"], 2)], "syms array<string>, freq bigint")
+    words = spark.createDataFrame([(["▁", "a", "a", "a"], 2), (["a"] * 4 + ["b"] + ["a"] * 5, 1), (["."] * 2, 3), ([], 1), (["x"], 1)], "syms array<string>, freq bigint")
     got = {(r.left, r.right): r.n for r in bpe.pair_counts(words).collect()}
-    assert got == {("▁", "a"): 2, ("a", "a"): 4}
+    assert got == {("▁", "a"): 2, ("a", "a"): 2 + 4, ("a", "b"): 1, ("b", "a"): 1, (".", "."): 3}  # runs count without overlap
 
 
 def test_vocab_size_and_check(spark):
