@@ -7,21 +7,20 @@ others.  Pivots are therefore taken from the documents that share a shingle:
 1.  Equal sets are one class.  Shingles are put in one order for all classes:
     by hash, those of many classes last.  Two linked classes have a shingle in
     common within the first fifth of either (``size - ceil(0.8 size) + 1``).
-2.  Each such shingle is a region with a pivot, its class of least hash.  All
-    members measure their exact distance to it.  Those within 0.2 are linked
-    with the pivot, hence in one component with each other: a group of copies
-    costs a star, not its pairs.  The pivot of a frequent shingle is known from
-    the count, so its members are never gathered.  Where a frequent region stays
-    apart, a second star has its most central member as pivot.
-3.  Members that are still in different components form cells, each with a
-    pivot of its own.  (In the region of a frequent shingle only sets whose
-    frequent shingles alone can make a link are compared: two that share a
-    rarer shingle meet there.)  A member is measured against the pivots of the other
-    cells of its region unless the triangle inequality on the distances already
-    known keeps it more than 0.2 away.
-4.  Members that may be near any member of a cell, by the same inequality on the
-    region's pivot, are its boundary; what the distances to the cell's own pivot
-    leave of it is compared member by member.
+2.  The classes that share such a shingle are a region.  (In the region of a frequent shingle only
+    classes take part that can make a link by frequent shingles alone, at least 80 % of the set: two
+    that share a rarer shingle meet there.)  Regions with the same least class are taken together, as
+    the shingles of one family of copies all have nearly the same classes; where that is much more than the
+    largest of them, they stay apart.
+3.  A large region is split by pivots of several cells (components, as far as they are known): each member
+    goes to the Voronoi region of its nearest pivot, those farther than ``FAR`` from all to a
+    remainder, and it is copied into every other one that the triangle inequality allows a link to
+    reach, so that no boundary is lost.  Links with pivots join components: a group of copies is closed by
+    its first pivot.  What holds several components goes on, recursively.
+4.  Regions that are small, or that pivots do not part (sets just below the threshold to
+    each other, where windows cover everything), are compared in tiles inside tasks: the sizes of
+    all intersections of a tile are counted as matrix products, and a tile passes on a
+    forest of its links, never its pairs.  Members of one cell are not compared with each other.
 
 All links are found up to those inside a component, so components are exact.
 """
@@ -33,21 +32,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.ragged import mix64, offsets_of, row_slices
+from tessera.llm.ragged import mix64, offsets_of, release, row_slices
 from tessera.llm.shared import stored
-from tessera.llm.wordhash import HASH_BYTES, LOWER, binary_lengths, hash_words, longs, shingle_sets
+from tessera.llm.wordhash import HASH_BYTES, LOWER, hash_words, longs, shingle_sets
 
 WORDS = 5
-#: The sample of a set: its shingles in the least quarter of all hashes.
-SAMPLED = np.uint64(1 << 62)
 #: Two sets link when PER_CENT * union <= 100 * intersection.
 PER_CENT = 80
 #: A shingle that more classes have among their first is put last in the order.
 FREQUENT = 16
+#: Members, and shingles in all their sets, that are compared together; larger regions are split.
+LEAF, LEAF_SHINGLES = 512, 1 << 20
+#: Pivots of a split, rounds of splits, and the distance from which a member is near none of the pivots.
+PIVOTS, LEVELS, FAR = 16, 3, 0.5
+#: Copies of its members, as a multiple, that a split may make; beyond, the region is compared in tiles.
+COPIES = 2
+#: Regions of one least class are taken together up to so many times the members of the largest, or a leaf.
+TOGETHER = 4
+#: Bytes of sets in one Arrow batch, about.
+BATCH_BYTES = 16 << 20
 #: Frequent shingles sent to all tasks at most (12 bytes each in Python); beyond, only more frequent ones are.
 MOST_FREQUENT = 1 << 21
 
@@ -68,18 +75,14 @@ def _prefix(size: int, per_cent: int) -> int:
 
 
 def _slim(words: int):
-    """Of each text: size and marks of its set, and the sample of it (32 bits of each shingle in the least quarter)."""
+    """Of each text: size and marks of its set."""
     def run(batches):
         for batch in row_slices(batches, "text", HASH_BYTES):
-            sets, offsets, mark, check = _sets(batch, words)
+            _, offsets, mark, check = _sets(batch, words)
             n = offsets[1:] - offsets[:-1]
-            low = sets < SAMPLED
-            ends = offsets_of(low)[offsets]
-            raw = memoryview((sets[low] >> np.uint64(30)).astype("<u4")).cast("B")
-            sample = pa.array([raw[4 * s:4 * e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(mark.view(np.int64), pa.int64(), mask=n == 0), longs(check), sample],
-                ["doc_id", "n_shingles", "mark", "check", "sample"])
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(mark.view(np.int64), pa.int64(), mask=n == 0), longs(check)],
+                ["doc_id", "n_shingles", "mark", "check"])
 
     return run
 
@@ -197,43 +200,154 @@ def _set_rows(words: int):
     return run
 
 
-def _common(a: pa.Array, b: pa.Array, kind: str) -> np.ndarray:
-    """Values that the sorted sets of each pair have in common."""
-    out = np.zeros(len(a), np.int64)
-    for i in range(len(a)):
-        both = np.concatenate([np.frombuffer(c[i].as_buffer(), kind) for c in (a, b)])
-        both.sort()
-        out[i] = np.count_nonzero(both[1:] == both[:-1])
-    return out
+def _ragged_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = pa.concat_arrays([column])
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]] if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data.view(np.uint64), (offsets - offsets[0]) // 8
 
 
-def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A lower bound of the distance, from the shingles of the samples that only one of two sets has.
+def overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of the sets ``a`` with each of ``b`` (flat values, offsets).
 
-    Cut to 32 bits, different shingles may count as equal, which lowers the
-    bound at most; equal 32 bits within a set are counted once.
+    A value that many sets hold is a column of a dense matrix product; of one that few hold the
+    pairs are counted.
     """
-    for batch in batches:
-        if batch.num_rows:
-            a, b = batch.column("sa"), batch.column("sb")
-            apart = (binary_lengths(a) + binary_lengths(b)) // 4 - 2 * _common(a, b, "<u4")
-            total = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(2 * apart / (total + apart), pa.float64())], ["a", "b", "lo"])
+    n, m = len(a[1]) - 1, len(b[1]) - 1
+    out = np.zeros(n * m, np.int64)
+    shared = np.intersect1d(a[0], b[0])
+
+    def entries(x):
+        rows = np.repeat(np.arange(len(x[1]) - 1), np.diff(x[1]))
+        at = np.minimum(np.searchsorted(shared, x[0]), max(len(shared) - 1, 0))
+        held = np.flatnonzero(shared[at] == x[0]) if len(shared) else np.zeros(0, np.int64)
+        order = held[np.argsort(at[held], kind="stable")]
+        return at[order], rows[order]
+
+    (ca, ra), (cb, rb) = entries(a), entries(b)
+    na, nb = np.bincount(ca, minlength=len(shared)), np.bincount(cb, minlength=len(shared))
+    sa, sb = offsets_of(na), offsets_of(nb)
+    many = na * nb > 64
+    few = np.flatnonzero(~many)
+    for lo in range(0, len(few), 1 << 15):
+        c = few[lo:lo + (1 << 15)]
+        pairs = na[c] * nb[c]
+        col = np.repeat(c, pairs)
+        k = np.arange(len(col)) - np.repeat(offsets_of(pairs)[:-1], pairs)
+        out += np.bincount(ra[sa[col] + k // nb[col]] * m + rb[sb[col] + k % nb[col]], minlength=n * m)
+    out = out.reshape(n, m)
+    place = np.cumsum(many) - 1
+    wide_a, wide_b = many[ca], many[cb]
+    pa_, qa, pb_, qb = place[ca[wide_a]], ra[wide_a], place[cb[wide_b]], rb[wide_b]
+    width = 2048
+    for lo in range(0, int(many.sum()), width):
+        x, y = np.zeros((n, width), np.float32), np.zeros((m, width), np.float32)
+        i, j = slice(*np.searchsorted(pa_, [lo, lo + width])), slice(*np.searchsorted(pb_, [lo, lo + width]))
+        x[qa[i], pa_[i] - lo] = 1
+        y[qb[j], pb_[j] - lo] = 1
+        out += np.rint(x @ y.T).astype(np.int64)
+    return out
+
 
+def _rooted(parent: dict[int, int], x: int) -> int:
+    while (up := parent.get(x, x)) != x:
+        parent[x] = parent.get(up, up)
+        x = up
+    return x
 
-def _size_bound(a: str, b: str) -> Column:
-    """The least distance of two sets of these sizes."""
-    return 1 - F.least(a, b) / F.greatest(a, b)
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of one key after the other, from rows sorted by ``keys``."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            a, b = batch.column("sa"), batch.column("sb")
-            common = _common(a, b, "<u8")
-            either = (binary_lengths(a) + binary_lengths(b)) // 8 - common
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common), pa.array(either)], ["a", "b", "common", "either"])
+        if not batch.num_rows:
+            continue
+        values = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in keys])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            key = tuple(values[:, lo].tolist())
+            if held and key != last:
+                yield whole()
+                held = []
+            last = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield whole()
+
+
+def _forest(batches_keys: list[str], per_cent: int):
+    """Links of the rows of each group between different cells, as a forest of the cells.
+
+    ``side`` 0 meets side 1; where a group has one side, all its members meet.
+    """
+    def run(batches):
+        for group in _groups(batches, batches_keys):
+            side = np.asarray(group.column("side"))
+            marks, cells = np.asarray(group.column("mark")), np.asarray(group.column("cell"))
+            left = np.flatnonzero(side == side.min())
+            right = np.flatnonzero(side == side.max())
+            sets = [_ragged_sets(group.column("s").take(pa.array(x))) for x in ((left,) if len(left) == len(side) else (left, right))]
+            common = overlaps(sets[0], sets[-1])
+            na, nb = np.diff(sets[0][1]), np.diff(sets[-1][1])
+            linked = 100 * common >= per_cent * (na[:, None] + nb[None, :] - common)
+            linked &= cells[left][:, None] != cells[right][None, :]
+            parent: dict[int, int] = {}
+            a, b = [], []
+            for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+                x, y = _rooted(parent, int(cells[left[i]])), _rooted(parent, int(cells[right[j]]))
+                if x != y:
+                    parent[x] = y
+                    a.append(marks[left[i]])
+                    b.append(marks[right[j]])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            release()
+
+    return run
+
+
+SPLIT = "up long, g long, mark long, cell long, n long, other long"
+
+
+def _split(per_cent: int):
+    """Regions of the members of a tile by the pivots that came with it, and links with the pivots (in ``other``)."""
+    reach = 1 - per_cent / 100 + 1e-9
+
+    def run(batches):
+        for group in _groups(batches, ["g", "tile"]):
+            pivot = np.asarray(group.column("side")) == 0
+            p, x = group.filter(pa.array(pivot)), group.filter(pa.array(~pivot))
+            if not x.num_rows:
+                continue
+            sp, sx = _ragged_sets(p.column("s")), _ragged_sets(x.column("s"))
+            common = overlaps(sx, sp)
+            either = np.diff(sx[1])[:, None] + np.diff(sp[1])[None, :] - common
+            d = 1 - common / either
+            nearest = d.min(axis=1)
+            home = d.argmin(axis=1)
+            # a link is at most ``reach`` away: from a member of the region of q, nearest + 2 reach, and FAR + reach
+            goes = d <= np.minimum(nearest + 2 * reach, FAR + reach)[:, None]
+            goes[nearest <= FAR, home[nearest <= FAR]] = True
+            goes = np.column_stack([goes, nearest > FAR - reach])  # the remainder last
+            at, to = np.nonzero(goes)
+            g, marks, names = (np.asarray(c).astype(np.int64) for c in (x.column("g"), x.column("mark"), p.column("mark")))
+            seeds = np.append(names, -1).view(np.uint64)[to]
+            child = mix64(mix64(g[at].view(np.uint64)) ^ mix64(seeds + np.uint64(0x9E3779B97F4A7C15)))
+            n, cell = np.asarray(x.column("n")), np.asarray(x.column("cell"))
+            yield pa.RecordBatch.from_arrays([pa.array(g[at]), longs(child), pa.array(marks[at]), pa.array(cell[at]), pa.array(n[at]),
+                                              pa.nulls(len(at), pa.int64())], [f.split()[0] for f in SPLIT.split(", ")])
+            i, j = np.nonzero((100 * common >= per_cent * either) & (marks[:, None] != names[None, :]))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(g[i]), pa.array(g[i]), pa.array(marks[i]), pa.array(cell[i]), pa.array(n[i]),
+                                                  pa.array(names[j])], [f.split()[0] for f in SPLIT.split(", ")])
+            release()
+
+    return run
 
 
 class _Join:
@@ -241,15 +355,17 @@ class _Join:
         self.spark: SparkSession = df.sparkSession
         self.docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
         self.words, self.per_cent, self.frequent = words, per_cent, frequent
-        self.reach = 1 - per_cent / 100
+        #: Partitions of rows that carry sets: few bytes are still much work, so their number is not left to their size.
+        self.parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
-        slim = stored(self.docs.mapInArrow(_slim(self.words), "doc_id long, n_shingles long, mark long, check long, sample binary"), "slim")
+        slim = stored(self.docs.mapInArrow(_slim(self.words), "doc_id long, n_shingles long, mark long, check long"), "slim")
         classes = stored(slim.where("mark IS NOT NULL").groupBy("mark").agg(
             F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("n_shingles").alias("n_least"),
             F.min("check").alias("check"), F.max("check").alias("check_most")), "classes")
         if not classes.where("n <> n_least OR check <> check_most").isEmpty():
             raise RuntimeError("two different sets have the same 64-bit mark")
+        self.largest = classes.agg(F.max("n")).first()[0] or 1
         return slim, classes
 
     def frequent_shingles(self):
@@ -266,45 +382,6 @@ class _Join:
         pivots = np.zeros(0, np.uint64) if table is None else table["pivot"].to_numpy(np.int64).view(np.uint64)
         return self.spark.sparkContext.broadcast((keys[order], pivots[order]))
 
-    def samples(self, slim: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Size and sample of each class in the pairs."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
-        rows = slim.where("mark IS NOT NULL").join(wanted, "mark", "left_semi")
-        return stored(rows.groupBy("mark").agg(F.first("n_shingles").alias("n"), F.first("sample").alias("s")), "samples")
-
-    def distances(self, pairs: DataFrame, slim: DataFrame, classes: DataFrame) -> DataFrame:
-        """``a, b, lo, hi, linked`` of pairs of classes: bounds of the distance, equal where it was measured.
-
-        A bound from sizes and samples comes first; whole sets are compared
-        where it allows a link.
-        """
-        pairs = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-
-        def joined(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
-            for side in "ab":
-                pairs = pairs.join(rows.select(F.col("mark").alias(side), *[F.col(c).alias(c + side) for c in columns]), side)
-            return pairs
-
-        samples = self.samples(slim, pairs)
-        sized = stored(joined(pairs, samples, "n").withColumn("lo", _size_bound("na", "nb")), "sized")
-        unsized = sized.where(F.col("lo") > self.reach + 1e-9).select("a", "b", "lo")
-        bounds = joined(sized.where(F.col("lo") <= self.reach + 1e-9).drop("lo"), samples, "s").select("a", "b", "na", "nb", "sa", "sb")
-        bounds = stored(unsized.union(bounds.mapInArrow(_bound, "a long, b long, lo double")), "bounds")
-        near = bounds.where(F.col("lo") <= self.reach + 1e-9).select("a", "b")
-        wanted = stored(near.select(F.explode(F.array("a", "b")).alias("mark")).distinct(), "wanted")
-        ids = stored(classes.join(wanted, "mark", "left_semi").select("doc_id"), "ids")
-        # rows that repeat an id and null ids come along; a class is kept once
-        texts = self.docs.join(ids.where("doc_id IS NOT NULL"), "doc_id", "left_semi")
-        if not ids.where("doc_id IS NULL").isEmpty():
-            texts = texts.union(self.docs.where("doc_id IS NULL"))
-        sets = texts.mapInArrow(_set_rows(self.words), "mark long, s binary")
-        sets = stored(sets.join(wanted, "mark", "left_semi").groupBy("mark").agg(F.first("s").alias("s")), "sets")
-        found = joined(near, sets, "s").select("a", "b", "sa", "sb").mapInArrow(_measure, "a long, b long, common long, either long")
-        found = stored(found.select("a", "b", (1 - F.col("common") / F.col("either")).alias("d"), (
-            F.col("common") * 100 >= F.col("either") * self.per_cent).alias("linked")), "measured")
-        far = bounds.where(F.col("lo") > self.reach + 1e-9).select("a", "b", "lo", F.lit(1.0).alias("hi"), F.lit(False).alias("linked"))
-        return stored(far.union(found.select("a", "b", F.col("d").alias("lo"), F.col("d").alias("hi"), "linked")), "distances")
-
     def members(self) -> DataFrame:
         """(key, mark, pivot, h) of all regions with two classes at least."""
         shipped = self.frequent_shingles()
@@ -314,26 +391,131 @@ class _Join:
         rows = rows.repartition(place).sortWithinPartitions(F.col("pivot").isNotNull(), "key", "mark")
         return stored(rows.mapInArrow(_shared, "key long, mark long, pivot long, h int"), "members")
 
-    def labelled(self, members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Components of the links, and the members of regions that hold several of them."""
-        joined = stored(components(edges), "components")
-        rows = members.join(joined.withColumnRenamed("id", "mark"), "mark", "left").withColumn(
-            "cell", F.coalesce("component_id", "mark")).drop("component_id")
-        rows = stored(rows, "labelled")
-        open_ = rows.groupBy("key").agg(F.min("cell").alias("x"), F.max("cell").alias("y")).where("x <> y").select("key")
-        return joined, stored(rows.join(stored(open_, "open"), "key"), "open_members")
-
-
-def _both_ways(found: DataFrame, a: str, b: str) -> DataFrame:
-    return found.select(F.col("a").alias(a), F.col("b").alias(b), "lo", "hi").union(
-        found.select(F.col("b").alias(a), F.col("a").alias(b), "lo", "hi"))
-
-
-def _with_bounds(rows: DataFrame, a: str, b: str, found: DataFrame) -> DataFrame:
-    """Bounds of the distance between the columns ``a`` and ``b``; 0 where they are the same."""
-    same = F.col(a) == F.col(b)
-    return rows.join(_both_ways(found, a, b), [a, b], "left").withColumns({
-        "lo": F.when(same, 0.0).otherwise(F.coalesce("lo", F.lit(0.0))), "hi": F.when(same, 0.0).otherwise(F.coalesce("hi", F.lit(1.0)))})
+    def regions(self, members: DataFrame, classes: DataFrame) -> DataFrame:
+        """``g, mark, cell, n``: the members of the regions, those of the same least class taken together; cells are single classes."""
+        rows = members.join(classes.select("mark", "n"), "mark").where(F.col("h").isNull() | (F.col("h") * 100 >= F.col("n") * self.per_cent))
+        rows = stored(rows.select("key", "pivot", "mark", "n"), "region_members")
+        once = stored(rows.groupBy("pivot", "mark").agg(F.max("n").alias("n")), "once")
+        most = rows.groupBy("pivot", "key").agg(F.count("*").alias("c")).groupBy("pivot").agg(F.max("c").alias("most"))
+        hubs = once.groupBy("pivot").agg(F.count("*").alias("u")).join(most, "pivot").where(
+            F.col("u") > F.greatest(F.lit(LEAF), TOGETHER * F.col("most")))
+        hubs = stored(hubs.select("pivot"), "hubs")
+        together = once.join(hubs, "pivot", "left_anti").select(F.col("pivot").alias("g"), "mark", "n")
+        apart = rows.join(hubs, "pivot", "left_semi").select(F.xxhash64("key", F.lit("apart")).alias("g"), "mark", "n").distinct()
+        return stored(together.union(apart).select("g", "mark", F.col("mark").alias("cell"), "n"), "regions")
+
+    def sets(self, marks: DataFrame, classes: DataFrame) -> DataFrame:
+        """``mark, s``: the whole set of each of the classes, once."""
+        wanted = stored(marks.distinct(), "wanted")
+        ids = stored(classes.join(wanted, "mark", "left_semi").select("doc_id"), "ids")
+        # rows that repeat an id and null ids come along; a class is kept once
+        texts = self.docs.join(ids.where("doc_id IS NOT NULL"), "doc_id", "left_semi")
+        if not ids.where("doc_id IS NULL").isEmpty():
+            texts = texts.union(self.docs.where("doc_id IS NULL"))
+        sets = texts.mapInArrow(_set_rows(self.words), "mark long, s binary")
+        return stored(sets.join(wanted, "mark", "left_semi").groupBy("mark").agg(F.first("s").alias("s")), "sets")
+
+    def in_small_batches(self, df: DataFrame, name: str) -> DataFrame:
+        """:func:`stored`, with Arrow batches of so few rows that the largest set in every row stays within ``BATCH_BYTES``."""
+        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        conf = self.spark.conf
+        before = conf.get(setting)
+        conf.set(setting, str(max(16, min(int(before) if int(before) > 0 else 10_000, BATCH_BYTES // (8 * self.largest)))))
+        try:
+            return stored(df, name)
+        finally:
+            conf.set(setting, before)
+
+    def links(self, now: DataFrame, classes: DataFrame) -> DataFrame:
+        """Links ``a, b`` between members of the same region, but for those that a path of links replaces."""
+        several = F.min("cell").alias("lo"), F.max("cell").alias("hi")
+
+        def sizes_of(rows: DataFrame, name: str) -> DataFrame:
+            sizes = rows.groupBy("g").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), *several)
+            return stored(sizes.where("lo <> hi").drop("lo", "hi").withColumn("tiles", F.greatest(
+                F.ceil(F.col("members") / LEAF), F.ceil(F.col("shingles") / LEAF_SHINGLES)).cast("long")), name)
+
+        sets = self.sets(now.select("mark"), classes)
+        edges, leaves = [], []
+        tiled: list[DataFrame] = []
+        sizes = sizes_of(now, "sizes")
+        for level in range(LEVELS):
+            leaves.append(now.join(sizes.where("tiles = 1").select("g"), "g", "left_semi"))
+            large = sizes.where("tiles > 1")
+            if large.isEmpty():
+                break
+            now = stored(now.join(large.select("g", "tiles", "members"), "g"), "split_members")
+            split, found = self.split(now, large, sets, level)
+            edges.append(found)
+            joined = components(_united(edges)).select(F.col("id").alias("mark"), "component_id")
+
+            def relabelled(rows: DataFrame, name: str) -> DataFrame:
+                return stored(rows.join(joined, "mark", "left").withColumn("cell", F.coalesce("component_id", "cell")).drop("component_id"), name)  # noqa: B023
+
+            # windows that cover (nearly) everything part nothing: such a region is compared as it is
+            copies = split.groupBy("up").agg(F.count("*").alias("copies")).join(large.select(F.col("g").alias("up"), "members"), "up")
+            parted = stored(copies.where(F.col("copies") <= COPIES * F.col("members")).select("up"), "parted")
+            tiled.append(relabelled(now.join(parted, F.col("g") == F.col("up"), "left_anti").select("g", "mark", "cell", "n"), "not_parted"))
+            now = relabelled(split.join(parted, "up", "left_semi").select("g", "mark", "cell", "n"), "children")
+            sizes = sizes_of(now, "sizes")
+        else:
+            tiled.append(now)
+        leaf = _united(leaves).join(sets, "mark").select("g", "mark", "cell", "s", F.lit(0).alias("side"))
+        leaf = leaf.repartition(self.parts, "g").sortWithinPartitions("g")
+        edges.append(self.in_small_batches(leaf.mapInArrow(_forest(["g"], self.per_cent), "a long, b long"), "leaf_links"))
+        if tiled:
+            rows = _united(tiled)
+            rows = self.tile_rows(rows.join(sizes_of(rows, "tiled_sizes").select("g"), "g", "left_semi"))
+            rows = rows.join(sets, "mark").repartition(self.parts, "g", "i", "j").sortWithinPartitions("g", "i", "j")
+            rows = rows.select("g", "i", "j", "mark", "cell", "s", "side")
+            edges.append(self.in_small_batches(rows.mapInArrow(_forest(["g", "i", "j"], self.per_cent), "a long, b long"), "tile_links"))
+        return _united(edges)
+
+    def tile_rows(self, rows: DataFrame) -> DataFrame:
+        """Members with each pair ``i <= j`` of tiles of their region that they are compared in.
+
+        A cell larger than a leaf has tiles of its own, which do not meet each other.
+        """
+        rows = stored(rows, "tiled")
+        cells = rows.groupBy("g", "cell").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+        need = F.greatest(F.ceil(F.col("c") / LEAF), F.ceil(F.col("w") / LEAF_SHINGLES)).cast("long")
+        own = stored(cells.withColumn("own", need).where("own > 1").select("g", "cell", "own", "c", "w"), "own_tiles")
+        mixed = rows.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("w")).join(
+            own.groupBy("g").agg(F.sum("c").alias("oc"), F.sum("w").alias("ow"), F.sum("own").alias("owned")), "g", "left")
+        left = F.greatest(F.ceil((F.col("c") - F.coalesce("oc", F.lit(0))) / LEAF), F.ceil((F.col("w") - F.coalesce("ow", F.lit(0))) / LEAF_SHINGLES))
+        mixed = stored(mixed.select("g", left.cast("long").alias("mixed"), (left + F.coalesce("owned", F.lit(0))).cast("long").alias("total")), "mixed")
+        before = Window.partitionBy("g").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # the large cells of a region
+        ranges = own.select("g", "cell", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("ahead"))
+        dealt = rows.join(mixed, "g").join(ranges, ["g", "cell"], "left").withColumn("first", F.col("mixed") + F.col("ahead"))
+        h = F.xxhash64(F.lit("tile"), "mark")
+        t = F.when(F.col("own").isNull(), F.pmod(h, F.col("mixed"))).otherwise(F.col("first") + F.pmod(h, F.col("own")))
+        zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+        others = F.concat(F.when(F.col("first") > 0, F.sequence(zero, F.col("first") - 1)).otherwise(none),
+                          F.when(F.col("first") + F.col("own") < F.col("total"), F.sequence(F.col("first") + F.col("own"), F.col("total") - 1)).otherwise(none))
+        u = F.explode(F.when(F.col("own").isNull(), F.sequence(zero, F.col("total") - 1)).otherwise(others))
+        dealt = dealt.withColumn("t", t).withColumn("u", u)
+        return dealt.select("g", "mark", "cell", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), (F.col("t") > F.col("u")).cast("int").alias("side"))
+
+    def split(self, now: DataFrame, large: DataFrame, sets: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        """Members with their regions one level down (``up`` is the region above), and links with pivots."""
+        order = F.struct(F.xxhash64("mark", F.lit(level)).alias("h"), F.col("mark").alias("mark"))
+        pivots = now.groupBy("g", F.pmod(F.xxhash64("cell", F.lit(level)), F.lit(PIVOTS)).alias("b")).agg(F.min(order).alias("p"))
+        pivots = stored(pivots.select("g", F.col("p.mark").alias("mark")).join(large.select("g", "tiles"), "g"), "pivots")
+        tile = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+        none = F.lit(None).cast("long")
+        rows = pivots.select("g", tile.alias("tile"), F.lit(0).alias("side"), "mark", none.alias("cell"), none.alias("n")).union(
+            now.select("g", F.pmod(F.xxhash64(F.lit("tile"), "mark"), F.col("tiles")).alias("tile"), F.lit(1).alias("side"), "mark", "cell", "n"))
+        rows = rows.join(sets, "mark").repartition(self.parts, "g", "tile").sortWithinPartitions("g", "tile")
+        rows = rows.select("g", "tile", "side", "mark", "cell", "n", "s")
+        out = self.in_small_batches(rows.mapInArrow(_split(self.per_cent), SPLIT), "split")
+        return out.where("other IS NULL").drop("other"), out.where("other IS NOT NULL").select(F.col("mark").alias("a"), F.col("other").alias("b"))
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -351,74 +533,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     j = _Join(df, id_col, text_col, words, per_cent, frequent)
     slim, classes = j.classes()
-    members = j.members()
-    # the star of each region
-    star = j.distances(members.select(F.col("mark").alias("a"), F.col("pivot").alias("b")), slim, classes)
-    edges = star.where("linked").select("a", "b")
-    joined, rest = j.labelled(members, edges)
-    reach = j.reach + 1e-9
-
-    def may_be_near(lo_a, hi_a, lo_b, hi_b):
-        """The triangle inequality does not keep the two apart."""
-        return (F.col(lo_a) - F.col(hi_b) <= reach) & (F.col(lo_b) - F.col(hi_a) <= reach)
-
-    if not rest.isEmpty():
-        # again in the regions of frequent shingles, with the most central member as pivot: the one with the
-        # largest part of frequent shingles, as what a copy has changed is rare
-        rest = stored(rest.join(classes.select("mark", F.col("n").alias("size")), "mark").dropDuplicates(["key", "mark"]), "sized")
-        central = rest.where("h IS NOT NULL").groupBy("key").agg(F.max(F.struct(F.col("h") / F.col("size"), "mark")).alias("c"))
-        central = stored(central.select("key", F.col("c.mark").alias("central")), "central")
-        again = j.distances(rest.join(central, "key").select(F.col("mark").alias("a"), F.col("central").alias("b")), slim, classes)
-        edges = edges.union(again.where("linked").select("a", "b"))
-        star = star.union(again).dropDuplicates(["a", "b"])
-        rest = rest.join(central, "key", "left").withColumn("pivot", F.coalesce("central", "pivot")).drop("cell", "central")
-        joined, rest = j.labelled(rest, edges)
-        # a cell's pivot: its least mark; bounds of the distance to the region's pivot are known
-        rest = stored(_with_bounds(rest, "mark", "pivot", star), "bounded")
-        cells = stored(rest.groupBy("key", "cell").agg(F.min(F.struct("mark", "lo", "hi", "size")).alias("q"), F.count("*").alias("n"),
-                                                 F.max("h").alias("h_most"), F.min("size").alias("size_least"),
-                                                 F.min("lo").alias("lo_least"), F.max("hi").alias("hi_most")).select(
-            "key", F.col("cell").alias("cell_q"), F.col("q.mark").alias("q"), F.col("q.lo").alias("lo_q"), F.col("q.hi").alias("hi_q"),
-            F.col("q.size").alias("size_q"), "n", "h_most", "size_least", "lo_least", "hi_most"), "cells")
-        # two sets that share a rare shingle meet in its region; in that of a frequent one only sets
-        # need to be compared whose frequent shingles alone can make a link
-        alone = F.col("h").isNull() | (
-            F.least("h", "h_most") * (100 + per_cent) >= (F.col("size") + F.col("size_least")) * per_cent)
-
-        def facing(cells: DataFrame, lo: str, hi: str) -> DataFrame:
-            """Members with the cells of their region: their own, and those that may be near what has these bounds."""
-            return rest.join(cells, "key").where(
-                (F.col("cell") == F.col("cell_q")) | (alone & may_be_near("lo", "hi", lo, hi)))
-
-        # the pivot of a cell of one is a member, and is measured from the other side as well
-        pairs = facing(cells, "lo_q", "hi_q").where((F.col("n") > 1) & (F.col("cell") == F.col("cell_q")) | (_size_bound("size", "size_q") <= reach))
-        second = j.distances(pairs.select(F.col("mark").alias("a"), F.col("q").alias("b")), slim, classes)
-        edges = edges.union(second.where("linked").select("a", "b"))
-        # boundaries of cells of several members: against each member that the inequality leaves
-        # (all members count here: one may be nearer than the cell's pivot)
-        near = facing(cells.where("n > 1"), "lo_least", "hi_most").select(
-            "key", "mark", "size", "cell", "cell_q", "q", "size_q", "lo_q", "hi_q", F.col("lo").alias("lo_p"), F.col("hi").alias("hi_p"))
-        near = _with_bounds(near, "mark", "q", second).withColumns({
-            "lo": F.greatest("lo", _size_bound("size", "size_q"), F.col("lo_p") - F.col("hi_q"), F.col("lo_q") - F.col("hi_p")),
-            "hi": F.least("hi", F.col("hi_p") + F.col("hi_q"))})
-        near = stored(near, "boundary")
-
-        def side(rows: DataFrame, x: str) -> DataFrame:
-            return rows.select("key", "cell_q", F.col("mark").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("lo", "hi", "lo_p", "hi_p", "size")])
-
-        inside, outside = side(near.where("cell = cell_q"), "b"), side(near.where("cell <> cell_q"), "a")
-        outside = outside.where(F.col("hi_a") > reach)  # a link with the pivot has joined the cells already
-        singles = cells.where("n = 1").select("key", F.col("q").alias("a"))
-        outside = outside.join(singles, ["key", "a"], "left_anti")  # the cell has been measured against them
-        third = outside.join(inside, ["key", "cell_q"]).where(
-            may_be_near("lo_a", "hi_a", "lo_b", "hi_b") & may_be_near("lo_p_a", "hi_p_a", "lo_p_b", "hi_p_b")
-            & (_size_bound("size_a", "size_b") <= reach))
-        third = third.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        tried = second.select("a", "b").union(star.select("a", "b"))
-        third = stored(third.join(tried, ["a", "b"], "left_anti"), "third")
-        if not third.isEmpty():
-            edges = edges.union(j.distances(third, slim, classes).where("linked").select("a", "b"))
-        joined = components(edges)
+    joined = components(j.links(j.regions(j.members(), classes), classes))
     named = classes.select("mark", "doc_id").join(joined.withColumnRenamed("id", "mark"), "mark", "left").withColumn(
         "cell", F.coalesce("component_id", "mark")).select("mark", "doc_id", "cell")
     named = stored(named, "named")
