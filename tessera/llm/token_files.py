@@ -1,7 +1,7 @@
 """Token-id files: whole corpora as packed ids in ascending document order.
 
-``write_token_files`` encodes texts with the tokenizers library (it gets each
-distinct word of a slice once), orders documents over the cluster by range, and writes
+``write_token_files`` encodes texts with the tokenizers library (its BPE model
+gets each distinct piece of a slice once), orders documents over the cluster by range, and writes
 segments of Simple-8b blocks.  The container is Parquet, so that Spark's
 committer makes the files whole when tasks are lost or repeated; each row is a
 segment: ``shard`` (the range, ascending), ``first`` (ids before it in its
@@ -21,9 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from tessera.llm import simple8b
-from tessera.llm.bpe_codec import default_path
+from tessera.llm.bpe_codec import BpeModel, byte_symbols, default_path
 from tessera.llm.ragged import group_rows, offsets_of, row_slices, split_words, take
 from tessera.llm.shared import shared_dir
 
@@ -37,37 +38,43 @@ SCHEMA = ("shard int, first long, n_ids long, doc_ids array<long>, lengths array
 KEPT_WORDS = 1 << 19
 
 
-class LibraryModel:
-    """The tokenizers library over the distinct words of a slice, in one call.
+#: UTF-32 of the symbol for each byte.
+SYMBOLS = np.array([ord(c) for c in byte_symbols()], "<u4")
 
-    Words come to the library as parts of one text that is cut already, so it normalises and cuts each of
-    them, and finds special tokens in it, as it would in the whole text; the result says which
-    part each id comes from.  The first ``KEPT_WORDS`` words that a worker meets are encoded once.
+
+class LibraryModel(BpeModel):
+    """The words' preparation of the codec, and the library's own BPE model for all new pieces of a slice in one call.
+
+    Pieces come to the library's model as one text with spaces between them (no symbol of a byte is
+    white space); the result says which piece each id comes from.  The first ``KEPT_WORDS`` words that a
+    worker meets are encoded once.
     """
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        super().__init__(path)
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
         self.kept: dict[str, int] = {}
         self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+    def merge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        text = np.insert(SYMBOLS[data], offsets[1:-1], np.uint32(0x20)).tobytes().decode("utf-32-le")
+        found = self.model.encode(text, add_special_tokens=False)
         owner = np.array(found.word_ids, np.int64)
-        return np.array(found.ids, np.int32), offsets_of(np.bincount(owner, minlength=len(words)))
+        return np.array(found.ids, np.int32), offsets_of(np.bincount(owner, minlength=len(offsets) - 1))
 
     def encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each word (no white space inside): flat ids and offsets."""
         items = words.to_pylist()
+        n = len(self.kept)
         place = np.fromiter((self.kept.get(w, -1) for w in items), np.int64, len(items))
         fresh = np.flatnonzero(place < 0)
-        new = [items[i] for i in fresh.tolist()]
-        ids, offsets = self._encoded(new) if new else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-        n = len(self.kept)
+        ids, offsets = super().encode_words(words.take(pa.array(fresh)))
         place[fresh] = n + np.arange(len(fresh))
         every = np.concatenate([self.ids, ids]), np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
-        room = new[:KEPT_WORDS - n]
+        room = [items[i] for i in fresh[:KEPT_WORDS - n].tolist()]
         if room:
             self.kept.update(zip(room, range(n, n + len(room))))
             self.ids, self.offsets = every[0][:every[1][n + len(room)]], every[1][:n + len(room) + 1]
