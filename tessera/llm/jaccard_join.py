@@ -41,6 +41,8 @@ from tessera.llm.shared import stored
 from tessera.llm.wordhash import HASH_BYTES, LOWER, hash_words, longs, shingle_sets
 
 WORDS = 5
+#: The sample of a set: its shingles in the least quarter of all hashes.
+SAMPLED = np.uint64(1 << 62)
 #: Two sets link when PER_CENT * union <= 100 * intersection.
 PER_CENT = 80
 #: A shingle that more classes have among their first is put last in the order.
@@ -75,14 +77,18 @@ def _prefix(size: int, per_cent: int) -> int:
 
 
 def _slim(words: int):
-    """Of each text: size and marks of its set."""
+    """Of each text: size and marks of its set, and the sample of it (32 bits of each shingle in the least quarter)."""
     def run(batches):
         for batch in row_slices(batches, "text", HASH_BYTES):
-            _, offsets, mark, check = _sets(batch, words)
+            sets, offsets, mark, check = _sets(batch, words)
             n = offsets[1:] - offsets[:-1]
+            low = sets < SAMPLED
+            ends = offsets_of(low)[offsets]
+            raw = memoryview((sets[low] >> np.uint64(30)).astype("<u4")).cast("B")
+            sample = pa.array([raw[4 * s:4 * e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(mark.view(np.int64), pa.int64(), mask=n == 0), longs(check)],
-                ["doc_id", "n_shingles", "mark", "check"])
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(mark.view(np.int64), pa.int64(), mask=n == 0), longs(check), sample],
+                ["doc_id", "n_shingles", "mark", "check", "sample"])
 
     return run
 
@@ -200,11 +206,11 @@ def _set_rows(words: int):
     return run
 
 
-def _ragged_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _ragged_sets(column: pa.Array, kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
     column = pa.concat_arrays([column])
     offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]] if column.buffers()[2] is not None else np.zeros(0, np.uint8)
-    return data.view(np.uint64), (offsets - offsets[0]) // 8
+    return data.view(kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
 
 
 def overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -280,6 +286,35 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         yield whole()
 
 
+def _promising(keys: list[str], per_cent: int):
+    """Members of each group that may be linked with one of another cell, by sizes and samples alone.
+
+    What only one of two samples has only one of the two sets has.  Cut to 32 bits, different shingles may count
+    as equal, which lets a member through at most.
+    """
+    reach = 1 - per_cent / 100 + 1e-9
+
+    def run(batches):
+        for group in _groups(batches, keys):
+            side = np.asarray(group.column("side"))
+            cells, n = np.asarray(group.column("cell")), np.asarray(group.column("n")).astype(np.float64)
+            left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+            a, b = (_ragged_sets(group.column("s").take(pa.array(x)), np.uint32) for x in (left, right))
+            apart = np.diff(a[1])[:, None] + np.diff(b[1])[None, :] - 2 * overlaps(a, b)
+            total = n[left][:, None] + n[right][None, :]
+            may = 2 * apart <= reach * (total + apart)
+            may &= 1 - np.minimum(n[left][:, None], n[right][None, :]) / np.maximum(n[left][:, None], n[right][None, :]) <= reach
+            may &= cells[left][:, None] != cells[right][None, :]
+            keep = np.zeros(len(side), bool)
+            keep[left] |= may.any(axis=1)
+            keep[right] |= may.any(axis=0)
+            if keep.any():
+                yield group.filter(pa.array(keep)).select([*keys, "mark", "cell", "side"])
+            release()
+
+    return run
+
+
 def _forest(batches_keys: list[str], per_cent: int):
     """Links of the rows of each group between different cells, as a forest of the cells.
 
@@ -359,7 +394,7 @@ class _Join:
         self.parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
-        slim = stored(self.docs.mapInArrow(_slim(self.words), "doc_id long, n_shingles long, mark long, check long"), "slim")
+        slim = stored(self.docs.mapInArrow(_slim(self.words), "doc_id long, n_shingles long, mark long, check long, sample binary"), "slim")
         classes = stored(slim.where("mark IS NOT NULL").groupBy("mark").agg(
             F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("n_shingles").alias("n_least"),
             F.min("check").alias("check"), F.max("check").alias("check_most")), "classes")
@@ -415,6 +450,21 @@ class _Join:
         sets = texts.mapInArrow(_set_rows(self.words), "mark long, s binary")
         return stored(sets.join(wanted, "mark", "left_semi").groupBy("mark").agg(F.first("s").alias("s")), "sets")
 
+    def compared(self, rows: DataFrame, keys: list[str], slim: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+        """Forests of the links in each group of ``keys`` (rows ``keys, mark, cell, n, side``).
+
+        Samples go first, an eighth of the sets' bytes; whole sets follow for the members that they leave.
+        """
+        wanted = stored(rows.select("mark").distinct(), "sampled")
+        samples = slim.where("mark IS NOT NULL").select("mark", "sample").join(wanted, "mark", "left_semi")
+        samples = stored(samples.groupBy("mark").agg(F.first("sample").alias("s")), "samples")
+        dealt = rows.join(samples, "mark").repartition(self.parts, *keys).sortWithinPartitions(*keys)
+        columns = ", ".join(f"{k} long" for k in keys) + ", mark long, cell long, side int"
+        left = self.in_small_batches(dealt.select(*keys, "mark", "cell", "n", "side", "s").mapInArrow(_promising(keys, self.per_cent), columns), "promising")
+        sets = self.sets(left.select("mark"), classes)
+        dealt = left.join(sets, "mark").repartition(self.parts, *keys).sortWithinPartitions(*keys)
+        return self.in_small_batches(dealt.select(*keys, "mark", "cell", "side", "s").mapInArrow(_forest(keys, self.per_cent), "a long, b long"), name)
+
     def in_small_batches(self, df: DataFrame, name: str) -> DataFrame:
         """:func:`stored`, with Arrow batches of so few rows that the largest set in every row stays within ``BATCH_BYTES``."""
         setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -426,7 +476,7 @@ class _Join:
         finally:
             conf.set(setting, before)
 
-    def links(self, now: DataFrame, classes: DataFrame) -> DataFrame:
+    def links(self, now: DataFrame, slim: DataFrame, classes: DataFrame) -> DataFrame:
         """Links ``a, b`` between members of the same region, but for those that a path of links replaces."""
         several = F.min("cell").alias("lo"), F.max("cell").alias("hi")
 
@@ -435,7 +485,6 @@ class _Join:
             return stored(sizes.where("lo <> hi").drop("lo", "hi").withColumn("tiles", F.greatest(
                 F.ceil(F.col("members") / LEAF), F.ceil(F.col("shingles") / LEAF_SHINGLES)).cast("long")), name)
 
-        sets = self.sets(now.select("mark"), classes)
         edges, leaves = [], []
         tiled: list[DataFrame] = []
         sizes = sizes_of(now, "sizes")
@@ -445,7 +494,7 @@ class _Join:
             if large.isEmpty():
                 break
             now = stored(now.join(large.select("g", "tiles", "members"), "g"), "split_members")
-            split, found = self.split(now, large, sets, level)
+            split, found = self.split(now, large, self.sets(now.select("mark"), classes), level)
             edges.append(found)
             joined = components(_united(edges)).select(F.col("id").alias("mark"), "component_id")
 
@@ -459,16 +508,13 @@ class _Join:
             now = relabelled(split.join(parted, "up", "left_semi").select("g", "mark", "cell", "n"), "children")
             sizes = sizes_of(now, "sizes")
         else:
-            tiled.append(now)
-        leaf = _united(leaves).join(sets, "mark").select("g", "mark", "cell", "s", F.lit(0).alias("side"))
-        leaf = leaf.repartition(self.parts, "g").sortWithinPartitions("g")
-        edges.append(self.in_small_batches(leaf.mapInArrow(_forest(["g"], self.per_cent), "a long, b long"), "leaf_links"))
+            tiled.append(now.select("g", "mark", "cell", "n"))
+        leaf = _united(leaves).select("g", "mark", "cell", "n", F.lit(0).alias("side"))
+        edges.append(self.compared(leaf, ["g"], slim, classes, "leaf_links"))
         if tiled:
             rows = _united(tiled)
             rows = self.tile_rows(rows.join(sizes_of(rows, "tiled_sizes").select("g"), "g", "left_semi"))
-            rows = rows.join(sets, "mark").repartition(self.parts, "g", "i", "j").sortWithinPartitions("g", "i", "j")
-            rows = rows.select("g", "i", "j", "mark", "cell", "s", "side")
-            edges.append(self.in_small_batches(rows.mapInArrow(_forest(["g", "i", "j"], self.per_cent), "a long, b long"), "tile_links"))
+            edges.append(self.compared(rows, ["g", "i", "j"], slim, classes, "tile_links"))
         return _united(edges)
 
     def tile_rows(self, rows: DataFrame) -> DataFrame:
@@ -494,7 +540,7 @@ class _Join:
                           F.when(F.col("first") + F.col("own") < F.col("total"), F.sequence(F.col("first") + F.col("own"), F.col("total") - 1)).otherwise(none))
         u = F.explode(F.when(F.col("own").isNull(), F.sequence(zero, F.col("total") - 1)).otherwise(others))
         dealt = dealt.withColumn("t", t).withColumn("u", u)
-        return dealt.select("g", "mark", "cell", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), (F.col("t") > F.col("u")).cast("int").alias("side"))
+        return dealt.select("g", "mark", "cell", "n", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), (F.col("t") > F.col("u")).cast("int").alias("side"))
 
     def split(self, now: DataFrame, large: DataFrame, sets: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
         """Members with their regions one level down (``up`` is the region above), and links with pivots."""
@@ -533,7 +579,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     j = _Join(df, id_col, text_col, words, per_cent, frequent)
     slim, classes = j.classes()
-    joined = components(j.links(j.regions(j.members(), classes), classes))
+    joined = components(j.links(j.regions(j.members(), classes), slim, classes))
     named = classes.select("mark", "doc_id").join(joined.withColumnRenamed("id", "mark"), "mark", "left").withColumn(
         "cell", F.coalesce("component_id", "mark")).select("mark", "doc_id", "cell")
     named = stored(named, "named")
