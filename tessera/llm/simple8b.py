@@ -23,7 +23,6 @@ MAGIC = b"TS8B"
 #: Fixed values of the code: (values, bits) of selectors 1 to 14.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20),
              (2, 30), (1, 60)]
-LARGEST = np.array([(1 << bits) - 1 for _, bits in SELECTORS], np.uint64)
 COUNTS = np.array([1, *(c for c, _ in SELECTORS), 0], np.int64)
 
 
@@ -32,20 +31,20 @@ def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
     n = len(v)
     blocks = -(-n // block)
     starts = np.arange(blocks, dtype=np.int64) * block
-    limit = np.minimum((np.arange(n, dtype=np.int64) // block + 1) * block, n)
+    top = int(v.max()) if n else 0
     # for each position, the selector that packs most values from there on; 0 where none fits
+    limit = np.minimum((np.arange(n, dtype=np.int64) // block + 1) * block, n)
     choice = np.zeros(n, np.int8)
-    kind = np.searchsorted(LARGEST, v).astype(np.int8)  # the first selector that is wide enough for the value, less 1
-    left = np.arange(n, dtype=np.int64)
-    for s, (count, _) in enumerate(SELECTORS, 1):
-        wide = np.flatnonzero(kind >= s)
-        if not len(wide):
-            choice[left] = s
+    open_ = np.ones(n, bool)
+    for s, (count, bits) in enumerate(SELECTORS, 1):
+        if top < 1 << bits:
+            choice[open_] = s
             break
-        some = left[kind[left] < s]
-        first = np.append(wide, n)[np.searchsorted(wide, some)]
-        choice[some[first >= np.minimum(some + count, limit[some])]] = s
-        left = left[choice[left] == 0]
+        wide = np.where(v >> np.uint64(bits) != 0, np.arange(n, dtype=np.int64), n)
+        first = np.minimum.accumulate(wide[::-1])[::-1]
+        fits = open_ & (first >= np.minimum(np.arange(n, dtype=np.int64) + count, limit))
+        choice[fits] = s
+        open_ &= ~fits
     # walk all blocks side by side, one word a step
     at, stop, seen = starts.copy(), np.minimum(starts + block, n), []
     while len(at):
