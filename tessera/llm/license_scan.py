@@ -4,8 +4,8 @@ Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased; shingles
 are five words.  Templates are put in length classes.  For each class, windows
 of the text overlap so that any run of as many words as a template of the class
 lies whole within one of them.  Each window has a MinHash value for each band;
-a window that agrees with a template in one band is a candidate, and is kept if
-it holds at least 80 % of the template's shingles, exactly.
+a window that agrees with a template in one band (looked up in the band's table, so that
+templates cost nothing a window) is a candidate, and is kept if it holds at least 80 % of the template's shingles, exactly.
 
 With one value a band, a window of similarity s is found with probability
 1 - (1 - s) ** bands.  :func:`bands_for` picks the bands of each class from the
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,16 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 MISS = 1e-6
 
-#: Public notices as their licences or their stewards give them (fixed values).  Notices of one family differ in a
+BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+    "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+    "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+    "POSSIBILITY OF SUCH DAMAGE.")
+
+#: Public texts and notices as their licences or their stewards give them (fixed values).  Notices of one family differ in a
 #: few words, so a text may hold 80 % of several; its own has the largest containment.
 TEMPLATES = {
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
@@ -83,6 +92,35 @@ TEMPLATES = {
     "CC-BY-SA-4.0 short line": "Licensed under CC BY-SA 4.0.",
     "CC-BY-SA-4.0 line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0 full line": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+        "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
+        "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software "
+        "is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
+        "included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY "
+        "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+        "OTHER DEALINGS IN THE SOFTWARE."),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. " + BSD_DISCLAIMER),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the "
+        "copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission. " + BSD_DISCLAIMER),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND "
+        "THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 }
 
 
@@ -97,6 +135,10 @@ class LengthClass:
     step: int
     width: int
     bands: int
+    #: For each band the templates' values, ascending, with the template of each.
+    tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    #: For each band which low bits some template's value has.
+    filters: list[np.ndarray] = field(default_factory=list)
 
 
 def _template_shingles(text: str) -> tuple[int, np.ndarray]:
@@ -130,6 +172,13 @@ def length_classes(templates: dict[str, str], containment: float = CONTAINMENT,
         c.width = c.most + c.step - 1
         window = c.width - SHINGLE + 1
         c.bands = max(bands_for(len(s), window, containment, miss) for s in c.shingles)
+        for band in range(c.bands):
+            values = np.array([_band_hash(s, band).min() for s in c.shingles], np.uint64)
+            order = np.argsort(values, kind="stable")
+            c.tables.append((values[order], order))
+            low = np.zeros(1 << 16, bool)
+            low[(values & np.uint64(0xFFFF)).astype(np.int64)] = True
+            c.filters.append(low)
     return out
 
 
@@ -164,20 +213,24 @@ def _scan(classes: list[LengthClass], containment: float):
                 index = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
                 start = words.offsets[:-1][text] + index * c.step
                 size = np.minimum(span, words.offsets[:-1][text] + count[text] - start)
-                hits = np.zeros((len(c.names), len(text)), bool)
+                hits = [np.zeros(0, np.int64)]
                 for band in range(c.bands):
                     if band not in hashed:
                         hashed[band] = _band_hash(grams, band)
                     low = _window_minima(hashed[band], start, size)
-                    for t, shingles in enumerate(c.shingles):
-                        hits[t] |= low == _band_hash(shingles, band).min()
-                for t, shingles in enumerate(c.shingles):
-                    for w in np.flatnonzero(hits[t]).tolist():
-                        here = grams[start[w]:start[w] + size[w]]
-                        held = np.intersect1d(here, shingles, return_indices=True)
-                        if len(held[0]) >= containment * len(shingles) - 1e-9:
-                            place = int(start[w] - words.offsets[text[w]] + held[1].min())
-                            found.append((int(text[w]), c.names[t], place, len(held[0]) / len(shingles)))
+                    # few windows have the low bits of a template's value; those are looked up
+                    some = np.flatnonzero(c.filters[band][(low & np.uint64(0xFFFF)).astype(np.int64)])
+                    values, which = c.tables[band]
+                    first, last = np.searchsorted(values, low[some]), np.searchsorted(values, low[some], "right")
+                    n = last - first
+                    at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    hits.append(which[at] * len(text) + np.repeat(some, n))
+                for t, w in zip(*(x.tolist() for x in divmod(np.unique(np.concatenate(hits)), max(len(text), 1)))):
+                    here, shingles = grams[start[w]:start[w] + size[w]], c.shingles[t]
+                    held = np.intersect1d(here, shingles, return_indices=True)
+                    if len(held[0]) >= containment * len(shingles) - 1e-9:
+                        place = int(start[w] - words.offsets[text[w]] + held[1].min())
+                        found.append((int(text[w]), c.names[t], place, len(held[0]) / len(shingles)))
             if found:
                 text, name, place, part = zip(*found)
                 yield pa.RecordBatch.from_arrays(

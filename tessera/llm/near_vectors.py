@@ -22,15 +22,36 @@ from tessera.llm.shared import stored
 from tessera.llm.top_k import usable
 
 THRESHOLD = 0.95
+#: Planes a table at least; more where the vectors would fill the buckets beyond a tile.
 BITS = 12
-#: A pair at cosine 0.95 has equal signs at a plane with probability 0.899, so in one of 24 tables
-#: of 12 planes with 0.9996.
-TABLES = 24
+#: Part of the pairs at the threshold that no table may bring together.
+MISS = 4e-4
+#: Cosines this near to the threshold are summed again in one fixed way.
+CLOSE = 1e-9
 #: Vectors of a bucket that one tile compares; small buckets are packed to about as many.
 TILE = 1024
 SEED = 20
 
 
+def bits_and_tables(n: int, threshold: float = THRESHOLD, miss: float = MISS, tile: int = TILE) -> tuple[int, int]:
+    """Planes a table, so that ``n`` vectors in random directions fill a bucket with a tile at most, and tables.
+
+    A pair at the threshold has equal signs at a plane with probability ``1 - acos(threshold) / pi`` (0.899
+    at 0.95), so 12 planes take 24 tables for a miss of 4e-4, and 20 planes 62.
+    """
+    bits = min(30, max(BITS, math.ceil(math.log2(max(n, 1) / tile)))) if n > tile else BITS
+    meet = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, math.ceil(math.log(miss) / math.log1p(-meet)) if meet < 1 else 1
+
+
+def _cosines(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Cosines of unit vectors; near the threshold they do not depend on the shape of the product."""
+    out = x @ x.T
+    for i, j in zip(*np.nonzero(np.abs(out - threshold) <= CLOSE)):
+        out[i, j] = math.fsum((x[i] * x[j]).tolist())
+    return out
+
+
 def _planes(dim: int, tables: int, bits: int) -> np.ndarray:
     return np.random.default_rng(SEED + dim).normal(size=(dim, tables * bits))
 
@@ -86,7 +107,7 @@ def _compare(threshold: float):
             rows = order[lo:hi]
             if len(rows) < 2:
                 continue
-            links = x[rows] @ x[rows].T >= threshold
+            links = _cosines(x[rows], threshold) >= threshold
             np.fill_diagonal(links, False)
             if side[rows].any():  # of a tile off the diagonal: pairs of two sides only
                 links &= side[rows][:, None] != side[rows][None, :]
@@ -114,14 +135,16 @@ def _compare(threshold: float):
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD,
-                 tables: int = TABLES, bits: int = BITS, tile: int = TILE) -> DataFrame:
+                 miss: float = MISS, tile: int = TILE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row.
 
     Links are pairs of rows with cosine of at least ``threshold`` in double
     precision.  Null or empty vectors, those that are zero and those with null or
     non-finite components link with nothing, nor do vectors of different
     lengths.  Rows that repeat an id are one vector in the result (the smallest
-    of its usable ones); rows with a null id each stay, unlinked and kept.
+    of its usable ones); rows with a null id each stay, unlinked and kept.  An empty
+    table gives an empty one; other columns are ignored, whatever their names.  A pair at the
+    threshold is missed with probability ``miss``, a nearer one less often.
     """
     v = F.col(f"`{vector_col}`").cast("array<double>")
     every = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("vector"))
@@ -136,6 +159,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     reps = classes.select(F.col("rep").alias("vec_id"), "copies", "vector", F.size("vector").alias("dim"))
     n = reps.count()
+    bits, tables = bits_and_tables(n, threshold, miss, tile)
     signed = stored(reps.mapInArrow(_signatures(tables, bits), "vec_id long, copies long, vector array<double>, dim int, keys array<int>"), "signed")
     placed = signed.select("*", F.posexplode("keys").alias("t", "bucket"))
     sizes = placed.groupBy("dim", "t", "bucket").agg(F.count("*").alias("size"))

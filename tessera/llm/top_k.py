@@ -27,6 +27,36 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ~bad, F.lit(False))
 
 
+def _products(qs: np.ndarray, cand: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, exactly; those beyond 64 bits are an error."""
+    bound = np.abs(cand).max() * np.abs(qs).max() * cand.shape[1]
+    if bound < 2.0 ** 53:  # every partial sum is an exact double
+        return (qs @ cand.T).astype(np.int64)
+    if bound < 2.0 ** 62:
+        return qs.astype(np.int64) @ cand.astype(np.int64).T
+    # a few very large components: Python's integers for the whole tile, which is slow but exact
+    scores = np.array([[int(v) for v in row] for row in qs], object) @ np.array([[int(v) for v in row] for row in cand], object).T
+    if max(abs(int(v)) for v in scores.ravel()) >= 1 << 63:
+        raise ValueError("an inner product does not fit 64 bits")
+    return scores.astype(np.int64)
+
+
+def _best(scores: np.ndarray, m: int) -> np.ndarray:
+    """Places of the m largest scores of each row, the first places of equal ones, in that order.
+
+    A partial selection; a row is sorted whole only where the m-th score is tied beyond the part picked.
+    """
+    if m >= scores.shape[1]:
+        return np.argsort(-scores, axis=1, kind="stable")
+    part = np.sort(np.argpartition(-scores, m - 1, axis=1)[:, :m], axis=1)
+    values = np.take_along_axis(scores, part, axis=1)
+    best = np.take_along_axis(part, np.argsort(-values, axis=1, kind="stable"), axis=1)
+    tied = np.flatnonzero((scores >= values.min(axis=1, keepdims=True)).sum(axis=1) > m)
+    if len(tied):
+        best[tied] = np.argsort(-scores[tied], axis=1, kind="stable")[:, :m]
+    return best
+
+
 def _tile(k: int):
     def run(table: pa.Table) -> pa.Table:
         query = np.asarray(table.column("is_query"))
@@ -38,18 +68,9 @@ def _tile(k: int):
         qs, q_ids = x[query], ids[query]
         out = []
         if len(cand) and len(qs):
-            bound = np.abs(cand).max() * np.abs(qs).max() * x.shape[1]
-            if bound >= 2.0 ** 62:
-                raise ValueError("inner products do not fit 64 bits")
-            if bound < 2.0 ** 53:  # every partial sum is an exact double
-                scores = (qs @ cand.T).astype(np.int64)
-            else:
-                scores = qs.astype(np.int64) @ cand.astype(np.int64).T
+            scores = _products(qs, cand)
             own = q_ids[:, None] == cand_ids[None, :]
-            m = min(k + int(own.sum(axis=1).max()), len(cand))
-            # equal scores go by id: candidates are in that order, so a stable sort of the whole
-            # row is needed only where the k-th score is tied beyond the part picked
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :m]
+            best = _best(scores, min(k + int(own.sum(axis=1).max()), len(cand)))
             for i in range(len(qs)):
                 pick = best[i][~own[i, best[i]]][:k]
                 out.append((np.full(len(pick), q_ids[i]), cand_ids[pick], scores[i, pick]))
@@ -68,7 +89,8 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: s
     integer inner product, ties go to the smaller id.  A row is not its own
     candidate.  Null ids, null vectors, and vectors that are empty or hold null
     or non-finite components take no part; vectors are compared with those of
-    their own length.  Rows that repeat an id count once (the smallest vector).
+    their own length.  A score that does not fit 64 bits is an error.  An empty table
+    gives an empty one; other columns are ignored.  Rows that repeat an id count once (the smallest vector).
     ``is_query`` is a condition on the column ``vec_id``.
     """
     v = F.col(f"`{vector_col}`").cast("array<double>")

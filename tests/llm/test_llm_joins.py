@@ -123,6 +123,34 @@ def test_jaccard_boundaries_of_two_cells(spark):
         assert collected(jaccard_join.jaccard_components(df, frequent=frequent), "doc_id", "n_shingles", "component_id") == want
 
 
+@pytest.mark.parametrize("leaf, pivots, levels, copies, together", [(6, 3, 3, 2, 4), (4, 2, 1, 100, 1), (5, 4, 2, 0, 100), (8, 8, 0, 2, 0)])
+def test_jaccard_recursion_and_tiles(spark, monkeypatch, leaf, pivots, levels, copies, together):
+    """Small leaves, so that regions are split, not parted, compared in tiles, and cells have tiles of their own."""
+    for name, value in (("LEAF", leaf), ("PIVOTS", pivots), ("LEVELS", levels), ("COPIES", copies), ("TOGETHER", together)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = np.random.default_rng(leaf)
+    texts = [t for seed in range(12) for t in bridged_families(seed)]
+    texts += variants(rng, 60, 60, 4) + variants(rng, 60, 90, 2)
+    passage = " ".join(f"p{i}" for i in range(60))
+    for k in range(6):  # families that share a passage, and texts with nothing else in common
+        texts += [t + " " + passage for t in variants(rng, 8, 50, 3)]
+    texts += [" ".join([*(f"r{rng.integers(10**8)}" for _ in range(40)), passage]) for _ in range(30)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = jaccard_join.jaccard_components(df, frequent=8)
+    assert collected(out, "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
+def test_overlaps_of_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        sets = [[np.unique(rng.integers(0, 40 if rng.random() < 0.5 else 4000, rng.integers(0, 60)).astype(np.uint64)) for _ in range(rng.integers(1, 30))] for _ in "ab"]
+        flat = [(np.concatenate(s), np.append(0, np.cumsum([len(x) for x in s]))) for s in sets]
+        for i, j in ((0, 1), (0, 0)):
+            want = [[len(np.intersect1d(p, q)) for q in sets[j]] for p in sets[i]]
+            assert jaccard_join.overlaps(flat[i], flat[j]).tolist() == want
+
+
 def test_jaccard_repeats_nulls_and_empty(spark):
     t = "the same five words here again"
     rows = [(5, t), (5, t), (None, t), (7, "other words in this one document"), (None, "words that nobody else has here")]
@@ -300,3 +328,48 @@ def test_deduplicated_texts(spark):
     rows = [(1, f"first  {p} tail"), (2, f"second {p}\nrest of it"), (3, p), (4, "nothing here")]
     out = {r.doc_id: r.kept_text for r in repeated_passages.deduplicated_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {2: "second rest of it", 3: ""}
+
+
+def test_partial_selection_with_ties():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        scores = rng.integers(-3, 4 if rng.random() < 0.5 else 1000, (rng.integers(1, 6), rng.integers(1, 40)))
+        m = int(rng.integers(1, scores.shape[1] + 1))
+        got = top_k._best(scores, m)
+        want = np.argsort(-scores, axis=1, kind="stable")
+        assert got[:, :m].tolist() == want[:, :m].tolist()
+
+
+def test_products_beyond_doubles():
+    big = np.array([[2.0**40, 3.0], [-(2.0**33), 1.0]])
+    small = np.array([[2.0**31, 1.0], [2.0**30, -5.0]])
+    assert top_k._products(small, small).tolist() == [[2**62 + 1, 2**61 - 5], [2**61 - 5, 2**60 + 25]]
+    with pytest.raises(ValueError, match="64 bits"):
+        top_k._products(big, big)
+
+
+@pytest.mark.parametrize("n", [600, 3000])
+def test_near_vectors_recall_on_planted_pairs(spark, n):
+    """Pairs planted at cosines of 0.93 to 0.97 among vectors in random directions."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = n // 4
+    for i in range(pairs):
+        side = rng.normal(size=32)
+        side -= side @ x[i] * x[i]
+        cosine = rng.uniform(0.93, 0.97)
+        x[n - 1 - i] = cosine * x[i] + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1)))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = near_vectors.near_vectors(df).collect()
+    links = sum(r.n_links for r in rows) / 2
+    assert len(want) > pairs / 3 and len(want) >= links >= 0.99 * len(want)
+    linked = {i for p in want for i in p}
+    assert {r.vec_id for r in rows if r.n_links} <= linked
+
+
+def test_tables_follow_the_number_of_vectors():
+    assert near_vectors.bits_and_tables(1000) == near_vectors.bits_and_tables(4_000_000) == (12, 24)
+    bits, tables = near_vectors.bits_and_tables(10**9)
+    assert bits == 20 and (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables <= 4e-4

@@ -66,12 +66,42 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, df.limit(0), SF).collect() == []
     a = P.identified(spark, df, SF)
     assert a.columns == df.columns and {r.doc_id for r in a.collect()} == {1, 2, 3, 7, None}
+    texts = {(r.doc_id, r.text) for r in df.collect()}
     b = P.one_of_each_group(spark, df, SF)
     assert b.columns == df.columns
-    assert sorted(map(str, (r.doc_id for r in b.collect()))) == sorted(map(str, [1, 3, 4, 5, 6, 7, None, None]))
+    kept = sorted((r.doc_id, r.text) for r in b.where("text IS NOT NULL").collect())
+    one = {i: t for i, t in texts if i in (1, 7)}
+    three = sorted(t for i, t in texts if i == 3)
+    # both texts of id 3 are near copies of each other, so one stays; copies without an id go with the first document
+    assert [i for i, _ in kept] == [1, 3, 5, 6, 7] and dict(kept)[1] == one[1] and dict(kept)[3] in three
+    assert b.where("text IS NULL").count() == 1
     c = P.without_repeats(spark, df, SF)
-    got = {r.doc_id: r.text for r in c.collect()}
-    assert c.columns == df.columns and got[2].strip() == "more" and got[7].strip() == "" and got[4] is None
+    got = {(r.doc_id, r.text and r.text.strip()) for r in c.collect()}
+    assert c.columns == df.columns and (2, "more") in got and (7, "") in got and (4, None) in got and (None, "") in got and (1, one[1]) in got
+    assert c.count() == len(texts)
+    assert len({t for i, t in got if i == 3}) == 2 and max(len(t) for i, t in got if i == 3) > 200  # the first of both is whole
     d = P.mixed(spark, df, SF)
-    assert d.columns == df.columns and sum(r.doc_id is None for r in d.collect()) == 2
+    assert d.columns == df.columns and {(r.doc_id, r.text) for r in d.collect()} <= texts
     assert P.encoded(spark, df, SF).count() == df.count()
+
+
+def test_texts_that_share_an_id_or_have_none(spark):
+    """Each distinct text survives or goes by a decision; copies without an id are found."""
+    rng = np.random.default_rng(4)
+
+    def prose(n):
+        return " ".join(f"the word{rng.integers(10**6)} of" for _ in range(n))
+
+    texts = [prose(60) for _ in range(8)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[0]), (2, texts[2] + " end"), (3, texts[4]), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id int, text string, lang string, source string")
+    b = P.one_of_each_group(spark, df, SF)
+    want = [(1, texts[0]), (1, texts[1]), (2, texts[2] + " end"), (3, texts[4]), (None, texts[3]), (None, None)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in b.collect()))) == sorted(map(str, want)) and b.schema == df.schema
+    c = {(r.doc_id, r.text) for r in P.without_repeats(spark, b, SF).collect()}
+    assert c == set(want)  # nothing repeats any more
+    d = P.mixed(spark, df, SF)
+    size = {r.text: 0 for r in df.collect()}
+    for r in d.collect():
+        size[r.text] += 1
+    assert set(size.values()) <= {0, 1, 2, 3} and sum(n > 0 for t, n in size.items() if t) >= 5
