@@ -91,12 +91,19 @@ def test_error_rates_one_pass_matches_separate(spark):
     assert both.word_edits == metrics.wer(df).collect()[0].word_edits
 
 
-def test_wer_of_pairs_beyond_the_code_points(spark, monkeypatch):
+def test_word_distances_do_not_depend_on_the_cuts_of_a_batch(monkeypatch):
     import random
 
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.operators.sequences import coded, distances
+
     rng = random.Random(3)
-    rows = [(i, " ".join(rng.choices("abcdefgh", k=rng.randrange(12))), " ".join(rng.choices("abcdefgh", k=rng.randrange(12)))) for i in range(80)]
-    rows += [(80, None, "a b c d e f"), (81, " ".join(f"w{i}" for i in range(500)), " ".join(f"w{i}" for i in range(3, 520) if i % 50))]
-    want = {r.id: r.word_edits for r in metrics.wer(_df(spark, rows), by=["id"]).collect()}
-    monkeypatch.setattr(metrics, "WORD_CP_LIMIT", 4)
-    assert {r.id: r.word_edits for r in metrics.wer(_df(spark, rows), by=["id"]).collect()} == want
+    rows = [(rng.choices("abcdefgh", k=rng.randrange(12)), rng.choices("abcdefgh", k=rng.randrange(12))) for _ in range(80)]
+    rows += [([], list("abcdef")), ([f"w{i}" for i in range(500)], [f"w{i}" for i in range(3, 520) if i % 50])]
+    h, r = (pa.array([x[k] for x in rows], pa.list_(pa.string())) for k in (0, 1))
+    want = distances(*coded(h, r)).tolist()
+    monkeypatch.setattr(metrics, "BATCH_WORDS", 4)
+    groups = list(metrics._word_groups(h, r))
+    assert len(groups) > 20 and np.concatenate([distances(*coded(*g)) for g in groups]).tolist() == want
