@@ -33,16 +33,20 @@ def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
     starts = np.arange(blocks, dtype=np.int64) * block
     top = int(v.max()) if n else 0
     # for each position, the selector that packs most values from there on; 0 where none fits
-    limit = np.minimum((np.arange(n, dtype=np.int64) // block + 1) * block, n)
+    index = np.int32 if n < 1 << 30 else np.int64
+    pos = np.arange(n, dtype=index)
+    limit = np.minimum((pos // index(block) + index(1)) * index(block), index(n))
+    small = v.astype(np.uint32) if top < 1 << 32 else v
     choice = np.zeros(n, np.int8)
     open_ = np.ones(n, bool)
     for s, (count, bits) in enumerate(SELECTORS, 1):
         if top < 1 << bits:
             choice[open_] = s
             break
-        wide = np.where(v >> np.uint64(bits) != 0, np.arange(n, dtype=np.int64), n)
+        wide = np.where(small >= small.dtype.type(1 << bits), pos, index(n))
         first = np.minimum.accumulate(wide[::-1])[::-1]
-        fits = open_ & (first >= np.minimum(np.arange(n, dtype=np.int64) + count, limit))
+        fits = first >= np.minimum(pos + index(count), limit)
+        fits &= open_
         choice[fits] = s
         open_ &= ~fits
     # walk all blocks side by side, one word a step
@@ -59,9 +63,9 @@ def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
         rows = np.flatnonzero(picked == s)
         if not len(rows):
             continue
-        index = at[rows][:, None] + np.arange(count)
-        inside = index < limit[at[rows]][:, None]
-        part = np.where(inside, v[np.minimum(index, n - 1)], np.uint64(0))
+        places = at[rows][:, None] + np.arange(count)
+        inside = places < limit[at[rows]][:, None]
+        part = np.where(inside, v[np.minimum(places, n - 1)], np.uint64(0))
         part <<= (np.arange(count, dtype=np.uint64) * np.uint64(bits))
         words[rows] |= np.bitwise_or.reduce(part, axis=1)
     escaped = np.flatnonzero(picked == 0)
