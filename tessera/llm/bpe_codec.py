@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.ragged import group_rows, offsets_of, row_slices, split_words, string_bytes, take
+from tessera.llm.ragged import SLICE_BYTES, group_rows, offsets_of, row_slices, split_words, string_bytes, take
 
 TOKENIZER = "word_bpe_49k.json"
 #: Elements that a gather over the texts of a slice makes at a time.
@@ -290,7 +290,7 @@ def load_model(path: str) -> BpeModel:
 
 def _encoded(batches: Iterator[pa.RecordBatch], model: BpeModel) -> Iterator[tuple]:
     """(rows, ids, offsets) for consecutive rows of each slice."""
-    for batch in row_slices(batches, "text"):
+    for batch in row_slices(batches, "text", SLICE_BYTES // 2):
         codes, starts, words = split_words(batch.column("text"))
         ids, id_offsets = model.encode_words(words)
         lengths = (id_offsets[1:] - id_offsets[:-1])[codes]

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +26,7 @@ from tessera.llm.ragged import mix64, offsets_of, row_slices, split_words
 
 UNDETERMINED = "und"
 #: Text bytes whose subwords a task lists at a time; a new word has about 35 of them.
-SUBWORD_BYTES = 4 << 20
+SUBWORD_BYTES = 2 << 20
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 GRAMS = (1, 2, 3, 4)
@@ -206,11 +205,11 @@ def accepted(df: DataFrame, model: LanguageModel | None, text_col: str = "text")
     """The rows, whole, whose text is accepted (see :func:`predict`)."""
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def accepts(text: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], ["text"])
-        parts = [np.asarray(_predicted(b.column("text"), shipped.value)[2]) for b in row_slices(iter([batch]), "text", SUBWORD_BYTES)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0, bool))
+    @F.arrow_udf("boolean")
+    def accepts(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], ["text"])
+        parts = [_predicted(b.column("text"), shipped.value)[2] for b in row_slices(iter([batch]), "text", SUBWORD_BYTES)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.bool_())
 
     return df.where(accepts(F.col(f"`{text_col}`").cast("string")))
 
