@@ -17,8 +17,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from tessera.operators import bpe, metrics  # noqa: E402
 from tessera.plans import catalog  # noqa: E402
 from tessera.session import get_spark  # noqa: E402
@@ -83,5 +81,4 @@ def main() -> None:
 
 
 if __name__ == "__main__":
-    F  # keep the functions import for interactive use
     main()
