@@ -361,7 +361,9 @@ def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     The ids are digested as little-endian unsigned 32-bit integers, the decoded
     text as UTF-8, both in lowercase hex.  A null text counts as empty.  With
-    ``with_ids`` the ids themselves follow as ``ids array<int>``.
+    ``with_ids`` the ids themselves follow as ``ids array<int>``.  Every row has its own row in the
+    result, repeated ones and those without an id too; an empty table gives an empty one, and other
+    columns are ignored, whatever their names.
     """
     path = path or default_path()
 

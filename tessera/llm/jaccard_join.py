@@ -575,8 +575,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``per_cent`` / 100, exactly.  Null, empty and blank texts have no shingle
     and link with nothing.  Every row is in the result; rows that repeat an id
     each have their own text's component; a null id is null in
-    ``component_id`` unless a linked row has an id.  Shingles are compared as
-    64-bit hashes.
+    ``component_id`` unless a linked row has an id.  An empty table gives an empty one; other
+    columns are ignored, whatever their names.  Shingles are compared as 64-bit hashes.
     """
     j = _Join(df, id_col, text_col, words, per_cent, frequent)
     slim, classes = j.classes()

@@ -260,7 +260,8 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """Train, then predict every row: ``doc_id, held_out, lang_pred, score, accepted``.
 
     A row with a null id is not held out.  Repeated rows are each predicted;
-    an empty table gives an empty one.
+    an empty table gives an empty one; other columns are ignored, whatever their names.
+    Of languages with equal scores the first in code point order is predicted.
     """
     model = train(df, id_col, text_col, lang_col, fit_rows)
     out = predict(df, model, id_col, text_col)

@@ -129,7 +129,8 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Words are runs of anything but ASCII white space; ``lead`` is put before
     each (the word-begin mark of the vocabulary).  A word that the pieces
     cannot spell is one token and counts as unknown.  A null or empty text has
-    zero of each; repeated rows stay.
+    zero of each; repeated rows and rows without an id stay.  An empty table gives an empty
+    one; other columns are ignored, whatever their names.
     """
     path = path or default_path()
     named = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
