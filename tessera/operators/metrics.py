@@ -1,8 +1,7 @@
 """M1-M7: character and word error rates, BLEU, evaluation rows and scalars.
 
-Edit distances are row-local, followed by one partial aggregate: Spark's own
-``levenshtein`` within a band, beyond it and for words a bit-parallel distance in an
-Arrow function.  BLEU's clipped counts are row-local as well: one Arrow function
+Edit distances are row-local, followed by one partial aggregate: an Arrow function
+measures all pairs of a batch that differ side by side, bit-parallel.  BLEU's clipped counts are row-local as well: one Arrow function
 numbers the n-grams of a batch, so no n-gram is shuffled and
 rows that repeat an id cannot mix; only one row of sums a group and task is.
 """
@@ -11,17 +10,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from tessera.functions.text import split_words, tokenize_13a
-from tessera.operators.sequences import coded, distances, edit_distance, ngram_matches
+from tessera.operators.sequences import coded, distances, ngram_matches, offsets_of
 
-# Bands in which Spark's own edit distance is tried first.
-BANDS = (16, 256)
-# Words of a batch that are worked on at a time.
-BATCH_WORDS = 1 << 20
+# Words and characters of a batch that are worked on at a time.
+BATCH_WORDS, BATCH_CHARS = 1 << 20, 1 << 22
 
 
 def _c(col) -> Column:
@@ -32,30 +30,37 @@ def _text(col) -> Column:
     return F.coalesce(_c(col), F.lit(""))
 
 
-def _banded(a: Column, b: Column) -> Column:
-    """Levenshtein distance, null where it is beyond the widest band."""
-    return F.coalesce(*[F.nullif(F.levenshtein(a, b, band), F.lit(-1)) for band in BANDS])
+def _groups(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of rows with lengths of about ``most`` in all."""
+    part = np.cumsum(lengths) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lengths)]
+    return [(lo, hi) for lo, hi in zip(cuts, cuts[1:]) if hi > lo]
 
 
-def _code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+def _word_groups(*columns: pa.Array):
+    """The columns' rows in groups of about ``BATCH_WORDS`` words."""
+    for lo, hi in _groups(sum(np.diff(np.asarray(c.offsets)) for c in columns), BATCH_WORDS):
+        yield [c.slice(lo, hi - lo) for c in columns]
 
 
-@F.arrow_udf(IntegerType())
-def _char_distance(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-    """Edits of the pairs given, bit-parallel over code points; null where there is none."""
-    pairs = zip(hyp.to_pylist(), ref.to_pylist())
-    return pa.array([None if h is None else edit_distance(_code_points(h), _code_points(r)) for h, r in pairs], pa.int32())
+def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, offsets) of a string column without nulls."""
+    flat = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    return flat, offsets_of(np.asarray(pc.utf8_length(texts)).astype(np.int64))
 
 
-def _word_groups(*columns: pa.Array):
-    """The columns' rows in groups of about ``BATCH_WORDS`` words."""
-    words = sum(np.diff(np.asarray(c.offsets)) for c in columns)
-    part = np.cumsum(words) // BATCH_WORDS
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(words)]
-    for lo, hi in zip(cuts, cuts[1:]):
-        if hi > lo:
-            yield [c.slice(lo, hi - lo) for c in columns]
+@F.arrow_udf(IntegerType())
+def _char_distance(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    """Edits of the pairs given over code points; null where there is none."""
+    some = np.flatnonzero(np.asarray(pc.and_(hyp.is_valid(), ref.is_valid())))
+    h, r = hyp.take(pa.array(some)), ref.take(pa.array(some))
+    lengths = np.asarray(pc.utf8_length(h)).astype(np.int64) + np.asarray(pc.utf8_length(r))
+    out = [distances(_points(h.slice(lo, hi - lo)), _points(r.slice(lo, hi - lo))) for lo, hi in _groups(lengths, BATCH_CHARS)]
+    edits, none = np.zeros(len(hyp), np.int32), np.ones(len(hyp), bool)
+    none[some] = False
+    if out:
+        edits[some] = np.concatenate(out)
+    return pa.array(edits, mask=none)
 
 
 @F.arrow_udf(IntegerType())
@@ -66,10 +71,9 @@ def _word_distance(hyp: pa.Array, ref: pa.Array) -> pa.Array:
 
 
 def char_edits(hyp, ref) -> Column:
-    """Edits from hypothesis to reference over code points; null counts as empty."""
+    """Edits from hypothesis to reference over code points; null counts as empty.  Equal texts stay in the JVM."""
     h, r = _text(hyp), _text(ref)
-    banded = _banded(h, r)
-    return F.coalesce(banded, _char_distance(F.when(banded.isNull(), h), F.when(banded.isNull(), r)))
+    return F.coalesce(_char_distance(F.when(h != r, h), F.when(h != r, r)), F.lit(0))
 
 
 def _group(by) -> list[str]:
@@ -90,30 +94,32 @@ def wer(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by=None, tokenize=spl
 def error_rates(df: DataFrame, hyp: str = "hyp", ref: str = "ref", by=None, tokenize=split_words) -> DataFrame:
     """M1 + M2 in one pass: character and word edits per row, one aggregate.
 
-    Characters: Spark's banded distance settles nearly all rows; the others are measured bit by bit
-    in an Arrow function, which gets their texts only.  Words: one Arrow function numbers the
-    words of a batch and measures all rows side by side.
+    Characters: one Arrow function measures the pairs of a batch that differ.  Words: one Arrow function
+    numbers the words of a batch and measures all rows side by side.
     """
     g = _group(by)
+    return _with_rates(_texts(df, hyp, ref, g, tokenize).select(*g, *_edits()).groupBy(*g).agg(*_edit_sums()))
+
+
+def _texts(df: DataFrame, hyp: str, ref: str, g: list[str], tokenize) -> DataFrame:
     empty = F.array().cast("array<string>")
-    rows = df.select(*g, _text(hyp).alias("_h"), _text(ref).alias("_r"),
+    return df.select(*g, _text(hyp).alias("_h"), _text(ref).alias("_r"),
                      F.coalesce(tokenize(_c(hyp)), empty).alias("_hw"), F.coalesce(tokenize(_c(ref)), empty).alias("_rw"))
-    rows = rows.withColumn("_ce", _banded(F.col("_h"), F.col("_r")))
-    rest = F.col("_ce").isNull()
-    rows = rows.withColumns({"_lh": F.when(rest, F.col("_h")), "_lr": F.when(rest, F.col("_r"))})
-    ce = F.coalesce("_ce", _char_distance("_lh", "_lr"))
-    return (
-        rows.select(*g, ce.alias("_ce"), F.length("_r").alias("_cn"), _word_distance("_hw", "_rw").alias("_we"), F.size("_rw").alias("_wn"))
-        .groupBy(*g)
-        .agg(
-            F.sum("_ce").cast("bigint").alias("char_edits"),
-            F.sum("_cn").cast("bigint").alias("ref_chars"),
-            F.sum("_we").cast("bigint").alias("word_edits"),
-            F.sum("_wn").cast("bigint").alias("ref_words"),
-        )
-        .withColumn("cer", F.try_divide(F.col("char_edits").cast("double"), F.col("ref_chars").cast("double")))
-        .withColumn("wer", F.try_divide(F.col("word_edits").cast("double"), F.col("ref_words").cast("double")))
-    )
+
+
+def _edits() -> list[Column]:
+    return [char_edits("_h", "_r").alias("_ce"), F.length("_r").alias("_cn"), _word_distance("_hw", "_rw").alias("_we"), F.size("_rw").alias("_wn")]
+
+
+def _edit_sums() -> list[Column]:
+    names = {"_ce": "char_edits", "_cn": "ref_chars", "_we": "word_edits", "_wn": "ref_words"}
+    return [F.sum(c).cast("bigint").alias(name) for c, name in names.items()]
+
+
+def _with_rates(sums: DataFrame) -> DataFrame:
+    for edits, length, rate in (("char_edits", "ref_chars", "cer"), ("word_edits", "ref_words", "wer")):
+        sums = sums.withColumn(rate, F.try_divide(F.col(edits).cast("double"), F.col(length).cast("double")))
+    return sums
 
 
 def _clipped(n_max: int):
@@ -148,8 +154,12 @@ def ngram_stats(df: DataFrame, hyp: str, refs: list[str], n_max: int = 4, by=Non
     empty = F.array().cast("array<string>")
     tokens = [F.coalesce(tokenize(_c(c)), empty) for c in [hyp, *refs]]
     rows = df.select(*g, _clipped(n_max)(*tokens).alias("_s"))
+    return rows.groupBy(*g).agg(*_ngram_sums(n_max))
+
+
+def _ngram_sums(n_max: int) -> list[Column]:
     names = [*(f"c{n}" for n in range(1, n_max + 1)), *(f"t{n}" for n in range(1, n_max + 1)), "hyp_len", "ref_len"]
-    return rows.groupBy(*g).agg(*[F.coalesce(F.sum(F.get("_s", F.lit(i))), F.lit(0)).cast("bigint").alias(c) for i, c in enumerate(names)])
+    return [F.coalesce(F.sum(F.get("_s", F.lit(i))), F.lit(0)).cast("bigint").alias(c) for i, c in enumerate(names)]
 
 
 def bleu_from_stats(n_max: int = 4) -> Column:
@@ -242,10 +252,9 @@ def validation_scalars(df: DataFrame, step_col: str = "step", hyp: str = "hyp",
         o = order_col or id_col
         picked = df.groupBy(step_col).agg(F.max_by(F.struct(F.col(hyp).alias("_hyp"), F.col(ref).alias("_ref"), F.col(o).alias("_o")), F.col(o)).alias("_x"))
         d = picked.select(step_col, F.col("_x._hyp").alias(hyp), F.col("_x._ref").alias(ref), F.col("_x._o").alias("_o"))
-        id_col = "_o"
-    e = error_rates(d, hyp, ref, by=[step_col]).select(step_col, "cer", "wer")
-    b = bleu(d, hyp, [ref], by=[step_col], id_col=id_col).select(step_col, "bleu")
-    j = e.withColumnRenamed(step_col, "_e_step").join(b, F.col("_e_step").eqNullSafe(F.col(step_col))).drop("_e_step")
+    # one pass: the words of a row serve its edits and its n-grams
+    rows = _texts(d, hyp, ref, [step_col], split_words).select(step_col, *_edits(), _clipped(4)("_hw", "_rw").alias("_s"))
+    j = _with_rates(rows.groupBy(step_col).agg(*_edit_sums(), *_ngram_sums(4))).withColumn("bleu", bleu_from_stats(4))
     return j.select(
         F.expr("stack(3, 'validation/cer', cer, 'validation/wer', wer, 'validation/bleu', bleu) as (tag, value)"),
         F.col(step_col).cast("bigint").alias("step"),

@@ -11,8 +11,16 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pairs whose shorter side has at most so many symbols are measured side by side.
+#: Symbols of a machine word; shorter sides up to that are measured without a band.
 WORD_BITS = 64
+#: Edits up to which pairs are tried first (fewer for short ones), and pairs at a time.
+EDITS, PAIRS = 128, 1 << 13
+#: Band that longer pairs are tried in, side by side; a distance within it is exact.
+BAND = 128
+#: Symbols of the texts that step side by side, and entries of a table of their (row, symbol) pairs, at most.
+STEP_SYMBOLS, TABLE = 1 << 21, 1 << 22
+#: The longest so many pairs of a group are measured one by one: steps that few texts take cost more than they save.
+FEW = 24
 
 
 def offsets_of(lengths: np.ndarray) -> np.ndarray:
@@ -21,10 +29,10 @@ def offsets_of(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _places(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Flat places of the first ``lengths`` symbols of each text."""
-    start = np.repeat(offsets - offsets_of(lengths)[:-1], lengths)
-    return start + np.arange(len(start))
+def _places_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Flat places of ``lengths`` symbols from each start on."""
+    begin = np.repeat(starts - offsets_of(lengths)[:-1], lengths)
+    return begin + np.arange(len(begin))
 
 
 def coded(*columns: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -85,13 +93,15 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
 def _trimmed(x, xo, xn, y, yo, yn):
     """Starts and lengths without the symbols that both have in common at either end."""
     n = np.minimum(xn, yn)
+    offsets = offsets_of(n)
     rows = np.repeat(np.arange(len(n)), n)
-    within = np.arange(len(rows)) - np.repeat(offsets_of(n)[:-1], n)
+    within = np.arange(len(rows)) - offsets[rows]
 
     def first(differ: np.ndarray) -> np.ndarray:
         out = n.copy()
-        at = np.flatnonzero(differ)
-        np.minimum.at(out, rows[at], within[at])
+        some = n > 0
+        if some.any():
+            out[some] = np.minimum.reduceat(np.where(differ, within, n[rows]), offsets[:-1][some])
         return out
 
     head = first(x[xo[rows] + within] != y[yo[rows] + within])
@@ -100,54 +110,166 @@ def _trimmed(x, xo, xn, y, yo, yn):
     return xo + head, xn - head - tail, yo + head, yn - head - tail
 
 
+def _numbers(keys: np.ndarray, asked: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Numbers from 1 of the distinct ``keys`` below ``size``, those of ``asked`` (0: none of the keys), and how many there are."""
+    if size <= TABLE:
+        table = np.zeros(size, np.int32)
+        table[keys] = 1
+        table *= np.cumsum(table, dtype=np.int32)
+        return table[keys], table[asked], int(table.max(initial=0))
+    distinct, number = np.unique(keys, return_inverse=True)
+    at = np.minimum(np.searchsorted(distinct, asked), len(distinct) - 1)
+    return number + 1, np.where(distinct[at] == asked, at + 1, 0), len(distinct)
+
+
+def _packed(codes: np.ndarray) -> tuple[np.ndarray, int]:
+    """For each place the symbols from there on, as many as 64 bits hold, lowest bits first; and the bits of a symbol."""
+    bits = 8 if codes.max() < 1 << 8 else 16 if codes.max() < 1 << 16 else 32
+    out = codes.astype(np.uint64)
+    for i in range(1, 64 // bits):
+        out[:-i] |= codes[i:].astype(np.uint64) << np.uint64(i * bits)
+    return out, bits
+
+
+def _few_edits(packed: np.ndarray, bits: int, p_at: np.ndarray, p_n: np.ndarray, t_at: np.ndarray, t_n: np.ndarray) -> np.ndarray:
+    """Edit distances up to ``EDITS`` and three times the root of the text's length, -1 for larger ones, of patterns and texts given by first place and length.
+
+    For each number of edits and each diagonal (text place minus pattern place): how far into the
+    pattern so many edits lead.  A pair takes work by the square of its edits, not by its length.
+    """
+    out, per = np.full(len(p_n), -1, np.int64), 64 // bits
+    none, one, shift = -(1 << 30), np.uint64(1), np.uint64(bits.bit_length() - 1)
+    rows, p_n, t_n = np.arange(len(p_n)), p_n.astype(np.int32), t_n.astype(np.int32)
+    reach = np.full((len(p_n), 2 * EDITS + 3), none, np.int32)
+    reach[:, EDITS + 1] = 0  # the pairs are trimmed: nothing matches without an edit
+    for edits in range(1, EDITS + 1):
+        lo, hi = EDITS + 1 - edits, EDITS + 2 + edits
+        k = np.arange(-edits, edits + 1, dtype=np.int32)
+        at = np.maximum(reach[:, lo:hi] + 1, reach[:, lo - 1:hi - 1])
+        np.maximum(at, reach[:, lo + 1:hi + 1] + 1, out=at)
+        end = np.minimum(p_n[:, None], t_n[:, None] - k)
+        np.minimum(at, end, out=at)
+        at[(at < 0) | (at + k < 0)] = none
+        flat, left = at.reshape(-1), np.where(at >= 0, end - at, 0).reshape(-1)
+        todo = np.flatnonzero(left > 0)
+        left, row, col = left[todo], todo // len(k), todo % len(k)
+        a = p_at[row] + flat[todo]
+        b = t_at[row] + flat[todo] + k[col]
+        while len(todo):
+            differ = packed[a] ^ packed[b]
+            same = np.minimum((np.bitwise_count((differ & (~differ + one)) - one) >> shift).astype(np.int64), left)
+            flat[todo] += same
+            on = np.flatnonzero((same == per) & (left > per))
+            todo, a, b, left = todo[on], a[on] + per, b[on] + per, left[on] - per
+        reach[:, lo:hi] = at
+        goal = np.minimum(t_n - p_n, EDITS + 1) + EDITS + 1
+        going = reach[np.arange(len(rows)), goal] < p_n
+        out[rows[~going & (out[rows] < 0)]] = edits
+        going &= t_n > edits * edits // 9  # beyond that the steps of the text are less work
+        if not going.any():
+            break
+        if going.sum() > 0.8 * len(rows):
+            continue
+        rows, reach, p_at, p_n, t_at, t_n = rows[going], reach[going], p_at[going], p_n[going], t_at[going], t_n[going]
+    return out
+
+
+def _side_by_side(p: np.ndarray, p_n: np.ndarray, t: np.ndarray, t_n: np.ndarray, band: int) -> np.ndarray:
+    """Edit distances of patterns ``p`` (flat symbols from 0, lengths) and texts ``t``, the longest text first, no pattern longer than its text.
+
+    A step takes the next symbol of every text that goes on.  Of each pattern it works on the words of 64
+    symbols that lie within ``band`` of the diagonal only.  Cells outside count as if each were
+    one edit more than its neighbour, so no result is too small, and one of at most ``band`` is exact.
+    """
+    n_rows, width = len(p_n), 1 + int(max(p.max(), t.max()))
+    p_row, t_row = np.repeat(np.arange(n_rows), p_n), np.repeat(np.arange(n_rows), t_n)
+    place, asked, n_keys = _numbers(p_row * width + p, t_row * width + t, n_rows * width)
+    within = np.arange(len(p)) - offsets_of(p_n)[p_row]
+    longest = int(p_n.max())
+    n_words = (longest - 1) // WORD_BITS + 1
+    masks = np.zeros((n_words, n_keys + 1), np.uint64)  # where each pattern holds a symbol
+    np.add.at(masks.reshape(-1), (within >> 6) * (n_keys + 1) + place, np.uint64(1) << (within & 63).astype(np.uint64))
+    going = np.searchsorted(-t_n, -np.arange(int(t_n[0])))  # texts longer than j are the first ones
+    start = offsets_of(going)
+    step = np.empty(len(t), np.int32)
+    step[start[np.arange(len(t)) - offsets_of(t_n)[t_row]] + t_row] = asked
+    plus, minus = np.full((n_words, n_rows), ~np.uint64(0)), np.zeros((n_words, n_rows), np.uint64)
+    one, top = np.uint64(1), np.uint64(WORD_BITS - 1)
+    for j, k in enumerate(going.tolist()):
+        symbols = step[start[j]:start[j] + k]
+        more, less = one, np.uint64(0)  # difference along the row above the band
+        for w in range(max(0, j - band) >> 6, (min(j + band, longest - 1) >> 6) + 1):
+            eq, pv, mv = masks[w].take(symbols), plus[w, :k], minus[w, :k]
+            xv = eq | mv
+            eq |= less
+            xh = eq & pv
+            xh += pv
+            xh ^= pv
+            xh |= eq
+            down = pv & xh
+            xh |= pv
+            up = np.invert(xh, out=xh)
+            up |= mv
+            next_more, next_less = up >> top, down >> top
+            up <<= one
+            up |= more
+            down <<= one
+            down |= less
+            np.bitwise_and(up, xv, out=mv)
+            xv |= up
+            np.invert(xv, out=xv)
+            np.bitwise_or(down, xv, out=pv)
+            more, less = next_more, next_less
+    # a word that the band or the text has left keeps its last differences: together they lead to the last cell
+    score = t_n.copy()
+    for w in range(n_words):
+        bits = np.clip(p_n - w * WORD_BITS, 0, WORD_BITS).astype(np.uint64)
+        inside = np.where(bits > 0, ~np.uint64(0) >> (np.uint64(WORD_BITS) - np.maximum(bits, one)), np.uint64(0))
+        score += np.bitwise_count(plus[w] & inside).astype(np.int64) - np.bitwise_count(minus[w] & inside).astype(np.int64)
+    return score
+
+
 def distances(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Levenshtein distance of each pair of texts.
 
-    What both have in common at either end goes first.  Pairs whose shorter rest fits a
-    machine word step side by side, one symbol of the longer rest at a time; the others are measured one by
-    one with long integers.  Exact for all lengths.
+    What both have in common at either end goes first.  Pairs that are few edits apart take
+    work by their edits.  The others step side by side, one symbol of the longer rest at a time: those whose
+    shorter rest fits a machine word as they are, longer ones in a band.  What is still
+    open, and the longest few, are measured one by one with long integers.  Exact for all lengths.
     """
     (x, xo), (y, yo) = a, b
     xs, xn, ys, yn = _trimmed(x, xo[:-1], np.diff(xo), y, yo[:-1], np.diff(yo))
     out = np.maximum(xn, yn)
     short, long = np.minimum(xn, yn), out.copy()
-    for i in np.flatnonzero(short > WORD_BITS).tolist():
-        out[i] = edit_distance(x[xs[i]:xs[i] + xn[i]], y[ys[i]:ys[i] + yn[i]])
-    todo = np.flatnonzero((short > 0) & (short <= WORD_BITS))
-    todo = todo[np.argsort(-long[todo], kind="stable")]  # the longest first: those that go on are a prefix
-    if not len(todo):
+    open_ = short > 0
+    if not open_.any():
         return out
-    swap = xn[todo] > yn[todo]  # the shorter side is the pattern
     both = np.concatenate([x, y])
-    p_at, p_n = np.where(swap, ys[todo] + len(x), xs[todo]), short[todo]
-    t_at, t_n = np.where(swap, xs[todo], ys[todo] + len(x)), long[todo]
-    _, code = np.unique(both, return_inverse=True)
-    width = int(code.max()) + 1
-    rows = np.repeat(np.arange(len(todo)), p_n)
-    key = rows * width + code[_places(p_at, p_n)]
-    bit = np.uint64(1) << (np.arange(len(rows)) - np.repeat(offsets_of(p_n)[:-1], p_n)).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    keys, first = np.unique(key[order], return_index=True)
-    masks = np.bitwise_or.reduceat(bit[order], first)
-    asked = np.repeat(np.arange(len(todo)), t_n) * width + code[_places(t_at, t_n)]
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    eqs = np.where(keys[at] == asked, masks[at], np.uint64(0))
-    begin = offsets_of(t_n)[:-1]
-    one, last = np.uint64(1), (p_n - 1).astype(np.uint64)
-    plus, minus = np.full(len(todo), ~np.uint64(0)), np.zeros(len(todo), np.uint64)
-    score = p_n.copy()
-    going = np.searchsorted(-t_n, -np.arange(int(t_n[0])))  # texts longer than j
-    for j, k in enumerate(going.tolist()):
-        eq, pv, mv = eqs[begin[:k] + j], plus[:k], minus[:k]
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        up = mv | ~(xh | pv)
-        down = pv & xh
-        score[:k] += (up >> last[:k] & one).astype(np.int64) - (down >> last[:k] & one).astype(np.int64)
-        up = up << one | one
-        plus[:k] = down << one | ~(xv | up)
-        minus[:k] = up & xv
-    out[todo] = score
+    both = both - both.min()
+    both = _numbers(both, both, int(both.max()) + 1)[0] - 1
+    swap = xn > yn  # the shorter side is the pattern
+    p_at, t_at = np.where(swap, ys + len(x), xs), np.where(swap, xs, ys + len(x))
+    packed, bits = _packed(both)
+    todo = np.flatnonzero(open_ & (long - short <= EDITS))
+    for rows in np.split(todo, range(PAIRS, len(todo), PAIRS)):
+        found = _few_edits(packed, bits, p_at[rows], short[rows], t_at[rows], long[rows])
+        sure = rows[found >= 0]
+        out[sure] = found[found >= 0]
+        open_[sure] = False
+    for least, most, band in ((0, WORD_BITS, int(long.max())), (WORD_BITS, int(short.max()), BAND)):
+        todo = np.flatnonzero(open_ & (short > least) & (short <= most) & (long - short <= band))
+        todo = todo[np.argsort(-long[todo], kind="stable")][FEW:]
+        part = np.cumsum(long[todo]) // STEP_SYMBOLS
+        for rows in np.split(todo, np.flatnonzero(np.diff(part)) + 1):
+            if not len(rows):
+                continue
+            p, t = both[_places_of(p_at[rows], short[rows])], both[_places_of(t_at[rows], long[rows])]
+            found = _side_by_side(p, short[rows], t, long[rows], band)
+            sure = rows[found <= band]
+            out[sure] = found[found <= band]
+            open_[sure] = False
+    for i in np.flatnonzero(open_).tolist():
+        out[i] = edit_distance(x[xs[i]:xs[i] + xn[i]], y[ys[i]:ys[i] + yn[i]])
     return out
 
 

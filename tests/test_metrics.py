@@ -107,3 +107,55 @@ def test_word_distances_do_not_depend_on_the_cuts_of_a_batch(monkeypatch):
     monkeypatch.setattr(metrics, "BATCH_WORDS", 4)
     groups = list(metrics._word_groups(h, r))
     assert len(groups) > 20 and np.concatenate([distances(*coded(*g)) for g in groups]).tolist() == want
+
+
+def _plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_long_pairs_are_measured_side_by_side_and_exactly(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from tessera.operators import sequences as S
+
+    rng, pairs = random.Random(5), []
+    for n, edits, letters in [(70, 3, 4), (90, 50, 2), (300, 25, 30), (300, 90, 30), (400, 150, 3), (200, 140, 500), (130, 0, 9), (0, 4, 9)] * 6:
+        x = [rng.randrange(letters) for _ in range(n)]
+        y = list(x)
+        for _ in range(edits):
+            at = rng.randrange(len(y) + 1)
+            y[at:at + rng.randrange(2)] = [rng.randrange(letters)] * rng.randrange(2)
+        pairs.append((x, y) if rng.random() < 0.5 else (y, x))
+
+    def ragged(texts):
+        return np.array([c for t in texts for c in t], np.int64), S.offsets_of(np.array([len(t) for t in texts]))
+
+    want = [_plain_distance(x, y) for x, y in pairs]
+    slow = []
+    monkeypatch.setattr(S, "edit_distance", lambda a, b, one=S.edit_distance: slow.append(len(a)) or one(a, b))
+    sides = [ragged([x for x, _ in pairs]), ragged([y for _, y in pairs])]
+    assert S.distances(*sides).tolist() == want
+    monkeypatch.setattr(S, "FEW", 0)
+    slow.clear()
+    assert S.distances(*sides).tolist() == want
+    assert len(slow) <= len(pairs) // 4  # the rest of the long pairs went side by side
+    for name, value in (("TABLE", 1), ("STEP_SYMBOLS", 300), ("EDITS", 5), ("PAIRS", 4)):
+        monkeypatch.setattr(S, name, value)
+        assert S.distances(*sides).tolist() == want, name
+
+
+def test_validation_scalars_are_those_of_the_metrics(spark):
+    rows = [(1, "a b c d e", "a b x d e"), (1, None, "q"), (2, "\u5929 \U0001f600 z", "\u5929 z"), (None, "n m", None), (None, "k l m n o", "k l m n o")]
+    df = spark.createDataFrame(rows, "step int, hyp string, ref string")
+    got = {(r.tag, r.step): r.value for r in metrics.validation_scalars(df).collect()}
+    for name, table in (("cer", metrics.cer(df, by=["step"])), ("wer", metrics.wer(df, by=["step"])), ("bleu", metrics.bleu(df, by=["step"]))):
+        for r in table.collect():
+            assert got.pop((f"validation/{name}", r.step)) == r[name]
+    assert not got
