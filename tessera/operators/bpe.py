@@ -28,7 +28,7 @@ import pandas as pd
 from tessera.config import SPECIAL_PIECES, UNK_ID, WORD_MARK
 from tessera.functions.text import chars, marked_words, split_white_space
 from tessera.operators import tokenizer as tok
-from tessera.operators.bpe_index import PairIndex, distinct_pairs, learn
+from tessera.operators.bpe_index import PairIndex, WordTable, distinct_pairs, learn
 from tessera.session import checkpoint_root, scratch_path
 
 MERGES_SCHEMA = StructType(
@@ -41,6 +41,10 @@ MERGES_SCHEMA = StructType(
 )
 
 
+#: Merges that are learned on the table of all words; later ones touch few words each and go by the pair index.
+TABLE_MERGES = 2048
+
+
 def symbols_of(word_col: str = "word"):
     """Initial symbols of a word: its characters (the mark is a character)."""
     return chars(word_col)
@@ -74,7 +78,8 @@ def train_bpe(df: DataFrame, col: str, vocab_size: int, coverage: float = 1.0, m
     reaches ``vocab_size``.  Returns ``(vocab, merges, rounds)``; ``merges`` has the
     pair's count ``n`` when it was merged.
 
-    The corpus is read once (word counts); rounds read and rewrite only the words that
+    The corpus is read once (word counts).  The first ``TABLE_MERGES`` merges are learned on a table of
+    all distinct words; later rounds read and rewrite only the words that
     hold one of their pairs (:mod:`tessera.operators.bpe_index`).  The order is that of merging
     the best pair by (count descending, left, right) one at a time.
     ``exact=False`` takes all pairs of a round's guess without checking that
@@ -96,7 +101,14 @@ def train_bpe(df: DataFrame, col: str, vocab_size: int, coverage: float = 1.0, m
     n_merges = vocab_size - len(specials) - n_alpha
     if n_merges < 0:
         raise ValueError(f"vocab_size {vocab_size} cannot hold {len(specials)} specials and an alphabet of {n_alpha}")
-    merges, rounds = learn(PairIndex(words, compact_every), n_merges, letters, max_candidates, exact=exact) if n_merges else ([], 0)
+    merges, rounds = [], 0
+    if n_merges:
+        table = WordTable(words)
+        merges, rounds = learn(table, min(n_merges, TABLE_MERGES), letters, max_candidates, exact=exact)
+        if len(merges) == TABLE_MERGES < n_merges:
+            made = letters.union(left + right for left, right, _ in merges)
+            more, further = learn(PairIndex(table.words(), compact_every), n_merges - TABLE_MERGES, made, max_candidates, exact=exact)
+            merges, rounds = merges + more, rounds + further
     merge_rows = [(i, left, right, n) for i, (left, right, n) in enumerate(merges)]
     merges_df = spark.createDataFrame(merge_rows, MERGES_SCHEMA)
     first = len(specials) + n_alpha

@@ -10,6 +10,7 @@ lost.  Rewriting a word writes postings for all its pairs, so the newest posting
 of a (pair, word) is current, and the sum of ``delta`` over a pair's postings is its count.  Postings are
 written to the shared folder, a folder a round, ordered by pair so that a read of a few pairs
 skips most of each file; every few rounds the live ones are written anew.
+The first merges hold in much of all words; they are learned on the words themselves (:class:`WordTable`).
 
 A round reads only the words that hold one of its pairs or of the merges since the last rewriting,
 and only these words are ever rewritten.  The driver holds a bounded list of the best pairs with exact
@@ -22,6 +23,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,7 +82,8 @@ def apply_merges(syms: list[str], steps: dict[tuple[str, str], int]) -> Iterator
         yield step, syms
 
 
-def _changes(pending: list[tuple[str, str]], sequence: list[tuple[str, str]], known: frozenset[tuple[str, str]]):
+def _changes(pending: list[tuple[str, str]], sequence: list[tuple[str, str]], known: frozenset[tuple[str, str]],
+             cut=lambda text: text.split(" ")):
     """Count changes at every step of ``sequence``, after ``pending``, summed over the words of a task.
 
     Of pairs that lose only, those known count; others need a symbol that the sequence makes.
@@ -91,7 +95,7 @@ def _changes(pending: list[tuple[str, str]], sequence: list[tuple[str, str]], kn
         total: Counter = Counter()
         for batch in batches:
             for freq, text in zip(batch.column("freq").to_pylist(), batch.column("syms").to_pylist()):
-                before = text.split(" ")
+                before = cut(text)
                 for step, after in apply_merges(before, steps):
                     if step >= 0:
                         old, new = pairs_of(before), pairs_of(after)
@@ -132,6 +136,92 @@ def _rewritten(sequence: list[tuple[str, str]], version: int):
     return run
 
 
+def _reported(words: DataFrame, changes, least: int) -> dict[tuple[str, str], dict[int, int]]:
+    """What ``changes`` says of the words, summed, for known pairs and those that can reach ``least``."""
+    rows = words.mapInArrow(changes, "pair string, step int, delta bigint, known boolean")
+    gained = F.sum(F.greatest("delta", F.lit(0).cast("bigint")))  # not below what the pair gains in all
+    each = rows.groupBy("pair", "known").agg(F.collect_list(F.struct("step", "delta")).alias("at"), gained.alias("gained"))  # an entry a step and task
+    out: dict[tuple[str, str], dict[int, int]] = {}
+    for r in each.where((F.col("gained") >= least) | F.col("known")).collect():
+        at = out.setdefault(tuple(r["pair"].split(" ")), {})
+        for x in r["at"]:
+            at[x["step"]] = at.get(x["step"], 0) + int(x["delta"])
+    return out
+
+
+def _uncut(text: str) -> list[str]:
+    return text[1:-1].split("\t ")
+
+
+def _cut(*symbols: str) -> str:
+    return "".join(f" {s}\t" for s in symbols)
+
+
+def _pair_totals(batches):
+    total: Counter = Counter()
+    for batch in batches:
+        for freq, text in zip(batch.column("freq").to_pylist(), batch.column("syms").to_pylist()):
+            for pair, n in pairs_of(_uncut(text)).items():
+                total[pair] += n * freq
+    if total:
+        yield pa.RecordBatch.from_pydict({"left": [p[0] for p in total], "right": [p[1] for p in total], "n": pa.array(total.values(), pa.int64())})
+
+
+class WordTable:
+    """The distinct words with their symbols, for the first merges, which touch much of all words.
+
+    A symbol is written with a space before and a tab after it (a word holds neither), so a
+    merge is a replacement of text that the JVM makes, from left to right.  A round reads the
+    words once, without a shuffle, and only those that hold one of its pairs reach Python; every
+    ``flush_at`` merges the table is written anew.  It has the steps of :class:`PairIndex` that :func:`learn` takes.
+    """
+
+    def __init__(self, words: DataFrame, flush_at: int = 16):
+        """``words``: distinct ``word, freq, syms`` (joined by spaces)."""
+        self.spark, self.flush_at, self.pending = words.sparkSession, flush_at, []
+        marked = F.concat(F.lit(" "), F.replace("syms", F.lit(" "), F.lit("\t ")), F.lit("\t"))
+        # a number given here is kept: few bytes of symbols are still much work for the functions above
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        self.path = self._write(words.select("word", "freq", marked.alias("syms")).repartition(parts, "word"))
+
+    def _write(self, rows: DataFrame) -> str:
+        path = scratch_path(self.spark, "bpe-words")
+        rows.write.parquet(path)
+        return path
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema("word string, freq bigint, syms string").parquet(self.path)
+
+    def _now(self) -> DataFrame:
+        syms = F.col("syms")
+        for left, right in self.pending:
+            syms = F.replace(syms, F.lit(_cut(left, right)), F.lit(_cut(left + right)))
+        return self._stored().select("word", "freq", syms.alias("syms"))
+
+    def words(self) -> DataFrame:
+        """``word, freq, syms`` (joined by spaces) as they stand."""
+        return self._now().withColumn("syms", F.expr("replace(substring(syms, 2, length(syms) - 2), '\t ', ' ')"))
+
+    def top(self, k: int) -> list[tuple[str, str, int]]:
+        each = self._now().select("freq", "syms").mapInArrow(_pair_totals, "left string, right string, n bigint")
+        n = each.groupBy("left", "right").agg(F.sum("n").alias("n"))
+        return [(r["left"], r["right"], int(r["n"])) for r in n.orderBy(F.desc("n"), F.asc("left"), F.asc("right")).limit(k).collect()]
+
+    def changes(self, sequence: list[tuple[str, str]], known, least: int) -> dict[tuple[str, str], dict[int, int]]:
+        """Per pair its count change at each step, for known pairs and those that can reach ``least``."""
+        holds = reduce(or_, [F.contains("syms", F.lit(_cut(*p))) for p in [*self.pending, *sequence]])
+        return _reported(self._stored().where(holds).select("freq", "syms"), _changes(self.pending, sequence, frozenset(known), _uncut), least)
+
+    def accept(self, merges: list[tuple[str, str]]) -> None:
+        """The merges hold from now on."""
+        self.pending.extend(merges)
+        if len(self.pending) >= self.flush_at:
+            self.path, self.pending = self._write(self._now()), []
+
+    def flush(self) -> None:
+        """Nothing waits: :meth:`top` reads the words as they stand."""
+
+
 class PairIndex:
     """Postings of all words, in folders of the shared checkpoint folder."""
 
@@ -175,16 +265,7 @@ class PairIndex:
 
     def changes(self, sequence: list[tuple[str, str]], known, least: int) -> dict[tuple[str, str], dict[int, int]]:
         """Per pair its count change at each step, for known pairs and those that can reach ``least``."""
-        rows = self.holding([*self.pending, *sequence]).mapInArrow(
-            _changes(self.pending, sequence, frozenset(known)), "pair string, step int, delta bigint, known boolean")
-        gained = F.sum(F.greatest("delta", F.lit(0).cast("bigint")))  # not below what the pair gains in all
-        each = rows.groupBy("pair", "known").agg(F.collect_list(F.struct("step", "delta")).alias("at"), gained.alias("gained"))  # an entry a step and task
-        out: dict[tuple[str, str], dict[int, int]] = {}
-        for r in each.where((F.col("gained") >= least) | F.col("known")).collect():
-            at = out.setdefault(tuple(r["pair"].split(" ")), {})
-            for x in r["at"]:
-                at[x["step"]] = at.get(x["step"], 0) + int(x["delta"])
-        return out
+        return _reported(self.holding([*self.pending, *sequence]), _changes(self.pending, sequence, frozenset(known)), least)
 
     def accept(self, merges: list[tuple[str, str]]) -> None:
         """The merges hold from now on; words are rewritten once ``flush_at`` of them wait."""

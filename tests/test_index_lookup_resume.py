@@ -57,6 +57,28 @@ def test_index_learns_as_one_merge_at_a_time(spark, candidates, compact, flush):
     assert {(r.left, r.right): r.n for r in index.counts().collect()} == want and index.postings().count() <= before
 
 
+@pytest.mark.parametrize("candidates, flush", [(1024, 32), (6, 5)])
+def test_word_table_learns_as_one_merge_at_a_time(spark, candidates, flush):
+    rng = random.Random(candidates)
+    letters = "ab|\x1c\U0001f600"
+    words = Counter("\u2581" + "".join(rng.choice(letters if rng.random() < 0.6 else "aaaaab|.") for _ in range(rng.randrange(14))) for _ in range(400))
+    df = spark.createDataFrame([(w, f, " ".join(w)) for w, f in words.items()], "word string, freq bigint, syms string")
+    table = bpe_index.WordTable(df, flush)
+    merges, _ = bpe_index.learn(table, 60, {c for w in words for c in w}, candidates)
+    assert [m[:2] for m in merges] == sequential_bpe(dict(words), 60)
+    syms = {w: list(w) for w in words}
+    for left, right, _ in merges:
+        syms = {w: bpe_index.merge_pair(s, left, right) for w, s in syms.items()}
+    assert {r.word: r.syms for r in table.words().collect()} == {w: " ".join(s) for w, s in syms.items()}
+
+
+def test_training_goes_on_with_the_pair_index(spark, monkeypatch):
+    df = spark.createDataFrame([(t,) for t in ("low lower lowest newer", "wider new newest widest", "slow slower slowest aaaa aaa")], "text string")
+    whole = [tuple(r) for r in bpe.train_bpe(df, "text", 45)[1].collect()]
+    monkeypatch.setattr(bpe, "TABLE_MERGES", 5)
+    assert len(whole) > 10 and sorted(tuple(r) for r in bpe.train_bpe(df, "text", 45)[1].collect()) == sorted(whole)
+
+
 def test_rounds_read_only_what_they_touch(spark):
     words = Counter(w for r in fx.conv_pairs(spark, SF).collect() for w in r.src_text.split())
     df = spark.createDataFrame([("▁" + w, f, " ".join("▁" + w)) for w, f in words.items()], "word string, freq bigint, syms string")
