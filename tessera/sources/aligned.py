@@ -2,8 +2,9 @@
 
 Reading: every line gets its exact 0-based number from
 ``(file path, block start, position in block)`` -- the text reader reads a
-block sequentially in one task, and blocks are ranked by the exact-rank
-machinery with the block as bucket, so no single task sees the whole file.
+block sequentially in one task, so a line's number is its place in the task
+shifted by a number for each block; the blocks are counted first, and no
+text is shuffled for it.
 The two sides then meet in an equi join on ``line_no``; unequal line counts
 fail the job from inside the join (``raise_error``), without a count action.
 
@@ -13,11 +14,10 @@ partition; part files in name order are the line order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize_newlines
-from tessera.operators.ordering import exact_rank
 
 
 def read_numbered_lines(spark: SparkSession, path: str, text_col: str = "text") -> DataFrame:
@@ -28,9 +28,13 @@ def read_numbered_lines(spark: SparkSession, path: str, text_col: str = "text")
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    return exact_rank(raw, ["_file", "_block", "_seq"], ["_file", "_block"], rank_col="line_no").drop(
-        "_file", "_block", "_seq"
-    )
+    # the lines of a block follow each other in one task; a block is one row here
+    blocks = raw.groupBy("_file", "_block").agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("_file").alias("_bf"), F.col("_block").alias("_bb"),
+                           (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    placed = raw.join(F.broadcast(blocks), (F.col("_file") == F.col("_bf")) & (F.col("_block") == F.col("_bb")))
+    return placed.select(text_col, (F.col("_seq") + F.col("_shift")).alias("line_no"))
 
 
 def read_aligned_lines(spark: SparkSession, src_path: str, tgt_path: str, split: str | None = None,

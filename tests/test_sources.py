@@ -106,3 +106,23 @@ def test_read_translations_json(spark, tmp_dir):
     assert got == {1: ("hello", "你好"), 2: ("bye", None)}
     raw = spark.read.json(f"{tmp_dir}/train.jsonl")
     assert sorted((r.pair_id, r.text) for r in sentences(raw, "en").collect()) == [(1, "hello"), (2, "bye")]
+
+
+def test_lines_of_many_blocks_are_numbered_without_a_shuffle_of_the_text(spark, tmp_dir):
+    from tessera.sources import aligned
+
+    lines = [f"line {i} " + "x" * (i % 37) for i in range(3000)] + [""]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_no long, hyp string")
+    aligned.write_hypotheses(df, f"{tmp_dir}/many", num_partitions=5)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("4k", "64k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            back = aligned.read_numbered_lines(spark, f"{tmp_dir}/many")
+            assert {r.line_no: r.text for r in back.collect()} == dict(enumerate(lines))
+            plan = back._jdf.queryExecution().optimizedPlan().toString()
+            assert "row_number" not in plan and plan.count("Window") == 1  # over the blocks only
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
