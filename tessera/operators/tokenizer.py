@@ -6,23 +6,26 @@ what allows it to be broadcast into the encode and decode joins.  Broadcast
 joins also make a hot word ("the" may be several percent of all tokens)
 harmless: no partition is keyed by word.
 
-Encoding is explode -> broadcast join -> regroup by row key.  All tokens of a
-row live in the partition that exploded it, so ``collect_list`` combines them
-map side and the shuffle moves one array per row, not one row per token.
+Encoding works on each row where it is, in an Arrow function with the vocabulary as a
+dictionary.  Vocabularies too large for that, and rows that share a key, take
+explode -> join -> regroup by row key.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tessera.config import SPECIAL_PIECES, UNK_ID, WORD_MARK
 from tessera.operators.ordering import exact_rank
-from tessera.functions.text import chars, marked_words, nfkc, split_words
+from tessera.functions.text import chars, marked_words, nfkc, split_white_space, split_words
 from tessera.session import scratch_path
 
 VOCAB_SCHEMA = StructType(
@@ -36,6 +39,8 @@ VOCAB_SCHEMA = StructType(
 
 # A broadcast side must stay below this many rows (the vocabulary bound).
 MAX_BROADCAST_VOCAB = 2_000_000
+# Pieces that every Python worker may hold as a dictionary, and repeated keys that may be broadcast.
+MAX_ROWWISE_VOCAB, MAX_REPEATED_KEYS = 1 << 18, 1 << 20
 
 
 def specials_df(spark: SparkSession, specials=SPECIAL_PIECES) -> DataFrame:
@@ -247,16 +252,8 @@ def char_units(col):
     return F.flatten(F.transform(split_words(col), lambda w: F.split(w, "")))
 
 
-def encode_words(df: DataFrame, key: str, specs: list, unk_id: int = UNK_ID, marked: bool = False,
-                 unit: str = "word") -> DataFrame:
-    """T11 encode for one or more text columns in one pass.
-
-    ``specs`` is a list of ``(text_col, out_col, vocab)``.  Each text is split
-    into units -- whitespace words (``marked`` adds the word-start mark) or,
-    with ``unit="char"``, the characters of those words -- looked up in its
-    vocabulary (unknown -> ``<unk>``) and regrouped in order.  NULL text gives
-    NULL ids, empty text ``[]``.
-    """
+def _encode_joined(df: DataFrame, key: str, specs: list, unk_id: int, marked: bool, unit: str) -> DataFrame:
+    """Units meet the vocabularies in a join and are regrouped by ``key``."""
     parts = []
     vocabs = None
     for side, (text_col, _out, vocab) in enumerate(specs):
@@ -292,6 +289,69 @@ def encode_words(df: DataFrame, key: str, specs: list, unk_id: int = UNK_ID, mar
     return out.select(*cols)
 
 
+def piece_dictionary(vocab: DataFrame):
+    """``piece -> id`` sent to the workers, or None for more than ``MAX_ROWWISE_VOCAB`` pieces or repeated ones."""
+    rows = vocab.select("piece", "id").where(F.col("piece").isNotNull()).limit(MAX_ROWWISE_VOCAB + 1).collect()
+    ids = {r["piece"]: r["id"] for r in rows}
+    if len(rows) > MAX_ROWWISE_VOCAB or len(ids) < len(rows):
+        return None
+    return vocab.sparkSession.sparkContext.broadcast({p: int(i) for p, i in ids.items() if i is not None})
+
+
+def _row_ids(b_ids: Broadcast, unk_id: int, marked: bool, unit: str):
+    mark = WORD_MARK if marked and unit == "word" else ""
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def ids(texts: pa.Array) -> pa.Array:
+        known, flat, ends = b_ids.value, array("i"), [0]
+        for t in texts.to_pylist():
+            if t is not None:
+                words = split_white_space(t)
+                units = "".join(words) if unit == "char" else [mark + w for w in words] if mark else words
+                flat.extend([known.get(u, unk_id) for u in units])
+            ends.append(len(flat))
+        none = pa.array(np.asarray(texts.is_null())) if texts.null_count else None
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)), mask=none)
+
+    return ids
+
+
+def encode_words(df: DataFrame, key: str, specs: list, unk_id: int = UNK_ID, marked: bool = False,
+                 unit: str = "word") -> DataFrame:
+    """T11 encode for one or more text columns in one pass.
+
+    ``specs`` is a list of ``(text_col, out_col, vocab)``.  Each text is split
+    into units -- whitespace words (``marked`` adds the word-start mark) or,
+    with ``unit="char"``, the characters of those words -- looked up in its
+    vocabulary (unknown -> ``<unk>``) in order.  NULL text gives
+    NULL ids, empty text ``[]``; so does a NULL key.  ``vocab`` may come with its dictionary, as a
+    pair with what :func:`piece_dictionary` gives.
+
+    Rows are encoded where they are.  Rows that repeat a key have the ids of all of
+    them, so those alone are regrouped by the key; so is everything when a
+    vocabulary is too large for a dictionary in each worker.
+    """
+    given = [v if isinstance(v, tuple) else (v, piece_dictionary(v)) for _, _, v in specs]
+    plain = [(text_col, out_col, v) for (text_col, out_col, _), (v, _) in zip(specs, given)]
+    if any(b is None for _, b in given):
+        return _encode_joined(df, key, plain, unk_id, marked, unit)
+    repeated = df.select(F.col(key).alias("_dk")).where("_dk IS NOT NULL").groupBy("_dk").count().where("count > 1").select("_dk")
+    n = repeated.limit(MAX_REPEATED_KEYS + 1).count()
+    if n > MAX_REPEATED_KEYS:
+        return _encode_joined(df, key, plain, unk_id, marked, unit)
+    same = F.col(key) == F.col("_dk")
+    once = df.join(F.broadcast(repeated), same, "left_anti") if n else df
+    empty = F.array().cast("array<int>")
+    ids = [
+        F.when(F.col(text_col).isNotNull() & F.col(key).isNull(), empty).otherwise(_row_ids(b, unk_id, marked, unit)(F.col(text_col))).alias(out_col)
+        for (text_col, out_col, _), (_, b) in zip(specs, given)
+    ]
+    out = once.select(*[F.col(c) for c in df.columns], *ids)
+    if not n:
+        return out
+    return out.unionByName(_encode_joined(df.join(F.broadcast(repeated), same, "left_semi"), key, plain, unk_id, marked, unit))
+
+
 def decode_ids(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, out_col: str = "text",
                mode: str = "word") -> DataFrame:
     """Ids to text.  ``word`` joins pieces with spaces; ``subword``

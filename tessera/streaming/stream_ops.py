@@ -82,15 +82,17 @@ def stream_examples(sdf: DataFrame, src_vocab, tgt_vocab, seq_len: int = 128, ke
 
 def examples_per_batch(sdf: DataFrame, src_vocab: DataFrame, tgt_vocab: DataFrame, path: str, seq_len: int = 128,
                        key: str = "pair_id", select=None, checkpoint: str | None = None):
-    """ST2 with the batch encoder: every micro-batch runs the JVM encode
-    (explode, broadcast vocabulary join, regroup per row) and E7 as an
+    """ST2 with the batch encoder: every micro-batch runs the batch encode (the vocabularies are
+    sent to the workers once) and E7 as an
     ordinary batch job through ``foreachBatch``.  Each batch overwrites its
     own folder ``batch=<id>``, so a replayed batch after a failure replaces
     its output instead of duplicating it.  Returns the started query."""
-    from tessera.operators.tokenizer import encode_words
+    from tessera.operators.tokenizer import encode_words, piece_dictionary
+
+    src, tgt = (src_vocab, piece_dictionary(src_vocab)), (tgt_vocab, piece_dictionary(tgt_vocab))
 
     def write(batch_df: DataFrame, batch_id: int) -> None:
-        enc = encode_words(batch_df, key, [("src_text", "src_ids", src_vocab), ("tgt_text", "tgt_ids", tgt_vocab)])
+        enc = encode_words(batch_df, key, [("src_text", "src_ids", src), ("tgt_text", "tgt_ids", tgt)])
         ex = build_examples(enc, seq_len)
         if select is not None:
             ex = ex.select(*select)

@@ -132,3 +132,21 @@ def test_rowwise_encode_equals_join_encode(spark):
     a = {r.k: r.ids for r in bpe.encode(df, "k", "text", vocab, merges).collect()}
     b = {r.k: r.ids for r in bpe.encode(df, "k", "text", vocab, merges, strategy="rowwise").collect()}
     assert a == b and a[len(TEXT)] == [] and a[len(TEXT) + 1] is None
+
+
+def test_rows_are_encoded_where_they_are(spark, monkeypatch):
+    texts = [(1, "b a\u3000c"), (2, None), (3, ""), (None, "a b"), (5, "\u00e9 \U0001f600a\x1cb\u0085b"), (6, "a b"), (6, "c"), (6, None), (7, " c a [PAD] ")]
+    df = spark.createDataFrame(texts, "k bigint, text string")
+    words, letters = tokenizer.fit_word_vocab(df, "text", 10), tokenizer.fit_char_vocab(df, "text", 10)
+
+    def all_of(rows):
+        cases = (("word", words, False), ("char", letters, False), ("word", words, True))
+        return [sorted(((r.k, r.text, r.ids) for r in tokenizer.encode_words(rows, "k", [("text", "ids", v)], unit=u, marked=m).collect()), key=str)
+                for u, v, m in cases]
+
+    got, alone = all_of(df), df.where("k <> 6")
+    plan = tokenizer.encode_words(alone, "k", [("text", "ids", words)])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    monkeypatch.setattr(tokenizer, "MAX_ROWWISE_VOCAB", 3)
+    assert got == all_of(df)
+    assert got[0][0][2] is not None
