@@ -38,17 +38,23 @@ def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
     limit = np.minimum((pos // index(block) + index(1)) * index(block), index(n))
     small = v.astype(np.uint32) if top < 1 << 32 else v
     choice = np.zeros(n, np.int8)
-    open_ = np.ones(n, bool)
     for s, (count, bits) in enumerate(SELECTORS, 1):
         if top < 1 << bits:
-            choice[open_] = s
+            choice[choice == 0] = s
             break
-        wide = np.where(small >= small.dtype.type(1 << bits), pos, index(n))
-        first = np.minimum.accumulate(wide[::-1])[::-1]
+        narrow = small < small.dtype.type(1 << bits)
+        if 4 * np.count_nonzero(narrow) < n:
+            # few values fit: only their runs are looked at
+            held = np.flatnonzero(narrow)
+            tail = np.append(np.flatnonzero(held[1:] != held[:-1] + 1), len(held) - 1) if len(held) else held
+            first = np.repeat(held[tail] + 1, np.diff(tail, prepend=-1))
+            held = held[first >= np.minimum(held + count, limit[held])]
+            choice[held[choice[held] == 0]] = s
+            continue
+        first = np.minimum.accumulate(np.where(narrow, index(n), pos)[::-1])[::-1]
         fits = first >= np.minimum(pos + index(count), limit)
-        fits &= open_
+        fits &= choice == 0
         choice[fits] = s
-        open_ &= ~fits
     # walk all blocks side by side, one word a step
     at, stop, seen = starts.copy(), np.minimum(starts + block, n), []
     while len(at):
@@ -63,11 +69,14 @@ def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
         rows = np.flatnonzero(picked == s)
         if not len(rows):
             continue
-        places = at[rows][:, None] + np.arange(count)
-        inside = places < limit[at[rows]][:, None]
-        part = np.where(inside, v[np.minimum(places, n - 1)], np.uint64(0))
-        part <<= (np.arange(count, dtype=np.uint64) * np.uint64(bits))
-        words[rows] |= np.bitwise_or.reduce(part, axis=1)
+        place, part = at[rows], np.zeros(len(rows), np.uint64)
+        end = limit[place]
+        for k in range(count):
+            value = v[np.minimum(place, n - 1)] << np.uint64(k * bits)
+            value[place >= end] = 0
+            part |= value
+            place += 1
+        words[rows] |= part
     escaped = np.flatnonzero(picked == 0)
     words[escaped] = np.arange(len(escaped), dtype=np.uint64)
     offsets = np.searchsorted(at, np.append(starts, n)).astype("<u4")

@@ -1,7 +1,7 @@
 """Token-id files: whole corpora as packed ids in ascending document order.
 
 ``write_token_files`` encodes texts with the tokenizers library (its BPE model
-gets each distinct piece of a slice once), orders documents over the cluster by range, and writes
+gets each distinct piece of a slice once, and few that an earlier slice had), orders documents over the cluster by range, and writes
 segments of Simple-8b blocks.  The container is Parquet, so that Spark's
 committer makes the files whole when tasks are lost or repeated; each row is a
 segment: ``shard`` (the range, ascending), ``first`` (ids before it in its
@@ -11,12 +11,14 @@ shard), ``n_ids``, the ids and lengths of its documents, and the payload.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from tessera.llm import simple8b
 from tessera.llm.bpe_codec import BpeModel, byte_symbols, default_path
-from tessera.llm.ragged import group_rows, offsets_of, row_slices, split_words, take
+from tessera.llm.ragged import group_rows, offsets_of, row_slices, split_words, string_bytes, take
 from tessera.llm.shared import shared_dir
 
 END_ID = 1
@@ -34,51 +36,75 @@ SEGMENT = 1 << 20
 SCHEMA = ("shard int, first long, n_ids long, doc_ids array<long>, lengths array<int>, payload binary")
 
 
-#: Words whose ids a worker keeps from one slice, and task, to the next (affects speed only).
-KEPT_WORDS = 1 << 19
+#: Words, and pieces, whose ids a worker keeps from one slice, and task, to the next (affects speed only).
+KEPT = 1 << 19
 
 
 #: UTF-32 of the symbol for each byte.
 SYMBOLS = np.array([ord(c) for c in byte_symbols()], "<u4")
 
 
+class Kept:
+    """Ids of the first ``KEPT`` distinct strings that a worker meets."""
+
+    def __init__(self, kind: pa.DataType):
+        self.items = pa.array([], kind)
+        self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, items: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each of the distinct ``items``, flat, and offsets; ``encode`` gets those that are not kept."""
+        n = len(self.items)
+        place = np.array(pc.fill_null(pc.index_in(items, value_set=self.items), -1), np.int64)
+        fresh = np.flatnonzero(place < 0)
+        new = items.take(pa.array(fresh))
+        ids, offsets = encode(new)
+        place[fresh] = n + np.arange(len(fresh))
+        every = np.concatenate([self.ids, ids]), np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
+        room = min(KEPT - n, len(fresh))
+        if room > 0:
+            self.items = pa.concat_arrays([self.items, new[:room]])
+            self.ids, self.offsets = every[0][:every[1][n + room]], every[1][:n + room + 1]
+        return take(*every, place)
+
+
 class LibraryModel(BpeModel):
     """The words' preparation of the codec, and the library's own BPE model for all new pieces of a slice in one call.
 
     Pieces come to the library's model as one text with spaces between them (no symbol of a byte is
-    white space); the result says which piece each id comes from.  The first ``KEPT_WORDS`` words that a
-    worker meets are encoded once.
+    white space).  The last id of a piece, and no other, stands for a string with the end-of-word mark.
     """
 
     def __init__(self, path: str):
         super().__init__(path)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.model = Tokenizer(self.library.model)
         self.model.pre_tokenizer = WhitespaceSplit()
-        self.kept: dict[str, int] = {}
-        self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.words, self.pieces = Kept(pa.string()), Kept(pa.binary())
+        closing = np.zeros(self.size, bool)
+        closing[self.last] = True
+        for right, made in zip(self.right.tolist(), self.product.tolist()):
+            closing[made] = closing[right]
+        self.closing = closing
+
+    def _encode_pieces(self, pieces: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(pieces):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        data, offsets = string_bytes(pieces)
+        text = np.insert(SYMBOLS[data], offsets[1:-1], np.uint32(0x20)).tobytes().decode("utf-32-le")
+        # without the places in the text, which cost as much as the merges
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        if len(ends) != len(pieces):
+            raise ValueError("the ids do not end where the pieces do")
+        return ids, np.concatenate([[0], ends])
 
     def merge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(data):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        text = np.insert(SYMBOLS[data], offsets[1:-1], np.uint32(0x20)).tobytes().decode("utf-32-le")
-        found = self.model.encode(text, add_special_tokens=False)
-        owner = np.array(found.word_ids, np.int64)
-        return np.array(found.ids, np.int32), offsets_of(np.bincount(owner, minlength=len(offsets) - 1))
+        buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]
+        return self.pieces.encode(pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers), self._encode_pieces)
 
     def encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each word (no white space inside): flat ids and offsets."""
-        items = words.to_pylist()
-        n = len(self.kept)
-        place = np.fromiter((self.kept.get(w, -1) for w in items), np.int64, len(items))
-        fresh = np.flatnonzero(place < 0)
-        ids, offsets = super().encode_words(words.take(pa.array(fresh)))
-        place[fresh] = n + np.arange(len(fresh))
-        every = np.concatenate([self.ids, ids]), np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
-        room = [items[i] for i in fresh[:KEPT_WORDS - n].tolist()]
-        if room:
-            self.kept.update(zip(room, range(n, n + len(room))))
-            self.ids, self.offsets = every[0][:every[1][n + len(room)]], every[1][:n + len(room) + 1]
-        return take(*every, place)
+        """Ids of each distinct word (no white space inside): flat ids and offsets."""
+        return self.words.encode(words, super().encode_words)
 
 
 @lru_cache(maxsize=4)

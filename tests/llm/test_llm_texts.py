@@ -112,6 +112,56 @@ def test_token_files_round_trip(spark, rows, library):
     assert token_files.round_trip(rows.union(rows)).count() == 2 * len(want)
 
 
+def test_token_files_library_gets_a_piece_once(library):
+    class Recorder:
+        def __init__(self, inner):
+            self.inner, self.sent = inner, []
+
+        def encode(self, text, **options):
+            self.sent += text.split(" ")
+            return self.inner.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            self.sent += [piece for text in texts for piece in text.split(" ")]
+            return self.inner.encode_batch_fast(texts, **options)
+
+    model = token_files.LibraryModel(bpe_codec.default_path())
+    model.model = Recorder(model.model)
+    for words in (["thatndou,", "thatndou.", "(hewh"], ["thatndou!", "hewh", "THATNDOU,x7"], ["thatndou,", "</w>thatndou</w>"]):
+        ids, offsets = model.encode_words(pa.array(words))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [expected(library, w)[0] for w in words]
+    assert len(model.model.sent) == len(set(model.model.sent))
+
+
+@pytest.mark.parametrize("kept", [0, 3, 1 << 19])
+def test_token_files_ids_do_not_depend_on_what_is_kept(library, monkeypatch, kept):
+    monkeypatch.setattr(token_files, "KEPT", kept)
+    model = token_files.LibraryModel(bpe_codec.default_path())
+    rng = np.random.default_rng(7)
+    for _ in range(4):
+        words = sorted({"".join(rng.choice(list("aeinst,.'7é語</w>"), rng.integers(1, 9))) for _ in range(60)} | {"a<|endoftext|>b"})
+        ids, offsets = model.encode_words(pa.array(words))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [expected(library, w)[0] for w in words]
+        assert len(model.words.items) <= kept and len(model.pieces.items) <= kept
+    ids, offsets = model.encode_words(pa.array([], pa.string()))
+    assert len(ids) == 0 and offsets.tolist() == [0]
+
+
+def test_simple8b_takes_the_most_values_a_word_where_small_ones_are_rare():
+    rng = np.random.default_rng(9)
+    v = np.where(rng.random(6000) < 0.1, rng.integers(0, 9, 6000), rng.integers(1 << 14, 1 << 17, 6000)).astype(np.uint64)
+    v[1000:1070], v[2040:2060], v[-40:] = 1, 3, 0
+    data, count = simple8b.encode(v), 0
+    assert (simple8b.decode(data) == v).all()
+    for lo in range(0, len(v), simple8b.BLOCK):
+        left = v[lo:lo + simple8b.BLOCK].tolist()
+        while left:
+            n = next(n for n, bits in simple8b.SELECTORS if max(left[:n]) < 1 << bits)
+            left, count = left[n:], count + 1
+    blocks = -(-len(v) // simple8b.BLOCK)
+    assert len(data) == -(-(24 + 4 * (blocks + 1)) // 8) * 8 + 8 * count
+
+
 # -- token counts -----------------------------------------------------------------
 
 def greedy(word, begin, inside):
